@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import line_dedup, mixing, quality, toxicity
+from pageloom.llm import line_dedup, mixing, order_minhash, quality, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -34,11 +34,17 @@ def op9_toxicity(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_order_minhash(spark, sf_dir):
+    """Fingerprints of every document, its edited form and its next document."""
+    return order_minhash.fingerprint_neighbours(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE = {
