@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import line_dedup, mixing, order_minhash, quality, toxicity
+from pageloom.llm import decontamination, line_dedup, mixing, order_minhash, quality, toxicity
 from pageloom.sources.tables import read_table
 
 
+def op4_decontamination(spark, sf_dir):
+    """Benchmark items found in documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark, sf_dir):
     """Calibrated probability and draw of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -40,6 +46,7 @@ def op10_order_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
