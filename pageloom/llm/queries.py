@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, mixing, order_minhash, quality, toxicity
+from pageloom.llm import decontamination, line_dedup, mixing, order_minhash, quality, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -14,6 +14,11 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_surrogates(spark, sf_dir):
+    """Every document with surrogates in place of its entities."""
+    return surrogates.replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark, sf_dir):
     """Calibrated probability and draw of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -47,6 +52,7 @@ def op10_order_minhash(spark, sf_dir):
 
 QUERIES = {
     "op4_decontamination": op4_decontamination,
+    "op5_surrogates": op5_surrogates,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
