@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, mixing, quality
+from pageloom.llm import decontamination, line_dedup, mixing, near_dedup, quality
 from pageloom.llm.common import DOCUMENT_COLUMNS, checkpoint_dir
 from pageloom.sources.tables import read_table
 
@@ -24,6 +24,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.drop_near_copies(docs.select(*DOCUMENT_COLUMNS))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontamination.drop_contaminated(docs.select(*DOCUMENT_COLUMNS), read_table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
 ]

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, mixing, order_minhash, quality, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, mixing, near_dedup, order_minhash, quality, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
+def op3_near_dedup(spark, sf_dir):
+    """The near-duplicate class of every document."""
+    return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op4_decontamination(spark, sf_dir):
     """Benchmark items found in documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +56,7 @@ def op10_order_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_surrogates": op5_surrogates,
     "op6_mixing": op6_mixing,
