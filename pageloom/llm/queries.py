@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, mixing, near_dedup, order_minhash, quality, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, quality, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
+def op1_lm_scoring(spark, sf_dir):
+    """Pseudo-likelihood of every document."""
+    scored = lm_scoring.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
+
+
 def op3_near_dedup(spark, sf_dir):
     """The near-duplicate class of every document."""
     return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
@@ -56,6 +62,7 @@ def op10_order_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_surrogates": op5_surrogates,
