@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, quality, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, quality, suffix_dedup, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -14,6 +14,11 @@ def op1_lm_scoring(spark, sf_dir):
     return scored.select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    """What is left of every document without its repeated 200-byte strings."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep="none", with_bytes=False)
+
+
 def op3_near_dedup(spark, sf_dir):
     """The near-duplicate class of every document."""
     return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
@@ -63,6 +68,7 @@ def op10_order_minhash(spark, sf_dir):
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_surrogates": op5_surrogates,
