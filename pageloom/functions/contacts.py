@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, ci, trim_ws
 
 #: Patterns of addresses, phone candidates and dotted dates. Fixed values.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, ci, matches, norm_ws, trim_ws
 
 _SIGN_FIRST = r"€|\$|£|¥|₹|₽|₺|zł|Kč|kr|лв\.?"
@@ -65,7 +66,7 @@ def has_money(t: Column) -> Column:
 
 
 def price_text_or_on_request(t: Column) -> Column:
-    return F.when(money_match(t) != "", money_match(t)).when(matches(t, ON_REQUEST), "On request").otherwise("")
+    return let(money_match(t), lambda m: F.when(m != "", m).when(matches(t, ON_REQUEST), "On request").otherwise(""))
 
 
 def billing_period(t: Column) -> Column:
@@ -131,9 +132,12 @@ SPEC_LINE = rf"\A[►▸•\-]?{WS}*(.{{2,50}}?){WS}*[:\-–]{WS}*(.{{1,200}})\z
 
 def split_spec(line: Column) -> Column:
     """struct(key, value) of a "key: value" line; null if it is none or the key is too long."""
-    t = norm_ws(line)
-    key, value = norm_ws(F.regexp_extract(t, SPEC_LINE, 1)), norm_ws(F.regexp_extract(t, SPEC_LINE, 2))
-    return F.when((F.length(t) <= 200) & F.length(key).between(2, 49) & (value != ""), F.struct(key.alias("key"), value.alias("value")))
+
+    def body(t: Column) -> Column:
+        parts = F.struct(norm_ws(F.regexp_extract(t, SPEC_LINE, 1)).alias("key"), norm_ws(F.regexp_extract(t, SPEC_LINE, 2)).alias("value"))
+        return let(parts, lambda p: F.when((F.length(t) <= 200) & F.length(p["key"]).between(2, 49) & (p["value"] != ""), p))
+
+    return let(norm_ws(line), body)
 
 
 def area_m2(t: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, norm_ws, trim_ws
 
 __all__ = ["clean", "dedupe_lines", "is_challenge_page", "norm_ws", "strip_footer_dedup", "total_steps", "word_count"]
@@ -31,9 +32,13 @@ def strip_footer_dedup(t: Column, marker: str = "TOP_CONTROLS") -> Column:
     main = F.when(at > 1, F.substring(t, F.lit(1), at - 1)).otherwise(t)
     lines = F.split(main, "\n")
     keys = F.transform(lines, trim_ws)
-    pairs = F.arrays_zip(lines.alias("line"), keys.alias("key"))
-    first = F.filter(pairs, lambda x, i: (F.length(x["key"]) < LONG_LINE) | (F.array_position(keys, x["key"]) == i + 1))
-    return F.array_join(F.transform(first, lambda x: x["line"]), "\n")
+
+    def body(keys: Column) -> Column:
+        # of lines with one key, the map keeps the number of the first
+        firsts = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.array_position(keys, k))))
+        return let(firsts, lambda m: F.filter(lines, lambda x, i: let(trim_ws(x), lambda k: (F.length(k) < LONG_LINE) | (F.try_element_at(m, k) == i + 1))))
+
+    return F.array_join(let(F.transform(lines, trim_ws), body), "\n")
 
 
 def dedupe_lines(t: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, ci, matches
 
 _PARTS = r"(?is)\A([A-Za-z][A-Za-z0-9+.-]*):[/\\]*(?:[^/\\?#@]*@)?([^/\\?#:]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
@@ -43,95 +44,117 @@ THIRD_PARTY = (
 TEXTLESS_TYPES = ("image", "media", "font", "websocket", "eventsource")
 
 
-def _part(u: Column, k: int) -> Column:
-    return F.regexp_extract(u, _PARTS, k)
+def _parsed(u: Column) -> Column:
+    """[scheme, host, port, path, query] of an absolute URL by one pass; one element for anything else."""
+    return F.split(F.regexp_replace(F.coalesce(u, F.lit("")), _PARTS, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01")
 
 
-def is_url(u: Column) -> Column:
-    """Absolute, with a host."""
-    return F.coalesce(u.rlike(_PARTS), F.lit(False))
+def _ok(p: Column) -> Column:
+    return F.size(p) == 5
 
 
-def scheme(u: Column) -> Column:
-    return F.lower(_part(u, 1))
+def _scheme(p: Column) -> Column:
+    return F.lower(F.get(p, F.lit(0)))
 
 
-def hostname(u: Column) -> Column:
-    return F.lower(_part(u, 2))
+def _host(p: Column) -> Column:
+    return F.lower(F.get(p, F.lit(1)))
+
 
+def _bare(p: Column) -> Column:
+    return F.regexp_replace(_host(p), r"\Awww\.", "")
 
-def port(u: Column) -> Column:
+
+def _port(p: Column) -> Column:
     """``:port``, empty for the default of the scheme."""
-    p = _part(u, 3)
-    default = ((scheme(u) == "http") & (p == "80")) | ((scheme(u) == "https") & (p == "443")) | (p == "")
-    return F.when(default, "").otherwise(F.concat(F.lit(":"), p))
+    number = F.get(p, F.lit(2))
+    default = ((_scheme(p) == "http") & (number == "80")) | ((_scheme(p) == "https") & (number == "443")) | (number == "")
+    return F.when(default, "").otherwise(F.concat(F.lit(":"), number))
 
 
-def path(u: Column) -> Column:
-    return F.when(_part(u, 4) == "", "/").otherwise(_part(u, 4))
+def _path(p: Column) -> Column:
+    return F.when(F.get(p, F.lit(3)) == "", "/").otherwise(F.get(p, F.lit(3)))
 
 
-def query(u: Column) -> Column:
-    return _part(u, 5)
+def _origin(p: Column) -> Column:
+    return F.concat(_scheme(p), F.lit("://"), _host(p), _port(p))
 
 
-def origin(u: Column) -> Column:
-    """scheme://host[:port]; null for what is no URL."""
-    return F.when(is_url(u), F.concat(scheme(u), F.lit("://"), hostname(u), port(u)))
+def is_url(u: Column) -> Column:
+    """Absolute, with a host."""
+    return _ok(_parsed(u))
+
+
+def hostname(u: Column) -> Column:
+    """Lower-case host; null for what is no URL."""
+    return let(_parsed(u), lambda p: F.when(_ok(p), _host(p)))
 
 
-def _bare_host(u: Column) -> Column:
-    return F.regexp_replace(hostname(u), r"\Awww\.", "")
+def path(u: Column) -> Column:
+    """Path, ``/`` if empty; null for what is no URL."""
+    return let(_parsed(u), lambda p: F.when(_ok(p), _path(p)))
+
+
+def origin(u: Column) -> Column:
+    """scheme://host[:port]; null for what is no URL."""
+    return let(_parsed(u), lambda p: F.when(_ok(p), _origin(p)))
 
 
 def normalize_url(u: Column) -> Column:
     """Without fragment, query and one ``www.``; path case and a final slash stay; else unchanged."""
-    return F.when(is_url(u), F.concat(scheme(u), F.lit("://"), _bare_host(u), port(u), path(u))).otherwise(u)
+    return let(_parsed(u), lambda p: F.when(_ok(p), F.concat(_scheme(p), F.lit("://"), _bare(p), _port(p), _path(p))).otherwise(u))
 
 
 def url_key(u: Column) -> Column:
     """Key of a page: as ``normalize_url``, https, no final slash, lower case."""
-    p = F.when(path(u) == "/", "/").otherwise(F.regexp_replace(path(u), r"/\z", ""))
-    kept_port = F.when(port(u) == ":443", "").otherwise(port(u))
-    return F.when(is_url(u), F.lower(F.concat(F.lit("https://"), _bare_host(u), kept_port, p))).otherwise(F.lower(F.coalesce(u, F.lit(""))))
+
+    def body(p: Column) -> Column:
+        way = F.when(_path(p) == "/", "/").otherwise(F.regexp_replace(_path(p), r"/\z", ""))
+        kept_port = F.when(_port(p) == ":443", "").otherwise(_port(p))
+        return F.when(_ok(p), F.lower(F.concat(F.lit("https://"), _bare(p), kept_port, way))).otherwise(F.lower(F.coalesce(u, F.lit(""))))
+
+    return let(_parsed(u), body)
 
 
 def normalize_domain(u: Column) -> Column:
     """Host without ``www.``; empty for what is no URL."""
-    return F.when(is_url(u), _bare_host(u)).otherwise(F.lit(""))
+    return let(_parsed(u), lambda p: F.when(_ok(p), _bare(p)).otherwise(F.lit("")))
 
 
-def _no_dots(p: Column) -> Column:
-    steps = F.split(p, "/")
-    ended = F.when(p.rlike(r"/\.\.?\z"), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+def _no_dots(way: Column) -> Column:
+    steps = F.split(way, "/")
+    ended = F.when(way.rlike(r"/\.\.?\z"), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
     kept = F.aggregate(
         ended,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(p.rlike(r"(?:/|\A)\.\.?(?:/|\z)"), F.array_join(kept, "/")).otherwise(p)
+    return F.when(way.rlike(r"(?:/|\A)\.\.?(?:/|\z)"), F.array_join(kept, "/")).otherwise(way)
 
 
 def absolute(href: Column, base: Column) -> Column:
     """``href`` against the page ``base``, as a canonical URL with its query and without fragment; null if it is none."""
-    h = F.regexp_replace(F.regexp_replace(href, rf"^{WS}+|{WS}+\z", ""), r"[\t\n\r]", "")
-    h = F.regexp_replace(h, r"#.*", "")
-    folder = F.regexp_replace(path(base), r"[^/]*\z", "")
-    whole = (
-        F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(origin(base), path(base), h))
-        .when(h == "", F.concat(origin(base), path(base), query(base)))
-        .otherwise(F.concat(origin(base), folder, h))
-    )
-    return F.when(is_url(base) & is_url(whole), F.concat(origin(whole), _no_dots(path(whole)), query(whole)))
+    bare = F.regexp_replace(F.regexp_replace(href, rf"^{WS}+|{WS}+\z|[\t\n\r]", ""), r"#.*", "")
+
+    def joined(h: Column, b: Column) -> Column:
+        return (
+            F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(_scheme(b), F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(_origin(b), h))
+            .when(h.startswith("?"), F.concat(_origin(b), _path(b), h))
+            .when(h == "", F.concat(_origin(b), _path(b), F.get(b, F.lit(4))))
+            .otherwise(F.concat(_origin(b), F.regexp_replace(_path(b), r"[^/]*\z", ""), h))
+        )
+
+    def canonical(p: Column) -> Column:
+        return F.when(_ok(p), F.concat(_origin(p), let(_path(p), _no_dots), F.get(p, F.lit(4))))
+
+    return let(_parsed(base), lambda b: let(bare, lambda h: F.when(_ok(b) & h.isNotNull(), let(_parsed(joined(h, b)), canonical))))
 
 
 def resolve_href(href: Column, base: Column) -> Column:
     """``absolute``, kept if its origin is the page's own; null otherwise."""
-    a = absolute(href, base)
-    return F.when(origin(a) == origin(base), a)
+    return let(absolute(href, base), lambda a: F.when(origin(a) == origin(base), a))
 
 
 def is_skippable_url(u: Column) -> Column:
@@ -155,12 +178,15 @@ def page_type(u: Column, title: Column) -> Column:
 
 def third_party_class(resource: Column, kind: Column, base: Column) -> Column:
     """own_document, textless, third_party or kept, for a row of a resource log."""
-    host, own = normalize_domain(resource), normalize_domain(base)
-    is_own = (own != "") & ((host == own) | F.endswith(host, F.concat(F.lit("."), own)))
-    listed = matches(F.concat(host, path(resource)), "|".join(THIRD_PARTY))
-    return (
-        F.when((kind == "document") & is_own, "own_document")
-        .when(kind.isin(*TEXTLESS_TYPES), "textless")
-        .when(~is_own & (host != "") & listed, "third_party")
-        .otherwise("kept")
-    )
+
+    def body(host: Column, own: Column) -> Column:
+        is_own = (own != "") & ((host == own) | F.endswith(host, F.concat(F.lit("."), own)))
+        listed = matches(F.concat(host, path(resource)), "|".join(THIRD_PARTY))
+        return (
+            F.when((kind == "document") & is_own, "own_document")
+            .when(kind.isin(*TEXTLESS_TYPES), "textless")
+            .when(~is_own & (host != "") & listed, "third_party")
+            .otherwise("kept")
+        )
+
+    return let(normalize_domain(resource), lambda host: let(normalize_domain(base), lambda own: body(host, own)))
