@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.plans import page_queries
+from pageloom.plans import page_queries, rendered_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(page_queries.QUERIES)
-ORACLE: dict[str, str] = dict(page_queries.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**page_queries.QUERIES, **rendered_queries.QUERIES}
+ORACLE: dict[str, str] = {**page_queries.ORACLE, **rendered_queries.ORACLE}

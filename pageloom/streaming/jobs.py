@@ -16,9 +16,10 @@ def suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts",
 
     A hit does not extend the life: the anchor is the last request that was crawled. Gaps of
     more than the ttl always start anew, so a key's requests fall into runs by such gaps; within a
-    run the anchors are found by one ordered pass over that run alone. Null keys or times are never hits.
+    run the anchors are found by one ordered pass; a task takes some hundred whole runs at a time. Null keys
+    or times are never hits.
     """
-    seconds = F.col(at).cast("double")
+    seconds = F.col(at).cast("timestamp").cast("double")
     w = Window.partitionBy(key).orderBy(at)
     runs = requests.withColumn("_t", seconds).withColumn("_gap", F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(float("inf"))))
     runs = runs.withColumn("_run", F.sum((F.col("_gap") >= ttl).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -35,7 +36,7 @@ def suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts",
 
     usable = F.col(key).isNotNull() & F.col(at).isNotNull()
     rest = requests.filter(~usable).withColumn("hit", F.lit(False))
-    return runs.filter(usable).groupBy(key, "_run").applyInPandas(lambda pdf: anchors(pdf), schema).unionByName(rest)
+    return runs.filter(usable).groupBy(key, F.floor(F.col("_run") / 500)).applyInPandas(lambda pdf: anchors(pdf), schema).unionByName(rest)
 
 
 def stream_suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:
