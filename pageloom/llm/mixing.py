@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import write_shared
+
 MARGINS = ("source", "lang", "topic")
 MAX_CATEGORIES = 500
 #: Targets are shares raised to this power: large categories give way to small ones.
@@ -111,7 +113,8 @@ def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, tar
     """
     spark = docs.sparkSession
     seen = docs.withColumn("n_tokens", n_tokens()).withColumn("topic", topic())
-    sums = seen.groupBy(*[_named(m).alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"))
+    # written once: three small questions are asked of it, the documents are read once for it
+    sums = write_shared(seen.groupBy(*[_named(m).alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
     kept = {}
     for m in MARGINS[:2]:
         top = sums.groupBy(m).agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), m).limit(max_categories + 1).collect()
