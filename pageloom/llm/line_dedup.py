@@ -31,7 +31,7 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     host holds at most (mean distinct lines per page / ratio) boilerplate lines.
     """
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    hashes = F.transform(F.filter(F.array_distinct(F.transform(_lines("text"), F.trim)), lambda x: x != ""), lambda x: F.xxhash64(x))
+    hashes = F.transform(F.filter(F.array_distinct(F.transform(_lines("text"), lambda x: F.trim(x))), lambda x: x != ""), lambda x: F.xxhash64(x))
     counted = (
         pages.select("host", F.explode(hashes).alias("line_hash"))
         .groupBy("host", "line_hash")
