@@ -287,7 +287,8 @@ def repeated_spans(keyed: DataFrame, keep: str = "none") -> DataFrame:
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
     found = find_segments(keyed)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("anchor")
+    # written, so that the join below has two dealt-out sides and a hot anchor's rows can be split
+    shared = write_shared(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("anchor"), "anchors")
     rows = write_shared(found.join(shared, "anchor"), "segments")
     distinct = write_shared(
         rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("doc_id", "start", "key", "n")).alias("f"))
