@@ -303,6 +303,7 @@ def repeated_spans(keyed: DataFrame, keep: str = "none") -> DataFrame:
         "anchor", "digest", F.col("key").alias("first_key"), F.col("start").alias("first_start"),
         F.coalesce(whole, F.col("again")).alias("again"), F.coalesce(F.col("earlier"), F.array().cast("array<int>")).alias("earlier"), F.array(F.lit(0), F.col("n")).alias("whole"),
     ).filter(F.col("again").isNotNull() & (F.size("again") > 0))
+    judged = write_shared(judged, "judged-segments")  # as above: a segment with very many copies is split
     joined = rows.select("key", "anchor", "digest", "start").join(judged, ["anchor", "digest"])
     is_first = (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
     runs = F.col("again") if keep == "none" else F.when(is_first, F.col("earlier")).otherwise(F.col("whole"))
