@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import write_shared
+
 RATIO = 0.03
 MIN_PAGES = 5
+#: Up to so many line hashes (of 8 bytes) are broadcast.
+MAX_BROADCAST_LINES = 500_000
 
 
 def _lines(text: str) -> Column:
@@ -49,7 +53,11 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with the boilerplate lines cut from ``text``, plus n_lines and n_removed."""
     listed = boilerplate_lines(docs, host, text, ratio, min_pages).groupBy(F.col("host").alias("_bp_host")).agg(F.collect_set("line_hash").alias("_bp_lines"))
-    joined = docs.join(listed, docs[host].eqNullSafe(listed["_bp_host"]), "left")
+    listed = write_shared(listed, "boilerplate")
+    size = listed.agg(F.sum(F.size("_bp_lines")), F.count(F.lit(1))).first()
+    # a small list is sent to the pages; a large one meets them in a join whose hot hosts Spark splits
+    side = F.broadcast(listed) if (size[0] or 0) + size[1] <= MAX_BROADCAST_LINES else listed
+    joined = docs.join(side, docs[host].eqNullSafe(listed["_bp_host"]), "left")
     lines = _lines(text)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bp_lines"), F.xxhash64(F.trim(x))))
     kept = F.when(F.col("_bp_lines").isNull(), lines).otherwise(kept)
