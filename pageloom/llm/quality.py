@@ -103,11 +103,13 @@ class NeighbourModel:
         self.idf = np.log((1.0 + len(rows)) / (1.0 + present)).astype(np.float32) + 0.3
         self.idf *= present > 0
         weighted = self._unit(rows * self.idf)
-        # The right singular vectors from the smaller Gram matrix.
-        values, vectors = np.linalg.eigh(weighted @ weighted.T)
-        k = min(DIMENSIONS, len(rows))
-        top = vectors[:, ::-1][:, :k]
-        self.axes = (weighted.T @ top / np.sqrt(np.maximum(values[::-1][:k], 1e-6))).astype(np.float32)
+        # Truncated SVD by subspace iteration: no matrix larger than the rows themselves is made.
+        k = min(DIMENSIONS, *weighted.shape)
+        wide = min(k + 12, *weighted.shape)
+        basis = np.linalg.qr(weighted @ np.random.default_rng(7).normal(size=(weighted.shape[1], wide)).astype(np.float32))[0]
+        for _ in range(8):
+            basis = np.linalg.qr(weighted @ (weighted.T @ basis))[0]
+        self.axes = np.ascontiguousarray(np.linalg.svd(basis.T @ weighted, full_matrices=False)[2][:k].T, dtype=np.float32)
         self.vectors = self._unit(weighted @ self.axes)
         sampled = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
         self.stands_for = np.where(labels == 1, sizes[1] / sampled[1], sizes[0] / sampled[0]).astype(np.float32)
@@ -156,8 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
     counts = dict(
         labels.filter(~held_out & F.col("doc_id").isNotNull()).groupBy(F.col("quality").cast("int").alias("q")).count().collect()
     )
-    rows = np.array([np.frombuffer(r["row"], np.float32) for r in got], np.float32).reshape(len(got), N_FEATURES)
-    return NeighbourModel(rows, np.array([r["label"] for r in got], int), (counts.get(0, 0), counts.get(1, 0)))
+    rows = np.empty((len(got), N_FEATURES), np.float32)
+    for k, r in enumerate(got):
+        rows[k] = np.frombuffer(r["row"], np.float32)
+    labelled = np.array([r["label"] for r in got], int)
+    del got
+    return NeighbourModel(rows, labelled, (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
