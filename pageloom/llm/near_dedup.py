@@ -12,7 +12,9 @@ Exact copies collapse first: one text of each is a node. In a band's bucket ever
 compared with the bucket's first node and with its nearest ones in signature order,
 a number that grows with the bucket, not with its square. What then is still apart in one bucket is
 compared where the signatures agree in at least ``LEAST_AGREEING`` samples (a pair at
-the threshold agrees in fewer with a probability under 1e-5), largest component of the bucket left out on one side.
+the threshold agrees in fewer with a probability under 1e-4), the bucket's largest component left
+out on one side. In crowded buckets texts and pairs are left out that cannot be that similar
+because of the shingles that no other text there has: an exact bound.
 
 Defined cases: null and empty texts and texts of blanks have no shingles; equal ones form a class by
 their text; null ids are ids like any other; repeated rows share the class; an empty table
@@ -36,6 +38,8 @@ RARE = 50
 NEIGHBOURS = 2
 LEAST_AGREEING = 10
 SALTED_BUCKET = 500
+#: Buckets in which so many pairs may still be apart are first thinned by an exact bound.
+CROWDED = 20_000
 BLOCK_BYTES = 2 << 20
 _U64 = np.uint64
 
@@ -245,18 +249,46 @@ def near_links(docs: DataFrame, signed: DataFrame, model: tuple[int, np.ndarray,
     component = connected_components(links)
     placed = members.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     by = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("held"))
-    largest = by.groupBy("band", "value").agg(F.max(F.struct("held", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    largest = largest.select("band", "value", F.col("m.component").alias("main"))
-    split = placed.join(largest, ["band", "value"])
-    small = split.filter(F.col("component") != F.col("main")).select("band", "value", F.col("key").alias("x"), F.col("agree").alias("ax"), F.col("component").alias("cx"))
-    rest = split.select("band", "value", F.col("key").alias("y"), F.col("agree").alias("ay"), F.col("component").alias("cy"), "main")
+    largest = by.groupBy("band", "value").agg(F.max(F.struct("held", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("held").alias("all")).filter("parts > 1")
+    largest = largest.select("band", "value", F.col("m.component").alias("main"), ((F.col("all") - F.col("m.held")) * F.col("all") >= CROWDED).alias("crowded"))
+    split = write_shared(placed.join(largest, ["band", "value"]).select("band", "value", "key", "agree", "component", "main", "crowded"), "split-buckets")
+    own = unshared_weight(split.filter("crowded").select("key").distinct(), texts, model)
+    # shared weight is at most the smaller of what either text shares with any other, the union at least that and both own
+    # weights; a text is left out by itself only in crowded buckets, where every partner is among the texts it was held against
+    split = split.join(own, "key", "left").filter(~F.col("crowded") | F.col("own").isNull() | (F.col("rest") >= (SIMILARITY - 1e-6) * (F.col("rest") + F.col("own"))))
+    small = split.filter(F.col("component") != F.col("main")).select("band", "value", F.col("key").alias("x"), F.col("agree").alias("ax"), F.col("component").alias("cx"), F.col("own").alias("ox"), F.col("rest").alias("rx"))
+    other = split.select("band", "value", F.col("key").alias("y"), F.col("agree").alias("ay"), F.col("component").alias("cy"), "main", F.col("own").alias("oy"), F.col("rest").alias("ry"))
     agreeing = F.expr("aggregate(zip_with(ax, ay, (a, b) -> IF(a = b, 1, 0)), 0, (s, e) -> s + e)")
-    apart = small.join(rest, ["band", "value"]).filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (agreeing >= LEAST_AGREEING))
+    possible = F.coalesce(F.least("rx", "ry") >= (SIMILARITY - 1e-6) * (F.least("rx", "ry") + F.col("ox") + F.col("oy")), F.lit(True))
+    apart = small.join(other, ["band", "value"]).filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible & (agreeing >= LEAST_AGREEING))
     apart = apart.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = verify(write_shared(apart, "pairs"), texts, model).filter(F.col("similarity") >= SIMILARITY - 1e-9).select("u", "v")
     return links.unionAll(more)
 
 
+def unshared_weight(keys: DataFrame, texts: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, own, rest): the weight of a text's shingles that no other of these texts has, and of the others.
+
+    A text whose own part exceeds a fifth cannot be as similar as ``SIMILARITY`` to any of them.
+    """
+    _, hashes, idf = model
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, last, data, offsets in _blocks(batch.column(1)):
+                text, shingle, weight = weighted_shingles(data, offsets, hashes, idf)
+                yield pa.record_batch([batch.column(0).take(pa.array(text + first)), pa.array(shingle.view(np.int64)), pa.array(weight, pa.float64())], names=["key", "shingle", "weight"])
+
+    rows = texts.join(keys, "key", "left_semi").select("key", "text").mapInArrow(work, "key binary, shingle long, weight double")
+    rows = write_shared(rows, "bucket-shingles")
+    total = rows.groupBy("key").agg(F.sum("weight").alias("total"))
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).filter("n = 1")
+    own = alone.groupBy("key").agg(F.sum("weight").alias("own"))
+    return total.join(own, "key", "left").select("key", F.coalesce("own", F.lit(0.0)).alias("own"), (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("rest"))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, class_id, class_size): the class of every row; class_id is its smallest doc_id."""
     docs = docs.select("doc_id", "text")
