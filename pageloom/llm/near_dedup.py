@@ -290,21 +290,26 @@ def unshared_weight(keys: DataFrame, texts: DataFrame, model: tuple[int, np.ndar
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id, class_size): the class of every row; class_id is its smallest doc_id."""
+    """(doc_id, key, class_id, class_key, class_size): the class of every row.
+
+    class_id is its smallest doc_id, class_key the smallest key of its texts: where ids are null or
+    repeated, several classes may have one class_id, but a class_key is of one class.
+    """
     docs = docs.select("doc_id", "text")
     model = common_words(docs)
     signed = write_shared(sign(docs, model), "signatures")
     component = connected_components(near_links(docs, signed, model))
     placed = signed.select("doc_id", "key").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     sizes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(sizes, "component").select("doc_id", "key", "class_id", "class_size")
+    return placed.join(sizes, "component").select("doc_id", "key", "class_id", F.lower(F.hex("component")).alias("class_key"), "class_size")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest id (of equal ids, the smallest text)."""
     classes = write_shared(near_classes(docs), "near-classes")
-    keep = classes.groupBy("class_id", F.struct("class_id", "key").alias("k"), "doc_id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = keep.groupBy("class_id").agg(F.min(F.struct(F.col("k.key").alias("key"), "copies")).alias("m")).select(F.col("class_id").alias("_nd_id"), F.col("m.key").alias("_nd_key"), F.col("m.copies").alias("_nd_copies"))
+    copies = classes.groupBy("class_key", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    keep = copies.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "copies")).alias("m"))
+    keep = keep.select(F.col("m.doc_id").alias("_nd_id"), F.col("m.key").alias("_nd_key"), F.col("m.copies").alias("_nd_copies"))
     names = docs.columns
     kept = docs.withColumn("_nd_own", row_key("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_own") == F.col("_nd_key")))
     once = kept.filter("_nd_copies = 1").select(*names)

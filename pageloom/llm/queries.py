@@ -21,7 +21,7 @@ def op2_suffix_dedup(spark, sf_dir):
 
 def op3_near_dedup(spark, sf_dir):
     """The near-duplicate class of every document."""
-    return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return near_dedup.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_key", "class_size")
 
 
 def op4_decontamination(spark, sf_dir):

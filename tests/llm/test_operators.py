@@ -231,6 +231,16 @@ def test_near_hard_rows(spark):
     assert near_dedup.drop_near_copies(hard(spark).limit(0)).count() == 0
 
 
+def test_near_classes_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (None, None), (7, texts[2]), (7, texts[3]), (7, texts[2]), (9, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (9, texts[4])], key=str)
+    assert sorted((tuple(r) for r in near_dedup.drop_near_copies(docs).collect()), key=str) == want
+    got = near_dedup.near_classes(docs).collect()
+    assert len(got) == 9 and len({r.class_key for r in got}) == 6 and len({(r.class_key, r.class_id, r.class_size) for r in got}) == 6
+
+
 # -- 4
 
 
