@@ -8,7 +8,8 @@ weighted Jaccard similarity of five-word shingles then decides.
 Which windows are hashed: a window as similar as ``SIMILARITY`` lacks less than a
 ninth of the item's shingle weight, so it holds one of any few of its shingles that
 together weigh more than that. These probes are looked up at every word of every
-text, and each hit sets the window by the probe's place in the item. SimHash is an estimate: a
+text, and each hit sets the window by the probe's place in the item, moved inside the text where it
+would begin before it or pass its end. Shorter items are looked up by their own number of words. SimHash is an estimate: a
 similar window farther than the radius is missed (four changed words in forty
 give about nine bits, so this is rare).
 
@@ -84,7 +85,7 @@ def shingle_weights(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def probe_shingles(items: DataFrame) -> DataFrame:
-    """(probe, item, place): the first places of a spread-out order whose weights pass the allowance of each item.
+    """(probe, item, place, words of the item): the first places of a spread-out order whose weights pass the allowance of each item.
 
     A window with similarity s to the item holds at least s of its weight; the
     chosen distinct shingles weigh more than (1 - s) of it, so one of them is in every such window.
@@ -97,7 +98,7 @@ def probe_shingles(items: DataFrame) -> DataFrame:
     spread = Window.partitionBy("item").orderBy(F.expr(f"place % {SHINGLE}"), "place")
     whole = F.sum("w").over(Window.partitionBy("item"))
     before = F.coalesce(F.sum("w").over(spread.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return placed.withColumn("before", before).withColumn("whole", whole).filter(F.col("before") <= F.lit(1 - SIMILARITY + 1e-9) * F.col("whole")).select("probe", "item", "place")
+    return placed.withColumn("before", before).withColumn("whole", whole).filter(F.col("before") <= F.lit(1 - SIMILARITY + 1e-9) * F.col("whole")).join(items.select("item", F.col("n_words").alias("words")), "item").select("probe", "item", "place", "words")
 
 
 def _hits(docs: DataFrame, probes: DataFrame) -> DataFrame:
@@ -106,21 +107,27 @@ def _hits(docs: DataFrame, probes: DataFrame) -> DataFrame:
     few = [r[0] for r in distinct.limit(MAX_LITERAL_PROBES + 1).collect()]
     if not few:
         few = [None]
+    places = _places(sorted(r[0] for r in probes.filter(F.col("words") < SHINGLE).select("words").distinct().collect()))
     if len(few) <= MAX_LITERAL_PROBES:
         listed = ", ".join(f"{p}L" if p != -(1 << 63) else "(-9223372036854775807L - 1L)" for p in few if p is not None) or "NULL"
-        inside = f"""
-            element_at(transform(array(doc_words), ws ->
-                filter(
-                    transform(sequence(0, greatest(size(ws) - {SHINGLE}, 0)), i -> struct(i AS at,
-                        xxhash64({", ".join(f"try_element_at(ws, i + {k})" for k in range(1, SHINGLE + 1))}) AS probe)),
-                    x -> x.probe IN ({listed}))), 1)
-        """
+        found = " , ".join(f"filter({p}, x -> x.probe IN ({listed}))" for p in places)
+        inside = f"element_at(transform(array(doc_words), ws -> concat({found})), 1)"
         return docs.withColumn("hits", F.expr(inside)).filter(F.size("hits") > 0).select("key", "doc_words", F.explode("hits").alias("x")).select("key", "doc_words", "x.at", "x.probe")
-    hashed = docs.select("key", F.posexplode(F.expr(_shingle_hashes("doc_words"))).alias("at", "probe"))
+    hashed = docs.select("key", F.explode(F.expr(f"element_at(transform(array(doc_words), ws -> concat({', '.join(places)})), 1)")).alias("x")).select("key", "x.at", "x.probe")
     found = hashed.join(distinct, "probe").groupBy("key").agg(F.collect_set(F.struct("at", "probe")).alias("hits"))
     return docs.join(found, "key").select("key", "doc_words", F.explode("hits").alias("x")).select("key", "doc_words", "x.at", "x.probe")
 
 
+def _places(short: list[int]) -> list[str]:
+    """SQL of arrays of (at, probe) over the words ws: all five-word shingles, and those of each shorter item length."""
+
+    def hashed(n: int) -> str:
+        return f"xxhash64({', '.join(f'try_element_at(ws, i + {k})' for k in range(1, n + 1))})"
+
+    out = [f"transform(sequence(0, greatest(size(ws) - {SHINGLE}, 0)), i -> struct(i AS at, {hashed(SHINGLE)} AS probe))"]
+    return out + [f"transform(filter(sequence(0, greatest(size(ws) - {n}, 0)), i -> i + {n} <= size(ws)), i -> struct(i AS at, {hashed(n)} AS probe))" for n in short]
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the most similar window of each document and item."""
     from pyspark.sql import Window
@@ -132,9 +139,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read = texts.select("key", "doc_id", words("text").alias("doc_words")).filter(F.size("doc_words") > 0)
     starts = (
         _hits(read.withColumn("key", F.struct("key", "doc_id")), probes)
-        .join(probes, "probe").join(items.select("item", "n_words"), "item")
-        .filter((F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("n_words") <= F.size("doc_words")))
-        .select("key", "n_words", (F.col("at") - F.col("place")).alias("start_word"), F.expr("slice(doc_words, at - place + 1, n_words)").alias("window"))
+        .join(probes.withColumnRenamed("words", "n_words"), "probe")
+        .filter(F.col("n_words") <= F.size("doc_words"))
+        .withColumn("start_word", F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), F.size("doc_words") - F.col("n_words")))
+        .select("key", "n_words", "start_word", F.expr("slice(doc_words, start_word + 1, n_words)").alias("window"))
         .dropDuplicates(["key", "n_words", "start_word"])
     )
     windows = starts.withColumn("window_fp", F.expr(simhash("window")))

@@ -270,6 +270,32 @@ def test_leaks_against_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 8]
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_leaks_cut_by_an_end_of_the_text_and_of_short_items(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_LITERAL_PROBES", most)
+    item = [f"word{k}" for k in range(16)]
+    longer = [f"term{k}" for k in range(59)]
+    rows = [(1, ["x", "y", "z", *item[:15]]), (2, [*item[1:], "x", "y"]), (3, ["q"] * 7 + longer[:56]), (4, longer[3:] + ["r"] * 9), (5, "we saw one Two three of them".split()), (6, "one two of three more words here".split()), (7, "words before one two three".split()), (8, item[:15])]
+    bench = [(10, item), (11, longer), (12, ["one", "two", "three"])]
+    got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontamination.leaks(*(spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{n} long, text string") for x, n in ((rows, "doc_id"), (bench, "item_id")))).collect()}
+    weight = lambda s, held: 1 + np.log(3 / held[s]) if s in held else 1 + np.log(3)
+    parts = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    held = collections.Counter(s for _, w in bench for s in parts(w))
+    want = {}
+    for i, text in rows:
+        text = [w.lower() for w in text]
+        for j, words in bench:
+            mine, best = parts(words), (0.0, 0)
+            for at in range(len(text) - len(words) + 1):
+                yours = parts(text[at : at + len(words)])
+                sums = [sum(f(mine[s], yours[s]) * weight(s, held) for s in mine | yours) for f in (min, max)]
+                best = max(best, (sums[0] / sums[1], -at))
+            if best[0] >= 0.8:
+                want[i, j] = (-best[1], best[0])
+    assert set(want) >= {(1, 10), (2, 10), (3, 11), (4, 11), (5, 12), (7, 12)}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_leaks_by_join_equal_leaks_by_literal(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
