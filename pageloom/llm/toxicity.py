@@ -48,7 +48,9 @@ HOMOGLYPHS = {
 #: Digits and signs written for letters. Fixed values.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
-FOLDING = str.maketrans({**HOMOGLYPHS, **LOOKALIKES, **{chr(0xFF41 + k): chr(97 + k) for k in range(26)}, "​": "", "­": ""})
+#: Left out wherever they stand: zero-width space and soft hyphen.
+INVISIBLE = "\u200b\u00ad"
+FOLDING = str.maketrans({**HOMOGLYPHS, **LOOKALIKES, **{chr(0xFF41 + k): chr(97 + k) for k in range(26)}, **dict.fromkeys(INVISIBLE, "")})
 
 
 def fold(text: str) -> str:
@@ -56,6 +58,14 @@ def fold(text: str) -> str:
     return text.lower().translate(FOLDING)
 
 
+def aligned(text: str) -> tuple[str, str]:
+    """The folded text and, for each of its characters, the original one it came from."""
+    if len(text.lower()) == len(text) and not any(c in text for c in INVISIBLE):
+        return fold(text), text
+    parts = [(fold(c), c) for c in text]
+    return "".join(f for f, _ in parts), "".join(c * len(f) for f, c in parts)
+
+
 class Scorer:
     """Automaton and curve; built on the driver, sent with the task's function."""
 
@@ -86,10 +96,9 @@ class Scorer:
         machine = self._machine()
         if not text or not len(machine):
             return []
-        folded = fold(text)
+        folded, raw = aligned(text)
         found: dict[int, tuple[int, float]] = {}
         spared = []
-        raw = text if len(folded) == len(text) else folded
         for end, (size, kinds) in machine.iter(folded):
             first = end + 1 - size
             if first and raw[first - 1].isalpha():

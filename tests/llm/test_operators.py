@@ -403,6 +403,12 @@ def test_folding_and_exceptions():
     assert s.hits("stupidly so") == [2.0] and s.hits("a trash can") == [] and s.hits("trash") == [1.0] and s.hits("") == []
 
 
+def test_borders_are_those_of_the_original_text():
+    s = toxicity.Scorer({"idiot": 3.0}, [], np.zeros(6))
+    assert s.hits("so\u00adft: idiot! or idi\u00adot$ or 1d10t\u200b!") == [3.0, 3.0, 3.0]
+    assert s.hits("\u0130 @idiot\u200b 4idiot") == [3.0, 3.0] and s.hits("idiot\u00ads \u0130idiot") == []
+
+
 # -- 8
 
 
