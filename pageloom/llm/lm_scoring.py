@@ -7,8 +7,7 @@ score is the sum of the logarithms of these conditional probabilities.
 
 Tokens are whitespace-separated words: the ``VOCABULARY`` most frequent of the whole corpus,
 all others by one of ``BUCKETS`` hash buckets. Training starts from the unigram
-distribution of the whole corpus and takes every ``STRIDE``-th position of every document,
-so it grows with the input: each partition runs its own gradient steps in numpy,
+distribution of the whole corpus and takes every position of every document once: each partition runs its own gradient steps in numpy,
 and the weights are averaged by positions seen, in two levels of Spark groups.
 
 Defined cases: null and empty texts have no tokens, a sum of 0 and a null mean;
@@ -32,13 +31,12 @@ MEMBERS = N_TOKENS // CLASSES
 PAD = N_TOKENS
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 24
-STRIDE = 24
 BATCH = 4096
 RATE = 0.08
 PIECES = 256
 FAN_IN = 32
 BLOCK_BYTES = 4 << 20
-CHUNK = 1 << 15
+CHUNK = 1 << 12
 _MASK = np.uint64((1 << 53) - 1)
 
 
@@ -91,7 +89,8 @@ class Vocabulary:
         self.keys = np.array(words, np.int64)[order].view(np.uint64)
         self.ranks = rank[: len(words)][order]
         self.bucket_ranks = rank[VOCABULARY:]
-        self.counts = np.sort(totals)[::-1].copy()
+        self.token_counts = np.sort(totals)[::-1].copy()
+        self.counts = self.token_counts
 
     def tokens(self, words: np.ndarray) -> np.ndarray:
         low = words & _MASK
@@ -121,7 +120,7 @@ class WindowNetwork:
     SHAPES = {"sides": (len(SIDES), N_TOKENS + 1, HIDDEN), "bias": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
     def __init__(self, flat: np.ndarray) -> None:
-        self.flat, at = flat, 0
+        self.flat, self.held, at = flat, None, 0
         for name, shape in self.SHAPES.items():
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
@@ -157,48 +156,74 @@ class WindowNetwork:
         z = h @ self.to_class + self.class_bias
         own = z[rows, cls]
         out = own - _log_sum(z)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                z = h[at] @ self.to_member[c] + self.member_bias[c]
-                out[at] += z[np.arange(len(at)), member[at]] - _log_sum(z)
+        order, ends = _by_class(cls)
+        z = self.member_logits(h[order], ends)
+        own = z[rows, member[order]]
+        out[order] += own - _log_sum(z)
         return out
 
+    def member_logits(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Logits over the members of the own class, for rows in class order."""
+        z = np.empty((len(h), MEMBERS), np.float32)
+        for c in range(CLASSES):
+            own = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                np.matmul(h[own], self.to_member[c], out=z[own])
+                z[own] += self.member_bias[c]
+        return z
+
     def step(self, tokens: np.ndarray, context: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step on a batch."""
-        slope = WindowNetwork(np.zeros_like(self.flat))
+        if self.held is None:  # kept from step to step: fresh pages cost more than the sums
+            self.held = WindowNetwork(np.zeros_like(self.flat)), np.empty_like(self.flat)
+        slope, spare = self.held
+        slope.flat[:] = 0
         n = len(tokens)
         h = self.hidden(context)
         cls, member = tokens // MEMBERS, tokens % MEMBERS
         z = h @ self.to_class + self.class_bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p = _shares(z)
         p[np.arange(n), cls] -= 1
         slope.to_class[:], slope.class_bias[:] = h.T @ p, p.sum(axis=0)
         back = p @ self.to_class.T
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order, ends = _by_class(cls)
+        sorted_h = h[order]
+        p = _shares(self.member_logits(sorted_h, ends))
+        p[np.arange(n), member[order]] -= 1
+        more = np.empty_like(sorted_h)
         for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                z = h[at] @ self.to_member[c] + self.member_bias[c]
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(at)), member[at]] -= 1
-                slope.to_member[c], slope.member_bias[c] = h[at].T @ p, p.sum(axis=0)
-                back[at] += p @ self.to_member[c].T
+            own = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                slope.to_member[c], slope.member_bias[c] = sorted_h[own].T @ p[own], p[own].sum(axis=0)
+                np.matmul(p[own], self.to_member[c].T, out=more[own])
+        back[order] += more
         back *= h > 0
         slope.bias[:] = back.sum(axis=0)
+        unit = np.arange(HIDDEN)
         for k in range(len(SIDES)):
-            order = np.argsort(context[k], kind="stable")
-            ids = context[k][order]
-            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            slope.sides[k][ids[starts]] = np.add.reduceat(back[order], starts, axis=0)
+            at = (context[k][:, None] * HIDDEN + unit).ravel()
+            slope.sides[k] += np.bincount(at, back.ravel(), (N_TOKENS + 1) * HIDDEN).reshape(N_TOKENS + 1, HIDDEN).astype(np.float32)
         slope.flat /= n
-        squares += slope.flat * slope.flat
-        self.flat -= np.float32(RATE) * slope.flat / (np.sqrt(squares) + np.float32(1e-6))
+        squares += np.multiply(slope.flat, slope.flat, out=spare)
+        np.sqrt(squares, out=spare)
+        spare += np.float32(1e-6)
+        np.divide(slope.flat, spare, out=spare)
+        spare *= np.float32(RATE)
+        self.flat -= spare
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in class order, and where each class begins and ends there."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+
+
+def _shares(z: np.ndarray) -> np.ndarray:
+    """Softmax of every row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -222,7 +247,7 @@ def contexts(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> WindowNetwork:
     """Local steps in every partition, then the weighted mean of the partitions' weights."""
-    start = WindowNetwork.unigram(vocabulary.counts).flat
+    start = WindowNetwork.unigram(vocabulary.token_counts).flat
 
     def local(batches):
         import pyarrow as pa
@@ -249,10 +274,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Window
             for _, _, data, offsets in _blocks(batch.column(0)):
                 words, ends = word_hashes(data, offsets)
                 tokens = vocabulary.tokens(words)
-                place = np.arange(len(tokens)) - np.repeat(ends[:-1], np.diff(ends))
-                chosen = np.flatnonzero(place % STRIDE == STRIDE // 3)  # the same of a text wherever it lies
-                if len(chosen):
-                    waiting.append((tokens[chosen], contexts(tokens, ends)[:, chosen]))
+                if len(tokens):
+                    waiting.append((tokens, contexts(tokens, ends)))
                 if sum(len(w[0]) for w in waiting) >= BATCH:
                     seen += learn(BATCH)
         if waiting:

@@ -111,6 +111,31 @@ def test_lm_scores(spark):
     assert lm_scoring.score_documents(hard(spark).limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    docs = documents(spark)
+    vocabulary = lm_scoring.fit_vocabulary(docs)
+    seen = []
+    real = lm_scoring.write_shared
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "weights":
+            seen.append(out.filter("piece = 0").agg(F.sum("seen")).first()[0])
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_scoring, "write_shared", watched)
+        net = lm_scoring.train(docs, vocabulary)
+    texts = [r.text for r in docs.select("text").collect()]
+    assert seen == [sum(len(t.split()) for t in texts)]
+    start = lm_scoring.WindowNetwork.unigram(vocabulary.token_counts)
+    words, ends = shingles.word_hashes(*text_bytes(pa.array(texts)))
+    tokens = vocabulary.tokens(words)
+    context = lm_scoring.contexts(tokens, ends)
+    p = vocabulary.token_counts[tokens] / len(tokens)
+    assert net.log_probabilities(tokens, context).mean() > max(np.log(p).mean(), start.log_probabilities(tokens, context).mean())
+
+
 # -- 2
 
 
