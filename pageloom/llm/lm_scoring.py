@@ -6,7 +6,10 @@ frequency classes and one over the members of the token's class. A document's
 score is the sum of the logarithms of these conditional probabilities.
 
 Tokens are whitespace-separated words: the ``VOCABULARY`` most frequent of the whole corpus,
-all others by one of ``BUCKETS`` hash buckets. Training starts from the unigram
+all others by one of ``BUCKETS`` hash buckets. Below a bucket every word keeps a probability
+of its own, its share of the bucket's occurrences in the full word-count table, and ln p(word | bucket)
+is part of the score: counts of the ``LISTED`` most frequent words at most go to the tasks,
+those of all other words are joined in Spark, so the result does not depend on ``LISTED``. Training starts from the unigram
 distribution of the whole corpus and takes every position of every document once: each partition runs its own gradient steps in numpy,
 and the weights are averaged by positions seen, in two levels of Spark groups.
 
@@ -25,6 +28,9 @@ from pageloom.llm.common import text_bytes, write_shared
 from pageloom.llm.shingles import word_hashes
 
 VOCABULARY, BUCKETS = 3840, 256
+#: So many word counts are sent to the tasks; the others are joined.
+LISTED = 400_000
+_FIXED = 1 << 32
 CLASSES = 64
 N_TOKENS = VOCABULARY + BUCKETS
 MEMBERS = N_TOKENS // CLASSES
@@ -77,9 +83,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Word hashes to token numbers; numbers are ranks by frequency, so a class is a run of them."""
+    """Word hashes to token numbers; numbers are ranks by frequency, so a class is a run of them.
 
-    def __init__(self, words: list[int], counts: list[int], others: np.ndarray) -> None:
+    ``counts`` are of all that is told apart without a join: the listed words, and what else is in each bucket.
+    ``least`` is the count from which words are listed, ``table`` the written counts of all words.
+    """
+
+    def __init__(self, words: list[int], counts: list[int], others: np.ndarray, listed: np.ndarray, listed_counts: np.ndarray, least: int, table: DataFrame | None) -> None:
         totals = np.zeros(N_TOKENS)
         totals[: len(counts)] = counts
         totals[VOCABULARY:] = others
@@ -90,28 +100,71 @@ class Vocabulary:
         self.ranks = rank[: len(words)][order]
         self.bucket_ranks = rank[VOCABULARY:]
         self.token_counts = np.sort(totals)[::-1].copy()
-        self.counts = self.token_counts
+        self.bucket_logs = np.log(np.maximum(others, 1))
+        order = np.argsort(listed)
+        self.listed = listed[order].view(np.uint64)
+        self.listed_logs = np.log(listed_counts[order])
+        left = others - np.bincount(_bucket(self.listed), listed_counts[order], BUCKETS)
+        self.counts = np.concatenate((np.array(counts, float), listed_counts, left))
+        self.least, self.table = least, table
+
+    def __getstate__(self):
+        return {**self.__dict__, "table": None}
+
+    def within(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln p(word | token) of each word, is unlisted): of an unlisted word, less ln of its count."""
+        low = words & _MASK
+        out = np.zeros(len(low))
+        unlisted = np.zeros(len(low), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)
+            rest = np.flatnonzero(self.keys[at] != low)
+        else:
+            rest = np.arange(len(low))
+        low = low[rest]
+        out[rest] = -self.bucket_logs[_bucket(low)]
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, low), len(self.listed) - 1)
+            known = self.listed[at] == low
+            out[rest[known]] += self.listed_logs[at[known]]
+            rest = rest[~known]
+        unlisted[rest] = True
+        return out, unlisted
 
     def tokens(self, words: np.ndarray) -> np.ndarray:
         low = words & _MASK
-        bucket = self.bucket_ranks[((low >> np.uint64(11)) % np.uint64(BUCKETS)).astype(np.intp)]
+        bucket = self.bucket_ranks[_bucket(low)]
         if not len(self.keys):
             return bucket
         at = np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)
         return np.where(self.keys[at] == low, self.ranks[at], bucket)
 
 
+def _bucket(low: np.ndarray) -> np.ndarray:
+    return ((low >> np.uint64(11)) % np.uint64(BUCKETS)).astype(np.intp)
+
+
 def fit_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words (a bounded list) and the counts of the buckets of all others."""
+    """The most frequent words (bounded lists), the counts of the buckets of all others, and the table of all counts."""
     counts = write_shared(word_counts(docs, text), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    listed = [(r["word"], r["n"]) for r in top.collect()]
+    words = [(r["word"], r["n"]) for r in top.collect()]
     rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti")  # VOCABULARY rows at most
     sums = rest.groupBy(F.expr(f"shiftright(word, 11) % {BUCKETS}").alias("b")).agg(F.sum("n").alias("n")).collect()
     others = np.zeros(BUCKETS)
     for r in sums:
         others[r["b"]] = r["n"]
-    return Vocabulary([w for w, _ in listed], [n for _, n in listed], others)
+    # the count from which no more than LISTED words are left
+    least, held = 1 << 20, 0
+    for r in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        held += r["words"]
+        if held > LISTED:
+            least = r["n"] + 1
+            break
+        least = r["n"]
+    listed = rest.filter(F.col("n") >= least).toArrow()
+    number = lambda name: listed.column(name).to_numpy().astype(np.int64)
+    return Vocabulary([w for w, _ in words], [n for _, n in words], others, number("word"), number("n"), least, counts)
 
 
 class WindowNetwork:
@@ -308,23 +361,25 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Window
     return WindowNetwork(np.concatenate([np.frombuffer(got[k], np.float32) for k in range(PIECES)]).copy())
 
 
-def score_blocks(column, vocabulary: Vocabulary, net: WindowNetwork) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, summed ln p) of each text of an Arrow column."""
-    counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+def score_blocks(column, vocabulary: Vocabulary, net: WindowNetwork) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, summed ln p, unlisted words) of each text of an Arrow column, and those words; ln of their counts is not in the sums."""
+    counts, sums, missing, rest = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for first, last, data, offsets in _blocks(column):
         words, ends = word_hashes(data, offsets)
         tokens = vocabulary.tokens(words)
         context = contexts(tokens, ends)
-        logs = np.zeros(len(tokens) + 1)
+        logs, unlisted = vocabulary.within(words)
         for at in range(0, len(tokens), CHUNK):
-            logs[at + 1 : at + CHUNK + 1] = net.log_probabilities(tokens[at : at + CHUNK], context[:, at : at + CHUNK])
+            logs[at : at + CHUNK] += net.log_probabilities(tokens[at : at + CHUNK], context[:, at : at + CHUNK])
         total = np.zeros(last - first)
         some = np.flatnonzero(np.diff(ends))
         if len(some):
-            total[some] = np.add.reduceat(logs[1:], ends[some])
+            total[some] = np.add.reduceat(logs, ends[some])
         counts.append(np.diff(ends))
         sums.append(total)
-    return np.concatenate(counts), np.concatenate(sums)
+        missing.append(np.diff(np.concatenate(([0], np.cumsum(unlisted)))[ends]))
+        rest.append((words[unlisted] & _MASK).view(np.int64))
+    return np.concatenate(counts), np.concatenate(sums), np.concatenate(missing), np.concatenate(rest)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -334,14 +389,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
     flat = train(docs, vocabulary).flat
     names, at = docs.columns, docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    joins = vocabulary.least > 2  # else all unlisted words occur once, and ln 1 = 0
 
     def work(batches):
         import pyarrow as pa
 
         net = WindowNetwork(flat)
         for batch in batches:
-            n, total = score_blocks(batch.column(at), vocabulary, net)
-            yield pa.record_batch([*batch.columns, pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=[*names, "n_tokens", "log_likelihood"])
-
-    scored = docs.mapInArrow(work, f"{schema}, n_tokens long, log_likelihood double")
+            n, total, missing, rest = score_blocks(batch.column(at), vocabulary, net)
+            out = [*batch.columns, pa.array(n, pa.int64()), pa.array(total, pa.float64())]
+            if joins:
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(missing))), pa.int32()), pa.array(rest, pa.int64())))
+            yield pa.record_batch(out, names=[*names, "n_tokens", "log_likelihood", "_lm_unlisted"][: len(out)])
+
+    scored = docs.mapInArrow(work, f"{schema}, n_tokens long, log_likelihood double" + (", _lm_unlisted array<long>" if joins else ""))
+    if joins:
+        scored = write_shared(scored.withColumn("_lm_row", F.monotonically_increasing_id()), "scored")
+        logs = vocabulary.table.filter((F.col("n") > 1) & (F.col("n") < vocabulary.least)).select("word", F.round(F.log("n") * _FIXED).cast("long").alias("fixed"))
+        # whole numbers: equal texts get equal sums in any order
+        more = scored.select("_lm_row", F.explode("_lm_unlisted").alias("word")).join(logs, "word").groupBy("_lm_row").agg((F.sum("fixed") / _FIXED).alias("_lm_more"))
+        scored = scored.join(more, "_lm_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_lm_more", F.lit(0.0))).select(*names, "n_tokens", "log_likelihood")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

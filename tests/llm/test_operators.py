@@ -136,6 +136,27 @@ def test_lm_trains_on_every_position(spark):
     assert net.log_probabilities(tokens, context).mean() > max(np.log(p).mean(), start.log_probabilities(tokens, context).mean())
 
 
+def test_lm_words_keep_probabilities_of_their_own(spark, monkeypatch):
+    docs = documents(spark).filter("doc_id % 4 = 0").select("doc_id", "text").withColumn("text", F.concat("text", F.lit(" zqx zqx zqy")))
+    docs = docs.limit(1).withColumn("text", F.concat("text", F.lit(" zqz"))).unionAll(docs).cache()
+    every = lm_scoring.score_documents(docs).collect()
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3840)
+    monkeypatch.setattr(lm_scoring, "LISTED", 100)
+    vocabulary = lm_scoring.fit_vocabulary(docs)
+    assert vocabulary.least > 2 and len(vocabulary.listed) == 0
+    counts = collections.Counter(w for r in docs.collect() for w in r.text.split())
+    words, n = zip(*counts.items(), strict=True)
+    hashes = shingles.word_hashes(*text_bytes(pa.array([" ".join(words)])))[0]
+    logs, unlisted = vocabulary.within(hashes)
+    n = np.array(n, float)
+    own = np.where(unlisted, np.exp(logs) * n, 0)
+    assert abs(own.sum() - (vocabulary.token_counts > 0).sum() + (~unlisted).sum()) < 1e-6  # they sum to one in every bucket
+    joined = {(r.doc_id, r.text): r for r in lm_scoring.score_documents(docs).collect()}
+    assert len(every) == docs.count()
+    for r in every:
+        assert abs(joined[r.doc_id, r.text].log_likelihood - r.log_likelihood) < 1e-3 * r.n_tokens
+
+
 # -- 2
 
 
