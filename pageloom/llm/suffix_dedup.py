@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by suffix order and longest-previous-factor arrays.
+"""Removal of repeated byte strings by suffix order to a fixed depth.
 
 A string of ``LENGTH`` bytes that starts at two places, in one text or in two, is
 repeated. ``keep="none"`` removes every byte that a repeated string covers;
@@ -9,8 +9,8 @@ All places that can start equal strings are brought together first: each string
 anchor, its 32-byte part of least hash, so runs of strings with one anchor (segments)
 are dealt by its hash. Equal segments collapse to one with a count. Where an anchor has
 several different segments, the suffixes of their bytes are sorted to the depth of ``LENGTH``
-in numpy, block by block; neighbours in that order with a common prefix of that
-length, and the previous and next smaller places among them, give the LPF test. An anchor with more
+in numpy, block by block. Runs of equal ranks have a common prefix of that length, and the least
+place of a run tells whether LPF reaches it: previous and next smaller places and LPF itself are not made. An anchor with more
 than ``HOT`` different segments is dealt again by whole strings, so no group is unbounded.
 Hashes only bring candidates together, except that equal segments are told by 128 bits.
 
@@ -146,7 +146,7 @@ def previous_factors(ranks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray,
     """(is repeated, LPF of at least LENGTH) of each suffix.
 
     In suffix order a run of equal ranks has common prefixes of LENGTH bytes or more;
-    an earlier match exists if a previous or a next smaller place lies in the run.
+    an earlier match exists if the least place of the run is smaller.
     """
     order = np.lexsort((np.arange(len(ranks)), ranks))
     run = ranks[order]
