@@ -2,12 +2,13 @@
 
 Token weights of the cells (source x language x topic) are raked until their
 sums meet the target shares of each of the three marginals; no cell may ask
-for more tokens than it has. A cell's calibrated probability is the raked over
+for more tokens than it has. Up to ``DRIVER_CELLS`` cells are raked on the driver, larger tables by the
+same steps in Spark: a grouped sum a marginal, a written table a round. A cell's calibrated probability is the raked over
 the present weight, and each document is drawn by the hash of its id.
 
 Defined cases: null source, language or topic is a category of its own;
-null and empty texts have no tokens and fall in their cell; categories beyond
-the ``max_categories`` largest of a marginal are pooled as ``(other)``; rows
+null and empty texts have no tokens and fall in their cell; only if ``max_categories`` is
+given are smaller categories without a stated target pooled as ``(other)``; rows
 with equal ids share one draw; an empty table gives an empty result; further
 columns are ignored by the weights and kept by ``mix``.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import write_shared
 
 MARGINS = ("source", "lang", "topic")
-MAX_CATEGORIES = 500
+DRIVER_CELLS = 20_000
 #: Targets are shares raised to this power: large categories give way to small ones.
 TEMPER = 0.7
 #: Part of all tokens that the mixture holds.
@@ -52,21 +53,55 @@ def topic(text: str = "text", tokens: str = "n_tokens") -> Column:
 
 def rake(present: np.ndarray, targets: list[np.ndarray], budget: float, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Cell weights that sum to ``budget``, meet the target shares of every axis and stay within ``present``."""
+    codes = [c.ravel() for c in np.indices(present.shape)]
+    return rake_cells(present.ravel(), codes, targets, budget, rounds, tolerance).reshape(present.shape)
+
+
+def rake_cells(present: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """``rake`` of a list of cells; ``codes`` has the category numbers of each axis."""
     cells = present.astype(float) * (budget / max(present.sum(), 1e-300))
     for _ in range(rounds):
         before = cells
-        for axis, share in enumerate(targets):
-            others = tuple(i for i in range(cells.ndim) if i != axis)
-            have = cells.sum(axis=others)
+        for code, share in zip(codes, targets, strict=True):
+            have = np.bincount(code, cells, len(share))
             factor = np.divide(share * budget, have, out=np.zeros_like(have), where=have > 0)
-            shape = [1] * cells.ndim
-            shape[axis] = -1
-            cells = np.minimum(cells * factor.reshape(shape), present)
+            cells = np.minimum(cells * factor[code], present)
         if np.abs(cells - before).max() <= tolerance * max(budget, 1.0):
             break
     return cells
 
 
+def rake_table(cells: DataFrame, budget: float, temper: float, targets: dict[str, dict[str, float]] | None, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """``cell_probabilities`` of a cell table in Spark: (_m_source, _m_lang, _m_topic, weight, probability)."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    asked = budget * total
+    shares = {}
+    for m in MARGINS:
+        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"))
+        given = (targets or {}).get(m)
+        if given is None:
+            wanted = own.select(m, F.when(F.col("own") > 0, F.pow("own", F.lit(float(temper)))).otherwise(0.0).alias("wanted"))
+        else:
+            stated = spark.createDataFrame([(k, max(0.0, float(v))) for k, v in given.items()], f"{m} string, stated double")
+            wanted = own.join(stated, m, "left").select(m, F.when(F.col("own") > 0, F.coalesce("stated", F.lit(0.0))).otherwise(0.0).alias("wanted"))
+        wanted = write_shared(wanted, "mixing-targets")
+        scale = max(float(wanted.agg(F.sum("wanted")).first()[0] or 0), 1e-300)
+        shares[m] = wanted.select(m, (F.col("wanted") / scale * asked).alias("goal"))
+    now = cells.select(*MARGINS, F.col("tokens").cast("double").alias("tokens")).withColumn("cell", F.col("tokens") * (asked / max(total, 1e-300)))
+    for _ in range(rounds):
+        now = now.withColumn("before", F.col("cell"))
+        for m in MARGINS:
+            factor = now.groupBy(m).agg(F.sum("cell").alias("have")).join(shares[m], m).select(m, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("factor"))
+            now = now.join(factor, m).withColumn("cell", F.least(F.col("cell") * F.col("factor"), F.col("tokens"))).drop("factor")
+        now = write_shared(now, "mixing-round")
+        if now.agg(F.max(F.abs(F.col("cell") - F.col("before")))).first()[0] <= tolerance * max(asked, 1.0):
+            break
+        now = now.drop("before")
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("cell") / F.col("tokens"))).otherwise(0.0)
+    return now.select(*[F.col(m).alias(f"_m_{m}") for m in MARGINS], (p / budget).alias("weight"), p.alias("probability"))
+
+
 def tempered(sums: np.ndarray, power: float = TEMPER) -> np.ndarray:
     """Shares of a marginal raised to a power and scaled to one."""
     raised = np.where(sums > 0, sums, 0.0) ** power * (sums > 0)
@@ -83,46 +118,45 @@ def cell_probabilities(cells: list[tuple], budget: float = BUDGET, temper: float
         return []
     names = [sorted({c[i] for c in cells}) for i in range(3)]
     at = [{v: k for k, v in enumerate(n)} for n in names]
-    present = np.zeros([len(n) for n in names])
-    for c in cells:
-        present[tuple(at[i][c[i]] for i in range(3))] += float(c[3])
+    codes = [np.array([at[i][c[i]] for c in cells]) for i in range(3)]
+    present = np.array([float(c[3]) for c in cells])
     shares = []
     for i, margin in enumerate(MARGINS):
-        own = present.sum(axis=tuple(j for j in range(3) if j != i))
+        own = np.bincount(codes[i], present, len(names[i]))
         given = (targets or {}).get(margin)
         if given is None:
             shares.append(tempered(own, temper))
         else:
             wanted = np.array([max(0.0, given.get(v, 0.0)) for v in names[i]]) * (own > 0)
             shares.append(wanted / max(wanted.sum(), 1e-300))
-    fitted = rake(present, shares, budget * present.sum())
-    out = []
-    for c in cells:
-        k = tuple(at[i][c[i]] for i in range(3))
-        p = min(1.0, fitted[k] / present[k]) if present[k] > 0 else 0.0
-        out.append((c[0], c[1], c[2], float(p / budget), float(p)))
-    return out
+    fitted = rake_cells(present, codes, shares, budget * present.sum())
+    p = np.minimum(1.0, np.divide(fitted, present, out=np.zeros_like(present), where=present > 0))
+    return [(c[0], c[1], c[2], float(x / budget), float(x)) for c, x in zip(cells, p, strict=True)]
 
 
-def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, max_categories: int | None = None) -> DataFrame:
     """Every document with n_tokens, topic, weight, probability and selected.
 
-    One aggregation makes the cell table. It is cut to the ``max_categories``
-    largest values of each marginal before it comes to the driver, which bounds
-    it whatever the number of hosts; the fitted table goes back as a small join side.
+    One aggregation makes the cell table. It comes to the driver if it has ``DRIVER_CELLS`` rows
+    at most and goes back as a small join side; a larger one stays in Spark. No category is pooled unless asked for.
     """
     spark = docs.sparkSession
     seen = docs.withColumn("n_tokens", n_tokens()).withColumn("topic", topic())
-    # written once: three small questions are asked of it, the documents are read once for it
+    # written once: a few small questions are asked of it, the documents are read once for it
     sums = write_shared(seen.groupBy(*[_named(m).alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
     kept = {}
-    for m in MARGINS[:2]:
+    for m in MARGINS[:2] if max_categories is not None else ():
         top = sums.groupBy(m).agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), m).limit(max_categories + 1).collect()
-        kept[m] = [r[0] for r in top[:max_categories]] if len(top) > max_categories else None
+        if len(top) > max_categories:
+            kept[m] = [r[0] for r in top[:max_categories]] + list((targets or {}).get(m) or ())
     pooled = lambda m: _named(m) if kept.get(m) is None else F.when(_named(m).isin(kept[m]), _named(m)).otherwise(OTHER)
-    cells = sums.groupBy(*[pooled(m).alias(m) for m in MARGINS]).agg(F.sum("tokens").alias("tokens")).orderBy(*MARGINS).collect()
-    fitted = cell_probabilities([tuple(r) for r in cells], budget, temper, targets)
-    table = spark.createDataFrame(fitted, "_m_source string, _m_lang string, _m_topic string, weight double, probability double")
+    cells = sums.groupBy(*[pooled(m).alias(m) for m in MARGINS]).agg(F.sum("tokens").alias("tokens")) if kept else sums
+    few = cells.limit(DRIVER_CELLS + 1).collect()
+    if len(few) <= DRIVER_CELLS:
+        fitted = cell_probabilities(sorted(tuple(r) for r in few), budget, temper, targets)
+        table = spark.createDataFrame(fitted, "_m_source string, _m_lang string, _m_topic string, weight double, probability double")
+    else:
+        table = rake_table(cells, budget, temper, targets)
     on = [pooled(m) == F.col(f"_m_{m}") for m in MARGINS]
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return (

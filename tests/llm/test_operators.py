@@ -415,6 +415,21 @@ def test_mixture(spark):
     assert few.count() == 1000 and few.select("probability").distinct().count() > 1
 
 
+def test_mixture_of_many_sources(spark, monkeypatch):
+    rows = [(k, "a b c d e f g h", "en" if k % 3 else "de", f"host{k % 600}" if k % 2 else f"tail{k}") for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"tail0": 0.5, "tail2": 0.25, "host1": 0.25}}
+    near = {r.doc_id: r for r in mixing.mixture(docs, budget=0.0005, targets=targets).collect()}
+    assert near[0].probability > 0 and near[2].probability > 0 and near[1].probability > 0 and near[4].probability == 0
+    even = mixing.mixture(docs).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("p"))
+    assert even.count() == 1200 and "(other)" not in {r.source for r in even.collect()}
+    small = docs.filter("doc_id < 300")
+    driver = {r.doc_id: r.probability for r in mixing.mixture(small).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    table = {r.doc_id: r.probability for r in mixing.mixture(small).collect()}
+    assert len(driver) == 300 and all(abs(table[k] - p) < 1e-6 for k, p in driver.items())
+
+
 # -- 7 and 9
 
 
