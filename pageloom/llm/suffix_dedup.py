@@ -11,8 +11,9 @@ are dealt by its hash. Equal segments collapse to one with a count. Where an anc
 several different segments, the suffixes of their bytes are sorted to the depth of ``LENGTH``
 in numpy, block by block. Runs of equal ranks have a common prefix of that length, and the least
 place of a run tells whether LPF reaches it: previous and next smaller places and LPF itself are not made. An anchor with more
-than ``HOT`` different segments is dealt again by whole strings, so no group is unbounded.
-Hashes only bring candidates together, except that equal segments are told by 128 bits.
+than ``HOT`` different segments is settled by whole strings, aggregated to a count and first place before
+they are dealt, so no group is unbounded.
+Hashes only bring candidates together, except that equal segments and those strings are told by 128 bits.
 
 Defined cases: a null text is an empty one; texts under ``LENGTH`` bytes have no strings; rows with
 equal (doc_id, text) are copies of each other; null ids are allowed; places are
@@ -200,7 +201,7 @@ def find_segments(keyed: DataFrame) -> DataFrame:
 
 
 def _pieces(keyed: DataFrame, unlike: DataFrame) -> DataFrame:
-    """Bytes of the segments that must be sorted: (grp, anchor, digest, base, n, doc_id, start, bytes)."""
+    """Bytes of the segments that must be sorted: (grp, anchor, digest, base, n, doc_id, start, bytes); of hot ones a 128-bit hash of each string."""
     wanted = unlike.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "hot")).alias("parts")).withColumnRenamed("key", "p_key")
     joined = keyed.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("p_key")).select("doc_id", "text", "parts")
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -218,9 +219,8 @@ def _pieces(keyed: DataFrame, unlike: DataFrame) -> DataFrame:
                     whole = data[part["start"] : part["start"] + part["n"] + LENGTH - 1]
                     if part["hot"]:
                         for j in range(part["n"]):
-                            text = whole[j : j + LENGTH]
-                            grp = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                            out.append((grp, part["anchor"], part["digest"], j, 1, doc_id, part["start"], text))
+                            string = hashlib.blake2b(whole[j : j + LENGTH], digest_size=16).digest()
+                            out.append((part["anchor"], part["anchor"], part["digest"], j, 1, doc_id, part["start"], string))
                             size += LENGTH
                     else:
                         out.append((part["anchor"], part["anchor"], part["digest"], 0, part["n"], doc_id, part["start"], whole))
@@ -240,6 +240,17 @@ def _pieces(keyed: DataFrame, unlike: DataFrame) -> DataFrame:
     return joined.mapInArrow(work, f"grp long, anchor long, digest long, base int, n int, doc_id {kind}, start int, bytes binary")
 
 
+def _hot_verdicts(pieces: DataFrame) -> DataFrame:
+    """As ``_sorted_verdicts``, of single strings by their hashes: one row a distinct string is joined back."""
+    pieces = write_shared(pieces, "hot-strings")
+    place = F.struct("doc_id", (F.col("start") + F.col("base")).alias("place"), F.col("anchor").alias("f_anchor"), F.col("digest").alias("f_digest"), F.col("base").alias("f_base"))
+    strings = pieces.groupBy("bytes").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("f")).filter("held > 1")
+    strings = write_shared(strings.select("bytes", "f.f_anchor", "f.f_digest", "f.f_base"), "repeated-strings")  # so that a hot string's rows can be split
+    is_first = (F.col("anchor") == F.col("f_anchor")) & (F.col("digest") == F.col("f_digest")) & (F.col("base") == F.col("f_base"))
+    run = F.array(F.col("base"), F.col("base") + 1)
+    return pieces.join(strings, "bytes").select("anchor", "digest", run.alias("again"), F.when(is_first, F.array().cast("array<int>")).otherwise(run).alias("earlier"))
+
+
 def _sorted_verdicts(pieces: DataFrame) -> DataFrame:
     """(anchor, digest, again, earlier): flat runs of the places of a segment that are repeated, and that have an earlier match."""
     dealt = pieces.repartition("grp").sortWithinPartitions("grp", "doc_id", "start")
@@ -296,8 +307,11 @@ def repeated_spans(keyed: DataFrame, keep: str = "none") -> DataFrame:
         "distinct-segments",
     )
     unlike = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    pieces = _pieces(keyed, distinct.join(unlike, "anchor").withColumn("hot", F.col("kinds") > HOT))
-    verdicts = write_shared(_sorted_verdicts(pieces), "verdicts").groupBy("anchor", "digest").agg(F.flatten(F.collect_list("again")).alias("again"), F.flatten(F.collect_list("earlier")).alias("earlier"))
+    marked = distinct.join(unlike, "anchor").withColumn("hot", F.col("kinds") > HOT)
+    verdicts = write_shared(_sorted_verdicts(_pieces(keyed, marked.filter(~F.col("hot")))), "verdicts")
+    if unlike.filter(F.col("kinds") > HOT).limit(1).collect():
+        verdicts = verdicts.unionAll(write_shared(_hot_verdicts(_pieces(keyed, marked.filter("hot"))), "verdicts"))
+    verdicts = verdicts.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("again")).alias("again"), F.flatten(F.collect_list("earlier")).alias("earlier"))
     whole = F.when(F.col("held") > 1, F.array(F.lit(0), F.col("n")))
     judged = distinct.join(verdicts, ["anchor", "digest"], "left").select(
         "anchor", "digest", F.col("key").alias("first_key"), F.col("start").alias("first_start"),

@@ -191,6 +191,19 @@ def test_repeats_against_brute_force(spark, keep, hot, monkeypatch):
     assert got == brute_repeats([tuple(r) for r in docs.collect()], keep)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_a_hot_passage_is_aggregated_before_it_is_dealt(spark, keep, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+    passage = word(260)
+    rows = [(k if k else None, word(230) + passage + word(230)) for k in range(12)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    real, sorted_rows = suffix_dedup._sorted_verdicts, []
+    monkeypatch.setattr(suffix_dedup, "_sorted_verdicts", lambda pieces: (sorted_rows.append(pieces.count()), real(pieces))[1])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, with_bytes=False).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, keep) and sorted_rows == [0]
+
+
 def test_repeats_within_a_text_and_hard_rows(spark):
     unit = "".join(chr(97 + k) for k in np.random.default_rng(9).integers(0, 26, 250))
     rows = [(1, "é" + unit + "-" + unit), (2, "ab" * 300), (3, "x" * 199), (4, None), (5, "y" * 200)]
