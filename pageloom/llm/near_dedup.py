@@ -4,27 +4,29 @@ A text is its weighted five-word shingles: the count times the mean IDF of the f
 A word's IDF is 1 + ln(1 / f) / ln 50 with f its share of texts, not under 1/50: it
 runs from 1 to 2, and only the words in at least a fiftieth of the texts need be
 known (no more than 50 times the mean number of words of a text). Each of
-``BANDS * ROWS`` samples is drawn with probability equal to weighted Jaccard; equal
-bands of ``ROWS`` samples make two texts candidates, and their exact weighted Jaccard
+``BANDS * ROWS`` samples is drawn with probability equal to weighted Jaccard; texts that share a
+band of ``ROWS`` samples are candidates, and their exact weighted Jaccard
 similarity of ``SIMILARITY`` or more links them. Classes are the connected components.
 
-Exact copies collapse first: one text of each is a node. In a band's bucket every node is
-compared with the bucket's first node and with its nearest ones in signature order,
-a number that grows with the bucket, not with its square. What then is still apart in one bucket is
-compared where the signatures agree in at least ``LEAST_AGREEING`` samples (a pair at
-the threshold agrees in fewer with a probability under 1e-4), the bucket's largest component left
-out on one side. In crowded buckets texts and pairs are left out that cannot be that similar
-because of the shingles that no other text there has: an exact bound.
+Every candidate pair whose link could join two components is settled, though not every one is compared. Exact
+copies collapse first: one text of each is a node. In a band's bucket every node is compared with the
+bucket's medoid, the node nearest to the mean of their sketches, and with its lightest one, which leaves the
+bucket's main component and texts apart from it. Two bounds of what two texts share then decide which of the pairs that are still
+in different components are compared: the sum of the smaller weights of their sketches (a sketch is a text's weight
+in each of ``GROUPS`` groups of shingles) and, in crowded buckets, the weight of the shingles that either shares with any
+text at all there. Both are exact, so no link is lost. The number
+of pairs compared follows the texts; looking at the bounds costs the texts apart times the bucket.
 
 Defined cases: null and empty texts and texts of blanks have no shingles; equal ones form a class by
 their text; null ids are ids like any other; repeated rows share the class; an empty table
-gives an empty result; other columns are ignored by the classes and kept by ``drop_near_copies``.
+gives an empty result; other columns are ignored by the classes and kept by ``drop_near_copies``; a text is
+held whole in one task, with about fifteen 8-byte arrays over its words.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import row_key, text_bytes, write_shared
@@ -35,10 +37,9 @@ BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
 RARE = 50
-NEIGHBOURS = 2
-LEAST_AGREEING = 10
-SALTED_BUCKET = 500
-#: Buckets in which so many pairs may still be apart are first thinned by an exact bound.
+#: Groups of shingles of a sketch, and of the coarse one that medoids are found by.
+GROUPS, COARSE = 128, 16
+#: In buckets with so many pairs apart the shingles that a text shares with no other are counted; it changes no result.
 CROWDED = 20_000
 BLOCK_BYTES = 2 << 20
 _U64 = np.uint64
@@ -160,7 +161,7 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key, bands, agree): bands are null for texts without shingles; agree holds 16 bits of each sample."""
+    """(doc_id, key, bands): bands are null for texts without shingles."""
     _, hashes, idf = model
 
     def work(batches):
@@ -176,14 +177,13 @@ def sign(docs: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFram
                         batch.column(0).slice(first, last - first),
                         batch.column(1).slice(first, last - first),
                         pa.array([b if s else None for b, s in zip(bands.tolist(), some, strict=True)], pa.list_(pa.int64())),
-                        pa.array((samples & _U64(0x7FFF)).astype(np.int16).tolist(), pa.list_(pa.int16())),
                     ],
-                    names=["doc_id", "key", "bands", "agree"],
+                    names=["doc_id", "key", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("text").alias("key"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, key binary, bands array<long>, agree array<short>")
+    return rows.mapInArrow(work, f"doc_id {kind}, key binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
@@ -221,56 +221,87 @@ def verify(pairs: DataFrame, texts: DataFrame, model: tuple[int, np.ndarray, np.
     return joined.mapInArrow(work, "u binary, v binary, similarity double")
 
 
+def sketches(n_texts: int, text: np.ndarray, keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weight of each text in each group of shingles, one row a text."""
+    at = text * GROUPS + (keys & _U64(GROUPS - 1)).astype(np.int64)
+    return np.bincount(at, weight, n_texts * GROUPS).reshape(n_texts, GROUPS).astype(np.float32)
+
+
+def sketch(texts: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, text, weight, coarse, fine) of (key, text): total weight and the sums of groups of shingles."""
+    _, hashes, idf = model
+
+    def work(batches):
+        import pyarrow as pa
+
+        floats = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows, np.float32).ravel()))
+        for batch in batches:
+            for first, last, data, offsets in _blocks(batch.column(1)):
+                fine = sketches(last - first, *weighted_shingles(data, offsets, hashes, idf))
+                coarse = fine.reshape(-1, GROUPS // COARSE, COARSE).sum(axis=1)
+                whole = [batch.column(k).slice(first, last - first) for k in (0, 1)]
+                yield pa.record_batch([*whole, pa.array(fine.sum(axis=1, dtype=np.float64)), floats(coarse), floats(fine)], names=["key", "text", "weight", "coarse", "fine"])
+
+    return texts.select("key", "text").mapInArrow(work, "key binary, text string, weight double, coarse array<float>, fine array<float>")
+
+
+def pivots(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, value, pivot): of each bucket the member nearest to the mean of the members' coarse sketches, and the lightest."""
+    placed = write_shared(members.join(texts.select("key", "weight", "coarse"), "key"), "bucket-sketches")
+    means = placed.groupBy("band", "value").agg(F.array(*[F.avg(F.get("coarse", F.lit(k))) for k in range(COARSE)]).alias("mean"))
+    far = sum((F.abs(F.get("coarse", F.lit(k)) - F.get("mean", F.lit(k))) for k in range(COARSE)), F.lit(0.0))
+    # both are written, so that a hot bucket's rows can be split in the joins
+    apart = placed.join(write_shared(means, "bucket-means"), ["band", "value"]).select("band", "value", F.struct(far.alias("far"), "key").alias("at"), F.struct("weight", "key").alias("light"))
+    best = apart.groupBy("band", "value").agg(F.min("at").alias("at"), F.min("light").alias("light"))
+    return write_shared(best.select("band", "value", F.array_distinct(F.array("at.key", "light.key")).alias("pivots")), "pivots")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """(u, v): verified links between different texts, u < v."""
-    nodes = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"), F.min("agree").alias("agree"))
-    banded = nodes.select("key", "agree", "bands", F.posexplode("bands").alias("band", "value"))
-    sizes = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
-    # a bucket's next band spreads the large ones over several tasks and keeps like with like
-    following = F.get("bands", (F.col("band") + 1) % BANDS)
-    members = write_shared(
-        banded.join(sizes, ["band", "value"])
-        .withColumn("salt", F.when(F.col("n") > SALTED_BUCKET, F.pmod(following, F.ceil(F.col("n") / SALTED_BUCKET).cast("long"))).otherwise(F.lit(0)))
-        .select("band", "value", "salt", "key", "agree", "pivot", "n"),
-        "buckets",
-    )
-    order = Window.partitionBy("band", "value", "salt").orderBy("agree", "key")
-    beside = members.withColumn("beside", F.array(*[F.lead("key", k).over(order) for k in range(1, NEIGHBOURS + 1)])).select("key", F.explode("beside").alias("other"))
-    pairs = members.select("key", F.col("pivot").alias("other")).unionAll(beside).filter(F.col("other").isNotNull() & (F.col("key") != F.col("other")))
-    pairs = write_shared(pairs.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct(), "pairs")
+    """(u, v): verified links between different texts, u < v; their components are those of all links between candidates."""
+    nodes = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
+    banded = nodes.select("key", "bands", F.posexplode("bands").alias("band", "value"))
+    sizes = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "value")
+    members = write_shared(banded.join(sizes, ["band", "value"]), "buckets")
     needed = members.select("key").distinct()
     needed = nodes.select("key", "doc_id").join(needed, "key", "left_semi").select(F.col("key").alias("n_key"), F.col("doc_id").alias("n_doc"))
     texts = docs.select("doc_id", "text").withColumn("key", row_key("text"))
     texts = texts.join(needed.hint("shuffle_hash"), (F.col("key") == F.col("n_key")) & F.col("doc_id").eqNullSafe(F.col("n_doc")), "left_semi").select("key", "text")
-    texts = write_shared(texts.dropDuplicates(["key"]), "texts")
+    texts = write_shared(sketch(texts.dropDuplicates(["key"]), model), "texts")
+    held = members.select("band", "value", "key")
+    pairs = held.join(pivots(held, texts), ["band", "value"]).select("key", F.explode("pivots").alias("pivot")).filter(F.col("key") != F.col("pivot"))
+    pairs = write_shared(pairs.select(F.least("key", "pivot").alias("u"), F.greatest("key", "pivot").alias("v")).distinct(), "pairs")
     links = write_shared(verify(pairs, texts, model).filter(F.col("similarity") >= SIMILARITY - 1e-9).select("u", "v"), "links")
 
-    # what is still apart in a bucket: all but its largest component against the rest, where signatures agree
+    # what is still apart in a bucket: all but its largest component against the rest
     component = connected_components(links)
     placed = members.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     by = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("held"))
     largest = by.groupBy("band", "value").agg(F.max(F.struct("held", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("held").alias("all")).filter("parts > 1")
     largest = largest.select("band", "value", F.col("m.component").alias("main"), ((F.col("all") - F.col("m.held")) * F.col("all") >= CROWDED).alias("crowded"))
-    split = write_shared(placed.join(largest, ["band", "value"]).select("band", "value", "key", "agree", "component", "main", "crowded"), "split-buckets")
-    own = unshared_weight(split.filter("crowded").select("key").distinct(), texts, model)
-    # shared weight is at most the smaller of what either text shares with any other, the union at least that and both own
-    # weights; a text is left out by itself only in crowded buckets, where every partner is among the texts it was held against
-    split = split.join(own, "key", "left").filter(~F.col("crowded") | F.col("own").isNull() | (F.col("rest") >= (SIMILARITY - 1e-6) * (F.col("rest") + F.col("own"))))
-    small = split.filter(F.col("component") != F.col("main")).select("band", "value", F.col("key").alias("x"), F.col("agree").alias("ax"), F.col("component").alias("cx"), F.col("own").alias("ox"), F.col("rest").alias("rx"))
-    other = split.select("band", "value", F.col("key").alias("y"), F.col("agree").alias("ay"), F.col("component").alias("cy"), "main", F.col("own").alias("oy"), F.col("rest").alias("ry"))
-    agreeing = F.expr("aggregate(zip_with(ax, ay, (a, b) -> IF(a = b, 1, 0)), 0, (s, e) -> s + e)")
-    possible = F.coalesce(F.least("rx", "ry") >= (SIMILARITY - 1e-6) * (F.least("rx", "ry") + F.col("ox") + F.col("oy")), F.lit(True))
-    apart = small.join(other, ["band", "value"]).filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & possible & (agreeing >= LEAST_AGREEING))
-    apart = apart.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    split = placed.join(write_shared(largest, "split-buckets"), ["band", "value"])
+    split = write_shared(split.select("band", "value", "key", "bands", "component", "main", "crowded"), "split-members")
+    known = texts.select("key", "weight", "coarse", "fine").join(shared_weight(split.filter("crowded").select("key").distinct(), texts, model), "key", "left")
+    split = write_shared(split.join(known, "key"), "split-members")
+    columns = ("key", "bands", "component", "main", "weight", "shared", "coarse", "fine")
+    side = lambda df, name: df.select("band", "value", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    # a text that shares too little with all others of its crowded buckets has no link there
+    split = split.filter(~F.col("crowded") | (F.col("shared") >= (SIMILARITY - 1e-5) * F.col("weight")))
+    few, every = side(split.filter(F.col("component") != F.col("main")), "x"), side(split, "y")
+    least = (F.col("x_weight") + F.col("y_weight")) * (SIMILARITY / (1 + SIMILARITY) - 1e-5)  # of what the texts share at the threshold
+    # known of both: then either one's partners are all among the texts it was counted with
+    rest = F.coalesce(F.least("x_shared", "y_shared") >= least, F.lit(True)) | F.col("x_shared").isNull() | F.col("y_shared").isNull()
+    coarse = sum((F.least(F.get("x_coarse", F.lit(k)), F.get("y_coarse", F.lit(k))).cast("double") for k in range(COARSE)), F.lit(0.0))
+    fine = F.expr("aggregate(zip_with(x_fine, y_fine, (a, b) -> CAST(least(a, b) AS DOUBLE)), 0D, (s, e) -> s + e)")
+    earlier = F.expr("exists(sequence(0, band), i -> i < band AND x_bands[i] = y_bands[i])")  # a pair is met in its first common band
+    once = (F.col("y_component") == F.col("y_main")) | (F.col("x_key") < F.col("y_key"))
+    apart = few.join(every, ["band", "value"]).filter((F.col("x_component") != F.col("y_component")) & once & (F.least("x_weight", "y_weight") >= least) & rest & (coarse >= least) & (fine >= least) & ~earlier)
+    apart = apart.select(F.least("x_key", "y_key").alias("u"), F.greatest("x_key", "y_key").alias("v")).distinct()
     more = verify(write_shared(apart, "pairs"), texts, model).filter(F.col("similarity") >= SIMILARITY - 1e-9).select("u", "v")
-    return links.unionAll(more)
-
+    return component.select(F.col("component").alias("u"), F.col("node").alias("v")).unionAll(more)
 
-def unshared_weight(keys: DataFrame, texts: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, own, rest): the weight of a text's shingles that no other of these texts has, and of the others.
 
-    A text whose own part exceeds a fifth cannot be as similar as ``SIMILARITY`` to any of them.
-    """
+def shared_weight(keys: DataFrame, texts: DataFrame, model: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, shared): the weight of a text's shingles that at least one other of these texts has."""
     _, hashes, idf = model
 
     def work(batches):
@@ -281,12 +312,13 @@ def unshared_weight(keys: DataFrame, texts: DataFrame, model: tuple[int, np.ndar
                 text, shingle, weight = weighted_shingles(data, offsets, hashes, idf)
                 yield pa.record_batch([batch.column(0).take(pa.array(text + first)), pa.array(shingle.view(np.int64)), pa.array(weight, pa.float64())], names=["key", "shingle", "weight"])
 
-    rows = texts.join(keys, "key", "left_semi").select("key", "text").mapInArrow(work, "key binary, shingle long, weight double")
-    rows = write_shared(rows, "bucket-shingles")
-    total = rows.groupBy("key").agg(F.sum("weight").alias("total"))
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).filter("n = 1")
+    rows = texts.select("key", "text", "weight").join(keys, "key", "left_semi")
+    alone = (
+        rows.select("key", "text").mapInArrow(work, "key binary, shingle long, weight double")
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).filter("n = 1")
+    )
     own = alone.groupBy("key").agg(F.sum("weight").alias("own"))
-    return total.join(own, "key", "left").select("key", F.coalesce("own", F.lit(0.0)).alias("own"), (F.col("total") - F.coalesce("own", F.lit(0.0))).alias("rest"))
+    return rows.select("key", "weight").join(own, "key", "left").select("key", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shared"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
