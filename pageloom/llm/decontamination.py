@@ -8,8 +8,9 @@ weighted Jaccard similarity of five-word shingles then decides.
 Which windows are hashed: a window as similar as ``SIMILARITY`` lacks less than a
 ninth of the item's shingle weight, so it holds one of any few of its shingles that
 together weigh more than that. These probes are looked up at every word of every
-text, and each hit sets the window by the probe's place in the item, moved inside the text where it
-would begin before it or pass its end. Shorter items are looked up by their own number of words. SimHash is an estimate: a
+text, and every item-sized window around a hit that holds the probe whole is hashed, so none that can be
+similar enough is left out; where a window equals the item word by word, it alone is, as none is more similar.
+Shorter items are looked up by their own number of words. SimHash is an estimate: a
 similar window farther than the radius is missed (four changed words in forty
 give about nine bits, so this is rare).
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import row_key
+from pageloom.llm.common import row_key, write_shared
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +33,8 @@ RADIUS = 15
 BITS = 64
 #: Up to so many probes are put into the plan as a literal set; more are joined.
 MAX_LITERAL_PROBES = 20_000
+#: Up to so many keys of 16 bytes are broadcast.
+MAX_BROADCAST_KEYS = 500_000
 
 
 def words(text: str) -> Column:
@@ -76,21 +79,18 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("item_fp", F.expr(simhash("item_words")))
 
 
-def shingle_weights(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weight of every benchmark shingle, 1 + ln(items / items with it), and of any other shingle (one row)."""
-    total = items.agg(F.count(F.lit(1)).alias("n_items"))
+def shingle_weights(items: DataFrame, n_items: int) -> tuple[DataFrame, Column]:
+    """Weight of every benchmark shingle, 1 + ln(items / items with it), and of any other shingle."""
     each = items.select("item", F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
-    weights = each.join(F.broadcast(total)).select("shingle", (1 + F.log(F.col("n_items") / F.col("held"))).alias("w"))
-    return weights, total.select((1 + F.log(F.greatest("n_items", F.lit(1)))).alias("w_other"))
+    return each.select("shingle", (1 + F.log(F.lit(float(n_items)) / F.col("held"))).alias("w")), 1 + F.log(F.lit(float(max(n_items, 1))))
 
 
-def probe_shingles(items: DataFrame) -> DataFrame:
+def probe_shingles(items: DataFrame, weights: DataFrame) -> DataFrame:
     """(probe, item, place, words of the item): the first places of a spread-out order whose weights pass the allowance of each item.
 
     A window with similarity s to the item holds at least s of its weight; the
     chosen distinct shingles weigh more than (1 - s) of it, so one of them is in every such window.
     """
-    weights, _ = shingle_weights(items)
     from pyspark.sql import Window
 
     placed = items.select("item", F.posexplode("shingles").alias("place", "probe")).groupBy("item", "probe").agg(F.min("place").alias("place"))
@@ -132,19 +132,34 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the most similar window of each document and item."""
     from pyspark.sql import Window
 
-    items = benchmark_items(benchmark)
-    weights, other = shingle_weights(items)
-    probes = probe_shingles(items)
+    items = write_shared(benchmark_items(benchmark), "items")
+    weights, w_other = shingle_weights(items, items.count())
+    weights = write_shared(weights, "item-shingles")
+    probes = write_shared(probe_shingles(items, weights), "probes")
     texts = docs.select("doc_id", "text").withColumn("key", row_key("doc_id", "text"))
     read = texts.select("key", "doc_id", words("text").alias("doc_words")).filter(F.size("doc_words") > 0)
-    starts = (
-        _hits(read.withColumn("key", F.struct("key", "doc_id")), probes)
-        .join(probes.withColumnRenamed("words", "n_words"), "probe")
-        .filter(F.col("n_words") <= F.size("doc_words"))
-        .withColumn("start_word", F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), F.size("doc_words") - F.col("n_words")))
-        .select("key", "n_words", "start_word", F.expr("slice(doc_words, start_word + 1, n_words)").alias("window"))
-        .dropDuplicates(["key", "n_words", "start_word"])
+    # a short list of probes is sent to the hits; a long one meets them in a shuffle
+    known = probes.withColumnRenamed("words", "n_words")
+    known = F.broadcast(known) if probes.limit(MAX_LITERAL_PROBES + 1).count() <= MAX_LITERAL_PROBES else known
+    own = items.select("item", "item_words")
+    own = F.broadcast(own) if (items.agg(F.sum("n_words")).first()[0] or 0) <= 50 * MAX_LITERAL_PROBES else own
+    # around each hit the words that a window with the whole probe can have; ``base`` is the place of the first
+    region = F.expr("slice(doc_words, base + 1, least(size(doc_words), at + n_words) - base)")
+    around = (
+        _hits(read.withColumn("key", F.struct("key", "doc_id")), probes).join(known, "probe").filter(F.col("n_words") <= F.size("doc_words"))
+        .withColumn("last", F.size("doc_words") - F.col("n_words"))
+        .withColumn("base", F.least(F.greatest(F.col("at") + F.least("n_words", F.lit(SHINGLE)) - F.col("n_words"), F.lit(0)), F.col("last")))
+        .select("key", "item", "n_words", "at", "place", "base", F.least("at", "last").alias("last"), region.alias("region"))
     )
+    around = around.join(own, "item").withColumn("start_word", F.col("at") - F.col("place"))
+    whole = F.expr("IF(start_word >= base AND start_word <= last, slice(region, start_word - base + 1, n_words) = item_words, false)")
+    around = write_shared(around.withColumn("whole", whole).drop("item_words"), "windows")
+    exact = around.filter("whole").groupBy("key", "item").agg(F.min("start_word").alias("start_word"), F.min_by(F.expr("slice(region, start_word - base + 1, n_words)"), "start_word").alias("window"), F.min("n_words").alias("n_words"))
+    exact = write_shared(exact, "whole-items")
+    other = around.filter(~F.col("whole")).join(exact.select("key", "item"), ["key", "item"], "left_anti")
+    other = other.select("key", "n_words", "base", "region", F.explode(F.sequence("base", "last")).alias("start_word"))
+    other = other.select("key", "n_words", "start_word", F.expr("slice(region, start_word - base + 1, n_words)").alias("window"))
+    starts = exact.select("key", "n_words", "start_word", "window").unionAll(other).dropDuplicates(["key", "n_words", "start_word"])
     windows = starts.withColumn("window_fp", F.expr(simhash("window")))
     indexed = items.select("item", "item_id", "n_words", "item_fp", "shingles", F.explode(_blocks("item_fp")).alias("b")).select("item", "item_id", "n_words", "item_fp", "shingles", "b.block", "b.value")
     near = (
@@ -159,8 +174,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sides = near.select("key", "start_word", "item", "item_id", "n_words", "hamming", F.explode(F.expr("""
         transform(array_distinct(concat(shingles, theirs)), s -> struct(s AS shingle,
             size(filter(shingles, x -> x = s)) AS mine, size(filter(theirs, x -> x = s)) AS yours))""")).alias("s"))
-    sides = sides.select("key", "start_word", "item", "item_id", "n_words", "hamming", "s.*").join(weights, "shingle", "left").join(F.broadcast(other))
-    w = F.coalesce("w", "w_other")
+    sides = sides.select("key", "start_word", "item", "item_id", "n_words", "hamming", "s.*").join(weights, "shingle", "left")
+    w = F.coalesce(F.col("w"), w_other)
     judged = (
         sides.groupBy("key", "start_word", "item", "item_id", "n_words", "hamming")
         .agg((F.sum(F.least("mine", "yours") * w) / F.sum(F.greatest("mine", "yours") * w)).alias("similarity"))
@@ -179,6 +194,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminations(docs, benchmark).select("key").distinct()
+    bad = write_shared(contaminations(docs, benchmark).select(F.col("key").alias("_dc_bad")).distinct(), "contaminated")
+    # few keys are sent to the documents; more meet them in a shuffle
+    bad = F.broadcast(bad) if bad.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS else bad
     keyed = docs.withColumn("_dc_key", row_key("doc_id", "text"))
-    return keyed.join(bad.withColumnRenamed("key", "_dc_bad"), F.col("_dc_key") == F.col("_dc_bad"), "left_anti").drop("_dc_key")
+    return keyed.join(bad, F.col("_dc_key") == F.col("_dc_bad"), "left_anti").drop("_dc_key")

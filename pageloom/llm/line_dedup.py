@@ -7,7 +7,7 @@ boilerplate and goes from every page of that host. Only DataFrame functions.
 Defined cases: a null text stays null and has no lines; an empty text stays
 empty; blank lines are never boilerplate; lines are compared without
 surrounding spaces; rows with a null host form one host; repeated rows count
-as pages of their own; columns beyond the three used are ignored.
+as pages of their own; columns named ``n_lines`` or ``n_removed`` are replaced, others stay.
 """
 
 from __future__ import annotations

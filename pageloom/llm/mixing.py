@@ -9,8 +9,9 @@ the present weight, and each document is drawn by the hash of its id.
 Defined cases: null source, language or topic is a category of its own;
 null and empty texts have no tokens and fall in their cell; only if ``max_categories`` is
 given are smaller categories without a stated target pooled as ``(other)``; rows
-with equal ids share one draw; an empty table gives an empty result; further
-columns are ignored by the weights and kept by ``mix``.
+with equal ids share one draw; an empty table gives an empty result; columns named as the results are replaced,
+others stay. Targets that no weights within the present tokens can meet are not met in silence: ``residuals`` tells
+what each category lacks, and ``mixture(strict=True)`` refuses. ``topic`` is the form of a text unless the caller names a column of topics.
 """
 
 from __future__ import annotations
@@ -134,14 +135,41 @@ def cell_probabilities(cells: list[tuple], budget: float = BUDGET, temper: float
     return [(c[0], c[1], c[2], float(x / budget), float(x)) for c, x in zip(cells, p, strict=True)]
 
 
-def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, max_categories: int | None = None) -> DataFrame:
+def residuals(drawn: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(margin, category, asked, expected, gap) of a ``mixture``: tokens that each category's target asks for and what the probabilities give."""
+    spark = drawn.sparkSession
+    cells = drawn.groupBy(*[_named(m).alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"))
+    cells = write_shared(cells, "mixing-expected")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    out = None
+    for m in MARGINS:
+        own = cells.groupBy(F.col(m).alias("category")).agg(F.sum("tokens").cast("double").alias("own"), F.sum("expected").alias("expected"))
+        given = (targets or {}).get(m)
+        if given is None:
+            wanted = own.withColumn("wanted", F.when(F.col("own") > 0, F.pow("own", F.lit(float(temper)))).otherwise(0.0))
+        else:
+            stated = spark.createDataFrame([(k, max(0.0, float(v))) for k, v in given.items()], "category string, stated double")
+            wanted = own.join(stated, "category", "full").select("category", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("expected", F.lit(0.0)).alias("expected"), F.coalesce("stated", F.lit(0.0)).alias("wanted"))
+        scale = max(float(wanted.agg(F.sum("wanted")).first()[0] or 0), 1e-300)
+        asked = F.col("wanted") / scale * (budget * total)
+        part = wanted.select(F.lit(m).alias("margin"), "category", asked.alias("asked"), "expected", (F.col("expected") - asked).alias("gap"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, max_categories: int | None = None, topics: str | None = None, strict: bool = False) -> DataFrame:
     """Every document with n_tokens, topic, weight, probability and selected.
 
     One aggregation makes the cell table. It comes to the driver if it has ``DRIVER_CELLS`` rows
     at most and goes back as a small join side; a larger one stays in Spark. No category is pooled unless asked for.
+    ``topics`` names a column to take instead of the form of the text; ``strict`` raises if a category's
+    target is missed by more than a thousandth of the budget.
     """
     spark = docs.sparkSession
-    seen = docs.withColumn("n_tokens", n_tokens()).withColumn("topic", topic())
+    given = F.col(topics).cast("string") if topics else None
+    seen = docs.withColumn("_m_given", given) if topics else docs
+    seen = seen.drop("n_tokens", "topic", "weight", "probability", "selected").withColumn("n_tokens", n_tokens())
+    seen = seen.withColumn("topic", F.col("_m_given")).drop("_m_given") if topics else seen.withColumn("topic", topic())
     # written once: a few small questions are asked of it, the documents are read once for it
     sums = write_shared(seen.groupBy(*[_named(m).alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
     kept = {}
@@ -159,10 +187,16 @@ def mixture(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, tar
         table = rake_table(cells, budget, temper, targets)
     on = [pooled(m) == F.col(f"_m_{m}") for m in MARGINS]
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return (
-        seen.join(table, on[0] & on[1] & on[2], "left")
+    # a cell table that came through the driver is small by DRIVER_CELLS; a larger one meets the documents in a shuffle
+    drawn = (
+        seen.join(F.broadcast(table) if len(few) <= DRIVER_CELLS else table, on[0] & on[1] & on[2], "left")
         .withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.coalesce("probability", F.lit(0.0))})
         .withColumn("selected", draw < F.col("probability"))
         .drop("_m_source", "_m_lang", "_m_topic")
     )
-
+    if strict:
+        worst = residuals(drawn, budget, temper, targets).orderBy(F.desc(F.abs("gap"))).first()
+        asked = float(drawn.agg(F.sum("n_tokens")).first()[0] or 0) * budget
+        if worst is not None and abs(worst["gap"]) > 1e-3 * max(asked, 1.0):
+            raise ValueError(f"the targets cannot be met: {worst['margin']} {worst['category']} asks for {worst['asked']:.0f} tokens and gets {worst['expected']:.0f}")
+    return drawn

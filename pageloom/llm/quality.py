@@ -1,16 +1,18 @@
 """Quality classifier by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes the rates of its character-class 3-grams and of its repeated
-8-byte strings, weighted by IDF and projected by a truncated SVD. The labelled
+A text becomes the rates of its words (lower case, in ``N_WORDS`` hash cells), of its character-class 3-grams and of its
+repeated 8-byte strings, weighted by IDF and projected by a truncated SVD. The labelled
 vectors (a bounded sample: at most ``PER_CLASS`` rows of either label, taken by
 the hash of their id) are broadcast; every document's cosine to each of them is computed exactly, a block of
 documents at a time, and the ``NEIGHBOURS`` nearest vote, each by its
-similarity and by how many labelled rows of its class one sampled row stands for.
+similarity and by how many labelled rows of its class one sampled row stands for. Of labelled rows at the same
+cosine as the last neighbour, those earlier in id order vote.
 
 Inputs of a score are the text alone. Defined cases: null and empty texts have
 a zero vector and get the share of label 1 among the labelled rows; without
 labelled rows of both labels every score is that share (0.5 if there are none).
-Columns of ``docs`` named as the results are replaced, others stay.
+Columns of ``docs`` named as the results are replaced, others stay; ids may be of any type; a text is held whole
+in one task, with about ten 8-byte arrays over its bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import crc_of_id, labelled_ids, text_bytes
+from pageloom.llm.shingles import word_hashes
 
 PER_CLASS = 1500
 DIMENSIONS = 48
@@ -33,7 +36,8 @@ CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567
 N_CLASSES = len(CLASSES) + 1
 N_GRAMS = N_CLASSES**GRAM
 N_EXTRA = 8
-N_FEATURES = N_GRAMS + N_EXTRA
+N_WORDS = 512
+N_FEATURES = N_GRAMS + N_EXTRA + N_WORDS
 
 
 def _class_of_byte() -> np.ndarray:
@@ -45,7 +49,7 @@ def _class_of_byte() -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Feature rows of the texts laid out in ``data``: class n-gram rates, then repeat rates of 8-byte strings."""
+    """Feature rows of the texts laid out in ``data``: class n-gram rates, repeat rates of 8-byte strings, word rates."""
     n = len(offsets) - 1
     out = np.zeros((n, N_FEATURES), np.float32)
     if not len(data):
@@ -76,6 +80,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         repeated = 1.0 - distinct / np.maximum(total, 1)
         bins = np.minimum((repeated * N_EXTRA).astype(int), N_EXTRA - 1)
         out[np.arange(n), N_GRAMS + bins] = np.where(total > 0, 3.0, 0.0)
+    words, ends = word_hashes(np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8), offsets)
+    n_words = np.diff(ends)
+    cells = (words >> np.uint64(40)).astype(np.int64) % N_WORDS + np.repeat(np.arange(n), n_words) * N_WORDS
+    rates = np.bincount(cells, minlength=n * N_WORDS).reshape(n, N_WORDS) * (200.0 / np.maximum(n_words, 1))[:, None]
+    out[:, N_GRAMS + N_EXTRA :] = np.log1p(rates)
     return out
 
 
@@ -127,7 +136,11 @@ class NeighbourModel:
             return out
         near = self._unit((rows[filled] * self.idf) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        nearest = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+        # all above the k-th cosine, and of those equal to it the first ones
+        tied = near == last
+        chosen = (near > last) | (tied & (np.cumsum(tied, axis=1) <= k - (near > last).sum(axis=1, keepdims=True)))
+        nearest = np.nonzero(chosen)[1].reshape(len(near), k)
         weight = np.maximum(np.take_along_axis(near, nearest, axis=1), 0.0) ** 8 * self.stands_for[nearest]
         total = weight.sum(axis=1)
         vote = (weight * self.labels[nearest]).sum(axis=1)
@@ -153,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
                     names=["doc_id", "label", "row"],
                 )
 
-    got = texts.mapInArrow(extract, "doc_id long, label int, row binary").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = texts.mapInArrow(extract, f"doc_id {kind}, label int, row binary").collect()
     got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["row"])))}.values())
     counts = dict(
         labels.filter(~held_out & F.col("doc_id").isNotNull()).groupBy(F.col("quality").cast("int").alias("q")).count().collect()

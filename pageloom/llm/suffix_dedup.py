@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by suffix order to a fixed depth.
+"""Removal of repeated byte strings by longest previous factors in suffix order.
 
 A string of ``LENGTH`` bytes that starts at two places, in one text or in two, is
 repeated. ``keep="none"`` removes every byte that a repeated string covers;
@@ -9,15 +9,16 @@ All places that can start equal strings are brought together first: each string
 anchor, its 32-byte part of least hash, so runs of strings with one anchor (segments)
 are dealt by its hash. Equal segments collapse to one with a count. Where an anchor has
 several different segments, the suffixes of their bytes are sorted to the depth of ``LENGTH``
-in numpy, block by block. Runs of equal ranks have a common prefix of that length, and the least
-place of a run tells whether LPF reaches it: previous and next smaller places and LPF itself are not made. An anchor with more
+in numpy, block by block; the previous and the next smaller place of each suffix in that order are its best
+earlier matches, and the longer common prefix with the two, compared byte by byte up to ``LENGTH``, is its LPF. An anchor with more
 than ``HOT`` different segments is settled by whole strings, aggregated to a count and first place before
 they are dealt, so no group is unbounded.
 Hashes only bring candidates together, except that equal segments and those strings are told by 128 bits.
 
 Defined cases: a null text is an empty one; texts under ``LENGTH`` bytes have no strings; rows with
 equal (doc_id, text) are copies of each other; null ids are allowed; places are
-ordered by (doc_id, start); other columns are ignored.
+ordered by (doc_id, start); other columns are ignored; a text is held whole in one task, with about ten 8-byte
+arrays over its bytes.
 """
 
 from __future__ import annotations
@@ -128,36 +129,76 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes at ``starts`` by their first LENGTH bytes; at most 2**21 bytes, all of them present after each start."""
-    n = len(data)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end, for LENGTH places beyond it too."""
     padded = np.concatenate((data, np.zeros(LENGTH + 8, np.uint8))).astype(_U64)
     eight = padded[:-1] << _U64(8) | padded[1:]
     for width in (2, 4):
         eight = eight[:-width] << _U64(8 * width) | eight[width:]
+    return eight[: len(data) + LENGTH]
+
+
+def suffix_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at ``starts`` by their first LENGTH bytes; at most 2**21 bytes, all of them present after each start."""
     # prefixes of 8, 24, 72 and 200 bytes: three ranks of 21 bits make the next key
-    rank = _dense(eight[: n + LENGTH])
+    rank = _dense(_eights(data))
     for size in (8, 24):
         m = len(rank) - 2 * size
         rank = _dense(rank[:m] << _U64(42) | rank[size : size + m] << _U64(21) | rank[2 * size : 2 * size + m])
     return _dense(rank[starts] << _U64(42) | rank[starts + 72] << _U64(21) | rank[starts + LENGTH - 72])
 
 
-def previous_factors(ranks: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is repeated, LPF of at least LENGTH) of each suffix.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each one, -1 if there is none.
 
-    In suffix order a run of equal ranks has common prefixes of LENGTH bytes or more;
-    an earlier match exists if the least place of the run is smaller.
+    A pointer that meets a larger value takes over that one's pointer: all between them are larger too, so the
+    distances double and few rounds are needed.
+    """
+    at = np.arange(len(values)) - 1
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[values[at[open_]] >= values[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def common_prefixes(eights: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Equal leading bytes of the suffixes at ``one`` and at ``other``, LENGTH at most."""
+    out = np.full(len(one), LENGTH, np.int64)
+    live = np.arange(len(one))
+    for at in range(0, LENGTH, 8):
+        differ = eights[one[live] + at] ^ eights[other[live] + at]
+        ended = differ != 0
+        left = differ[ended]
+        out[live[ended]] = at + sum(((left >> _U64(8 * k)) == 0).astype(np.int64) for k in range(1, 8))
+        live = live[~ended]
+        if not len(live):
+            break
+    return np.minimum(out, LENGTH)
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(LPF, longest match with a later place) of each suffix, LENGTH at most.
+
+    In suffix order the longest match with an earlier place is with the nearest suffix before or after
+    whose place is smaller; with the order of places turned round, the same gives the longest later match.
     """
-    order = np.lexsort((np.arange(len(ranks)), ranks))
-    run = ranks[order]
-    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    size = np.diff(np.append(first, len(run)))
-    least = np.repeat(np.minimum.reduceat(places[order], first), size)  # the only place of a run without a smaller one
-    again, earlier = np.zeros(len(ranks), bool), np.zeros(len(ranks), bool)
-    again[order] = np.repeat(size > 1, size)
-    earlier[order] = places[order] > least
-    return again, earlier
+    eights = _eights(data)
+    order = np.lexsort((places, suffix_ranks(data, starts)))
+    sorted_starts = starts[order]
+    out = []
+    for held in (places[order], -places[order]):
+        before = smaller_before(held)
+        after = len(held) - 1 - smaller_before(held[::-1])[::-1]
+        longest = np.zeros(len(held), np.int64)
+        for beside in (before, after):
+            some = np.flatnonzero((beside >= 0) & (beside < len(held)))
+            longest[some] = np.maximum(longest[some], common_prefixes(eights, sorted_starts[some], sorted_starts[beside[some]]))
+        back = np.empty(len(held), np.int64)
+        back[order] = longest
+        out.append(back)
+    return out[0], out[1]
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -253,7 +294,7 @@ def _hot_verdicts(pieces: DataFrame) -> DataFrame:
 
 def _sorted_verdicts(pieces: DataFrame) -> DataFrame:
     """(anchor, digest, again, earlier): flat runs of the places of a segment that are repeated, and that have an earlier match."""
-    dealt = pieces.repartition("grp").sortWithinPartitions("grp", "doc_id", "start")
+    dealt = pieces.repartition("grp").sortWithinPartitions("grp", "doc_id", "start", "base")
 
     def judge(held: list):
         """Blocks of whole groups; rows of a group are in (doc_id, start) order, so their rank is their place."""
@@ -265,7 +306,9 @@ def _sorted_verdicts(pieces: DataFrame) -> DataFrame:
         n = np.array([r[4] for r in held])
         offsets = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        again, earlier = previous_factors(suffix_ranks(data, np.repeat(offsets, n) + inner), np.repeat(np.arange(len(held)), n) * 1024 + inner)
+        lpf, later = previous_factors(data, np.repeat(offsets, n) + inner, np.repeat(np.arange(len(held)), n) * 1024 + inner)
+        earlier = lpf >= LENGTH
+        again = earlier | (later >= LENGTH)
         ends = np.cumsum(n)
         a = [[x + r[3] for x in _runs(again[e - k : e])] for r, k, e in zip(held, n, ends, strict=True)]
         b = [[x + r[3] for x in _runs(earlier[e - k : e])] for r, k, e in zip(held, n, ends, strict=True)]

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import crc_of_id, labelled_ids
 
 PER_CLASS = 4000
-MAX_WORDS = 500
 #: An entry is at least this many times likelier in toxic rows, in this many of them, and rows times log odds reach this.
 MIN_RATIO, MIN_ROWS, MIN_EVIDENCE = 6.0, 5, 35.0
 #: Lengths of the stems that are tried besides whole words.
@@ -112,7 +113,11 @@ class Scorer:
                 elif first not in found or weight > found[first][1]:
                     found[first] = (end, weight)
         if spared:
-            found = {a: (b, w) for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in spared)}
+            # the phrase that reaches farthest of those that begin at or before a hit tells whether one covers it
+            spared.sort()
+            starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+            covered = lambda a, b: (k := bisect_right(starts, a)) and b <= reach[k - 1]
+            found = {a: (b, w) for a, (b, w) in found.items() if not covered(a, b)}
         return [w for _, w in found.values()]
 
     def inputs(self, text: str | None) -> list[float]:
@@ -126,7 +131,13 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(rows @ self.curve, -30, 30)))
 
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters, digits and the signs that stand in for letters inside a word: a mark at the end of a word is no part of it.
+WORD = re.compile(rf"[^\W_](?:[^\W_]|[@$!](?=[^\W_])|[{INVISIBLE}])*")
+
+
+def words_in(text: str) -> set[str]:
+    """Folded words of a text, cut on its original characters; numbers are no words."""
+    return {w for w in (fold(m) for m in WORD.findall(text) if any(c.isalpha() for c in m)) if 3 <= len(w) <= 30}
 
 
 def _log_odds(n_toxic: int, n_clean: int, of_toxic: int, of_clean: int) -> float:
@@ -160,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
         for pdf in batches:
             out = Counter()
             for label, text in zip(pdf["label"], pdf["text"], strict=True):
-                words = {w for w in WORD.findall(fold(text or "")) if 3 <= len(w) <= 30}
+                words = words_in(text or "")
                 stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
                 for entry in words | stems:
                     out[entry, int(label)] += 1
@@ -173,9 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
     counts = (
         sample.mapInPandas(words_of, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") / sizes[1] > F.lit(MIN_RATIO) * (F.col("clean") + 1) / sizes[0]))
-        .orderBy(F.desc(F.col("toxic") * F.log(F.col("toxic") / (F.col("clean") + 1))), "word")
-        .limit(MAX_WORDS)
-    )
+        .orderBy("word")
+    )  # bounded by the sample: each entry is in MIN_ROWS of its rows
     lexicon = {}
     for r in counts.collect():
         odds = _log_odds(r["toxic"], r["clean"], sizes[1], sizes[0])

@@ -220,16 +220,28 @@ def test_suffix_ranks_and_previous_factors():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 900).astype(np.uint8)
     data[500:800] = data[100:400]
+    data[820:900] = 97
     starts = np.arange(700)
     ranks = suffix_dedup.suffix_ranks(data, starts)
     strings = [data[k : k + 200].tobytes() for k in starts]
     order = sorted(set(strings))
     assert ranks.tolist() == [order.index(s) for s in strings]
-    again, earlier = suffix_dedup.previous_factors(ranks, starts)
-    seen = set()
-    for k, s in enumerate(strings):
-        assert again[k] == (strings.count(s) > 1) and earlier[k] == (s in seen)
-        seen.add(s)
+    places = rng.permutation(700)
+    lpf, later = suffix_dedup.previous_factors(data, starts, places)
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(strings[a], strings[b], strict=True)) if x != y), 200)
+
+    for k in range(0, 700, 7):
+        assert lpf[k] == max((common(k, j) for j in range(700) if places[j] < places[k]), default=0)
+        assert later[k] == max((common(k, j) for j in range(700) if places[j] > places[k]), default=0)
+
+
+def test_smaller_values_before():
+    rng = np.random.default_rng(6)
+    for values in (rng.permutation(500), np.arange(300)[::-1], np.arange(300), np.zeros(0, int), rng.integers(0, 9, 200)):
+        want = [next((j for j in range(k - 1, -1, -1) if values[j] < values[k]), -1) for k in range(len(values))]
+        assert suffix_dedup.smaller_before(values).tolist() == want
 
 
 # -- 3
@@ -408,6 +420,34 @@ def test_leaks_cut_by_an_end_of_the_text_and_of_short_items(spark, monkeypatch,
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def test_leaks_against_every_window(spark):
+    """All windows of all texts, by their exact similarity: at least nine tenths of the pairs, and each at its best window."""
+    rng = np.random.default_rng(21)
+    bench = [(k, [f"b{k}x{j}" for j in range(n)]) for k, n in enumerate((12, 16, 20, 31, 40, 59, 80))]
+    rows = []
+    for k in range(140):
+        item = list(bench[k % 7][1])
+        for _ in range(rng.integers(0, 1 + len(item) // 10)):  # words changed, put in and left out
+            at, kind = rng.integers(0, len(item)), rng.integers(0, 3)
+            item[at : at + (kind != 1)] = [] if kind == 2 else [f"new{rng.integers(10**6)}"]
+        rows.append((k, [f"f{j}" for j in rng.integers(0, 900, rng.integers(0, 40))] + item + [f"f{j}" for j in rng.integers(0, 900, rng.integers(0, 40))]))
+    frame = lambda x, n: spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{n} long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(frame(rows, "doc_id"), frame(bench, "item_id")).collect()}
+    parts = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    want = {}
+    for i, text in rows:
+        for j, words in bench:
+            mine = parts(words)
+            for at in range(len(text) - len(words) + 1):
+                yours = parts(text[at : at + len(words)])
+                s = sum((mine & yours).values()) / sum((mine | yours).values())  # here every shingle weighs the same
+                if s >= 0.8 and s > want.get((i, j), (0, 0))[0] + 1e-12:
+                    want[i, j] = (s, at)
+    assert len(want) > 40 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    best = [k for k in got if abs(got[k].similarity - want[k][0]) < 1e-9 and got[k].start_word == want[k][1]]
+    assert len(best) >= 0.97 * len(got)
+
+
 def test_leaks_by_join_equal_leaks_by_literal(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
@@ -477,10 +517,25 @@ def test_mixture(spark):
     got = mixing.mixture(hard(spark)).collect()
     assert len(got) == 8 and len({r.selected for r in got if r.doc_id == 1}) == 1
     assert mixing.mixture(hard(spark).limit(0)).count() == 0
+    clash = docs.withColumns({"weight": F.lit("x"), "probability": F.lit(7), "topic": F.lit("own"), "selected": F.lit(1), "n_tokens": F.lit(None)})
+    assert {(r.doc_id, r.probability) for r in mixing.mixture(clash).collect()} == {(r.doc_id, r.probability) for r in rows}
+    assert {r.topic for r in mixing.mixture(clash, topics="topic").collect()} == {"own"}
     few = mixing.mixture(docs, max_categories=2)
     assert few.count() == 1000 and few.select("probability").distinct().count() > 1
 
 
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = [(k, "a b c d e f g", "en" if k % 10 else "de", "big" if k % 20 else "small") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fair = {r.category: r for r in mixing.residuals(mixing.mixture(docs, budget=0.3, strict=True), budget=0.3).collect()}
+    assert fair and all(abs(r.gap) < 1e-3 * r.asked for r in fair.values())
+    targets = {"source": {"small": 0.9, "big": 0.05, "none": 0.05}}
+    gaps = {r.category: r.gap for r in mixing.residuals(mixing.mixture(docs, targets=targets), targets=targets).collect() if r.margin == "source"}
+    assert abs(gaps["none"] + 0.05 * mixing.BUDGET * 2800) < 1e-6 and gaps["small"] < -0.8 * mixing.BUDGET * 2800
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.mixture(docs, targets=targets, strict=True)
+
+
 def test_mixture_of_many_sources(spark, monkeypatch):
     rows = [(k, "a b c d e f g h", "en" if k % 3 else "de", f"host{k % 600}" if k % 2 else f"tail{k}") for k in range(1800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -530,6 +585,58 @@ def test_folding_and_exceptions():
     assert s.hits("stupidly so") == [2.0] and s.hits("a trash can") == [] and s.hits("trash") == [1.0] and s.hits("") == []
 
 
+def test_words_are_cut_before_they_are_folded():
+    assert toxicity.words_in("idiot! 1999 1d10t, st$pid; st0p. іd­iot a@b") == {"idiot", "stspid", "stop", "aab"}
+
+
+def test_hits_against_a_plain_search():
+    rng = np.random.default_rng(3)
+    lexicon, exceptions = {"ab": 2.0, "b*": 1.0, "abc": 3.0, "ca": 1.5}, ["ab ca", "b c b"]
+    s = toxicity.Scorer(lexicon, exceptions, np.zeros(6))
+    for _ in range(300):
+        text = "".join(rng.choice(list("abc ! "), 24))
+        folded = toxicity.fold(text)
+
+        def places(entry, stem):
+            for k in range(len(folded) - len(entry) + 1):
+                if folded[k : k + len(entry)] == entry and not (k and text[k - 1].isalpha()):
+                    if stem or not (k + len(entry) < len(text) and text[k + len(entry)].isalpha()):
+                        yield k, k + len(entry)
+
+        safe = [p for e in exceptions for p in places(e, False)]
+        best = {}
+        for word, weight in lexicon.items():
+            for a, b in places(word.rstrip("*"), word.endswith("*")):
+                if weight > best.get(a, (0, 0))[0]:
+                    best[a] = (weight, b)
+        want = sorted(w for a, (w, b) in best.items() if not any(x <= a and b <= y for x, y in safe))
+        assert sorted(s.hits(text)) == want
+
+
+def test_votes_of_the_nearest():
+    rng = np.random.default_rng(0)
+    rows = rng.random((60, quality.N_FEATURES)).astype(np.float32)
+    rows[30:40] = rows[20:30]  # ties
+    labels = np.arange(60) % 2
+    model = quality.NeighbourModel(rows, labels, (30, 30))
+    got = model.score(rows[:50])
+    vectors = [v / np.linalg.norm(v) for v in (rows * model.idf) / np.linalg.norm(rows * model.idf, axis=1, keepdims=True) @ model.axes]
+    for k in range(50):
+        cosines = (np.array([vectors[k]]) @ np.array(vectors).T)[0].round(5)
+        near = sorted(range(60), key=lambda j: (-cosines[j], j))[: quality.NEIGHBOURS]
+        votes = np.maximum(cosines[near], 0) ** 8
+        assert abs(got[k] - (votes * labels[near]).sum() / votes.sum()) < 0.03
+
+
+def test_text_ids_score_alike(spark):
+    docs, known = documents(spark), spark.read.parquet(f"{SMALL}/labels.parquet")
+    as_text = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for module in (quality, toxicity):
+        a = {str(r.doc_id): r.score for r in module.score_documents(docs.select("doc_id", "text"), known).collect()}
+        b = {r.doc_id: r.score for r in module.score_documents(as_text(docs.select("doc_id", "text")), as_text(known)).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.2 for k in a)
+
+
 def test_borders_are_those_of_the_original_text():
     s = toxicity.Scorer({"idiot": 3.0}, [], np.zeros(6))
     assert s.hits("so\u00adft: idiot! or idi\u00adot$ or 1d10t\u200b!") == [3.0, 3.0, 3.0]
