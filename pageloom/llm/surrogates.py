@@ -2,17 +2,21 @@
 
 Detected are e-mail addresses, IBANs, payment card numbers, IPv4 addresses,
 social security numbers, phone numbers, secrets in assignments and names after a
-title. A surrogate has its entity's type, format (length, separators, prefix),
-script and, for names, gender of the title. It is drawn from SHA-256 of the secret
-key, the type, the entity and an attempt number, so one entity has one surrogate in all
-documents (coreference), in all spellings that differ by separators. A draw is
-rejected if another entity of the type makes it or if it is a real entity; the
-next attempt follows, so distinct entities keep distinct surrogates.
+title. A surrogate has its entity's type, format (length, separators, prefix, check digits),
+script and, for names, gender of the title.
+
+An entity is what its spellings have in common (its canonical form: separators, and in addresses case, do not count),
+so it has one surrogate in all documents (coreference). Numbers, secrets and the local parts of addresses are mapped
+by a keyed permutation of all strings of their layout, so distinct entities keep distinct surrogates in any number; an
+image that is itself a real entity, or taken, is replaced by that under another permutation. Card numbers
+keep two leading digits, phone numbers their country, IBANs theirs; check digits that were right are right again.
+Names are mapped by their parts: a family name has one surrogate beside every given name and every title. A part's
+surrogate is drawn from names and syllables by SHA-256 of the key, and drawn again, longer, where another part draws it or has it.
 
 Only DataFrame functions. Defined cases: null and empty texts pass unchanged with no
 entities; detection is leftmost, in the order above; repeated rows get equal
-results; columns named as the results are replaced, others stay. An entity whose ``ATTEMPTS``
-draws all collide gets a longer surrogate that carries its own digest.
+results; columns named as the results are replaced, others stay. A part of a name whose ``ATTEMPTS``
+draws all collide gets a longer surrogate that carries its own digest. A name without a title is not detected.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.binding import let
 from pageloom.llm.common import row_key, write_shared
 
 ATTEMPTS = 6
@@ -44,7 +49,7 @@ ENDINGS = {"latin": ("berg", "field", "ford", "ley", "man", "sen", "stein", "woo
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Sra", "Señora", "Госпожа"), "m": ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин"), "n": ("Dr", "Prof")}
 
 _TITLE = "|".join(t for g in ("f", "m", "n") for t in TITLES[g])
-_ASSIGNED = r"(?:token|secret|passwd|password|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
+_ASSIGNED = r"(?i:token|secret|passwd|password|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
 _TITLED = rf"(?<!\p{{L}})(?:{_TITLE})\.? "
 #: (type, what stays in front, entity). Earlier ones win at the same place.
 PATTERNS = (
@@ -59,7 +64,7 @@ PATTERNS = (
 )
 COMBINED = "|".join(f"(?:{front}{entity})" for _, front, entity in PATTERNS)
 #: No entity is without one of these; most texts need no more than this search.
-HINT = rf"@|[0-9][0-9]|[0-9]\.[0-9]|token|secret|passw|api_?key|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|[0-9][0-9]|[0-9]\.[0-9]|(?i:token|secret|passw|api_?key)|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _kind(span: Column) -> Column:
@@ -88,7 +93,7 @@ def _gender(front: Column) -> Column:
 
 def canonical(kind: Column, entity: Column) -> Column:
     """What makes two spellings one entity: separators and, in addresses, case do not count."""
-    bare = F.lower(F.regexp_replace(entity, r"[ .()\-]", ""))
+    bare = F.regexp_replace(entity, r"[ .()\-]", "")
     return F.when(kind.isin("phone", "card", "iban", "ssn"), bare).when(kind == "email", F.lower(entity)).otherwise(entity)
 
 
@@ -96,52 +101,86 @@ def _pick(values: tuple[str, ...], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.conv(F.substring(digest, at, 6), 16, 10).cast("int") % len(values) + 1).cast("int"))
 
 
-def _refill(entity: Column, digits: Column, letters: Column, keep: Column | None = None) -> Column:
-    """The entity with each digit and letter after the first ``keep`` replaced, by its rank among them; the rest stays."""
-    keep = F.lit(0) if keep is None else keep
+def _shifted(c: Column, by: Column) -> Column:
+    """A digit or Latin letter moved on within its own alphabet; anything else as it is."""
+    code = F.ascii(c)
+    moved = lambda first, size: F.char(first + F.pmod(code - first + by, F.lit(size)))
+    return F.when(c.rlike("[0-9]"), moved(48, 10)).when(c.rlike("[a-z]"), moved(97, 26)).when(c.rlike("[A-Z]"), moved(65, 26)).otherwise(c)
+
+
+def permuted(s: Column, tweak: Column, key: str) -> Column:
+    """A keyed permutation of the strings of one layout (digits, small and capital letters keep their places).
+
+    Each character is moved on by the hash of those before it, then each by the hash of those after it: either
+    pass can be undone from its own end, so no two strings have one image, and every place depends on all.
+    """
+    forward = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c, i: _shifted(c, F.pmod(F.xxhash64(F.lit(key), tweak, F.lit(1), i, F.substring(t, F.lit(1), i)), F.lit(260)).cast("int"))), "")
+    backward = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c, i: _shifted(c, F.pmod(F.xxhash64(F.lit(key), tweak, F.lit(2), i, F.substring(t, i + 2, F.length(t))), F.lit(260)).cast("int"))), "")
+    return F.when(s == "", s).otherwise(let(s, lambda t: let(forward(t), backward)))
+
+
+def _luhn(digits: Column) -> Column:
+    """The check digit that makes ``digits`` and it a valid card number."""
+    back = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
+    total = F.aggregate(back, F.lit(0), lambda n, x: n + F.when(x > 9, x - 9).otherwise(x))
+    return F.pmod(F.lit(10) - total % 10, F.lit(10))
+
+
+def _mod_97(country: Column, account: Column) -> Column:
+    """The two check digits of an IBAN, as a number."""
+    chars = F.split(F.concat(account, country, F.lit("00")), "")
+    value = lambda n, c: F.when(c.rlike("[0-9]"), (n * 10 + c.cast("int")) % 97).otherwise((n * 100 + F.ascii(c) - 55) % 97)
+    return F.lit(98) - F.aggregate(chars, F.lit(0), value)
+
+
+def _ip(entity: Column, key: str) -> Column:
+    """A keyed permutation of the IPv4 addresses: four rounds that add a hash of one half to the other."""
+    part = lambda k: F.element_at(F.split(entity, r"\."), k).cast("int")
+    start = F.struct((part(1) * 256 + part(2)).cast("int").alias("a"), (part(3) * 256 + part(4)).cast("int").alias("b"))
+    turn = lambda x, k: F.struct(x["b"].alias("a"), F.pmod(x["a"] + F.xxhash64(F.lit(key), k, x["b"]), F.lit(65536)).cast("int").alias("b"))
+    mixed = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn)
+    return let(mixed, lambda x: F.concat_ws(".", *[f.cast("string") for f in (F.floor(x["a"] / 256), x["a"] % 256, F.floor(x["b"] / 256), x["b"] % 256)]))
+
+
+def image(kind: Column, canon: Column, key: str = DEFAULT_KEY) -> Column:
+    """The surrogate of a canonical form of any type but names, in canonical form too."""
+    text = lambda a, n=None: F.substring(canon, F.lit(a), F.lit(n)) if n else F.substring(canon, F.lit(a), F.length(canon))
+    country = F.when(~canon.startswith("+"), 0).when(F.substring(canon, 2, 1).isin("1", "7"), 2).otherwise(3)
+    phone = F.concat(F.substring(canon, F.lit(1), country), permuted(F.substring(canon, country + 1, F.length(canon)), F.concat(F.lit("phone"), F.substring(canon, F.lit(1), country)), key))
+    middle = F.substring(canon, F.lit(3), F.length(canon) - 3)
+    # a check digit as far from the right one as the entity's: right stays right, and no two entities meet
+    card = let(F.concat(text(1, 2), permuted(middle, F.concat(F.lit("card"), text(1, 2)), key)), lambda new: F.concat(new, F.pmod(_luhn(new) + F.substring(canon, -1, 1).cast("int") - _luhn(F.substring(canon, F.lit(1), F.length(canon) - 1)), F.lit(10)).cast("string")))
+    iban = let(permuted(text(5), F.concat(F.lit("iban"), text(1, 2)), key), lambda new: F.concat(text(1, 2), F.lpad(F.pmod(_mod_97(text(1, 2), new) + text(3, 2).cast("int") - _mod_97(text(1, 2), text(5)), F.lit(100)).cast("string"), 2, "0"), new))
+    local, domain = F.element_at(F.split(canon, "@"), 1), F.element_at(F.split(canon, "@"), -1)
+    host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), domain), 256), 1, 16), F.lit(".example."), F.element_at(F.split(domain, r"\."), -1))
+    return (
+        F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", _ip(canon, key))
+        .when(kind == "email", F.concat(permuted(local, F.concat(F.lit("email"), domain), key), F.lit("@"), host))
+        .otherwise(permuted(canon, kind, key))
+    )
+
+
+def poured(kind: Column, entity: Column, drawn: Column) -> Column:
+    """A canonical surrogate in the spelling of an entity: its letters and digits, the entity's separators."""
     rank = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), "[^A-Za-z0-9]", ""))
-    at = lambda pool, i: F.substring(pool, (rank(i) % 100 + 1).cast("int"), F.lit(1))
-    return F.array_join(
-        F.transform(
-            F.split(entity, ""),
-            lambda c, i: F.when(rank(i) < keep, c)
-            .when(c.rlike("[0-9]"), at(digits, i))
-            .when(c.rlike("[a-z]"), at(letters, i))
-            .when(c.rlike("[A-Z]"), F.upper(at(letters, i)))
-            .otherwise(c),
-        ),
-        "",
-    )
+    spelled = let(F.regexp_replace(drawn, "[^A-Za-z0-9]", ""), lambda d: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(d, rank(i) + 1, F.lit(1))).otherwise(c)), ""))
+    return F.when(kind.isin("phone", "card", "iban", "ssn"), spelled).otherwise(drawn)
 
 
-def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key: str = DEFAULT_KEY) -> Column:
-    """What ``attempt`` draws for an entity: same type and format, from its canonical form."""
-    base = F.concat_ws("\x1f", F.lit(key), kind, canonical(kind, entity), attempt.cast("string"))
-    digest = F.sha2(base, 256)
-    more = F.concat(digest, F.sha2(F.concat(base, F.lit("+")), 256))
-    digits, letters = F.translate(more, "abcdef", "031425"), F.translate(more, "0123456789", "ghijklmnop")
-    local = F.element_at(F.split(entity, "@"), 1)
-    host = F.concat(F.lit("host"), F.substring(digits, 61, 3), F.lit(".example."), F.element_at(F.split(entity, r"\."), -1))
-    octet = lambda k: (F.conv(F.substring(digest, k, 6), 16, 10).cast("int") % 254 + 1).cast("string")
-    country = F.length(F.regexp_replace(F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[ .-])", 0), "[^0-9]", ""))
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def drawn_part(kind: Column, part: Column, gender: Column, attempt: Column, key: str = DEFAULT_KEY) -> Column:
+    """What ``attempt`` draws for a given or a family name: one more name, or one more syllable, each time."""
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, part, attempt.cast("string")), 256)
+    script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     given = F.lit(None).cast("string")
     for (s, g), values in NAMES.items():
-        given = F.when((script == s) & (gender == g), _pick(values, digest, 1)).otherwise(given)
+        own = F.concat_ws("-", *[F.when(attempt >= k, _pick(values, digest, 1 + 7 * k)) for k in range(ATTEMPTS)])
+        given = F.when((script == s) & (gender == g), own).otherwise(given)
     family = F.lit(None).cast("string")
     for s, values in SYLLABLES.items():
-        own = F.concat(F.initcap(F.concat(*[_pick(values, digest, 7 * k) for k in (1, 2, 3)])), _pick(ENDINGS[s], digest, 29))
+        syllables = [F.when(attempt + 3 > k, _pick(values, digest, 1 + 6 * k)) for k in range(ATTEMPTS + 2)]
+        own = F.concat(F.initcap(F.concat_ws("", *syllables)), _pick(ENDINGS[s], digest, 57))
         family = F.when(script == s, own).otherwise(family)
-    name = F.when(entity.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
-    return (
-        F.when(kind == "email", F.concat(_refill(local, digits, letters), F.lit("@"), host))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(7), octet(13)))
-        .when(kind == "card", _refill(entity, digits, letters, F.lit(1)))
-        .when(kind == "iban", _refill(entity, digits, letters, F.lit(2)))
-        .when(kind == "phone", _refill(entity, digits, letters, country))
-        .when(kind == "name", name)
-        .otherwise(_refill(entity, digits, letters))
-    )
+    return F.when(kind == "given", given).otherwise(family)
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -154,28 +193,52 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("key", "place", "kind", "front", "entity", _gender(F.col("front")).alias("gender"))
 
 
-def assign(found: DataFrame, key: str = DEFAULT_KEY, attempts: int = ATTEMPTS) -> DataFrame:
-    """(kind, entity, surrogate): distinct entities of a type get distinct surrogates, none of them a real entity.
+def _named(found: DataFrame, key: str, attempts: int) -> DataFrame:
+    """(entity, surrogate) of the names: by given and family name, each with one surrogate, no two parts with the same."""
+    spelled = found.filter("kind = 'name'").groupBy("entity").agg(F.max((F.col("gender") == "f").cast("int")).alias("f"), F.max((F.col("gender") == "m").cast("int")).alias("m"))
+    parts = F.split("entity", " ")
+    spelled = spelled.withColumn("given", F.when(F.size(parts) > 1, F.element_at(parts, 1))).withColumn("family", F.element_at(parts, -1))
+    spelled = write_shared(spelled, "names")
+    each = spelled.select(F.lit("given").alias("part_kind"), F.col("given").alias("part"), "f", "m").filter("part IS NOT NULL")
+    each = each.unionAll(spelled.select(F.lit("family"), "family", F.lit(0), F.lit(0)))
+    each = each.groupBy("part_kind", "part").agg(F.max("f").alias("f"), F.max("m").alias("m"))
+    each = each.withColumn("gender", F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n"))
+    draws = each.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    draws = write_shared(draws.withColumn("drawn", drawn_part(F.col("part_kind"), F.col("part"), F.col("gender"), F.col("attempt"), key)), "name-draws")
+    # the first draw that no other part makes in any attempt and that is no real part: no rounds are needed
+    claims = draws.select("part_kind", "drawn", "part", "attempt", F.lit(0).alias("real")).unionAll(each.select("part_kind", F.col("part").alias("drawn"), "part", F.lit(0).alias("attempt"), F.lit(1).alias("real")))
+    free = claims.groupBy("part_kind", "drawn").agg(F.max("real").alias("real"), F.min("part").alias("part"), F.max("part").alias("other"), F.min("attempt").alias("attempt"))
+    first = free.filter((F.col("real") == 0) & (F.col("part") == F.col("other"))).groupBy("part_kind", "part").agg(F.min(F.struct("attempt", "drawn")).alias("best"))
+    own = F.concat(F.col("part"), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.col("part_kind"), F.col("part")), 256), 1, 24))
+    own = F.regexp_replace(own, r"\A.*-", "X-")
+    chosen = write_shared(each.join(first, ["part_kind", "part"], "left").select("part_kind", "part", F.coalesce("best.drawn", own).alias("drawn")), "name-parts")
+    of = lambda kind: chosen.filter(F.col("part_kind") == kind).select(F.col("part").alias(kind), F.col("drawn").alias(f"new_{kind}"))
+    both = spelled.join(of("family"), "family").join(of("given"), "given", "left")
+    return both.select(F.lit("name").alias("kind"), "entity", F.concat_ws(" ", "new_given", "new_family").alias("surrogate"))
 
-    A draw is taken if no other entity makes it in any attempt and it is no real
-    entity; every entity takes its first such draw. That needs no rounds.
-    """
-    entities = found.groupBy("kind", "entity").agg(F.max((F.col("gender") == "f").cast("int")).alias("f"), F.max((F.col("gender") == "m").cast("int")).alias("m"))
-    entities = entities.withColumn("canon", canonical(F.col("kind"), F.col("entity")))
-    known = entities.groupBy("kind", "canon").agg(F.min("entity").alias("form"), F.max("f").alias("f"), F.max("m").alias("m"))
-    known = known.withColumn("gender", F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n"))
-    draws = known.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    draws = draws.withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("form"), F.col("gender"), F.col("attempt"), key)))
-    claims = draws.select("kind", "drawn", "canon", "attempt", F.lit(0).alias("real")).unionAll(
-        known.select("kind", F.col("canon").alias("drawn"), "canon", F.lit(0).alias("attempt"), F.lit(1).alias("real"))
-    )
-    free = claims.groupBy("kind", "drawn").agg(F.max("real").alias("real"), F.min("canon").alias("canon"), F.max("canon").alias("other"), F.min("attempt").alias("attempt"))
-    first = free.filter((F.col("real") == 0) & (F.col("canon") == F.col("other"))).groupBy("kind", "canon").agg(F.min("attempt").alias("attempt"))
-    chosen = known.select("kind", "canon", "gender").join(first, ["kind", "canon"], "left")
-    named = entities.select("kind", "entity", "canon").join(chosen, ["kind", "canon"])
-    plain = surrogate(F.col("kind"), F.col("entity"), F.col("gender"), F.coalesce("attempt", F.lit(attempts)), key)
-    own = F.concat(plain, F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.col("kind"), F.col("canon")), 256), 1, 24))
-    return named.select("kind", "entity", F.when(F.col("attempt").isNull(), own).otherwise(plain).alias("surrogate"))
+
+def assign(found: DataFrame, key: str = DEFAULT_KEY, attempts: int = ATTEMPTS) -> DataFrame:
+    """(kind, entity, surrogate): distinct entities of a type get distinct surrogates, none of them a real entity."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entities = found.filter("kind <> 'name'").select("kind", "entity").distinct().withColumn("canon", canonical(F.col("kind"), F.col("entity")))
+    entities = write_shared(entities, "spellings")
+    # few rows, much work on each: dealt evenly
+    known = entities.select("kind", "canon").distinct().repartition(parts, "kind", "canon")
+    known = write_shared(known.withColumn("drawn", image(F.col("kind"), F.col("canon"), key)), "images")
+    # an image that is a real entity, or was taken before, is left to the next permutation: a small part each time
+    taken = known.select(F.col("kind").alias("t_kind"), F.col("canon").alias("t_drawn"))
+    mapped, waiting = None, known
+    for attempt in range(1, 100):
+        met = (F.col("kind") == F.col("t_kind")) & (F.col("drawn") == F.col("t_drawn"))
+        free = write_shared(waiting.join(taken, met, "left_anti"), "images-free") if mapped is not None else known.join(taken, met, "left_anti")
+        waiting = waiting.join(taken, met, "left_semi").select("kind", "canon", image(F.col("kind"), F.col("canon"), f"{key}#{attempt}").alias("drawn"))
+        mapped = free if mapped is None else mapped.unionAll(free)
+        waiting = write_shared(waiting.distinct(), "images-waiting")
+        if not waiting.limit(1).count():
+            break
+        taken = taken.unionAll(free.select("kind", "drawn"))
+    plain = entities.join(mapped, ["kind", "canon"]).select("kind", "entity", poured(F.col("kind"), F.col("entity"), F.col("drawn")).alias("surrogate"))
+    return plain.unionAll(_named(found, key, attempts))
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:

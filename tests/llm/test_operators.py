@@ -462,28 +462,56 @@ def test_leaks_by_join_equal_leaks_by_literal(spark, monkeypatch):
 # -- 5
 
 
+def luhn(digits):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
 def test_surrogates(spark):
-    text = "Mrs. Anna Smith met Mr Ivan Petrov and Dr. Smith. Call +1 (743) 555-3824 or +1 743 555 3824; a.B@c.org at 10.1.2.3 4785380592391139 078-05-1120 token = \"24be64439e3e49cf46b2d7c90f3602a3\""
-    rows = [(1, text), (2, "Call +1 (743) 555-3824, a.B@c.org"), (3, None), (4, ""), (5, "nothing 12 here"), (2, "Call +1 (743) 555-3824, a.B@c.org")]
+    text = "Mrs. Anna Smith met Mr Ivan Petrov and Dr. Smith. Call +1 (743) 555-3824 or +1 743 555 3824; a.B@c.org at 10.1.2.3 4532015112830366 078-05-1120 Token = \"24be64439e3e49cf46b2d7c90f3602a3\" GB82 WEST 1234 5698 7654 32"
+    rows = [(1, text), (2, "Call +1 (743) 555-3824, a.B@c.org"), (3, None), (4, ""), (5, "nothing 12 here"), (2, "Call +1 (743) 555-3824, a.B@c.org"), (6, "Tel +1743 555 3824 of Ms. Clara Smith, A.b@C.org")]
     got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = {r.doc_id: r for r in got}
-    assert by[1].n_entities == 10 and by[2].n_entities == 2 and by[3].text is None and by[4].text == "" and by[5].text == "nothing 12 here"
-    for old in ("Anna", "Ivan", "743", "a.B@c.org", "4785380592391139", "078-05-1120", "24be64439e"):
+    assert by[1].n_entities == 11 and by[2].n_entities == 2 and by[3].text is None and by[4].text == "" and by[5].text == "nothing 12 here" and by[6].n_entities == 3
+    for old in ("Anna", "Ivan", "Smith", "743", "a.B@c.org", "4532015112830366", "078-05-1120", "24be64439e", "1234 5698"):
         assert old not in by[1].text
     number = by[2].text.split("Call ")[1].split(",")[0]
+    digits = lambda t: "".join(c for c in t if c.isdigit())
     assert number in by[1].text and number[:4] == "+1 (" and len(number) == 17
-    assert "".join(c for c in number if c.isdigit()) in "".join(c for c in by[1].text.split("or ")[1] if c.isdigit())
-    assert by[1].text.split("Mrs. ")[1].split()[0] in surrogates.NAMES["latin", "f"] and by[1].text.split("Mr ")[1].split()[0] in surrogates.NAMES["latin", "m"]
+    assert digits(number) in digits(by[1].text.split("or ")[1]) and digits(number) == digits(by[6].text.split(" of ")[0])
+    first, second = by[1].text.split("Mrs. ")[1].split()[:2]
+    assert first in surrogates.NAMES["latin", "f"] and by[1].text.split("Mr ")[1].split()[0] in surrogates.NAMES["latin", "m"]
+    assert f"Dr. {second}." in by[1].text and by[6].text.split("Ms. ")[1].split()[1] == second + "," and by[6].text.split("Ms. ")[1].split()[0] != first
+    assert by[2].text.split(", ")[1] == by[6].text.split(", ")[1]
+    card = by[1].text.split("10.1.2.3 ")[-1] if "10.1.2.3 " in by[1].text else next(w for w in by[1].text.split() if len(w) == 16 and w.isdigit())
+    assert card[:2] == "45" and luhn(card)
+    iban = by[1].text.split('" ')[1].replace(" ", "")
+    assert iban[:2] == "GB" and iban[4:8].isalpha() and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
 def test_surrogates_stay_distinct(spark):
-    found = spark.createDataFrame([("ip", f"10.0.{a}.{b}", "n") for a in range(30) for b in range(30)] + [("name", f"A{k} B{k}", "f") for k in range(300)], "kind string, entity string, gender string")
+    rows = [("ip", f"10.0.{a}.{b}", "n") for a in range(30) for b in range(30)] + [("name", f"A{k % 40} B{k}", "f") for k in range(300)]
+    rows += [("ssn", f"{k:03d}-00-{j:04d}", "n") for k in range(20) for j in range(20)] + [("phone", f"+49 30 {k:03d} {k * 7 % 1000:03d}", "n") for k in range(400)] + [("card", f"41111111{k:08d}", "n") for k in range(300)]
+    rows += [("email", f"{a}{b}@d{k}.org", "n") for a in "abcde" for b in "xyz" for k in range(8)] + [("phone", f"12 3{k:02d} {j:03d}", "n") for k in range(100) for j in range(0, 1000, 10)]
+    found = spark.createDataFrame(rows, "kind string, entity string, gender string")
     table = surrogates.assign(found).collect()
-    assert len(table) == 1200 and len({(r.kind, r.surrogate) for r in table}) == 1200
-    assert not {r.surrogate for r in table} & {r.entity for r in table}
+    assert len(table) == len(set(rows)) == len({(r.kind, r.surrogate) for r in table})
+    assert not {(r.kind, r.surrogate) for r in table} & {(r.kind, r.entity) for r in table}
+    names = {r.entity: r.surrogate.split() for r in table if r.kind == "name"}
+    assert len({(n.split()[0], s[0]) for n, s in names.items()}) == 40 and not any("X-" in r.surrogate for r in table)
+    again = {(r.kind, r.entity): r.surrogate for r in surrogates.assign(found, key="other").collect()}
+    assert sum(again[r.kind, r.entity] == r.surrogate for r in table) < 0.02 * len(table)
     assert surrogates.replace_entities(hard(spark)).count() == 8 and surrogates.replace_entities(hard(spark).limit(0)).count() == 0
 
 
+def test_permutations_have_no_two_equal_images(spark):
+    strings = [f"{k:04d}" for k in range(10_000)] + [f"{a}{k}{b}" for a in "abcdefgh" for k in range(10) for b in "XYZ"]
+    df = spark.createDataFrame([(x,) for x in strings], "s string").withColumn("t", surrogates.permuted(F.col("s"), F.lit("k"), "key"))
+    rows = df.collect()
+    assert len({r.t for r in rows}) == len(strings)
+    kind = lambda x: ["d" if c.isdigit() else "l" if c.islower() else "u" for c in x]
+    assert all(kind(r.s) == kind(r.t) for r in rows) and sum(r.s == r.t for r in rows) < 20
+
+
 def test_nothing_of_the_small_corpus_survives(spark):
     docs = documents(spark)
     before = {r.entity for r in surrogates.detect(docs).filter("kind IN ('email', 'card', 'secret')").collect()}
