@@ -30,7 +30,7 @@ PER_CLASS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 25
 GRAM = 3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Character classes: other letters and bytes, then the ones that set texts apart.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "|", "!?", "#$%&*", "<>{}[]()=/\\", "'\"-_@+~^`")
 N_CLASSES = len(CLASSES) + 1
@@ -93,7 +93,7 @@ def _blocks(column, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndar
     data, offsets = text_bytes(column)
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, min(first + 1024, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1))
+        last = max(first + 1, min(first + 256, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
