@@ -13,6 +13,7 @@ from pageloom.operators import dom
 MOST_BUTTONS, MOST_FORMS = 30, 10
 #: Verbs of submit buttons; step words; parts of a booking bar. Fixed values.
 SUBMIT = "submit|send|book|reserve|save|go|apply|confirm|order|buy|purchase|изпрати|запази|резерв|senden|buchen|prenota|réserver|reservar|enviar|envoyer|bestellen|comprar|acheter|acquista"
+NOT_OPTIONS = "next|back|prev|forward|submit|send|cancel|close|continue|save|book|reserve|confirm|order|buy|напред|назад|изпрати|запази|резерв|затвори|отказ|weiter|zurück|siguiente|anterior|suivant|précédent|avanti|indietro|dalej|wstecz|ileri|geri"
 STEP_CLASSES = "step|wizard|multi-?step|progress|stepper"
 BAR = {
     "check_in": r"check\s*-?in|arrival|checkin|пристигане|настаняване|anreise|arrivée|llegada|arrivo|приезд|giriş",
@@ -114,8 +115,42 @@ def _required(m: Column, label: Column) -> Column:
     return dom.has_attr(m, "required") | (dom.attr(m, "aria-required") == "true") | dom.like(label, r"\*|задължително|required")
 
 
+def _button_groups(root: Column, option) -> Column:
+    """Pressed, radio-role and segmented buttons by the label of their parent, then sibling buttons with short option texts."""
+    inner = dom.below(root)
+    said = lambda m: trim_ws(dom.raw_text(m))
+    parent = lambda m: F.get(F.col("nodes"), m["pid"])
+    marked = lambda m: ((m["tag"] == "button") & dom.has_attr(m, "aria-pressed")) | (dom.attr(m, "role") == "radio")
+    segmented = lambda m: (m["tag"] == "button") & dom.inside(m, lambda a: dom.has_class(a, "segmented"))
+    pressed = F.filter(inner, lambda m: (marked(m) | segmented(m)) & ~m["hidden"] & (F.length(said(m)) >= 2))
+    titled = F.transform(pressed, lambda m: F.struct(let(parent(m), lambda p: F.when(p.isNotNull(), field_label(p, True)).otherwise("")).alias("label"), option(said(m), said(m), m).alias("option")))
+    group = lambda label, options, needed, name: F.struct(name.alias("name"), label.alias("label"), needed.alias("required"), F.lit("button_group").alias("type"), options.alias("options"))
+    own = lambda t, label: F.transform(F.filter(t, lambda x: x["label"] == label), lambda x: x["option"])
+    first = let(titled, lambda t: F.transform(F.array_distinct(F.transform(t, lambda x: x["label"])), lambda label: group(label, own(t, label), F.lit(False), F.when(label != "", label).otherwise("button_group"))))
+
+    plain = lambda m: (m["tag"] == "button") & ~m["hidden"]
+    starts = F.filter(inner, lambda m: plain(m) & ~marked(m))
+    boxes = F.array_distinct(F.transform(starts, lambda m: m["pid"]))
+
+    def box(i: Column) -> Column:
+        p = F.get(F.col("nodes"), i)
+        beside = F.filter(dom.below(p), lambda m: plain(m) & ((m["pid"] == i) | (parent(m)["pid"] == i)))
+        options = F.filter(beside, lambda m: F.length(said(m)).between(1, 30) & ~dom.like(said(m), NOT_OPTIONS))
+        before = dom.first_of(F.reverse(F.filter(F.col("nodes"), lambda m: (m["pid"] == p["pid"]) & (m["nid"] < i))))
+        spoken = let(before, lambda b: F.when(b.isNotNull() & F.length(said(b)).between(2, 60), said(b)))
+        label = F.coalesce(spoken, field_label(p, True))
+        clean = trim_ws(F.regexp_replace(label, r"\s*\*\s*$", ""))
+        made = group(clean, F.transform(options, lambda m: option(said(m), said(m), m)), dom.like(label, r"\*|задължително|required"), F.when(clean != "", clean).otherwise("button_choice"))
+        return F.when((F.size(beside) >= 2) & (F.size(options) >= 2), made)
+
+    # of groups with one name the first stays
+    second = F.filter(F.transform(boxes, box), lambda g: g.isNotNull())
+    once = let(second, lambda s: F.filter(s, lambda g, i: ~F.exists(F.slice(s, 1, i), lambda o: o["name"] == g["name"])))
+    return let(first, lambda f: F.concat(f, F.filter(once, lambda g: ~F.exists(f, lambda o: o["name"] == g["name"]))))
+
+
 def choices_of(root: Column) -> Column:
-    """Radio groups by name, then selects without their placeholder options: (name, label, required, type, options)."""
+    """Radio groups by name, button groups, then selects without their placeholder options: (name, label, required, type, options)."""
     inner = dom.below(root)
     option = lambda v, label, m: F.struct(v.alias("value"), label.alias("label"), selector_candidates(m).alias("selector_candidates"))
     radios = F.filter(inner, lambda m: (m["tag"] == "input") & (F.lower(dom.attr(m, "type")) == "radio") & (dom.attr(m, "name") != ""))
@@ -131,7 +166,7 @@ def choices_of(root: Column) -> Column:
         name = F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), m["id"])
         return F.struct(name.alias("name"), field_label(m, True).alias("label"), dom.has_attr(m, "required").alias("required"), F.lit("select").alias("type"), F.transform(options, lambda o: option(F.when(dom.has_attr(o, "value"), dom.attr(o, "value")).otherwise(dom.text_of(o)), dom.text_of(o), o)).alias("options"))
 
-    return F.concat(F.transform(F.array_distinct(F.transform(radios, lambda m: dom.attr(m, "name"))), group), F.transform(F.filter(inner, lambda m: m["tag"] == "select"), select))
+    return F.concat(F.transform(F.array_distinct(F.transform(radios, lambda m: dom.attr(m, "name"))), group), _button_groups(root, option), F.transform(F.filter(inner, lambda m: m["tag"] == "select"), select))
 
 
 def _schema(root: Column) -> Column:
@@ -156,21 +191,21 @@ def _meaningful(s: Column) -> Column:
     return F.exists(s["fields"], lambda f: ~f["type"].isin("hidden", "submit", "button", "reset", "image"))
 
 
-def cap_forms(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, url, kind, ord, schema_json, dom_snapshot) of forms with a meaningful field."""
+def _form_rows() -> Column:
+    """Structs (ord, schema_json, dom_snapshot) of forms with a meaningful field, null of others."""
     row = lambda f: let(_schema(f), lambda s: F.when(_meaningful(s), F.struct(f["nid"].alias("ord"), F.to_json(F.struct(s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), dom.attr(f, "action").alias("action"), F.lower(F.coalesce(F.nullif(dom.attr(f, "method"), F.lit("")), F.lit("get"))).alias("method"))).alias("schema_json"), F.substring(dom.text_of(f), 1, 4000).alias("dom_snapshot"))))
-    return _capabilities(pages_dom, F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), row), "form")
+    return F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), row)
 
 
-def cap_wizards(pages_dom: DataFrame) -> DataFrame:
+def _wizard_rows() -> Column:
     """Wizards outside forms: elements of a step class with at least two inputs, the innermost of each."""
     steps = lambda n: dom.like(F.concat_ws(" ", n["cls"], n["id"]), STEP_CLASSES) & ~n["hidden"] & (F.size(_fields(n)) >= 2) & ~dom.within(n, lambda a: a["tag"] == "form")
     row = lambda r: let(_schema(r), lambda s: F.when(_meaningful(s), F.struct(r["nid"].alias("ord"), F.to_json(F.struct(s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), F.lit(True).alias("is_multi_step"), text.total_steps(dom.text_of(r)).alias("total_steps"), F.lit("").alias("action"), F.lit("post").alias("method"))).alias("schema_json"), F.substring(dom.text_of(r), 1, 4000).alias("dom_snapshot"))))
     roots = let(dom.select_nodes(steps), lambda found: F.filter(found, lambda n: ~F.exists(found, lambda m: F.array_contains(m["anc"], n["nid"]))))
-    return _capabilities(pages_dom, F.transform(roots, row), "wizard")
+    return F.transform(roots, row)
 
 
-def cap_widgets(pages_dom: DataFrame) -> DataFrame:
+def _widget_rows() -> Column:
     """Iframes with a source: vendor and whether they look like booking."""
 
     def row(n: Column) -> Column:
@@ -180,11 +215,11 @@ def cap_widgets(pages_dom: DataFrame) -> DataFrame:
         schema = F.struct(dom.attr(n, "src").alias("src"), dom.attr(n, "title").alias("title"), dom.attr(n, "name").alias("name"), vendor.alias("vendor"), (~n["hidden"]).alias("visible"), lexicon.booking_like(said).alias("booking_like"), F.array(hint).alias("selector_candidates"))
         return F.struct(n["nid"].alias("ord"), F.to_json(schema).alias("schema_json"), F.lit(None).cast("string").alias("dom_snapshot"))
 
-    return _capabilities(pages_dom, F.transform(dom.select_nodes(lambda n: (n["tag"] == "iframe") & (dom.attr(n, "src") != "")), row), "booking_widget")
+    return F.transform(dom.select_nodes(lambda n: (n["tag"] == "iframe") & (dom.attr(n, "src") != "")), row)
 
 
-def cap_availability(pages_dom: DataFrame) -> DataFrame:
-    """Availability: visible booking iframes, date inputs, calendar containers, scored booking bars."""
+def _availability_rows() -> Column:
+    """Availability: visible booking iframes, date inputs, calendar containers."""
     said = lambda n: F.concat_ws(" ", dom.attr(n, "src"), dom.attr(n, "title"), dom.attr(n, "name"))
     as_row = lambda o, s: F.struct(o.alias("ord"), F.to_json(s).alias("schema_json"), F.lit(None).cast("string").alias("dom_snapshot"))
 
@@ -198,12 +233,11 @@ def cap_availability(pages_dom: DataFrame) -> DataFrame:
     calendars = F.slice(dom.select_nodes(lambda n: (dom.cls_has(n, "calendar", "datepicker") | dom.id_has(n, "calendar", "datepicker")) & ~n["hidden"]), 1, 8)
     boxes = F.transform(calendars, lambda n: F.struct(selector_candidates(n).alias("selector_candidates"), F.substring(trim_ws(dom.raw_text(n)), 1, 120).alias("text_hint")))
     some = lambda a, o, s: F.when(F.size(a) > 0, F.array(as_row(F.lit(o), s))).otherwise(F.array().cast("array<struct<ord:int,schema_json:string,dom_snapshot:string>>"))
-    every = F.concat(frames, some(dates, 1_000_000, F.struct(dated.alias("date_inputs"))), some(calendars, 1_000_001, F.struct(boxes.alias("calendar_containers"))))
-    return _capabilities(pages_dom, every, "availability").unionByName(_bar_capabilities(pages_dom))
+    return F.concat(frames, some(dates, 1_000_000, F.struct(dated.alias("date_inputs"))), some(calendars, 1_000_001, F.struct(boxes.alias("calendar_containers"))))
 
 
-def score_booking_bars(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, url, ord, score, execution_grade, signals): containers of a call to action that look like a booking bar, six a page.
+def _bars() -> Column:
+    """Structs (ord, score, execution_grade, signals, good): containers of a call to action that look like a booking bar, six a page.
 
     Up to eight containers above each action are scored: check-in 2, check-out 2, guests 1, action 2, three or
     more signals 1, two or more controls 1, an action and two inputs 2 more. Needed are check-in, check-out or
@@ -231,22 +265,49 @@ def score_booking_bars(pages_dom: DataFrame) -> DataFrame:
 
         return let(flags, total)
 
-    best = F.slice(F.sort_array(F.transform(F.filter(F.transform(places, scored), lambda x: x["good"]), lambda x: F.struct((-x["score"]).alias("s"), x["ord"].alias("ord"), x.alias("x")))), 1, 6)
-    rows = pages_dom.select("page_id", "site", "url", F.explode(best).alias("b"))
-    return rows.select("page_id", "site", "url", "b.x.ord", "b.x.score", "b.x.execution_grade", "b.x.signals")
+    best = F.sort_array(F.transform(F.filter(F.transform(places, scored), lambda x: x["good"]), lambda x: F.struct((-x["score"]).alias("s"), x["ord"].alias("ord"), x.alias("x"))))
+    return F.transform(F.slice(best, 1, 6), lambda b: b["x"])
+
+
+def score_booking_bars(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, url, ord, score, execution_grade, signals) of the booking bars of each page."""
+    rows = pages_dom.select("page_id", "site", "url", F.explode(_bars()).alias("b"))
+    return rows.select("page_id", "site", "url", "b.ord", "b.score", "b.execution_grade", "b.signals")
+
 
+def _bar_rows() -> Column:
+    fields = lambda b: F.struct(*[b["signals"][k].alias(k) for k in ("check_in", "check_out", "guests")])
+    schema = lambda b: F.to_json(F.struct(F.lit("booking_bar").alias("ui_type"), b["score"].alias("score"), b["execution_grade"].alias("execution_grade"), fields(b).alias("detected_fields")))
+    return F.transform(_bars(), lambda b: F.struct((b["ord"] + 2_000_000).alias("ord"), schema(b).alias("schema_json"), F.lit(None).cast("string").alias("dom_snapshot")))
 
-def _bar_capabilities(pages_dom: DataFrame) -> DataFrame:
-    bars = score_booking_bars(pages_dom)
-    schema = F.to_json(F.struct(F.lit("booking_bar").alias("ui_type"), F.col("score"), F.col("execution_grade"), F.struct("signals.check_in", "signals.check_out", "signals.guests").alias("detected_fields")))
-    return bars.select("page_id", "site", "url", F.lit("availability").alias("kind"), (F.col("ord") + 2_000_000).alias("ord"), schema.alias("schema_json"), F.lit(None).cast("string").alias("dom_snapshot"))
 
+def _capabilities(pages_dom: DataFrame, **rows: Column) -> DataFrame:
+    """(page_id, site, url, kind, ord, schema_json, dom_snapshot): the arrays of all kinds are made in one pass over the page."""
+    typed = lambda kind, a: F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), x["ord"].cast("int").alias("ord"), x["schema_json"].alias("schema_json"), x["dom_snapshot"].alias("dom_snapshot")))
+    every = F.concat(*[typed(kind, a) for kind, a in rows.items()])
+    return pages_dom.select("page_id", "site", "url", F.explode(every).alias("c")).select("page_id", "site", "url", "c.*")
 
-def _capabilities(pages_dom: DataFrame, rows: Column, kind: str) -> DataFrame:
-    found = pages_dom.select("page_id", "site", "url", F.lit(kind).alias("kind"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("c"))
-    return found.select("page_id", "site", "url", "kind", "c.ord", "c.schema_json", "c.dom_snapshot")
+
+def cap_forms(pages_dom: DataFrame) -> DataFrame:
+    """Capabilities of kind form."""
+    return _capabilities(pages_dom, form=_form_rows())
+
+
+def cap_wizards(pages_dom: DataFrame) -> DataFrame:
+    """Capabilities of kind wizard."""
+    return _capabilities(pages_dom, wizard=_wizard_rows())
+
+
+def cap_widgets(pages_dom: DataFrame) -> DataFrame:
+    """Capabilities of kind booking_widget."""
+    return _capabilities(pages_dom, booking_widget=_widget_rows())
+
+
+def cap_availability(pages_dom: DataFrame) -> DataFrame:
+    """Capabilities of kind availability: booking frames, date inputs, calendars, booking bars."""
+    return _capabilities(pages_dom, availability=F.concat(_availability_rows(), _bar_rows()))
 
 
 def page_capabilities(pages_dom: DataFrame) -> DataFrame:
     """All capabilities of each page."""
-    return cap_forms(pages_dom).unionByName(cap_wizards(pages_dom)).unionByName(cap_widgets(pages_dom)).unionByName(cap_availability(pages_dom))
+    return _capabilities(pages_dom, form=_form_rows(), wizard=_wizard_rows(), booking_widget=_widget_rows(), availability=F.concat(_availability_rows(), _bar_rows()))

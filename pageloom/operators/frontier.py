@@ -23,21 +23,21 @@ def _settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl_frontier(home: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def crawl_frontier(home: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, most: int | None = None) -> DataFrame:
     """(site, url, url_key, depth, priority, seq) of every page reached from the homes.
 
-    ``home`` has site and url; ``links`` has site, src_key, dst_url, dst_key, ord and source. Links of
-    the home page come from its navigation and mined links only; those that match the
-    priority rule come first. Links that the skip rule names are not followed. At most ``max_depth``
+    ``home`` has site and url; ``links`` has site, src_key, dst_url, dst_key, ord and, optionally, source: then links of
+    the home page come from its navigation and mined links only, not from those whose source is ``all``. Links of a home page that match the
+    priority rule come first. With ``most``, only so many first pages of each site are kept, and ranked. Links that the skip rule names are not followed. At most ``max_depth``
     rounds: join with the links of the last round's pages, drop what was seen (left anti), keep the first.
     """
-    good = links.filter(~urls.is_skippable_url(F.col("dst_url"))).select("site", "src_key", "dst_url", "dst_key", "ord")
-    good = good.groupBy("site", "src_key", "dst_key").agg(F.min_by("dst_url", "ord").alias("dst_url"), F.min("ord").alias("ord"))
+    good = links.filter(~urls.is_skippable_url(F.col("dst_url"))).withColumn("of_home", F.col("source") != "all" if "source" in links.columns else F.lit(True))
+    good = good.groupBy("site", "src_key", "dst_key").agg(F.min_by("dst_url", "ord").alias("dst_url"), F.min("ord").alias("ord"), F.max("of_home").alias("of_home"))
     good = _settled(good, "frontier-links")
     seen = home.select("site", "url", urls.url_key(F.col("url")).alias("url_key"), F.lit(0).alias("depth"), F.lit(True).alias("priority"), F.lit("").alias("via"), F.lit(0).cast("long").alias("ord")).dropDuplicates(["site", "url_key"])
     last = seen = _settled(seen, "frontier")
     for depth in range(1, max_depth + 1):
-        step = last.select("site", F.col("url_key").alias("src_key"), "via").join(good, ["site", "src_key"])
+        step = last.select("site", F.col("url_key").alias("src_key"), "via").join(good.filter("of_home") if depth == 1 else good, ["site", "src_key"])
         new = step.join(seen.select("site", F.col("url_key").alias("dst_key")), ["site", "dst_key"], "left_anti")
         first = new.groupBy("site", F.col("dst_key").alias("url_key")).agg(F.min(F.struct("via", "ord", "dst_url", "src_key")).alias("f"))
         last = first.select("site", F.col("f.dst_url").alias("url"), "url_key", F.lit(depth).alias("depth"), (urls.is_priority_url(F.col("f.dst_url")) if depth == 1 else F.lit(False)).alias("priority"), F.col("f.src_key").alias("via"), F.col("f.ord").cast("long").alias("ord"))
@@ -46,7 +46,9 @@ def crawl_frontier(home: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH
         if not last.limit(1).count():
             break
     order = Window.partitionBy("site").orderBy(F.desc("priority"), "depth", "via", "ord", "url_key")
-    return seen.withColumn("seq", F.row_number().over(order)).select("site", "url", "url_key", "depth", "priority", "seq")
+    ranked = seen.withColumn("seq", F.row_number().over(order))
+    ranked = ranked.filter(F.col("seq") <= most) if most is not None else ranked  # known to the ranking: each task keeps so many of a site
+    return ranked.select("site", "url", "url_key", "depth", "priority", "seq")
 
 
 def visited_pages(frontier: DataFrame, kept_pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:

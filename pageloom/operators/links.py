@@ -46,31 +46,45 @@ def extract_nav_links(pages_dom: DataFrame) -> DataFrame:
     return _links(pages_dom, _hrefs(lambda n: _anchor(n) & dom.inside(n, test)), "nav")
 
 
+def _found(pages_dom: DataFrame, general: Column) -> DataFrame:
+    """(page_id, site, src_url, ord, href, dst_url, dst_key, source) of all anchors, and of pages that are ``general`` of the mined links; one pass over the page.
+
+    Mined are anchors with a path, data attributes and onclick locations, product-like paths and anchors in cards; the last three lose their query.
+    """
+    in_card = lambda n: dom.inside(n, lambda m: dom.cls_has(m, *CARDS) | dom.tagged(m, "article"))
+    entry = lambda ord_, href, data, card: F.struct(ord_.alias("ord"), href.alias("href"), data.alias("data"), card.alias("card"))
+    anchors = F.transform(dom.select_nodes(_anchor), lambda n: entry(n["nid"], dom.attr(n, "href"), F.lit(False), F.when(general, in_card(n)).otherwise(False)))
+    attributes = F.flatten(F.transform(F.col("nodes"), lambda n: F.array(*[entry(n["nid"], dom.attr(n, a), F.lit(True), F.lit(False)) for a in DATA_URLS], entry(n["nid"], F.regexp_extract(dom.attr(n, "onclick"), ONCLICK, 1), F.lit(True), F.lit(False)))))
+    attributes = F.filter(attributes, lambda x: (x["href"] != "") & ~x["href"].rlike("^(?:javascript|mailto):"))
+    rows = pages_dom.select("page_id", "site", "url", "base_origin", general.alias("general"), F.explode(F.when(general, F.concat(anchors, attributes)).otherwise(anchors)).alias("h"))
+    rows = rows.select("page_id", "site", F.col("url").alias("src_url"), "general", "h.*", urls.resolve_href(F.col("h.href"), F.when(F.col("h.data"), F.col("base_origin")).otherwise(F.col("url"))).alias("whole"))
+    bare = urls.path(F.col("whole"))
+    cut = F.regexp_replace("whole", r"\?.*", "")
+    kind = lambda name, url, test: F.when(test, F.struct(F.lit(name).alias("source"), url.alias("dst_url")))
+    plain, mined = ~F.col("data"), F.col("general")
+    kinds = F.array(
+        kind("all", F.col("whole"), plain),
+        kind("anchor", F.col("whole"), mined & plain & (F.length(bare) > 1)),
+        kind("data", cut, mined & F.col("data") & (F.length(bare) > 2) & ~bare.endswith("/")),
+        kind("product", cut, mined & plain & (dom.like(bare, PRODUCT_PATH) | dom.like(bare, DEEP_SLUG))),
+        kind("card", cut, mined & F.col("card") & (F.length(bare) > 2)),
+    )
+    rows = rows.filter(F.col("whole").isNotNull()).select("page_id", "site", "src_url", "ord", "href", urls.url_key(F.col("whole")).alias("dst_key"), F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("k"))
+    return rows.select("page_id", "site", "src_url", "ord", "href", "k.dst_url", "dst_key", "k.source")
+
+
 def mine_links(pages_dom: DataFrame) -> DataFrame:
     """Links beyond plain anchors: data attributes, onclick locations, product-like paths, cards."""
-    direct = _links(pages_dom, _hrefs(_anchor), "anchor").filter(F.length(urls.path(F.col("dst_url"))) > 1)
-    from_data = F.flatten(
-        F.transform(
-            F.col("nodes"),
-            lambda n: F.filter(F.array(*[F.struct(n["nid"].alias("ord"), dom.attr(n, a).alias("href")) for a in DATA_URLS]), lambda x: x["href"] != ""),
-        )
-    )
-    on_click = F.filter(F.transform(F.col("nodes"), lambda n: F.struct(n["nid"].alias("ord"), F.regexp_extract(dom.attr(n, "onclick"), ONCLICK, 1).alias("href"))), lambda x: x["href"] != "")
-    bare = urls.path(F.col("dst_url"))
-    attempts = F.filter(F.concat(from_data, on_click), lambda x: ~x["href"].rlike("^(?:javascript|mailto):"))
-    data = _links(pages_dom, attempts, "data", F.col("base_origin")).filter((F.length(bare) > 2) & ~bare.endswith("/"))
-    product = _links(pages_dom, _hrefs(_anchor), "product").filter(dom.like(bare, PRODUCT_PATH) | dom.like(bare, DEEP_SLUG))
-    in_card = lambda n: _anchor(n) & dom.inside(n, lambda m: dom.cls_has(m, *CARDS) | dom.tagged(m, "article"))
-    card = _links(pages_dom, _hrefs(in_card), "card").filter(F.length(bare) > 2)
-    cut = data.unionByName(product).unionByName(card).withColumn("dst_url", F.regexp_replace("dst_url", r"\?.*", ""))
-    return direct.unionByName(cut).groupBy("page_id", "site", "src_url", "dst_url", "dst_key").agg(F.min("ord").alias("ord"), F.min_by("href", "ord").alias("href"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source"))
+    found = _found(pages_dom, F.lit(True)).filter("source <> 'all'")
+    return found.groupBy("page_id", "site", "src_url", "dst_url", "dst_key").agg(F.min("ord").alias("ord"), F.min_by("href", "ord").alias("href"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source"))
 
 
 def listing_flags(pages_dom: DataFrame) -> DataFrame:
     """(page_id, is_listing): three or more card-like elements of a kind, or five deep links."""
     many = F.lit(False)
+    holds = lambda c: lambda n: dom.cls_has(n, c)  # noqa: E731  a second parameter would be taken for the element's index
     for c in LISTING_CLASSES:
-        many = many | (F.size(dom.select_nodes(lambda n, c=c: dom.cls_has(n, c))) >= 3)
+        many = many | (F.size(dom.select_nodes(holds(c))) >= 3)
     many = many | (F.size(dom.select_nodes(lambda n: dom.tagged(n, "article"))) >= 3)
     parent = lambda n: F.get(F.col("nodes"), n["pid"])
     many = many | (F.size(dom.select_nodes(lambda n: F.coalesce(dom.cls_has(parent(n), "grid"), F.lit(False)))) >= 3)
@@ -82,7 +96,5 @@ def listing_flags(pages_dom: DataFrame) -> DataFrame:
 
 def page_links(pages_dom: DataFrame) -> DataFrame:
     """All links of each page; of general pages the mined ones too. Distinct by (page, URL)."""
-    kinds = pages_dom.select("page_id", urls.page_type(F.col("url"), F.col("title")).alias("page_type"))
-    mined = mine_links(pages_dom).join(kinds.filter("page_type = 'general'").select("page_id"), "page_id", "left_semi")
-    columns = ["page_id", "site", "src_url", "dst_url", "dst_key", "ord"]
-    return extract_links(pages_dom).select(*columns).unionByName(mined.select(*columns)).groupBy("page_id", "site", "src_url", "dst_url", "dst_key").agg(F.min("ord").alias("ord"))
+    found = _found(pages_dom, urls.page_type(F.col("url"), F.col("title")) == "general")
+    return found.groupBy("page_id", "site", "src_url", "dst_url", "dst_key").agg(F.min("ord").alias("ord"))

@@ -24,7 +24,9 @@ def url_columns(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     return pages.select(
         "page_id", urls.normalize_url(u).alias("normalized"), urls.url_key(u).alias("url_key"), urls.normalize_domain(u).alias("site"), urls.is_skippable_url(u).alias("skippable"),
-        urls.is_priority_url(u).alias("priority"), urls.third_party_class(u, F.lit("script"), F.lit("https://example.com/")).alias("resource_class"),
+        urls.is_priority_url(u).alias("priority"), urls.third_party_class(
+            F.when(F.col("page_id") % 3 == 0, "https://www.googletagmanager.com/gtm.js").otherwise(u), F.when(F.col("page_id") % 4 == 0, "image").when(F.col("page_id") % 4 == 1, "document").otherwise("script"), u,
+        ).alias("resource_class"),
     )
 
 
@@ -148,8 +150,8 @@ def request_lines(spark, sf_dir):
 def latest_orders(spark, sf_dir):
     """Upsert: the latest order of each customer over two halves of the table."""
     orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site_id"), F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("ordered"))
-    latest = io.upsert_site_map(orders.filter("order_key % 2 = 0"), orders.filter("order_key % 2 = 1"), at="ordered")
-    return latest.groupBy("site_id").agg(F.max("ordered").alias("ordered"))
+    orders = orders.withColumn("at", F.struct("ordered", "order_key"))
+    return io.upsert_site_map(orders.filter("order_key % 2 = 0"), orders.filter("order_key % 2 = 1"), at="at").drop("at")
 
 
 def price_texts(spark, sf_dir):
@@ -213,7 +215,7 @@ ORACLE = {
     "site_page_types": f"SELECT {_HOST} AS site, {_type_sql('url')} AS page_type, count(*) AS n_pages FROM pages GROUP BY 1, 2",
     "url_columns": f"""
         SELECT page_id, lower({_group(1)}) || '://' || {_HOST} || {_PATH} AS normalized, {_KEY} AS url_key, {_HOST} AS site,
-               regexp_matches(url, '(?i){_SKIP}') AS skippable, regexp_matches(url, '(?i){urls.PRIORITY}') AS priority, 'kept' AS resource_class
+               regexp_matches(url, '(?i){_SKIP}') AS skippable, regexp_matches(url, '(?i){urls.PRIORITY}') AS priority, CASE WHEN page_id % 4 = 0 THEN 'textless' WHEN page_id % 3 = 0 THEN 'third_party' WHEN page_id % 4 = 1 THEN 'own_document' ELSE 'kept' END AS resource_class
         FROM pages""",
     "url_first_seen": f"SELECT min(page_id) AS page_id, arg_min(url, page_id) AS url, {_KEY} AS url_key FROM pages GROUP BY 3",
     "text_columns": f"""
@@ -274,7 +276,7 @@ ORACLE = {
                CASE WHEN event_id % 5 IN (3, 4) THEN '9000' END AS deadline_ms,
                CASE event_id % 5 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'no_url' END AS reason, count(*) AS n
         FROM events GROUP BY 1, 2, 3, 4""",
-    "latest_orders": "SELECT o_custkey AS site_id, max(o_orderdate) AS ordered FROM orders GROUP BY o_custkey",
+    "latest_orders": "SELECT o_custkey AS site_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_key, max(o_orderdate) AS ordered FROM orders GROUP BY o_custkey",
     "price_texts": """
         WITH p AS (SELECT *, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM part),
         q AS (SELECT *, '€' || price AS shown FROM p)

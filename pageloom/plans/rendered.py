@@ -44,6 +44,38 @@ def jsonld_pages(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def extraction_pages(part: DataFrame) -> DataFrame:
+    """One general page a part: headings, list items with svg, font and image icons, mined links, cards, a dialog; some are placeholders or have no html."""
+    k = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit('<div class="tile-card"><a href="/thing/'), k, F.lit('?q=1">open</a></div>'))
+    html = F.concat(
+        F.lit("<html><head><title>"), F.when(F.col("p_partkey") % 7 == 0, "Just a moment").otherwise(F.col("p_name")), F.lit("</title></head><body><header><nav><a href=\"/n/"), k, F.lit("\">menu</a></nav></header><h1>First "), "p_name",
+        F.lit("</h1><p>About the brand "), "p_brand", F.lit('</p><h2>Second</h2><ul class="features"><li><svg class="lucide-check"></svg>Brand '), "p_brand", F.lit('</li><li><i class="fa-xmark"></i>Type '), "p_type",
+        F.lit('</li><li><img src="/check.png">Size '), F.col("p_size").cast("string"), F.lit('</li></ul><div data-href="/data/'), k, F.lit('x"></div><span onclick="location.href=\'/click/'), k, F.lit("'\"></span>"),
+        F.repeat(card, F.col("p_size") % 6), F.lit('<div role="dialog">Dialog about the part '), k, F.lit(" that is long enough</div></body></html>"),
+    )
+    url = F.concat(F.lit("https://g"), (F.col("p_partkey") % 7).cast("string"), F.lit(".example/g"), k)
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.when(F.col("p_partkey") % 11 != 0, html).alias("html"))
+
+
+def mapped_pages(part: DataFrame) -> DataFrame:
+    """One page a part with a button and a priced card; pages of every third part have no button, so their prices do not count."""
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(F.lit('<html><body><div class="tier-card"><h3>Plan '), k, F.lit('</h3><span class="cost">€'), money_text(F.col("p_retailprice")), F.lit(" one-time</span></div>"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("<button>Buy plan "), k, F.lit("</button>"))), F.lit("</body></html>"))
+    url = F.concat(F.lit("https://m"), (F.col("p_partkey") % 90).cast("string"), F.lit(".example/pricing/"), k)
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def option_pages(customer: DataFrame) -> DataFrame:
+    """One form a customer with pressed buttons, sibling option buttons under a label, and a submit button."""
+    k = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<html><body><form><input name="who"><div aria-label="Room"><button aria-pressed="true">Single '), k, F.lit('</button><button aria-pressed="false">Double</button></div><div><span>Segment *</span><div><button type="button">'),
+        "c_mktsegment", F.lit('</button><button type="button">Other</button><button type="button">Next</button></div></div><p><button type="submit">Send</button></p></form></body></html>'),
+    )
+    return customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://o"), F.col("c_nationkey").cast("string"), F.lit(".example/x/"), k).alias("url"), html.alias("html"))
+
+
 def supplier_phone(k: Column) -> Column:
     return F.concat(F.lit("+359"), F.lpad(k.cast("string"), 8, "0"))
 

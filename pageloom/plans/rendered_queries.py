@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import content, dom, forms, frontier, offers, sites
+from pageloom.operators import content, dom, forms, frontier, links, offers, sites
 from pageloom.plans import rendered
 from pageloom.sources.tables import read_table
 from pageloom.streaming import jobs
@@ -89,6 +89,65 @@ def rendered_site_map(spark, sf_dir):
     return rows.select("site_id", F.size("buttons").alias("n_buttons"), F.size("forms").alias("n_forms"), F.size("prices").alias("n_prices"))
 
 
+def _extraction(spark, sf_dir):
+    return dom.parse_pages(rendered.extraction_pages(read_table(spark, sf_dir, "part")))
+
+
+def rendered_sections(spark, sf_dir):
+    """Sections of general pages: headings, and items marked by their svg, font or image icon."""
+    return content.extract_sections(_extraction(spark, sf_dir)).select("page_id", "site", "heading", "text")
+
+
+def rendered_mined_links(spark, sf_dir):
+    """Mined links of general pages by where they were found."""
+    return links.mine_links(_extraction(spark, sf_dir)).select("page_id", "dst_url", "source")
+
+
+def rendered_listings(spark, sf_dir):
+    """Listing flag: three cards or more."""
+    return links.listing_flags(_extraction(spark, sf_dir)).select("page_id", "is_listing")
+
+
+def rendered_dialogs(spark, sf_dir):
+    """Dialog texts of general pages."""
+    return _extraction(spark, sf_dir).select("page_id", content.dialog_text().alias("dialog"))
+
+
+def rendered_stats(spark, sf_dir):
+    """Statistics of sites with placeholder pages and pages that do not parse."""
+    parsed = _extraction(spark, sf_dir)
+    stats = sites.crawl_stats(parsed, content.page_docs(parsed, keep_all=True))
+    return stats.select("site", "visited", "saved", "errors", F.coalesce(F.try_element_at("by_type", F.lit("general")), F.lit(0)).cast("long").alias("general"))
+
+
+def rendered_price_map(spark, sf_dir):
+    """Prices of each site map: first seen, thirty at most, of pages with a button or form."""
+    parsed = dom.parse_pages(rendered.mapped_pages(read_table(spark, sf_dir, "part")))
+    listed = parsed.select("site").distinct().select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
+    rows = sites.site_map(forms.enrich_buttons(forms.extract_buttons(parsed)), forms.enrich_forms(forms.extract_forms(parsed)), offers.price_mentions(parsed), listed)
+    return rows.select("site_id", F.posexplode("prices").alias("pos", "p")).select("site_id", "pos", "p.text", "p.context")
+
+
+def rendered_button_groups(spark, sf_dir):
+    """Button groups of every form: pressed ones and sibling options."""
+    parsed = dom.parse_pages(rendered.option_pages(read_table(spark, sf_dir, "customer")))
+    rows = parsed.select("page_id", F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c"))
+    return rows.select("page_id", "c.name", "c.type", "c.required", F.array_join(F.transform("c.options", lambda o: o["value"]), ",").alias("options"))
+
+
+def rendered_schemas(spark, sf_dir):
+    """What the capability schemas of every form page say."""
+    caps = forms.page_capabilities(dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))).filter("kind = 'form'")
+    said = lambda path: F.get_json_object("schema_json", path)
+    return caps.select("page_id", "site", said("$.fields[0].name").alias("first_name"), said("$.fields[0].label").alias("first_label"), said("$.fields[0].required").alias("first_required"), said("$.choices[1].options[0].value").alias("segment"), said("$.submit.text").alias("submit"), said("$.method").alias("method"))
+
+
+def tree_visit_order(spark, sf_dir):
+    """The first forty pages of each site in the order of their visit."""
+    home, links_ = _tree(spark, sf_dir)
+    return frontier.crawl_frontier(home, links_, most=frontier.MAX_PAGES).select("site", "seq", "url", "depth")
+
+
 def rendered_portfolio(spark, sf_dir):
     """Page rows with the portfolio pages of large sites condensed."""
     rows = sites.condense_portfolio(rendered.portfolio_pages(read_table(spark, sf_dir, "orders")))
@@ -123,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
-        rendered_site_map, rendered_portfolio, tree_frontier, tree_next_urls, event_recrawls,
+        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
 
@@ -173,6 +232,40 @@ ORACLE = {
         UNION ALL
         SELECT 'c' || o_custkey || '.example', 'https://c' || o_custkey || '.example/projects-summary', md5('ПРОЕКТИ И ЗАВЪРШЕНИ ОБЕКТИ (' || count(*) || ' бр.):' || chr(10) || string_agg(line, chr(10) ORDER BY o_orderkey)), CAST(count(*) * 5 AS INTEGER)
         FROM o WHERE n >= 5 GROUP BY o_custkey""",
+    "rendered_sections": """
+        SELECT p_partkey AS page_id, 'g' || (p_partkey % 7) || '.example' AS site, s.heading, s.text FROM part, LATERAL (SELECT * FROM (VALUES
+            ('First ' || p_name, 'About the brand ' || p_brand), ('Second', '✓ Brand ' || p_brand || ' ✗ Type ' || p_type || ' ✓ Size ' || p_size)) AS v(heading, text)) AS s
+        WHERE p_partkey % 11 <> 0""",
+    "rendered_mined_links": """
+        SELECT p_partkey AS page_id, s.dst_url, s.source FROM part, LATERAL (SELECT * FROM (VALUES
+            ('https://g' || (p_partkey % 7) || '.example/n/' || p_partkey, CASE WHEN len(CAST(p_partkey AS VARCHAR)) >= 6 THEN 'anchor,product' ELSE 'anchor' END),
+            ('https://g' || (p_partkey % 7) || '.example/data/' || p_partkey || 'x', 'data'), ('https://g' || (p_partkey % 7) || '.example/click/' || p_partkey, 'data'),
+            (CASE WHEN p_size % 6 > 0 THEN 'https://g' || (p_partkey % 7) || '.example/thing/' || p_partkey || '?q=1' END, 'anchor'),
+            (CASE WHEN p_size % 6 > 0 THEN 'https://g' || (p_partkey % 7) || '.example/thing/' || p_partkey END, CASE WHEN len(CAST(p_partkey AS VARCHAR)) >= 6 THEN 'card,product' ELSE 'card' END)) AS v(dst_url, source)) AS s
+        WHERE p_partkey % 11 <> 0 AND s.dst_url IS NOT NULL""",
+    "rendered_listings": "SELECT p_partkey AS page_id, p_partkey % 11 <> 0 AND p_size % 6 >= 3 AS is_listing FROM part",
+    "rendered_dialogs": "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'Dialog about the part ' || p_partkey || ' that is long enough' END AS dialog FROM part",
+    "rendered_stats": """
+        SELECT 'g' || (p_partkey % 7) || '.example' AS site, count(*) FILTER (p_partkey % 11 <> 0) AS visited, count(*) FILTER (p_partkey % 7 <> 0 OR p_partkey % 11 = 0) AS saved, count(*) FILTER (p_partkey % 11 = 0 OR p_partkey % 7 = 0) AS errors,
+               count(*) FILTER (p_partkey % 11 <> 0 AND p_partkey % 7 <> 0) AS general
+        FROM part GROUP BY 1""",
+    "rendered_price_map": f"""
+        SELECT 'm' || (p_partkey % 90) || '.example' AS site_id, CAST(r - 1 AS INTEGER) AS pos, regexp_extract('€' || {_PRICE} || ' ', '€[0-9]+[.][0-9]*') AS text, 'Plan ' || p_partkey AS context
+        FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 90 ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 3 <> 0) WHERE r <= 30""",
+    "rendered_button_groups": """
+        SELECT c_custkey AS page_id, k.name, 'button_group' AS type, k.name = 'Segment' AS required, CASE k.name WHEN 'Room' THEN 'Single ' || c_custkey || ',Double' ELSE c_mktsegment || ',Other' END AS options
+        FROM customer, (VALUES ('Room'), ('Segment')) AS k(name)""",
+    "rendered_schemas": f"""
+        SELECT c_custkey AS page_id, {_FORM_SITE} AS site, 'field_' || c_custkey AS first_name, 'Your name *' AS first_label, 'true' AS first_required, c_mktsegment AS segment, 'Book now ' || c_mktsegment AS submit, 'post' AS method FROM customer""",
+    "tree_visit_order": f"""
+        WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT c.*, o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
+        p AS (
+            SELECT DISTINCT n_regionkey, 0 AS depth, {_REGION} AS url, '' AS via, 0 AS ord FROM nation
+            UNION ALL SELECT n_regionkey, 1, {_REGION} || 'n/' || n_nationkey, {_REGION}, n_nationkey FROM nation
+            UNION ALL SELECT n_regionkey, 2, {_REGION} || 'c/' || c_custkey, {_REGION} || 'n/' || n_nationkey, c_custkey FROM c
+            UNION ALL SELECT n_regionkey, 3, {_REGION} || 'o/' || o_orderkey, {_REGION} || 'c/' || c_custkey, o_orderkey FROM o
+        ) SELECT 'region' || n_regionkey || '.example' AS site, CAST(seq AS INTEGER) AS seq, url, depth
+        FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY depth, via, ord, url) AS seq FROM p) WHERE seq <= 40""",
     "tree_frontier": f"""
         WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT c.*, o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
         p AS (

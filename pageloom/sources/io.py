@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
@@ -50,5 +50,5 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet", mode: str = "
 def upsert_site_map(old: DataFrame, new: DataFrame, key: str = "site_id", at: str = "updated_at") -> DataFrame:
     """The latest row of each key of both tables; of equal times, the new table's."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.desc("_new"))
-    return both.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "_new")
+    latest = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*old.columns), F.struct(at, "_new")).alias("_row"))
+    return latest.select("_row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 TTL_SECONDS = 120
+SITE_BUCKETS = 64
 
 
 def suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:
@@ -66,16 +67,18 @@ def stream_stats(docs: DataFrame) -> DataFrame:
 def stream_site_snapshot(docs: DataFrame, folder: str, roll_up: Callable[[DataFrame], DataFrame]):
     """A stream writer that appends each batch of rows and rolls up the sites it touches.
 
-    Rows go to ``folder``/rows by batch; the roll-up of the touched sites over all rows goes to
-    ``folder``/snapshots/batch=n. A batch that runs again overwrites its own output.
+    Rows go to ``folder``/rows by batch and bucket of sites, and only the buckets of the touched sites are read again;
+    their roll-up over all rows goes to ``folder``/snapshots/batch=n. A batch that runs again overwrites its own output.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b={number}")
-        rows = spark.read.parquet(f"{folder}/rows").filter(F.col("batch") <= number)
+        bucket = F.pmod(F.xxhash64("site"), F.lit(SITE_BUCKETS)).cast("int")
+        batch.withColumns({"batch": F.lit(number), "bucket": bucket}).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/b={number}")
         touched = batch.select("site").distinct()
-        roll_up(rows.join(touched, "site", "left_semi").drop("batch", "b")).write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
+        buckets = [r[0] for r in touched.select(bucket).distinct().collect()]  # SITE_BUCKETS at most
+        rows = spark.read.parquet(f"{folder}/rows").filter((F.col("batch") <= number) & F.col("bucket").isin(buckets))
+        roll_up(rows.join(touched, "site", "left_semi").drop("batch", "b", "bucket")).write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
 
     return docs.writeStream.foreachBatch(each)
 
@@ -83,8 +86,8 @@ def stream_site_snapshot(docs: DataFrame, folder: str, roll_up: Callable[[DataFr
 def latest_snapshot(spark, folder: str) -> DataFrame:
     """The newest row of each site over all snapshots."""
     every = spark.read.parquet(f"{folder}/snapshots")
-    w = Window.partitionBy("site").orderBy(F.desc("batch"))
-    return every.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "batch")
+    names = [c for c in every.columns if c != "batch"]
+    return every.groupBy(F.col("site").alias("_site")).agg(F.max_by(F.struct(*names), "batch").alias("_row")).select("_row.*")
 
 
 def requests_of_events(events: DataFrame, key: str = "event_type") -> DataFrame:

@@ -53,6 +53,31 @@ def test_links(spark):
     assert links.listing_flags(parsed(spark, "<article>a</article>" * 3)).first().is_listing
 
 
+def test_pages_are_parsed_once(spark):
+    for name in ("page_all_links", "rendered_capabilities", "rendered_mined_links"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("MapInArrow") == 1, name
+
+
+def test_listing_by_class(spark):
+    pages = parsed(spark, '<div class="tile-card"></div>' * 3, '<div class="tile-card"></div>' * 2, "<p>" * 9, '<a href="/a/long-long-long-slug-of-a-page">x</a>' * 5)
+    assert [r.is_listing for r in links.listing_flags(pages).orderBy("page_id").collect()] == [True, False, False, True]
+
+
+def test_home_links_come_from_navigation(spark):
+    rows = [("s", "https://s/", f"https://s/{k}", f"https://s/{k}", k, src) for k, src in ((1, "nav"), (2, "all"), (3, "card"))] + [("s", "https://s/1", "https://s/4", "https://s/4", 0, "all"), ("s", "https://s/", "https://s/5", "https://s/5", 9, "all"), ("s", "https://s/", "https://s/5", "https://s/5", 9, "nav")]
+    home = spark.createDataFrame([("s", "https://s/")], "site string, url string")
+    table = spark.createDataFrame(rows, "site string, src_key string, dst_url string, dst_key string, ord long, source string")
+    assert [r.url_key for r in frontier.crawl_frontier(home, table).orderBy("seq").collect()] == ["https://s/", "https://s/1", "https://s/3", "https://s/5", "https://s/4"]
+    assert [r.seq for r in frontier.crawl_frontier(home, table, most=2).orderBy("seq").collect()] == [1, 2]
+
+
+def test_button_groups(spark):
+    html = '<form><div><button aria-pressed="true">One</button><button aria-pressed="false">Two</button></div><div><b>Kind *</b><div><button>A</button><button>B</button><button>Next</button></div></div><div><button>Send</button><button>Cancel</button></div></form>'
+    got = parsed(spark, html).select(F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c")).select("c.*").collect()
+    assert [(r.name, r.required, [o.value for o in r.options]) for r in got] == [("button_group", False, ["One", "Two"]), ("Kind", True, ["A", "B"])]
+
+
 def test_forms(spark):
     html = '<form id="f"><label for="n">Your name *</label><input id="n" name="who"><select name="s"><option value="">-</option><option>x</option></select><input type="hidden" name="h"><button>Send</button></form><a class="btn" href="javascript:x()">Go</a><a href="#top">Top</a>'
     pages = parsed(spark, html).cache()
