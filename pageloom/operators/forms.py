@@ -14,7 +14,12 @@ MOST_BUTTONS, MOST_FORMS = 30, 10
 #: Verbs of submit buttons; step words; parts of a booking bar. Fixed values.
 SUBMIT = "submit|send|book|reserve|save|go|apply|confirm|order|buy|purchase|изпрати|запази|резерв|senden|buchen|prenota|réserver|reservar|enviar|envoyer|bestellen|comprar|acheter|acquista"
 NOT_OPTIONS = "next|back|prev|forward|submit|send|cancel|close|continue|save|book|reserve|confirm|order|buy|напред|назад|изпрати|запази|резерв|затвори|отказ|weiter|zurück|siguiente|anterior|suivant|précédent|avanti|indietro|dalej|wstecz|ileri|geri"
-STEP_CLASSES = "step|wizard|multi-?step|progress|stepper"
+NEXT = "submit|send|next|forward|continue|book|reserve|save|confirm|go|apply|изпрати|напред|запази|резерв|weiter|siguiente|suivant|avanti|dalej|ileri"
+TURNS = "next|back|prev|forward|continue|step|напред|назад|стъпка|weiter|zurück|siguiente|anterior|suivant|précédent|avanti|indietro|dalej|wstecz|ileri|geri"
+#: Parts of class names of steps, of what holds them, and of step indicators. Fixed values.
+STEPS = ("step", "wizard")
+STEP_HOLDERS = ("wizard", "step-container", "form-wrapper", "multistep", "multi-step", "stepper")
+STEP_MARKS = ("step-indicator", "progress-step", "step-nav", "stepper", "step-number", "form-progress")
 BAR = {
     "check_in": r"check\s*-?in|arrival|checkin|пристигане|настаняване|anreise|arrivée|llegada|arrivo|приезд|giriş",
     "check_out": r"check\s*-?out|departure|checkout|напускане|заминаване|abreise|départ|salida|partenza|отъезд|çıkış",
@@ -169,8 +174,8 @@ def choices_of(root: Column) -> Column:
     return F.concat(F.transform(F.array_distinct(F.transform(radios, lambda m: dom.attr(m, "name"))), group), _button_groups(root, option), F.transform(F.filter(inner, lambda m: m["tag"] == "select"), select))
 
 
-def _schema(root: Column) -> Column:
-    """struct(fields, choices, submit) of a form-like element."""
+def _schema(root: Column, submit: str = SUBMIT) -> Column:
+    """struct(fields, choices, submit) of a form-like element; the first button with a ``submit`` word, else the first button."""
 
     def field(m: Column) -> Column:
         label = field_label(m, True)
@@ -183,7 +188,7 @@ def _schema(root: Column) -> Column:
 
     buttons = F.filter(dom.below(root), lambda m: ((m["tag"] == "button") | ((m["tag"] == "input") & (dom.attr(m, "type") == "submit")) | (dom.attr(m, "role") == "button")) & ~m["hidden"])
     labelled = F.filter(F.transform(buttons, lambda m: F.struct(F.substring(_shown(m), 1, 80).alias("text"), selector_candidates(m).alias("selector_candidates"))), lambda b: b["text"] != "")
-    best = let(labelled, lambda b: F.coalesce(dom.first_of(F.filter(b, lambda x: dom.like(x["text"], SUBMIT))), dom.first_of(b)))
+    best = let(labelled, lambda b: F.coalesce(dom.first_of(F.filter(b, lambda x: dom.like(x["text"], submit))), dom.first_of(b)))
     return F.struct(F.transform(F.filter(_fields(root), lambda m: F.lower(dom.attr(m, "type")) != "radio"), field).alias("fields"), choices_of(root).alias("choices"), best.alias("submit"))
 
 
@@ -197,12 +202,47 @@ def _form_rows() -> Column:
     return F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), row)
 
 
+def _wizard_roots() -> Column:
+    """Numbers of the roots of wizards outside forms, in document order.
+
+    A root is what holds a step (else the step itself) if an input is seen in it; the nearest of five
+    containers of a step indicator with one such input; the nearest of six of a next or back button with two.
+    """
+    node = lambda i: F.get(F.col("nodes"), i)
+    free = lambda n: ~n["hidden"] & ~dom.within(n, lambda a: a["tag"] == "form")
+    inputs = lambda i: F.size(_fields(node(i)))
+    nearest = lambda n, most, least: dom.first_of(F.filter(F.slice(n["anc"], 1, most), lambda i: inputs(i) >= least))
+    holder = lambda n: F.coalesce(dom.first_of(F.filter(F.concat(F.array(n["nid"]), n["anc"]), lambda i: dom.cls_has(node(i), *STEP_HOLDERS))), n["nid"])
+
+    steps = dom.select_nodes(lambda n: (dom.cls_has(n, *STEPS) | dom.has_attr(n, "data-step")) & free(n))
+    by_step = F.filter(F.array_distinct(F.transform(steps, holder)), lambda i: inputs(i) >= 1)
+    marks = dom.select_nodes(lambda n: dom.cls_has(n, *STEP_MARKS) & free(n))
+    turns = dom.select_nodes(lambda n: ((n["tag"] == "button") | (dom.attr(n, "role") == "button") | ((n["tag"] == "a") & dom.cls_has(n, "btn"))) & free(n) & dom.like(dom.raw_text(n), TURNS))
+    every = F.concat(by_step, F.transform(marks, lambda n: nearest(n, 5, 1)), F.transform(turns, lambda n: nearest(n, 6, 2)))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda i: i.isNotNull())))
+
+
 def _wizard_rows() -> Column:
-    """Wizards outside forms: elements of a step class with at least two inputs, the innermost of each."""
-    steps = lambda n: dom.like(F.concat_ws(" ", n["cls"], n["id"]), STEP_CLASSES) & ~n["hidden"] & (F.size(_fields(n)) >= 2) & ~dom.within(n, lambda a: a["tag"] == "form")
-    row = lambda r: let(_schema(r), lambda s: F.when(_meaningful(s), F.struct(r["nid"].alias("ord"), F.to_json(F.struct(s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), F.lit(True).alias("is_multi_step"), text.total_steps(dom.text_of(r)).alias("total_steps"), F.lit("").alias("action"), F.lit("post").alias("method"))).alias("schema_json"), F.substring(dom.text_of(r), 1, 4000).alias("dom_snapshot"))))
-    roots = let(dom.select_nodes(steps), lambda found: F.filter(found, lambda n: ~F.exists(found, lambda m: F.array_contains(m["anc"], n["nid"]))))
-    return F.transform(roots, row)
+    """Wizards with a field or a choice: its schema with the number of steps and up to ten texts of step indicators."""
+
+    def said(root: Column) -> Column:
+        parts = F.filter(dom.below(root), lambda m: dom.cls_has(m, "step", "progress") | dom.has_attr(m, "data-step"))
+        texts = F.filter(F.transform(parts, lambda m: trim_ws(dom.raw_text(m))), lambda t: F.length(t).between(2, 79))
+        return F.slice(F.array_distinct(texts), 1, 10)
+
+    def row(i: Column) -> Column:
+        root = F.get(F.col("nodes"), i)
+
+        def made(s: Column) -> Column:
+            json = F.to_json(F.struct(
+                s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), F.lit(True).alias("is_multi_step"), text.total_steps(dom.raw_text(root)).alias("total_steps"),
+                said(root).alias("step_indicators"), F.lit("").alias("action"), F.lit("post").alias("method"),
+            ))
+            return F.when((F.size(s["fields"]) > 0) | (F.size(s["choices"]) > 0), F.struct(i.alias("ord"), json.alias("schema_json"), F.substring(dom.text_of(root), 1, 4000).alias("dom_snapshot")))
+
+        return let(_schema(root, NEXT), made)
+
+    return F.transform(_wizard_roots(), row)
 
 
 def _widget_rows() -> Column:

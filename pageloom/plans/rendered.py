@@ -76,6 +76,17 @@ def option_pages(customer: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://o"), F.col("c_nationkey").cast("string"), F.lit(".example/x/"), k).alias("url"), html.alias("html"))
 
 
+def wizard_pages(customer: DataFrame) -> DataFrame:
+    """One page a customer with inputs that make a wizard by a step class, a step indicator or a next button, in turn; within a form on every fifth page."""
+    k = F.col("c_custkey").cast("string")
+    by_class = F.concat(F.lit('<div class="sign-up wizard"><div class="step">Step 1 of '), (F.col("c_nationkey") + 2).cast("string"), F.lit('</div><p><input name="a_'), k, F.lit('"></p><button>Back</button><button>Continue</button></div>'))
+    by_mark = F.concat(F.lit('<div><div><b class="step-number">Part '), k, F.lit('</b></div><p><input name="b_'), k, F.lit('"></p></div>'))
+    by_turn = F.concat(F.lit('<div><p><input name="c_'), k, F.lit('"><select name="segment"><option>'), "c_mktsegment", F.lit("</option></select></p><p><a class=\"btn\">Next</a></p></div>"))
+    body = F.when(F.col("c_custkey") % 3 == 0, by_class).when(F.col("c_custkey") % 3 == 1, by_mark).otherwise(by_turn)
+    html = F.concat(F.lit("<html><body><main>"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("<form>"), body, F.lit("</form>"))).otherwise(body), F.lit("</main></body></html>"))
+    return customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://w"), F.col("c_nationkey").cast("string"), F.lit(".example/x/"), k).alias("url"), html.alias("html"))
+
+
 def supplier_phone(k: Column) -> Column:
     return F.concat(F.lit("+359"), F.lpad(k.cast("string"), 8, "0"))
 

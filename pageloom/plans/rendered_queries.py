@@ -142,6 +142,22 @@ def rendered_schemas(spark, sf_dir):
     return caps.select("page_id", "site", said("$.fields[0].name").alias("first_name"), said("$.fields[0].label").alias("first_label"), said("$.fields[0].required").alias("first_required"), said("$.choices[1].options[0].value").alias("segment"), said("$.submit.text").alias("submit"), said("$.method").alias("method"))
 
 
+def rendered_wizards(spark, sf_dir):
+    """Wizards outside forms: found by a step class, by a step indicator, by a next button."""
+    caps = forms.cap_wizards(dom.parse_pages(rendered.wizard_pages(read_table(spark, sf_dir, "customer"))))
+    said = lambda path: F.get_json_object("schema_json", path)
+    return caps.select(
+        "page_id", "site", said("$.fields[0].name").alias("first_name"), said("$.choices[0].options[0].value").alias("option"), said("$.submit.text").alias("submit"), said("$.total_steps").alias("total_steps"),
+        said("$.step_indicators").alias("step_indicators"),
+    )
+
+
+def rendered_page_docs(spark, sf_dir):
+    """Kept page rows of general pages: marked features, sections, overlays and dialogs, each line once; placeholders and pages without html go."""
+    rows = content.page_docs(_extraction(spark, sf_dir))
+    return rows.select("page_id", "site", "title", "page_type", F.md5("content").alias("content_md5"), "word_count", "status", "partial")
+
+
 def tree_visit_order(spark, sf_dir):
     """The first forty pages of each site in the order of their visit."""
     home, links_ = _tree(spark, sf_dir)
@@ -182,7 +198,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
-        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
+        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
 
@@ -257,6 +273,16 @@ ORACLE = {
         FROM customer, (VALUES ('Room'), ('Segment')) AS k(name)""",
     "rendered_schemas": f"""
         SELECT c_custkey AS page_id, {_FORM_SITE} AS site, 'field_' || c_custkey AS first_name, 'Your name *' AS first_label, 'true' AS first_required, c_mktsegment AS segment, 'Book now ' || c_mktsegment AS submit, 'post' AS method FROM customer""",
+    "rendered_wizards": """
+        SELECT c_custkey AS page_id, 'w' || c_nationkey || '.example' AS site, substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '_' || c_custkey AS first_name, CASE c_custkey % 3 WHEN 2 THEN c_mktsegment END AS option,
+               CASE c_custkey % 3 WHEN 0 THEN 'Continue' END AS submit, CASE c_custkey % 3 WHEN 0 THEN CAST(c_nationkey + 2 AS VARCHAR) END AS total_steps,
+               CASE c_custkey % 3 WHEN 0 THEN '["Step 1 of ' || (c_nationkey + 2) || '"]' WHEN 1 THEN '["Part ' || c_custkey || '"]' ELSE '[]' END AS step_indicators
+        FROM customer WHERE c_custkey % 5 <> 0""",
+    "rendered_page_docs": """
+        WITH d AS (SELECT p_partkey, p_name, concat_ws(chr(10), '✓ Brand ' || p_brand, '✓ Size ' || p_size, 'First ' || p_name, ' About the brand ' || p_brand, 'Second', ' ✓ Brand ' || p_brand || ' ✗ Type ' || p_type || ' ✓ Size ' || p_size,
+                          'Dialog about the part ' || p_partkey || ' that is long enough', 'DIALOG_CONTENT') AS content FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)
+        SELECT p_partkey AS page_id, 'g' || (p_partkey % 7) || '.example' AS site, p_name AS title, 'general' AS page_type, md5(content) AS content_md5, CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, 'ok' AS status, false AS partial
+        FROM d""",
     "tree_visit_order": f"""
         WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT c.*, o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
         p AS (

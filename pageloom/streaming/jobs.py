@@ -45,6 +45,41 @@ def stream_suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str
     return requests.withWatermark(at, f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
 
 
+def stream_recrawl_hits(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """The requests of a stream with ``hit``, by the rule of ``suppress_recrawls``: a hit does not extend the life.
+
+    The state of a key is the time of its last crawl; it goes when the watermark has passed its life. Requests of a
+    micro-batch are taken in time order, those of a later one after them; a request older than the last crawl is
+    answered from it. Null keys and times are never hits; requests later than the watermark are dropped. What one task
+    holds of a key is bounded by the size that the source gives to a micro-batch.
+    """
+    schema = requests.select("*", F.lit(False).alias("hit")).schema
+    names = [f.name for f in schema.fields]
+    seconds = F.col(at).cast("timestamp").cast("double")
+    timed = requests.withWatermark(at, delay).withColumn("_t", seconds).withColumn("_usable", F.col(key).isNotNull() & F.col(at).isNotNull())
+
+    def each(group, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(frames)).sort_values("_t", kind="stable")
+        anchor = state.get[0] if state.exists else None
+        hits = []
+        for t, usable in zip(pdf["_t"], pdf["_usable"]):
+            fresh = not usable or anchor is None or t - anchor >= ttl
+            anchor = t if fresh and usable else anchor
+            hits.append(not fresh)
+        if anchor is not None:
+            state.update((float(anchor),))
+            ends = int((anchor + ttl) * 1000)
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pdf.assign(hit=hits)[names]
+
+    return timed.groupBy(key).applyInPandasWithState(each, schema, "anchor double", "append", "EventTimeTimeout")
+
+
 def stream_first_seen(links: DataFrame, keys: tuple[str, ...] = ("site", "url_key"), at: str | None = None, delay: str | None = None) -> DataFrame:
     """Each key of a stream once; with a time column and delay the state is bounded."""
     if at and delay:
@@ -96,5 +131,5 @@ def requests_of_events(events: DataFrame, key: str = "event_type") -> DataFrame:
 
 
 __all__ = [
-    "TTL_SECONDS", "latest_snapshot", "requests_of_events", "stream_first_seen", "stream_page_docs", "stream_site_snapshot", "stream_stats", "stream_suppress_recrawls", "suppress_recrawls",
+    "TTL_SECONDS", "latest_snapshot", "requests_of_events", "stream_first_seen", "stream_recrawl_hits", "stream_page_docs", "stream_site_snapshot", "stream_stats", "stream_suppress_recrawls", "suppress_recrawls",
 ]

@@ -93,6 +93,23 @@ def test_forms(spark):
     assert '"total_steps":4' in forms.cap_wizards(parsed(spark, wizard)).first().schema_json
 
 
+def test_wizard_roots(spark):
+    fields = lambda *names: "".join(f'<input name="{n}">' for n in names)
+    pages = parsed(
+        spark,
+        f'<div class="wizard"><div class="step">Step 1 of 2{fields("a")}</div><div class="step">Two{fields("b")}</div></div>',  # one root for both steps
+        f'<section><ul><li class="progress-step">One</li></ul><p>{fields("a")}</p></section>',  # the section, not the list
+        f'<div><p>{fields("a", "b")}</p><p><button>Напред</button></p></div>',
+        f'<div><p>{fields("a")}</p><p><button>Next</button></p></div>',  # one input is too few
+        f'<form><div class="wizard">{fields("a", "b")}<button>Next</button></div></form>',
+        f'<div class="wizard" hidden>{fields("a", "b")}</div><div class="step">no inputs</div>',
+    )
+    got = {(r.page_id, r.tag) for r in pages.select("page_id", F.explode(F.transform(forms._wizard_roots(), lambda i: F.get("nodes", i)["tag"])).alias("tag")).collect()}
+    assert got == {(0, "div"), (1, "section"), (2, "div")}
+    made = {r.page_id: r.schema_json for r in forms.cap_wizards(pages).collect()}
+    assert '"total_steps":2' in made[0] and '"step_indicators":["Step 1 of 2","Two"]' in made[0] and '"text":"Напред"' in made[2]
+
+
 def test_offers(spark):
     html = '<script type="application/ld+json">{"name":"P","offers":[{"price":5},{"price":"7"}]}</script><script type="application/ld+json">{broken</script>'
     assert [(r.title, r.price_text) for r in offers.jsonld_offers(parsed(spark, html)).orderBy("ord").collect()] == [("P", "5"), ("P", "7")]
@@ -152,6 +169,19 @@ def test_recrawls(spark):
     assert jobs.suppress_recrawls(rows.limit(0)).count() == 0
 
 
+def test_recrawl_hits_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(n, k, t0 + dt.timedelta(seconds=s)) for n, (k, s) in enumerate((k, s) for s in (0, 60, 119, 120, 200, 239, 241, 500, 2000, 2100, 2119, 2120) for k in ("k", "m", None))]
+    schema = "id int, url_key string, ts timestamp"
+    for first in range(0, len(rows), 5):  # in time order: a file is a micro-batch
+        spark.createDataFrame(rows[first : first + 5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.stream_recrawl_hits(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {(r.id, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.id, r.hit) for r in jobs.suppress_recrawls(spark.createDataFrame(rows, schema)).collect()}
+
+
 def test_streams(spark, tmp_path):
     pages = [(k, f"https://s{k % 2}.x/p{k}", "<h1>heading</h1><p>" + "word " * 30 + f"{k}</p>") for k in range(6)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
