@@ -190,7 +190,7 @@ def tree_next_urls(spark, sf_dir):
 
 def event_recrawls(spark, sf_dir):
     """Events as requests: crawled or answered from the last crawl."""
-    rows = jobs.suppress_recrawls(jobs.requests_of_events(read_table(spark, sf_dir, "events")))
+    rows = jobs.suppress_recrawls(jobs.requests_of_events(read_table(spark, sf_dir, "events")), ties=("event_id",))
     return rows.select("event_id", "url_key", "hit")
 
 

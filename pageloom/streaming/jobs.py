@@ -4,40 +4,123 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 TTL_SECONDS = 120
+SPAN_SECONDS = 1200
 SITE_BUCKETS = 64
 
 
-def suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:
+def suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS, span: int = SPAN_SECONDS, ties: tuple[str, ...] = ()) -> DataFrame:
     """``requests`` with ``hit``: does the answer of the last crawl of the key still hold?
 
-    A hit does not extend the life: the anchor is the last request that was crawled. Gaps of
-    more than the ttl always start anew, so a key's requests fall into runs by such gaps; within a
-    run the anchors are found by one ordered pass; a task takes some hundred whole runs at a time. Null keys
-    or times are never hits.
+    A hit does not extend the life: the anchor is the last request that was crawled. Time is cut into spans, so that
+    a frequent key is not one task's work: of every key and span it is found how the life of the answer at its end
+    follows from that at its beginning (``_paths``), these are chained by key (``_entries``), and each span is
+    then marked from its beginning (``_marks``). All three read sorted rows one by one and hold no group.
+    Null keys or times are never hits; of requests at one time the first by ``ties`` comes first.
     """
-    seconds = F.col(at).cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy(at)
-    runs = requests.withColumn("_t", seconds).withColumn("_gap", F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(float("inf"))))
-    runs = runs.withColumn("_run", F.sum((F.col("_gap") >= ttl).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = requests.select("*", F.lit(False).alias("hit")).schema
+    life, width = ttl * 1_000_000, max(span, ttl) * 1_000_000
+    kind = requests.schema[key].dataType.simpleString()
+    usable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    rows = requests.filter(usable).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_span", F.floor(F.col("_t") / width))
 
-    def anchors(pdf):
-        anchor, hits = None, []
-        pdf = pdf.sort_values("_t", kind="stable")
-        for t in pdf["_t"]:
-            fresh = anchor is None or t - anchor >= ttl
-            anchor = t if fresh else anchor
-            hits.append(not fresh)
-        return pdf.assign(hit=hits)[[f.name for f in schema.fields]]
+    times = rows.select(F.col(key).alias("_key"), "_span", "_t").repartition("_key", "_span").sortWithinPartitions("_key", "_span", "_t")
+    paths = times.mapInArrow(_paths(life, width), f"_key {kind}, _span long, upto long, until long")
+    paths = paths.repartition("_key").sortWithinPartitions("_key", "_span", "upto")
+    entries = paths.mapInArrow(_entries, f"_key {kind}, _span long, _until long")
 
-    usable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    marked = rows.unionByName(entries.withColumnRenamed("_key", key).withColumn("_t", F.lit(-(1 << 62))), allowMissingColumns=True)
+    marked = marked.repartition(key, "_span").sortWithinPartitions(key, "_span", "_t", *ties)
+    schema = requests.select("*", F.lit(False).alias("hit")).schema
     rest = requests.filter(~usable).withColumn("hit", F.lit(False))
-    return runs.filter(usable).groupBy(key, F.floor(F.col("_run") / 500)).applyInPandas(lambda pdf: anchors(pdf), schema).unionByName(rest)
+    return marked.mapInArrow(_marks(key, life, requests.columns), schema).unionByName(rest)
+
+
+def _paths(life: int, width: int):
+    """(key, span, upto, until) of every key and span: an answer that holds until ``upto`` or less, but more than the one before, leads to one that holds ``until`` when the span ends."""
+
+    def work(batches):
+        import pyarrow as pa
+        from collections import deque
+
+        own, live, last = None, deque(), None  # live: (all ``upto`` of a path, until), in the order of their ends
+
+        def ended():
+            found = sorted((u, until) for uptos, until in live for u in uptos)
+            return [(*own, u, until) for k, (u, until) in enumerate(found) if k + 1 == len(found) or found[k + 1][1] != until]
+
+        def batch_of(out):
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            return pa.record_batch([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["_key", "_span", "upto", "until"])
+
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for k, span, t in zip(*[c.to_pylist() for c in batch.columns]):
+                if (k, span) != own:
+                    out += ended()
+                    own, last, first = (k, span), None, span * width + life
+                    live.clear()
+                if t == last:
+                    continue
+                # a path may start here as long as an answer from before the span may hold until now
+                joined = [t] if last is None or last < first else []
+                while live and live[0][1] <= t:
+                    joined += live.popleft()[0]
+                if joined:
+                    live.append((joined, t + life))
+                last = t
+            yield batch_of(out)
+        if own is not None:
+            yield batch_of(ended())
+
+    return work
+
+
+def _entries(batches):
+    """(key, span, until): until when the answer from before each span holds."""
+    import pyarrow as pa
+
+    own, key, now, after = None, None, None, None
+    for batch in batches:
+        out = []
+        for k, span, upto, until in zip(*[c.to_pylist() for c in batch.columns]):
+            if (k, span) != own:
+                if key is None or k != key[0]:
+                    now = None
+                elif after is not None:
+                    now = after
+                own, key, after = (k, span), (k,), None
+                out.append((k, span, now))
+            if after is None and (now is None or now <= upto):
+                after = until
+        columns = list(zip(*out)) if out else [[], [], []]
+        yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["_key", "_span", "_until"])
+
+
+def _marks(key: str, life: int, names: list[str]):
+    """The requests of each key and span with ``hit``; the first row of a span says until when the answer from before it holds."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        until = None
+        for batch in batches:
+            hits, kept = [], []
+            for t, entry in zip(batch.column("_t").to_pylist(), batch.column("_until").to_pylist()):
+                if t == -(1 << 62):
+                    until = entry
+                    kept.append(False)
+                    continue
+                kept.append(True)
+                hits.append(until is not None and t < until)
+                until = until if hits[-1] else t + life
+            rows = batch.select(names).filter(pa.array(kept, pa.bool_()))
+            yield pa.record_batch([*rows.columns, pa.array(hits, pa.bool_())], names=[*names, "hit"])
+
+    return work
 
 
 def stream_suppress_recrawls(requests: DataFrame, key: str = "url_key", at: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:

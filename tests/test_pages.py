@@ -1,6 +1,8 @@
 """Parsing, extraction, roll-ups, frontier, requests and streaming over small pages."""
 
+import collections
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -169,6 +171,20 @@ def test_recrawls(spark):
     assert jobs.suppress_recrawls(rows.limit(0)).count() == 0
 
 
+def test_recrawls_across_spans(spark):
+    rng, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(milliseconds=rng.randrange(0, 1000 * length))) for k, n, length in (("busy", 3000, 9000), ("some", 300, 30_000), ("rare", 40, 20_000), ("once", 1, 1)) for _ in range(n)]
+    rows += rows[:50] + [("even", t0 + dt.timedelta(seconds=60 * s)) for s in range(200)]
+    want, anchor = collections.Counter(), {}
+    for k, t in sorted(rows):
+        fresh = k not in anchor or t - anchor[k] >= dt.timedelta(seconds=120)
+        anchor[k] = t if fresh else anchor[k]
+        want[k, t, not fresh] += 1
+    table = spark.createDataFrame(rows, "url_key string, ts timestamp")
+    for span in (120, 1200, 10**6):
+        assert collections.Counter(map(tuple, jobs.suppress_recrawls(table, span=span).collect())) == want
+
+
 def test_recrawl_hits_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(n, k, t0 + dt.timedelta(seconds=s)) for n, (k, s) in enumerate((k, s) for s in (0, 60, 119, 120, 200, 239, 241, 500, 2000, 2100, 2119, 2120) for k in ("k", "m", None))]
