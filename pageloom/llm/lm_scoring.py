@@ -38,7 +38,9 @@ PAD = N_TOKENS
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 24
 BATCH = 4096
-RATE = 0.08
+#: Adagrad: length of a step, and the squares it starts from; small, so that rare words' weights move as well.
+RATE = 0.07
+SQUARES = 1e-8
 PIECES = 256
 FAN_IN = 32
 BLOCK_BYTES = 4 << 20
@@ -306,7 +308,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Window
         import pyarrow as pa
         from pyspark import TaskContext
 
-        net, squares, seen = WindowNetwork(start.copy()), np.full(len(start), 1e-4, np.float32), 0
+        net, squares, seen = WindowNetwork(start.copy()), np.full(len(start), SQUARES, np.float32), 0
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def learn(least: int) -> int:

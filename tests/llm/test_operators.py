@@ -13,6 +13,7 @@ from pageloom.llm import (
     components, decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, quality, shingles, suffix_dedup, surrogates, toxicity,
 )
 from pageloom.llm.common import text_bytes
+from pageloom.sources.tables import read_table
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -89,6 +90,50 @@ def test_lm_gradient_is_the_slope_of_the_likelihood():
     assert net.log_probabilities(tokens, context).sum() > before
 
 
+def test_lm_gradient_against_finite_differences():
+    rng = np.random.default_rng(2)
+    tokens, context = rng.integers(0, lm_scoring.N_TOKENS, 40), rng.integers(0, lm_scoring.N_TOKENS + 1, (len(lm_scoring.SIDES), 40))
+    net = lm_scoring.WindowNetwork.unigram(np.ones(lm_scoring.N_TOKENS))
+    start = net.flat.copy()
+    net.step(tokens, context, np.full(len(start), 1e-4, np.float32))
+    slope = net.held[0].flat.copy()
+
+    def loss(at, by):
+        moved = start.copy()
+        moved[at] += by
+        return -lm_scoring.WindowNetwork(moved.astype(float)).log_probabilities(tokens, context).astype(float).mean()
+
+    ends = np.cumsum([int(np.prod(shape)) for shape in net.SHAPES.values()])
+    for first, last in zip(np.concatenate(([0], ends[:-1])), ends):  # the steepest of every part
+        for at in first + np.argsort(-np.abs(slope[first:last]))[:3]:
+            numeric = (loss(at, 2e-3) - loss(at, -2e-3)) / 4e-3
+            assert abs(numeric - slope[at]) < 0.05 * abs(slope[at]) + 2e-4
+
+
+def test_lm_document_sums_against_a_plain_loop(spark):
+    docs = documents(spark).filter("length(text) < 1500").limit(12).select("doc_id", "text").cache()
+    vocabulary = lm_scoring.fit_vocabulary(docs)
+    net = lm_scoring.train(docs, vocabulary)
+    counts = collections.Counter(w for r in docs.collect() for w in r.text.split())
+    number = {w: int(vocabulary.tokens(shingles.word_hashes(*text_bytes(pa.array([w])))[0])[0]) for w in counts}
+    bucket = collections.Counter()
+    for w, n in counts.items():
+        bucket[number[w]] += n
+
+    def log_p(words, k):
+        around = [number[words[k + d]] if 0 <= k + d < len(words) else lm_scoring.PAD for d in lm_scoring.SIDES]
+        h = np.maximum(sum(net.sides[j][a].astype(float) for j, a in enumerate(around)) + net.bias, 0)
+        cls, member = divmod(number[words[k]], lm_scoring.MEMBERS)
+        z, y = h @ net.to_class + net.class_bias, h @ net.to_member[cls] + net.member_bias[cls]
+        within = np.log(counts[words[k]] / bucket[number[words[k]]])  # the own share of a bucket; one of a word that has its own number
+        return z[cls] - np.log(np.exp(z).sum()) + y[member] - np.log(np.exp(y).sum()) + within
+
+    for r in docs.collect():
+        total = lm_scoring.score_blocks(pa.array([r.text]), vocabulary, net)[1][0]
+        words = r.text.split()
+        assert abs(total - sum(log_p(words, k) for k in range(len(words)))) < 1e-3 * max(len(words), 1)
+
+
 def test_lm_probabilities_sum_to_one():
     net = lm_scoring.WindowNetwork.unigram(np.arange(lm_scoring.N_TOKENS) + 1.0)
     context = np.array([[3], [lm_scoring.PAD], [7], [9]])
@@ -104,7 +149,21 @@ def test_lm_scores(spark):
     p = vocabulary.counts[vocabulary.counts > 0] / vocabulary.counts.sum()
     unigram = (p * np.log(p)).sum()
     mean = sum(r.log_likelihood for r in rows) / sum(r.n_tokens for r in rows)
-    assert mean > unigram - 0.05  # trained on few positions here, it is not worse than the frequencies
+    assert mean > unigram  # one round over a very small table
+
+
+def test_lm_gains_on_the_frequencies(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("text")
+    vocabulary = lm_scoring.fit_vocabulary(docs)
+    words, ends = shingles.word_hashes(*text_bytes(docs.toArrow().column(0).combine_chunks()))
+    tokens = vocabulary.tokens(words)
+    context = lm_scoring.contexts(tokens, ends)
+    net = lm_scoring.train(docs.coalesce(1), vocabulary)
+    own = np.log(vocabulary.token_counts[tokens] / len(tokens))
+    assert net.log_probabilities(tokens, context).mean() > own.mean() + 0.1
+
+
+def test_lm_hard_rows(spark):
     got = lm_scoring.score_documents(hard(spark)).collect()
     assert len(got) == 8 and [r.log_likelihood for r in got if r.doc_id in (2, 3, 4)] == [0, 0, 0] and all(r.mean_log_likelihood is None for r in got if r.doc_id == 2)
     assert len({r.log_likelihood for r in got if r.doc_id == 1}) == 1
