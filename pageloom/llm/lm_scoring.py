@@ -255,16 +255,30 @@ class WindowNetwork:
         back *= h > 0
         slope.bias[:] = back.sum(axis=0)
         unit = np.arange(HIDDEN)
+        # of the tables beside a position only the rows of tokens in this batch have a slope; the others would not move
+        touched = []
         for k in range(len(SIDES)):
-            at = (context[k][:, None] * HIDDEN + unit).ravel()
-            slope.sides[k] += np.bincount(at, back.ravel(), (N_TOKENS + 1) * HIDDEN).reshape(N_TOKENS + 1, HIDDEN).astype(np.float32)
+            rows = np.flatnonzero(np.bincount(context[k], minlength=N_TOKENS + 1))
+            place = np.empty(N_TOKENS + 1, np.int64)
+            place[rows] = np.arange(len(rows)) * HIDDEN
+            at = (place[context[k]][:, None] + unit).ravel()
+            slope.sides[k, rows] = np.bincount(at, back.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN)
+            touched.append(rows)
         slope.flat /= n
-        squares += np.multiply(slope.flat, slope.flat, out=spare)
-        np.sqrt(squares, out=spare)
+        first = self.sides.size
+        squares_of_sides = squares[:first].reshape(self.sides.shape)
+        for k, rows in enumerate(touched):
+            g = slope.sides[k, rows]
+            total = squares_of_sides[k, rows] + g * g
+            squares_of_sides[k, rows] = total
+            self.sides[k, rows] -= np.float32(RATE) * (g / (np.sqrt(total) + np.float32(1e-6)))
+        g, spare = slope.flat[first:], spare[first:]
+        squares[first:] += np.multiply(g, g, out=spare)
+        np.sqrt(squares[first:], out=spare)
         spare += np.float32(1e-6)
-        np.divide(slope.flat, spare, out=spare)
+        np.divide(g, spare, out=spare)
         spare *= np.float32(RATE)
-        self.flat -= spare
+        self.flat[first:] -= spare
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
