@@ -38,6 +38,8 @@ PAD = N_TOKENS
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 24
 BATCH = 4096
+#: Rows of one product when scoring: few enough that no kernel treats one of them unlike the others (a test compares bits). CLASSES and MEMBERS are equal, so one buffer serves both.
+TILE = 8
 #: Adagrad: length of a step, and the squares it starts from; small, so that rare words' weights move as well.
 RATE = 0.07
 SQUARES = 1e-8
@@ -204,17 +206,29 @@ class WindowNetwork:
         return np.maximum(h, 0, out=h)
 
     def log_probabilities(self, tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """ln p(token | both sides) of each position; context has one row a side position."""
-        h = self.hidden(context)
+        """ln p(token | both sides) of each position; context has one row a side position.
+
+        Products are of ``TILE`` rows each, so that a position's value has the same bits whatever stands beside it in the call.
+        """
+        order, ends = _by_class(tokens // MEMBERS)
+        tokens, context = tokens[order], context[:, order]
         cls, member = tokens // MEMBERS, tokens % MEMBERS
-        rows = np.arange(len(tokens))
-        z = h @ self.to_class + self.class_bias
-        own = z[rows, cls]
-        out = own - _log_sum(z)
-        order, ends = _by_class(cls)
-        z = self.member_logits(h[order], ends)
-        own = z[rows, member[order]]
-        out[order] += own - _log_sum(z)
+        tiles = np.concatenate(([0], np.cumsum(-(-np.diff(ends) // TILE))))
+        place = np.arange(len(tokens)) + (tiles[:-1] * TILE - ends[:-1])[cls]
+        h = np.zeros((tiles[-1], TILE, HIDDEN), np.float32)
+        h.reshape(-1, HIDDEN)[place] = self.hidden(context)
+        z = (h @ self.to_class + self.class_bias).reshape(-1, CLASSES)
+        logs = z[place, cls] - _log_sum(z)[place]
+        z = z.reshape(-1, TILE, MEMBERS)
+        for c in range(CLASSES):
+            own = slice(tiles[c], tiles[c + 1])
+            if tiles[c] < tiles[c + 1]:
+                np.matmul(h[own], self.to_member[c], out=z[own])
+                z[own] += self.member_bias[c]
+        z = z.reshape(-1, MEMBERS)
+        logs += z[place, member] - _log_sum(z)[place]
+        out = np.empty(len(tokens))
+        out[order] = logs
         return out
 
     def member_logits(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -232,26 +246,25 @@ class WindowNetwork:
         if self.held is None:  # kept from step to step: fresh pages cost more than the sums
             self.held = WindowNetwork(np.zeros_like(self.flat)), np.empty_like(self.flat)
         slope, spare = self.held
-        slope.flat[:] = 0
-        n = len(tokens)
+        first, n = self.sides.size, len(tokens)
+        slope.flat[first:] = 0
+        order, ends = _by_class(tokens // MEMBERS)  # a batch is a sum, so its order is free
+        tokens, context = tokens[order], context[:, order]
+        cls, member, rows = tokens // MEMBERS, tokens % MEMBERS, np.arange(n)
         h = self.hidden(context)
-        cls, member = tokens // MEMBERS, tokens % MEMBERS
-        z = h @ self.to_class + self.class_bias
-        p = _shares(z)
-        p[np.arange(n), cls] -= 1
+        p = _shares(h @ self.to_class + self.class_bias)
+        p[rows, cls] -= 1
+        p *= np.float32(1 / n)
         slope.to_class[:], slope.class_bias[:] = h.T @ p, p.sum(axis=0)
         back = p @ self.to_class.T
-        order, ends = _by_class(cls)
-        sorted_h = h[order]
-        p = _shares(self.member_logits(sorted_h, ends))
-        p[np.arange(n), member[order]] -= 1
-        more = np.empty_like(sorted_h)
+        p = _shares(self.member_logits(h, ends))
+        p[rows, member] -= 1
+        p *= np.float32(1 / n)
         for c in range(CLASSES):
             own = slice(ends[c], ends[c + 1])
             if ends[c] < ends[c + 1]:
-                slope.to_member[c], slope.member_bias[c] = sorted_h[own].T @ p[own], p[own].sum(axis=0)
-                np.matmul(p[own], self.to_member[c].T, out=more[own])
-        back[order] += more
+                slope.to_member[c], slope.member_bias[c] = h[own].T @ p[own], p[own].sum(axis=0)
+                back[own] += p[own] @ self.to_member[c].T
         back *= h > 0
         slope.bias[:] = back.sum(axis=0)
         unit = np.arange(HIDDEN)
@@ -264,8 +277,6 @@ class WindowNetwork:
             at = (place[context[k]][:, None] + unit).ravel()
             slope.sides[k, rows] = np.bincount(at, back.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN)
             touched.append(rows)
-        slope.flat /= n
-        first = self.sides.size
         squares_of_sides = squares[:first].reshape(self.sides.shape)
         for k, rows in enumerate(touched):
             g = slope.sides[k, rows]
@@ -288,10 +299,11 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shares(z: np.ndarray) -> np.ndarray:
-    """Softmax of every row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+    """Softmax of every row, in place; rows are shifted by their maximum only where exp could leave the range of a float."""
+    if len(z) and (z.max() > 40 or z.min() < -40):
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 

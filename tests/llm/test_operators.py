@@ -141,6 +141,18 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(every.astype(float)).sum() - 1) < 1e-3
 
 
+def test_lm_values_do_not_depend_on_what_is_scored_beside_them():
+    rng = np.random.default_rng(3)
+    net = lm_scoring.WindowNetwork(rng.normal(0, 1, lm_scoring.WindowNetwork.size()).astype(np.float32))
+    tokens, context = rng.integers(0, lm_scoring.N_TOKENS, 3000), rng.integers(0, lm_scoring.N_TOKENS + 1, (len(lm_scoring.SIDES), 3000))
+    whole = net.log_probabilities(tokens, context)
+    for first, last in ((0, 1), (1, 3), (17, 90), (5, 2900)):
+        assert (net.log_probabilities(tokens[first:last], context[:, first:last]) == whole[first:last]).all()
+    for _ in range(20):
+        some = rng.integers(0, 3000, rng.integers(1, 4000))
+        assert (net.log_probabilities(tokens[some], context[:, some]) == whole[some]).all()
+
+
 def test_lm_scores(spark):
     docs = documents(spark)
     rows = lm_scoring.score_documents(docs.select("doc_id", "text")).collect()
