@@ -234,7 +234,8 @@ def page_docs(pages_dom: DataFrame, specs_text: DataFrame | None = None, payload
 
 
 def boilerplate_text(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, part, text): header, footer and nav texts of home pages, over five characters."""
+    """(page_id, site, part, text): texts over five characters of headers, footers, navs and elements with a navigation role on home pages."""
     home = pages_dom.filter(urls.path(F.col("url")) == "/")
-    rows = home.select("page_id", "site", F.explode(F.transform(dom.select_nodes(lambda n: n["tag"].isin("header", "footer", "nav")), lambda n: F.struct(n["tag"].alias("part"), dom.text_of(n).alias("text")))).alias("x"))
+    fixed = dom.select_nodes(lambda n: n["tag"].isin("header", "footer", "nav") | (dom.attr(n, "role") == "navigation"))
+    rows = home.select("page_id", "site", F.explode(F.transform(fixed, lambda n: F.struct(n["tag"].alias("part"), dom.text_of(n).alias("text")))).alias("x"))
     return rows.select("page_id", "site", "x.part", "x.text").filter(F.length("text") > 5)

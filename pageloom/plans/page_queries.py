@@ -162,11 +162,19 @@ def price_texts(spark, sf_dir):
     return part.select("p_partkey", F.array_join(money.price_mentions(t), "|").alias("mentions"), money.money_match(t).alias("money"), money.billing_period(t).alias("period"), money.split_spec(F.concat(F.lit("Brand: "), "p_brand"))["value"].alias("brand"))
 
 
+def price_or_request(spark, sf_dir):
+    """The price that a text states, or that it is on request, or nothing."""
+    part = read_table(spark, sf_dir, "part")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    t = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("From €"), price, F.lit(", or price on request"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(": price on request"))).otherwise(F.col("p_name"))
+    return part.select("p_partkey", money.price_text_or_on_request(t).alias("price_text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         site_page_types, url_columns, url_first_seen, text_columns, text_contacts, button_words, page_link_table, page_nav_links, page_all_links, listing_pages, page_titles, page_sections, page_docs,
-        page_contacts, site_stats, json_fingerprints, payload_budget, request_lines, latest_orders, price_texts,
+        page_contacts, site_stats, json_fingerprints, payload_budget, request_lines, latest_orders, price_texts, price_or_request,
     )
 }
 
@@ -277,6 +285,9 @@ ORACLE = {
                CASE event_id % 5 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'no_url' END AS reason, count(*) AS n
         FROM events GROUP BY 1, 2, 3, 4""",
     "latest_orders": "SELECT o_custkey AS site_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_key, max(o_orderdate) AS ordered FROM orders GROUP BY o_custkey",
+    "price_or_request": """
+        SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '€' || CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) WHEN 1 THEN 'On request' ELSE '' END AS price_text
+        FROM part""",
     "price_texts": """
         WITH p AS (SELECT *, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM part),
         q AS (SELECT *, '€' || price AS shown FROM p)

@@ -58,6 +58,31 @@ def extraction_pages(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.when(F.col("p_partkey") % 11 != 0, html).alias("html"))
 
 
+def part_pages(part: DataFrame) -> DataFrame:
+    """One page a part with a details element, icons beside features, an overlay, loose text in main, a header; even parts are home pages."""
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<html><body><header>Top of "), "p_brand", F.lit('</header><div role="navigation">Steps '), k, F.lit(" here</div><main><h1>Head "), "p_name", F.lit("</h1><div>Loose "), "p_type",
+        F.lit(" words</div></main><details><summary>Question "), k, F.lit("</summary><div><table><tr><td>Size</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table></div><p>Answer "), "p_brand",
+        F.lit('</p></details><div class="pricing"><div><svg class="lucide-check"></svg><span>Feature '), k, F.lit('</span></div><div><img src="/red-cross.png"><span>Missing '), k,
+        F.lit('</span></div></div><div class="popup-overlay">Overlay of '), "p_name", F.lit(" here</div><footer>ok</footer></body></html>"),
+    )
+    url = F.concat(F.lit("https://h"), k, F.lit(".example/"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("inner/x"))
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def icon_pages(part: DataFrame) -> DataFrame:
+    """One page a part with a feature whose icon tells its status in one of eight ways, by key."""
+    icons = (
+        '<svg class="text-green-500"></svg>', '<svg class="text-muted"></svg>', '<svg><use href="#i-success"></use></svg>', '<svg><use href="#i-times"></use></svg>',
+        '<svg aria-label="unavailable"></svg>', '<i class="fa-check"></i>', '<span class="icon">✗</span>', '<img alt="yes" src="/a.png">',
+    )
+    icon = F.element_at(F.array(*map(F.lit, icons)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    html = F.concat(F.lit('<html><body><h2>Plans</h2><ul class="features"><li>'), icon, F.lit(" Feature "), "p_brand", F.lit("</li></ul></body></html>"))
+    url = F.concat(F.lit("https://i"), (F.col("p_partkey") % 7).cast("string"), F.lit(".example/f/"), F.col("p_partkey").cast("string"))
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
 def mapped_pages(part: DataFrame) -> DataFrame:
     """One page a part with a button and a priced card; pages of every third part have no button, so their prices do not count."""
     k = F.col("p_partkey").cast("string")

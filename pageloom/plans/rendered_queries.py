@@ -152,6 +152,28 @@ def rendered_wizards(spark, sf_dir):
     )
 
 
+def rendered_parts(spark, sf_dir):
+    """Details, marked features, overlays and what main holds besides its sections, of every page."""
+    parsed = content.section_parts(dom.parse_pages(rendered.part_pages(read_table(spark, sf_dir, "part"))))
+    joined = lambda a: F.array_join(a, "|")
+    return parsed.select("page_id", joined(content.details_texts()).alias("details"), joined(content.icon_feature_texts()).alias("features"), joined(content.overlay_texts()).alias("overlays"), joined(content.main_texts(F.col("parts"))).alias("main"))
+
+
+def rendered_boilerplate(spark, sf_dir):
+    """Header, footer and navigation texts of home pages."""
+    return content.boilerplate_text(dom.parse_pages(rendered.part_pages(read_table(spark, sf_dir, "part"))))
+
+
+def rendered_icons(spark, sf_dir):
+    """Sections whose features are marked by colour, reference, label, font or image of an icon."""
+    return content.extract_sections(dom.parse_pages(rendered.icon_pages(read_table(spark, sf_dir, "part")))).select("page_id", "heading", "text")
+
+
+def rendered_full_text(spark, sf_dir):
+    """Every element's and text run's words of icon pages, each once."""
+    return dom.parse_pages(rendered.icon_pages(read_table(spark, sf_dir, "part"))).select("page_id", content.full_text().alias("full_text"))
+
+
 def rendered_page_docs(spark, sf_dir):
     """Kept page rows of general pages: marked features, sections, overlays and dialogs, each line once; placeholders and pages without html go."""
     rows = content.page_docs(_extraction(spark, sf_dir))
@@ -198,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
-        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
+        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
 
@@ -228,6 +250,20 @@ ORACLE = {
         FROM (SELECT 'nation' || s_nationkey || '.example' AS site, s_suppkey, 'supplier' || s_suppkey || '@mail.example' AS email, {_PHONE} AS phone,
                      row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
         WHERE r <= 20 GROUP BY site""",
+    "rendered_parts": """
+        SELECT p_partkey AS page_id, 'Question ' || p_partkey || chr(10) || 'Size | ' || p_size || chr(10) || 'Answer ' || p_brand AS details, '✓ Feature ' || p_partkey || '|✗ Missing ' || p_partkey AS features,
+               'Overlay of ' || p_name || ' here' AS overlays, 'Loose ' || p_type || ' words' AS main
+        FROM part""",
+    "rendered_boilerplate": """
+        SELECT p_partkey AS page_id, 'h' || p_partkey || '.example' AS site, part, text
+        FROM (SELECT p_partkey, 'header' AS part, 'Top of ' || p_brand AS text FROM part UNION ALL SELECT p_partkey, 'div', 'Steps ' || p_partkey || ' here' FROM part) WHERE p_partkey % 2 = 0""",
+    "rendered_icons": """
+        SELECT p_partkey AS page_id, 'Plans' AS heading, CASE WHEN p_partkey % 8 IN (0, 2, 5, 7) THEN '✓ ' ELSE '✗ ' END || CASE WHEN p_partkey % 8 = 6 THEN '✗ ' ELSE '' END || 'Feature ' || p_brand AS text
+        FROM part""",
+    "rendered_full_text": """
+        SELECT p_partkey AS page_id, 'Plans ' || mark || 'Feature ' || p_brand || chr(10) || 'Plans' || chr(10) || mark || 'Feature ' || p_brand
+               || CASE WHEN mark = '' THEN '' ELSE chr(10) || 'Feature ' || p_brand END AS full_text
+        FROM (SELECT *, CASE WHEN p_partkey % 8 = 6 THEN '✗ ' ELSE '' END AS mark FROM part)""",
     "rendered_forms": f"""
         SELECT c_custkey AS page_id, {_FORM_SITE} AS site, 'button:nth-of-type(1)' AS submit_button, f.pos, CASE f.pos WHEN 0 THEN 'field_' || c_custkey ELSE f.name END AS name, f.type,
                CASE f.pos WHEN 0 THEN 'name,field_' || c_custkey ELSE f.keywords END AS keywords
