@@ -8,7 +8,7 @@ from pageloom.functions import contacts, fingerprints, lexicon, money, text, url
 from pageloom.functions.regexes import RE2_WS
 from pageloom.operators import content, dom, links, sites
 from pageloom.sources import io
-from pageloom.sources.tables import read_table
+from pageloom.sources.tables import read_table, spread
 
 
 def site_page_types(spark, sf_dir):
@@ -41,7 +41,7 @@ def url_first_seen(spark, sf_dir):
 def text_columns(spark, sf_dir):
     """Cleaned text, word counts and line-deduplicated text of every document."""
     t = F.col("text")
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", F.md5(text.clean(t)).alias("clean_md5"), text.word_count(t).alias("n_words"), F.md5(text.dedupe_lines(t)).alias("dedupe_md5"),
         F.md5(text.strip_footer_dedup(t)).alias("strip_md5"), F.length(text.norm_ws(t)).alias("norm_length"), text.is_challenge_page(F.lit(""), t).alias("challenge"),
@@ -50,7 +50,7 @@ def text_columns(spark, sf_dir):
 
 def text_contacts(spark, sf_dir):
     """E-mail addresses and phone numbers of every document that has some."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", contacts.extract_emails(F.col("text")).alias("e"), contacts.extract_phones(F.col("text")).alias("p"))
+    docs = spread(read_table(spark, sf_dir, "documents")).select("doc_id", contacts.extract_emails(F.col("text")).alias("e"), contacts.extract_phones(F.col("text")).alias("p"))
     docs = docs.select("doc_id", F.array_join("e", ",").alias("emails"), F.array_join("p", ",").alias("phones"))
     return docs.filter((F.col("emails") != "") | (F.col("phones") != ""))
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import content, dom, forms, frontier, links, offers, sites
 from pageloom.plans import rendered
-from pageloom.sources.tables import read_table
+from pageloom.sources.tables import read_table, spread
 from pageloom.streaming import jobs
 
 
 def rendered_specs(spark, sf_dir):
     """Specifications of product pages."""
-    parsed = dom.parse_pages(rendered.product_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.product_pages(spread(read_table(spark, sf_dir, "part"))))
     rows = offers.product_specs(parsed)
     value = lambda k: F.get(F.filter("specs", lambda s: s["key"] == k), F.lit(0))["value"]
     return rows.select("page_id", "title", "description", value("Brand").alias("brand"), value("Type").alias("type"), value("Size").alias("size"), F.array_join("prices", "|").alias("prices"), F.size("specs").alias("n_specs"))
@@ -20,77 +20,77 @@ def rendered_specs(spark, sf_dir):
 
 def rendered_specs_text(spark, sf_dir):
     """The specification block of product pages."""
-    parsed = dom.parse_pages(rendered.product_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.product_pages(spread(read_table(spark, sf_dir, "part"))))
     return offers.specs_text(offers.product_specs(parsed))
 
 
 def rendered_cards(spark, sf_dir):
     """Pricing cards and instalment plans."""
-    parsed = dom.parse_pages(rendered.card_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.card_pages(spread(read_table(spark, sf_dir, "part"))))
     cards = offers.pricing_cards(parsed).filter("ord = 1")
     return cards.select("page_id", "card_kind", "title", "price_text", "period", "badge", F.array_join("features", "|").alias("features"))
 
 
 def rendered_prices(spark, sf_dir):
     """Price mentions with their context."""
-    parsed = dom.parse_pages(rendered.card_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.card_pages(spread(read_table(spark, sf_dir, "part"))))
     return offers.price_mentions(parsed).select("page_id", "text", "context")
 
 
 def rendered_offers(spark, sf_dir):
     """Offers in JSON-LD."""
-    parsed = dom.parse_pages(rendered.jsonld_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.jsonld_pages(spread(read_table(spark, sf_dir, "part"))))
     return offers.jsonld_offers(parsed).select("page_id", "title", "price_text")
 
 
 def rendered_contacts(spark, sf_dir):
     """Contacts of every supplier page."""
-    rows = content.page_contacts(dom.parse_pages(rendered.contact_pages(read_table(spark, sf_dir, "supplier"))))
+    rows = content.page_contacts(dom.parse_pages(rendered.contact_pages(spread(read_table(spark, sf_dir, "supplier")))))
     return rows.select("page_id", "site", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
 
 
 def rendered_site_contacts(spark, sf_dir):
     """Contacts of every site, first seen, twenty of each."""
-    rows = sites.site_contacts(content.page_contacts(dom.parse_pages(rendered.contact_pages(read_table(spark, sf_dir, "supplier")))))
+    rows = sites.site_contacts(content.page_contacts(dom.parse_pages(rendered.contact_pages(spread(read_table(spark, sf_dir, "supplier"))))))
     return rows.select("site", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
 
 
 def rendered_forms(spark, sf_dir):
     """Fields of every customer form."""
-    rows = forms.enrich_forms(forms.extract_forms(dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))))
+    rows = forms.enrich_forms(forms.extract_forms(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))))
     rows = rows.select("page_id", "site", "submit_button", F.posexplode("fields").alias("pos", "f"))
     return rows.select("page_id", "site", "submit_button", "pos", "f.name", "f.type", F.array_join("f.keywords", ",").alias("keywords"))
 
 
 def rendered_buttons(spark, sf_dir):
     """Buttons of every site, one per text."""
-    rows = forms.enrich_buttons(forms.extract_buttons(dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))))
+    rows = forms.enrich_buttons(forms.extract_buttons(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))))
     return sites.site_buttons(rows).select("site", "text", "action_type", "page_id")
 
 
 def rendered_choices(spark, sf_dir):
     """Choices of every customer form: option values by group."""
-    parsed = dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))
+    parsed = dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))
     rows = parsed.select("page_id", F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c"))
     return rows.select("page_id", "c.name", "c.type", F.array_join(F.transform("c.options", lambda o: o["value"]), ",").alias("options"))
 
 
 def rendered_capabilities(spark, sf_dir):
     """Capabilities of every site, one per template."""
-    caps = forms.page_capabilities(dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer"))))
+    caps = forms.page_capabilities(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer")))))
     return sites.site_capabilities(caps).groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rendered_site_map(spark, sf_dir):
     """Site maps: how many buttons, forms and prices each site has."""
-    parsed = dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))
+    parsed = dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))
     listed = parsed.select("site").distinct().select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
     rows = sites.site_map(forms.enrich_buttons(forms.extract_buttons(parsed)), forms.enrich_forms(forms.extract_forms(parsed)), offers.price_mentions(parsed), listed)
     return rows.select("site_id", F.size("buttons").alias("n_buttons"), F.size("forms").alias("n_forms"), F.size("prices").alias("n_prices"))
 
 
 def _extraction(spark, sf_dir):
-    return dom.parse_pages(rendered.extraction_pages(read_table(spark, sf_dir, "part")))
+    return dom.parse_pages(rendered.extraction_pages(spread(read_table(spark, sf_dir, "part"))))
 
 
 def rendered_sections(spark, sf_dir):
@@ -122,7 +122,7 @@ def rendered_stats(spark, sf_dir):
 
 def rendered_price_map(spark, sf_dir):
     """Prices of each site map: first seen, thirty at most, of pages with a button or form."""
-    parsed = dom.parse_pages(rendered.mapped_pages(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(rendered.mapped_pages(spread(read_table(spark, sf_dir, "part"))))
     listed = parsed.select("site").distinct().select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
     rows = sites.site_map(forms.enrich_buttons(forms.extract_buttons(parsed)), forms.enrich_forms(forms.extract_forms(parsed)), offers.price_mentions(parsed), listed)
     return rows.select("site_id", F.posexplode("prices").alias("pos", "p")).select("site_id", "pos", "p.text", "p.context")
@@ -130,21 +130,21 @@ def rendered_price_map(spark, sf_dir):
 
 def rendered_button_groups(spark, sf_dir):
     """Button groups of every form: pressed ones and sibling options."""
-    parsed = dom.parse_pages(rendered.option_pages(read_table(spark, sf_dir, "customer")))
+    parsed = dom.parse_pages(rendered.option_pages(spread(read_table(spark, sf_dir, "customer"))))
     rows = parsed.select("page_id", F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c"))
     return rows.select("page_id", "c.name", "c.type", "c.required", F.array_join(F.transform("c.options", lambda o: o["value"]), ",").alias("options"))
 
 
 def rendered_schemas(spark, sf_dir):
     """What the capability schemas of every form page say."""
-    caps = forms.page_capabilities(dom.parse_pages(rendered.form_pages(read_table(spark, sf_dir, "customer")))).filter("kind = 'form'")
+    caps = forms.page_capabilities(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))).filter("kind = 'form'")
     said = lambda path: F.get_json_object("schema_json", path)
     return caps.select("page_id", "site", said("$.fields[0].name").alias("first_name"), said("$.fields[0].label").alias("first_label"), said("$.fields[0].required").alias("first_required"), said("$.choices[1].options[0].value").alias("segment"), said("$.submit.text").alias("submit"), said("$.method").alias("method"))
 
 
 def rendered_wizards(spark, sf_dir):
     """Wizards outside forms: found by a step class, by a step indicator, by a next button."""
-    caps = forms.cap_wizards(dom.parse_pages(rendered.wizard_pages(read_table(spark, sf_dir, "customer"))))
+    caps = forms.cap_wizards(dom.parse_pages(rendered.wizard_pages(spread(read_table(spark, sf_dir, "customer")))))
     said = lambda path: F.get_json_object("schema_json", path)
     return caps.select(
         "page_id", "site", said("$.fields[0].name").alias("first_name"), said("$.choices[0].options[0].value").alias("option"), said("$.submit.text").alias("submit"), said("$.total_steps").alias("total_steps"),
@@ -154,24 +154,24 @@ def rendered_wizards(spark, sf_dir):
 
 def rendered_parts(spark, sf_dir):
     """Details, marked features, overlays and what main holds besides its sections, of every page."""
-    parsed = content.section_parts(dom.parse_pages(rendered.part_pages(read_table(spark, sf_dir, "part"))))
+    parsed = content.section_parts(dom.parse_pages(rendered.part_pages(spread(read_table(spark, sf_dir, "part")))))
     joined = lambda a: F.array_join(a, "|")
     return parsed.select("page_id", joined(content.details_texts()).alias("details"), joined(content.icon_feature_texts()).alias("features"), joined(content.overlay_texts()).alias("overlays"), joined(content.main_texts(F.col("parts"))).alias("main"))
 
 
 def rendered_boilerplate(spark, sf_dir):
     """Header, footer and navigation texts of home pages."""
-    return content.boilerplate_text(dom.parse_pages(rendered.part_pages(read_table(spark, sf_dir, "part"))))
+    return content.boilerplate_text(dom.parse_pages(rendered.part_pages(spread(read_table(spark, sf_dir, "part")))))
 
 
 def rendered_icons(spark, sf_dir):
     """Sections whose features are marked by colour, reference, label, font or image of an icon."""
-    return content.extract_sections(dom.parse_pages(rendered.icon_pages(read_table(spark, sf_dir, "part")))).select("page_id", "heading", "text")
+    return content.extract_sections(dom.parse_pages(rendered.icon_pages(spread(read_table(spark, sf_dir, "part"))))).select("page_id", "heading", "text")
 
 
 def rendered_full_text(spark, sf_dir):
     """Every element's and text run's words of icon pages, each once."""
-    return dom.parse_pages(rendered.icon_pages(read_table(spark, sf_dir, "part"))).select("page_id", content.full_text().alias("full_text"))
+    return dom.parse_pages(rendered.icon_pages(spread(read_table(spark, sf_dir, "part")))).select("page_id", content.full_text().alias("full_text"))
 
 
 def rendered_page_docs(spark, sf_dir):

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
+from pageloom.sources.tables import spread
 
 
 def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """page_id, url, html[, final_url]; dealt out by page_id, as one file is one task otherwise."""
+    """page_id, url, html[, final_url]; dealt out by page_id if ``partitions`` are named, else only where the scan leaves cores idle."""
     pages = spark.read.parquet(path)
     columns = [c for c in ("page_id", "url", "html", "final_url") if c in pages.columns]
-    return pages.select(*columns).repartition(*([partitions] if partitions else []), F.col("page_id"))
+    pages = pages.select(*columns)
+    return pages.repartition(partitions, "page_id") if partitions else spread(pages)
 
 
 def split_requests(raw: DataFrame) -> DataFrame:

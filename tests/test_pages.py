@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import content, dom, forms, frontier, links, offers, sites
 from pageloom.plans import registry
-from pageloom.sources import io
+from pageloom.sources import io, tables
+from pageloom.sources.tables import read_table
 from pageloom.streaming import jobs
 
 HTML = """<title>A &amp; B</title><body><header><nav class="menu"><a href="/about">About</a></nav></header><h1>Head one</h1><p>Para <b>one</p>
@@ -229,3 +230,12 @@ def test_plans_stay_native(spark):
     for name in ("url_columns", "text_contacts", "button_words", "price_texts", "latest_orders"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_small_scans_are_spread_and_full_ones_stay(spark):
+    small = read_table(spark, "/root/testdata/sf0.001", "part")
+    cores = spark.sparkContext.defaultParallelism
+    assert small.rdd.getNumPartitions() < cores and "Exchange" in tables.spread(small)._jdf.queryExecution().toString()
+    full = spark.range(0, 100, 1, cores)
+    assert tables.spread(full) is full
+    assert sorted(tables.spread(small).collect()) == sorted(small.collect())
