@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, quality, suffix_dedup, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, piece_tokens, quality, suffix_dedup, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -66,6 +66,14 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash.fingerprint_neighbours(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_piece_encoding(spark, sf_dir):
+    """Piece ids of every document and the text they give back."""
+    import public_tokenizers
+
+    coded = piece_tokens.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_tokens.digests(coded)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +85,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_order_minhash": op10_order_minhash,
+    "op13_piece_encoding": op13_piece_encoding,
 }
 
 ORACLE = {
