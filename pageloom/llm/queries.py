@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, lm_scoring, mixing, near_dedup, order_minhash, piece_tokens, quality, suffix_dedup, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, lm_scoring, merkle, mixing, near_dedup, order_minhash, piece_tokens, quality, suffix_dedup, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -66,6 +66,18 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash.fingerprint_neighbours(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, roots, proof and audit of every document; a seventh of the leaves are tampered with."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    changed = fields | {"n_chars": F.col("n_chars") + 1}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf_digest([*fields.values()]).alias("leaf"), F.when(tampered, merkle.leaf_digest([*changed.values()])).alias("claimed")
+    )
+    return merkle.audit(leaves, "lang", "doc_id").select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_piece_encoding(spark, sf_dir):
     """Piece ids of every document and the text they give back."""
     import public_tokenizers
@@ -85,10 +97,67 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_order_minhash": op10_order_minhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_piece_encoding": op13_piece_encoding,
 }
 
+#: A one-row table of the CRC-32 table, and the CRC-32 of a list of bytes by it, in SQL.
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc_table)"""
+
+
+def crc_sql(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = (f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(parts)})"
+
+
 ORACLE = {
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+                   CASE WHEN {crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS claimed,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place
+            FROM documents, {CRC_TABLE}
+        ),
+        climb(lang, level, place, digest, n) AS (
+            SELECT lang, 0::BIGINT, place, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM climb WHERE n > 1 GROUP BY lang, level, place // 2, n
+        ),
+        subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM climb WHERE n = 1),
+        top(level, place, digest, n) AS (
+            SELECT 0::BIGINT, place, digest, count(*) OVER () FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, place // 2, n
+        ),
+        proofs AS (
+            SELECT doc_id, 0 AS part, c.level, c.digest FROM leaves l JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.place = xor(l.place >> c.level, 1)
+            UNION ALL
+            SELECT doc_id, 1, t.level, t.digest FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top t ON t.place = xor(s.place >> t.level, 1)
+        ),
+        folds(doc_id, lang, level, place, n, digest) AS (
+            SELECT doc_id, l.lang, 0::BIGINT, l.place, c.n, coalesce(claimed, leaf) FROM leaves l JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.level = 0 AND c.place = l.place
+            UNION ALL
+            SELECT f.doc_id, f.lang, f.level + 1, f.place // 2, (f.n + 1) // 2,
+                   sha256(CASE WHEN f.place % 2 = 1 THEN c.digest ELSE '' END || f.digest || CASE WHEN f.place % 2 = 0 THEN coalesce(c.digest, '') ELSE '' END)
+            FROM folds f LEFT JOIN climb c ON c.lang IS NOT DISTINCT FROM f.lang AND c.level = f.level AND c.place = xor(f.place, 1) WHERE f.n > 1
+        ),
+        rises(doc_id, level, place, n, digest) AS (
+            SELECT f.doc_id, 0::BIGINT, s.place, (SELECT count(*) FROM subroots), f.digest FROM folds f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+            UNION ALL
+            SELECT f.doc_id, f.level + 1, f.place // 2, (f.n + 1) // 2,
+                   sha256(CASE WHEN f.place % 2 = 1 THEN t.digest ELSE '' END || f.digest || CASE WHEN f.place % 2 = 0 THEN coalesce(t.digest, '') ELSE '' END)
+            FROM rises f LEFT JOIN top t ON t.level = f.level AND t.place = xor(f.place, 1) WHERE f.n > 1
+        )
+        SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root,
+               sha256(coalesce((SELECT string_agg(p.digest, '' ORDER BY p.part, p.level) FROM proofs p WHERE p.doc_id = l.doc_id), '')) AS proof_sha256,
+               r.digest AS folded_root, r.digest = t.digest AS verified
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN rises r ON r.doc_id = l.doc_id AND r.n = 1 JOIN top t ON t.n = 1
+    """,
     "op8_line_dedup": f"""
         WITH pages AS (SELECT source, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         counted AS (
