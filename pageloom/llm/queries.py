@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, line_dedup, lm_scoring, merkle, mixing, near_dedup, order_minhash, piece_tokens, quality, suffix_dedup, surrogates, toxicity
+from pageloom.llm import decontamination, line_dedup, lm_scoring, merkle, mixing, near_dedup, order_minhash, piece_tokens, quality, spelling, suffix_dedup, surrogates, toxicity
 from pageloom.sources.tables import read_table
 
 
@@ -66,6 +66,12 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash.fingerprint_neighbours(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Near words, form and root of every frequent word of the corpus."""
+    words = spelling.spelt_words(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_forms(spelling.count_words(words))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """Leaf, roots, proof and audit of every document; a seventh of the leaves are tampered with."""
     docs = read_table(spark, sf_dir, "documents")
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_order_minhash": op10_order_minhash,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_piece_encoding": op13_piece_encoding,
 }
@@ -116,6 +123,36 @@ def _leaf_sql(n_chars: str) -> str:
 
 
 ORACLE = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+        low AS (SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        coded AS (
+            SELECT run, times, list_concat(list_transform(string_split(doc_id::VARCHAR || ':', ''), lambda x: ord(x)::BIGINT),
+                   flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x) - 64] END))) AS codes
+            FROM low
+        ),
+        hashed AS (SELECT run, times, {crc_sql('codes')} AS h FROM coded, {CRC_TABLE}),
+        spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+        words AS (SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words),
+        cuts AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS cut FROM places),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.k = b.k AND a.cut = b.cut AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+            UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word
+        ),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+        forms AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word
+        ),
+        steps(word, here, form) AS (
+            SELECT word, word, form FROM forms
+            UNION ALL
+            SELECT s.word, f.word, f.form FROM steps s JOIN forms f ON f.word = s.form
+        )
+        SELECT f.word, f.form, s.here AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.form IS NULL
+    """,
     "op12_merkle_manifest": f"""
         WITH RECURSIVE leaves AS (
             SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
