@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.functions import contacts, money, text, urls
 from pageloom.functions.binding import let
@@ -35,33 +36,74 @@ def in_feature_context(n: Column) -> Column:
     """Of the element and ten ancestors, the first that is of a known kind is a pricing or feature part."""
     words = lambda m: F.lower(F.concat_ws(" ", m["cls"], m["id"], m["tag"]))
     kind = lambda m: F.when(m["tag"] == "body", False).when(dom.like(words(m), FEATURE_CONTEXT), True).when(dom.like(words(m), NOT_FEATURE_CONTEXT), False)
-    kinds = F.transform(F.slice(F.concat(F.array(n), dom.ancestors(n)), 1, 10), kind)
+    kinds = F.transform(F.concat(F.array(n), dom.ancestors(n, 9)), kind)
     return F.coalesce(dom.first_of(F.filter(kinds, lambda k: k.isNotNull())), F.lit(False))
 
 
-def _emit(candidates: Column, least: int) -> Column:
-    """Of (nid, tag, text, anc) in order: texts long enough, new, and with no emitted ancestor."""
-    return F.aggregate(
-        candidates,
-        _empty("struct<nid:int,tag:string,text:string>"),
-        lambda out, x: F.when(
-            (F.length(x["text"]) >= least)
-            & ~F.exists(out, lambda o: o["text"] == x["text"])
-            & ~F.exists(x["anc"], lambda i: F.exists(out, lambda o: o["nid"] == i)),
-            F.concat(out, F.array(F.struct(x["nid"].alias("nid"), x["tag"].alias("tag"), x["text"].alias("text")))),
-        ).otherwise(out),
-    )
+@F.arrow_udf(T.StructType([T.StructField("kept", T.ArrayType(T.IntegerType())), T.StructField("free", T.ArrayType(T.BooleanType()))]))
+def _emission(nids, lasts, fits, order, repeats, ends):
+    """Which candidates are emitted, and which elements neither hold nor lie in one, of every page.
+
+    In document order a candidate is emitted if it fits, no emitted one has its text, and it begins after the last
+    emitted element ends. ``order`` sorts candidates by text, and ``repeats`` tells in that order whether the text
+    is that before it. One pass over the candidates and one over the elements of a page.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(array):
+        # numpy views of the rows of a list array
+        flat, starts = array.values.to_numpy(zero_copy_only=False), array.offsets.to_numpy()
+        return [flat[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+
+    kept, free = [], []
+    for nid, last, fit, by_text, again, end in zip(*map(rows, (nids, lasts, fits, order, repeats, ends)), strict=True):
+        text = np.empty(len(nid), np.int64)
+        text[by_text] = np.cumsum(~again.astype(bool))
+        seen, out, until = set(), [], -1
+        for k, (start, stop, ok, t) in enumerate(zip(nid.tolist(), last.tolist(), fit.tolist(), text.tolist(), strict=True)):
+            if ok and start > until and t not in seen:
+                out.append(k)
+                seen.add(t)
+                until = stop
+        starts = np.zeros(len(end) + 1, np.int64)
+        open_, shut = np.zeros(len(end) + 1, np.int64), np.zeros(len(end) + 1, np.int64)
+        starts[nid[out] + 1] += 1
+        open_[nid[out]] += 1
+        shut[last[out] + 1] += 1
+        before = np.cumsum(starts)
+        covered = np.cumsum(open_ - shut)[:-1] > 0
+        kept.append(np.array(out, np.int32))
+        free.append((before[end + 1] == before[:-1]) & ~covered)
+    return pa.StructArray.from_arrays([pa.array(kept, pa.list_(pa.int32())), pa.array(free, pa.list_(pa.bool_()))], names=["kept", "free"])
+
+
+#: Not marked as deterministic, though it is, so that the planner neither repeats it nor moves it into a lambda.
+_emission = _emission.asNondeterministic()
 
 
 def section_parts(pages_dom: DataFrame) -> DataFrame:
-    """``pages_dom`` with ``parts``: headings, paragraphs and list items that carry content, each text once."""
+    """``pages_dom`` with ``parts`` and ``free``.
+
+    Parts are headings, paragraphs and list items that carry content, each text once and none within another; ``free``
+    tells of every element whether it neither holds a part nor lies in one. Equal texts are found by sorting.
+    """
     wanted = lambda n: dom.tagged(n, "h1", "h2", "h3", "p", "li") & ~n["hidden"] & ~dom.inside(n, lambda m: m["tag"] == "details") & ~is_boilerplate(n)
+
     def row(n: Column) -> Column:
         plain = trim_ws(dom.raw_text(n))
         marked = F.when((n["tag"] == "li") & in_feature_context(n), money.with_mark(icon_status_of(n), plain)).otherwise(plain)
-        return F.struct(n["nid"].alias("nid"), n["tag"].alias("tag"), marked.alias("text"), n["anc"].alias("anc"))
+        return F.struct(n["nid"].alias("nid"), n["last"].alias("last"), n["tag"].alias("tag"), marked.alias("text"))
 
-    return pages_dom.withColumn("parts", _emit(F.transform(dom.select_nodes(wanted), row), 5))
+    found = pages_dom.withColumn("_found", F.transform(dom.select_nodes(wanted), row))
+    found = found.withColumn("_sorted", F.sort_array(F.transform("_found", lambda x, k: F.struct(x["text"].alias("text"), k.alias("k")))))
+    repeats = F.transform("_sorted", lambda x, k: F.coalesce(F.get(F.col("_sorted"), k - 1)["text"] == x["text"], F.lit(False)))
+    each = lambda name: F.transform("_found", lambda x: x[name])
+    fits = F.transform("_found", lambda x: F.length(x["text"]) >= 5)
+    emitted = _emission(each("nid"), each("last"), fits, F.transform("_sorted", lambda x: x["k"]), repeats, F.transform("nodes", lambda n: n["last"]))
+    part = lambda k: let(F.get(F.col("_found"), k), lambda x: F.struct(x["nid"].alias("nid"), x["tag"].alias("tag"), x["text"].alias("text")))
+    found = found.withColumn("_emitted", emitted)
+    return found.withColumns({"parts": F.transform("_emitted.kept", part), "free": F.col("_emitted.free")}).drop("_found", "_sorted", "_emitted")
 
 
 def icon_status_of(n: Column) -> Column:
@@ -130,7 +172,7 @@ def icon_feature_texts() -> Column:
     """Short marked texts beside status icons in pricing and feature parts."""
 
     def row(icon: Column) -> Column:
-        near = F.filter(F.slice(F.transform(dom.ancestors(icon), lambda a: F.when(a["tag"] != "body", a)), 1, 4), lambda a: a.isNotNull())
+        near = F.filter(F.transform(dom.ancestors(icon, 4), lambda a: F.when(a["tag"] != "body", a)), lambda a: a.isNotNull())
         fits = F.filter(F.transform(near, lambda a: F.struct(a["nid"].alias("nid"), dom.text_of(a).alias("t"), icon_status_of(a).alias("s"))), lambda x: F.length(x["t"]).between(5, 150))
         return let(dom.first_of(fits), lambda x: F.when(x["s"].isNotNull() & ~dom.like(x["t"], "^(?:поръчай|купи|свържи|изпрати|научи|виж|изберете|started|buy|order|contact|submit|learn|view|select)"), F.struct(x["nid"].alias("nid"), F.concat(F.when(x["s"] == "included", "✓ ").otherwise("✗ "), x["t"]).alias("t"))))
 
@@ -150,17 +192,15 @@ def dialog_text() -> Column:
     return F.array_join(F.array_distinct(F.filter(F.transform(dom.select_nodes(test), dom.text_of), lambda x: F.length(x) > 20)), "\n---DIALOG---\n")
 
 
-def main_texts(parts: Column) -> Column:
-    """Texts below main (else article) that hold nothing already emitted."""
+def main_texts(free: Column) -> Column:
+    """Texts below main (else article) that hold nothing already emitted; ``free`` is that of ``section_parts``."""
     root = F.coalesce(dom.first_of(dom.select_nodes(lambda n: n["tag"] == "main")), dom.first_of(dom.select_nodes(lambda n: n["tag"] == "article")))
 
-    def body(r: Column, ids: Column) -> Column:
-        free = lambda n: ~F.exists(ids, lambda i: (i >= n["nid"]) & (i <= n["last"])) & ~F.exists(n["anc"], lambda a: F.array_contains(ids, a))
-        top = F.filter(dom.below(r), lambda n: free(n) & ((n["pid"] == r["nid"]) | ~free(F.get(F.col("nodes"), n["pid"]))))
+    def body(r: Column) -> Column:
+        top = F.filter(dom.below(r), lambda n: F.get(free, n["nid"]) & ((n["pid"] == r["nid"]) | ~F.get(free, n["pid"])))
         return F.array_distinct(F.filter(F.transform(top, lambda n: trim_ws(dom.raw_text(n))), lambda x: F.length(x) >= 5))
 
-    emitted = F.transform(parts, lambda p: p["nid"])
-    return F.coalesce(let(emitted, lambda ids: let(root, lambda r: F.when(r.isNotNull(), body(r, ids)))), _empty("string"))
+    return F.coalesce(let(root, lambda r: F.when(r.isNotNull(), body(r))), _empty("string"))
 
 
 def full_text() -> Column:
@@ -209,14 +249,14 @@ def page_docs(pages_dom: DataFrame, specs_text: DataFrame | None = None, payload
     Kept are service and product pages and those of ``MIN_WORDS`` words; unparsed pages are salvaged by
     their plain text; placeholder pages go. Everything is within the row but the two optional joins on page_id.
     """
-    built = section_parts(pages_dom).filter(~text.is_challenge_page(F.col("title"), F.col("text")))
+    built = section_parts(pages_dom.filter(~text.is_challenge_page(F.col("title"), F.col("text"))))
     built = built.withColumn("page_type", urls.page_type(F.col("url"), F.col("title")))
     joined = lambda a, sep: F.array_join(a, sep)
     details = let(details_texts(), lambda d: F.when(F.size(d) > 0, F.concat(F.lit("DETAILS_CONTENT\n"), joined(d, "\n\n"))).otherwise(""))
-    raw = F.array_join(F.filter(F.array(details, joined(icon_feature_texts(), "\n"), _sections_text(F.col("parts")), joined(main_texts(F.col("parts")), "\n"), joined(overlay_texts(), "\n")), lambda x: x != ""), "\n\n")
+    raw = F.array_join(F.filter(F.array(details, joined(icon_feature_texts(), "\n"), _sections_text(F.col("parts")), joined(main_texts(F.col("free")), "\n"), joined(overlay_texts(), "\n")), lambda x: x != ""), "\n\n")
     built = built.withColumn("structured", text.strip_footer_dedup(raw))
     shadow = F.when(dom.like(F.col("url"), FULL_TEXT_URL), full_text()).otherwise("")
-    built = built.withColumns({"shadow": shadow, "dialog": dialog_text()}).drop("parts")
+    built = built.withColumns({"shadow": shadow, "dialog": dialog_text()}).drop("parts", "free")
     for side, name in ((specs_text, "specs_text"), (payload_text, "payload_text")):
         built = built.join(side.select("page_id", name), "page_id", "left") if side is not None else built.withColumn(name, F.lit(None).cast("string"))
     labelled = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label + "\n"), F.col(c)))

@@ -1,21 +1,28 @@
 """HTML to node tables: the one Arrow-batched helper, and Column helpers over its rows.
 
 A page becomes one row: its text, and its elements in document order as an array of structs.
-``last`` is the number of an element's last descendant, ``t0``/``t1`` bound its text, ``anc`` lists
-its ancestors from the parent up; everything else is Column functions over that array.
+``pid`` is its parent, ``depth`` the number of its ancestors, ``last`` the number of its last descendant, so that an
+element with its descendants is the interval from ``nid`` to ``last``; ``prev`` is the element before it under the same
+parent, ``t0``/``t1`` bound its text. From one index of the page's ids, classes and labels each element knows
+whether its id is the page's only one (``lone_id``), its first class that no other has (``lone_class``, else
+empty) and the first label for its id (``label``, else -1). An element takes the same room however deep it lies;
+ancestors are found by climbing. Everything else is Column functions over that array.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
+from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, ci
 
-NODE = "struct<nid:int,pid:int,last:int,tag:string,nth:int,cls:string,id:string,attrs:map<string,string>,t0:int,t1:int,own:string,hidden:boolean,anc:array<int>>"
+NODE = "struct<nid:int,pid:int,last:int,depth:int,prev:int,tag:string,nth:int,cls:string,id:string,attrs:map<string,string>,t0:int,t1:int,own:string,hidden:boolean,lone_id:boolean,lone_class:string,label:int>"
 SCHEMA = f"page_id long, url string, title string, text string, nodes array<{NODE}>, parse_error boolean"
 
 #: Elements without content, elements that start a line, and what a start tag ends. Fixed values.
@@ -41,6 +48,7 @@ class _Builder(HTMLParser):
         self.size = 0
         self.title: list[str] = []
         self.kinds: dict[tuple[int, str], int] = {}
+        self.youngest: dict[int, int] = {}
 
     def _put(self, text: str) -> None:
         if text:
@@ -77,10 +85,11 @@ class _Builder(HTMLParser):
         above = self.nodes[pid]["hidden"] if pid >= 0 else False
         nid = len(self.nodes)
         node = {
-            "nid": nid, "pid": pid, "last": nid, "tag": tag, "nth": nth, "cls": named.get("class", ""), "id": named.get("id", ""), "attrs": list(named.items()), "t0": self.size, "t1": self.size,
-            "own": "", "hidden": above or "hidden" in named or "display:none" in style or "visibility:hidden" in style or tag in UNSEEN, "anc": self.open[::-1],
+            "nid": nid, "pid": pid, "last": nid, "depth": len(self.open), "prev": self.youngest.get(pid, -1), "tag": tag, "nth": nth, "cls": named.get("class", ""), "id": named.get("id", ""), "attrs": list(named.items()), "t0": self.size, "t1": self.size,
+            "own": "", "hidden": above or "hidden" in named or "display:none" in style or "visibility:hidden" in style or tag in UNSEEN,
         }
         self.nodes.append(node)
+        self.youngest[pid] = nid
         if tag not in VOID:
             self.open.append(nid)
 
@@ -103,6 +112,20 @@ class _Builder(HTMLParser):
         self._put(data)
 
 
+def _index(nodes: list[dict]) -> None:
+    """Ids, classes and labels of the page are counted once; each element takes from the counts what concerns it."""
+    classes = [[c for c in re.split(r"[ \t\n\x0b\f\r]+", n["cls"]) if c] for n in nodes]
+    ids, held, labels = Counter(n["id"] for n in nodes), Counter(), {}
+    for n, own in zip(nodes, classes, strict=True):
+        held.update(set(own))
+        if n["tag"] == "label":
+            labels.setdefault(dict(n["attrs"]).get("for", ""), n["nid"])
+    for n, own in zip(nodes, classes, strict=True):
+        n["lone_id"] = n["id"] != "" and ids[n["id"]] == 1
+        n["lone_class"] = next((c for c in own if held[c] == 1), "")
+        n["label"] = labels.get(n["id"], -1) if n["id"] else -1
+
+
 def parse(html: str | None) -> tuple[str, str, list[dict], bool]:
     """(title, text, nodes, failed) of a page."""
     builder = _Builder()
@@ -110,6 +133,7 @@ def parse(html: str | None) -> tuple[str, str, list[dict], bool]:
         builder.feed(html or "")
         builder.close()
         builder._close(0)
+        _index(builder.nodes)
     except Exception:  # a page that no parser can read is reported, not fatal
         return "", "", [], True
     return " ".join("".join(builder.title).split()), "".join(builder.parts), builder.nodes, html is None
@@ -125,8 +149,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         struct = pa.struct(
-            [("nid", pa.int32()), ("pid", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("nth", pa.int32()), ("cls", pa.string()), ("id", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-             ("t0", pa.int32()), ("t1", pa.int32()), ("own", pa.string()), ("hidden", pa.bool_()), ("anc", pa.list_(pa.int32()))]
+            [("nid", pa.int32()), ("pid", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("prev", pa.int32()), ("tag", pa.string()), ("nth", pa.int32()), ("cls", pa.string()), ("id", pa.string()),
+             ("attrs", pa.map_(pa.string(), pa.string())), ("t0", pa.int32()), ("t1", pa.int32()), ("own", pa.string()), ("hidden", pa.bool_()), ("lone_id", pa.bool_()), ("lone_class", pa.string()), ("label", pa.int32())]
         )
         for batch in batches:
             for first in range(0, batch.num_rows, 64):  # long pages: few at a time
@@ -187,19 +211,44 @@ def has_class(n: Column, name: str) -> Column:
     return n["cls"].rlike(rf"(?:^|\s){name}(?:\s|\z)")
 
 
-def ancestors(n: Column) -> Column:
+def node(i: Column) -> Column:
+    """The element of a number; null for -1."""
+    return F.get(F.col("nodes"), i)
+
+
+def up(n: Column, most: int | None = None) -> Column:
+    """Numbers of the ancestors from the parent up, by climbing; of the nearest ``most`` ones."""
+    steps = n["depth"] if most is None else F.least(n["depth"], F.lit(most))
+    start = F.struct(F.array().cast("array<int>").alias("ids"), n["pid"].alias("at"))
+    climb = lambda s, _: F.struct(F.concat(s["ids"], F.array(s["at"])).alias("ids"), node(s["at"])["pid"].alias("at"))
+    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), steps), start, climb, lambda s: s["ids"])).otherwise(F.array().cast("array<int>"))
+
+
+def ancestors(n: Column, most: int | None = None) -> Column:
     """Ancestor structs from the parent up."""
-    return F.transform(n["anc"], lambda i: F.get(F.col("nodes"), i))
+    return F.transform(up(n, most), node)
 
 
-def within(n: Column, test) -> Column:
-    """closest(): does the element or an ancestor pass the test?"""
-    return test(n) | F.exists(n["anc"], lambda i: test(F.get(F.col("nodes"), i)))
+def nearest_ancestor(n: Column, test) -> Column:
+    """The number of the nearest ancestor that passes the test; -1 if none does."""
+    start = F.struct(F.lit(False).alias("found"), n["pid"].alias("at"))
+
+    def climb(s: Column, _: Column) -> Column:
+        passes = F.coalesce(test(node(s["at"])), F.lit(False))
+        return F.when(s["found"], s).otherwise(let(passes, lambda p: F.struct(p.alias("found"), F.when(p, s["at"]).otherwise(node(s["at"])["pid"]).alias("at"))))
+
+    found = F.aggregate(F.sequence(F.lit(1), n["depth"]), start, climb, lambda s: F.when(s["found"], s["at"]).otherwise(-1))
+    return F.when(n["depth"] > 0, found).otherwise(-1)
 
 
 def inside(n: Column, test) -> Column:
     """Does an ancestor pass the test?"""
-    return F.exists(n["anc"], lambda i: test(F.get(F.col("nodes"), i)))
+    return nearest_ancestor(n, test) >= 0
+
+
+def within(n: Column, test) -> Column:
+    """closest(): does the element or an ancestor pass the test?"""
+    return test(n) | inside(n, test)
 
 
 def below(n: Column) -> Column:

@@ -37,12 +37,9 @@ def css_escape(c: Column) -> Column:
 
 def unique_selector(n: Column) -> Column:
     """``#id`` if the page has it once, else its first class that the page has once, else tag and place among like siblings."""
-    same_id = F.size(dom.select_nodes(lambda m: m["id"] == n["id"]))
-    classes = F.filter(F.split(n["cls"], r"\s+"), lambda c: c != "")
-    alone = F.filter(classes, lambda c: F.size(dom.select_nodes(lambda m: F.array_contains(F.split(m["cls"], r"\s+"), c))) == 1)
     return (
-        F.when((n["id"] != "") & (same_id == 1), F.concat(F.lit("#"), css_escape(n["id"])))
-        .when(F.size(alone) > 0, F.concat(F.lit("."), css_escape(dom.first_of(alone))))
+        F.when(n["lone_id"], F.concat(F.lit("#"), css_escape(n["id"])))
+        .when(n["lone_class"] != "", F.concat(F.lit("."), css_escape(n["lone_class"])))
         .otherwise(F.concat(n["tag"], F.lit(":nth-of-type("), n["nth"].cast("string"), F.lit(")")))
     )
 
@@ -58,12 +55,26 @@ def selector_candidates(n: Column) -> Column:
 
 def field_label(n: Column, with_aria: bool = False) -> Column:
     """Label by ``for``, else the enclosing label, else (capabilities) aria-label, else the label before it."""
-    by_for = dom.first_of(dom.select_nodes(lambda m: (m["tag"] == "label") & (n["id"] != "") & (dom.attr(m, "for") == n["id"])))
-    around = dom.first_of(F.filter(dom.ancestors(n), lambda m: m["tag"] == "label"))
-    before = dom.first_of(F.filter(F.col("nodes"), lambda m: (m["pid"] == n["pid"]) & (m["last"] == n["nid"] - 1) & (m["tag"] == "label")))
+    around = dom.node(dom.nearest_ancestor(n, lambda m: m["tag"] == "label"))
+    before = let(dom.node(n["prev"]), lambda m: F.when(m["tag"] == "label", m))
     words = lambda m: F.when(m.isNotNull(), trim_ws(dom.raw_text(m)))
     aria = F.when(dom.attr(n, "aria-label") != "", dom.attr(n, "aria-label")) if with_aria else F.lit(None).cast("string")
-    return F.coalesce(let(by_for, words), let(around, words), aria, let(before, words), F.lit(""))
+    return F.coalesce(let(dom.node(n["label"]), words), let(around, words), aria, let(before, words), F.lit(""))
+
+
+def with_controls(pages_dom: DataFrame) -> DataFrame:
+    """``pages_dom`` with ``selectors`` (of controls) and ``labels``, one entry an element; capabilities look them up."""
+    control = lambda n: n["tag"].isin("input", "select", "textarea", "button", "option") | (dom.attr(n, "role") != "")
+    selectors = F.transform(F.col("nodes"), lambda n: F.when(control(n), selector_candidates(n)))
+    return pages_dom.withColumns({"selectors": selectors, "labels": F.transform(F.col("nodes"), lambda n: field_label(n, True))})
+
+
+def _selectors(n: Column) -> Column:
+    return F.get(F.col("selectors"), n["nid"])
+
+
+def _label(n: Column) -> Column:
+    return F.get(F.col("labels"), n["nid"])
 
 
 def _shown(n: Column) -> Column:
@@ -128,7 +139,7 @@ def _button_groups(root: Column, option) -> Column:
     marked = lambda m: ((m["tag"] == "button") & dom.has_attr(m, "aria-pressed")) | (dom.attr(m, "role") == "radio")
     segmented = lambda m: (m["tag"] == "button") & dom.inside(m, lambda a: dom.has_class(a, "segmented"))
     pressed = F.filter(inner, lambda m: (marked(m) | segmented(m)) & ~m["hidden"] & (F.length(said(m)) >= 2))
-    titled = F.transform(pressed, lambda m: F.struct(let(parent(m), lambda p: F.when(p.isNotNull(), field_label(p, True)).otherwise("")).alias("label"), option(said(m), said(m), m).alias("option")))
+    titled = F.transform(pressed, lambda m: F.struct(let(parent(m), lambda p: F.when(p.isNotNull(), _label(p)).otherwise("")).alias("label"), option(said(m), said(m), m).alias("option")))
     group = lambda label, options, needed, name: F.struct(name.alias("name"), label.alias("label"), needed.alias("required"), F.lit("button_group").alias("type"), options.alias("options"))
     own = lambda t, label: F.transform(F.filter(t, lambda x: x["label"] == label), lambda x: x["option"])
     first = let(titled, lambda t: F.transform(F.array_distinct(F.transform(t, lambda x: x["label"])), lambda label: group(label, own(t, label), F.lit(False), F.when(label != "", label).otherwise("button_group"))))
@@ -141,9 +152,8 @@ def _button_groups(root: Column, option) -> Column:
         p = F.get(F.col("nodes"), i)
         beside = F.filter(dom.below(p), lambda m: plain(m) & ((m["pid"] == i) | (parent(m)["pid"] == i)))
         options = F.filter(beside, lambda m: F.length(said(m)).between(1, 30) & ~dom.like(said(m), NOT_OPTIONS))
-        before = dom.first_of(F.reverse(F.filter(F.col("nodes"), lambda m: (m["pid"] == p["pid"]) & (m["nid"] < i))))
-        spoken = let(before, lambda b: F.when(b.isNotNull() & F.length(said(b)).between(2, 60), said(b)))
-        label = F.coalesce(spoken, field_label(p, True))
+        spoken = let(dom.node(p["prev"]), lambda b: F.when(b.isNotNull() & F.length(said(b)).between(2, 60), said(b)))
+        label = F.coalesce(spoken, _label(p))
         clean = trim_ws(F.regexp_replace(label, r"\s*\*\s*$", ""))
         made = group(clean, F.transform(options, lambda m: option(said(m), said(m), m)), dom.like(label, r"\*|задължително|required"), F.when(clean != "", clean).otherwise("button_choice"))
         return F.when((F.size(beside) >= 2) & (F.size(options) >= 2), made)
@@ -157,38 +167,43 @@ def _button_groups(root: Column, option) -> Column:
 def choices_of(root: Column) -> Column:
     """Radio groups by name, button groups, then selects without their placeholder options: (name, label, required, type, options)."""
     inner = dom.below(root)
-    option = lambda v, label, m: F.struct(v.alias("value"), label.alias("label"), selector_candidates(m).alias("selector_candidates"))
+    option = lambda v, label, m: F.struct(v.alias("value"), label.alias("label"), _selectors(m).alias("selector_candidates"))
     radios = F.filter(inner, lambda m: (m["tag"] == "input") & (F.lower(dom.attr(m, "type")) == "radio") & (dom.attr(m, "name") != ""))
 
     def group(name: Column) -> Column:
         own = F.filter(radios, lambda m: dom.attr(m, "name") == name)
         legend = dom.first_of(F.filter(F.flatten(F.transform(F.filter(dom.ancestors(dom.first_of(own)), lambda a: a["tag"] == "fieldset"), dom.below)), lambda m: m["tag"] == "legend"))
         label = let(legend, lambda g: F.when(g.isNotNull(), dom.text_of(g)).otherwise(name))
-        return F.struct(name.alias("name"), label.alias("label"), F.exists(own, lambda m: dom.has_attr(m, "required")).alias("required"), F.lit("radio").alias("type"), F.transform(own, lambda m: option(dom.attr(m, "value"), field_label(m, True), m)).alias("options"))
+        return F.struct(name.alias("name"), label.alias("label"), F.exists(own, lambda m: dom.has_attr(m, "required")).alias("required"), F.lit("radio").alias("type"), F.transform(own, lambda m: option(dom.attr(m, "value"), _label(m), m)).alias("options"))
 
     def select(m: Column) -> Column:
         options = F.filter(dom.below(m), lambda o: (o["tag"] == "option") & (F.when(dom.has_attr(o, "value"), dom.attr(o, "value")).otherwise(dom.text_of(o)) != ""))
         name = F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), m["id"])
-        return F.struct(name.alias("name"), field_label(m, True).alias("label"), dom.has_attr(m, "required").alias("required"), F.lit("select").alias("type"), F.transform(options, lambda o: option(F.when(dom.has_attr(o, "value"), dom.attr(o, "value")).otherwise(dom.text_of(o)), dom.text_of(o), o)).alias("options"))
+        return F.struct(name.alias("name"), _label(m).alias("label"), dom.has_attr(m, "required").alias("required"), F.lit("select").alias("type"), F.transform(options, lambda o: option(F.when(dom.has_attr(o, "value"), dom.attr(o, "value")).otherwise(dom.text_of(o)), dom.text_of(o), o)).alias("options"))
 
     return F.concat(F.transform(F.array_distinct(F.transform(radios, lambda m: dom.attr(m, "name"))), group), _button_groups(root, option), F.transform(F.filter(inner, lambda m: m["tag"] == "select"), select))
 
 
-def _schema(root: Column, submit: str = SUBMIT) -> Column:
-    """struct(fields, choices, submit) of a form-like element; the first button with a ``submit`` word, else the first button."""
+def extract_choices(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, name, label, required, type, options) of the choices of every form."""
+    every = F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), choices_of))
+    return with_controls(pages_dom).select("page_id", "site", F.explode(every).alias("c")).select("page_id", "site", "c.*")
+
+
+def _schema(root: Column, says) -> Column:
+    """struct(fields, choices, submit) of a form-like element; the first button whose text ``says`` so, else the first button."""
 
     def field(m: Column) -> Column:
-        label = field_label(m, True)
         kind = F.lower(F.coalesce(F.nullif(dom.attr(m, "type"), F.lit("")), m["tag"]))
         name = F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), m["id"])
-        return let(label, lambda w: F.struct(
+        return let(_label(m), lambda w: F.struct(
             m["tag"].alias("tag"), kind.alias("type"), name.alias("name"), w.alias("label"), dom.attr(m, "placeholder").alias("placeholder"), _required(m, w).alias("required"),
-            dom.attr(m, "autocomplete").alias("autocomplete"), dom.attr(m, "aria-label").alias("aria_label"), dom.attr(m, "aria-describedby").alias("aria_describedby"), selector_candidates(m).alias("selector_candidates"),
+            dom.attr(m, "autocomplete").alias("autocomplete"), dom.attr(m, "aria-label").alias("aria_label"), dom.attr(m, "aria-describedby").alias("aria_describedby"), _selectors(m).alias("selector_candidates"),
         ))
 
     buttons = F.filter(dom.below(root), lambda m: ((m["tag"] == "button") | ((m["tag"] == "input") & (dom.attr(m, "type") == "submit")) | (dom.attr(m, "role") == "button")) & ~m["hidden"])
-    labelled = F.filter(F.transform(buttons, lambda m: F.struct(F.substring(_shown(m), 1, 80).alias("text"), selector_candidates(m).alias("selector_candidates"))), lambda b: b["text"] != "")
-    best = let(labelled, lambda b: F.coalesce(dom.first_of(F.filter(b, lambda x: dom.like(x["text"], submit))), dom.first_of(b)))
+    labelled = F.filter(F.transform(buttons, lambda m: F.struct(F.substring(_shown(m), 1, 80).alias("text"), _selectors(m).alias("selector_candidates"))), lambda b: b["text"] != "")
+    best = let(labelled, lambda b: F.coalesce(dom.first_of(F.filter(b, lambda x: says(x["text"]))), dom.first_of(b)))
     return F.struct(F.transform(F.filter(_fields(root), lambda m: F.lower(dom.attr(m, "type")) != "radio"), field).alias("fields"), choices_of(root).alias("choices"), best.alias("submit"))
 
 
@@ -196,10 +211,42 @@ def _meaningful(s: Column) -> Column:
     return F.exists(s["fields"], lambda f: ~f["type"].isin("hidden", "submit", "button", "reset", "image"))
 
 
-def _form_rows() -> Column:
-    """Structs (ord, schema_json, dom_snapshot) of forms with a meaningful field, null of others."""
-    row = lambda f: let(_schema(f), lambda s: F.when(_meaningful(s), F.struct(f["nid"].alias("ord"), F.to_json(F.struct(s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), dom.attr(f, "action").alias("action"), F.lower(F.coalesce(F.nullif(dom.attr(f, "method"), F.lit("")), F.lit("get"))).alias("method"))).alias("schema_json"), F.substring(dom.text_of(f), 1, 4000).alias("dom_snapshot"))))
-    return F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), row)
+def _schema_rows(*kinds: str) -> Column:
+    """Structs (kind, ord, schema_json, dom_snapshot) of the page's forms with a meaningful field and wizards with a field or a choice.
+
+    The schema of a wizard also has its number of steps and up to ten texts of step indicators.
+    """
+    root_of = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"))
+    found = {
+        "form": lambda: F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), lambda n: root_of("form", n["nid"])),
+        "wizard": lambda: F.transform(_wizard_roots(), lambda i: root_of("wizard", i)),
+    }
+
+    def said(root: Column) -> Column:
+        parts = F.filter(dom.below(root), lambda m: dom.cls_has(m, "step", "progress") | dom.has_attr(m, "data-step"))
+        texts = F.filter(F.transform(parts, lambda m: trim_ws(dom.raw_text(m))), lambda t: F.length(t).between(2, 79))
+        return F.slice(F.array_distinct(texts), 1, 10)
+
+    def row(r: Column) -> Column:
+        return let(dom.node(r["ord"]), lambda root: made(r, root))
+
+    def made(r: Column, root: Column) -> Column:
+        is_form = r["kind"] == "form"
+        says = lambda t: F.when(is_form, dom.like(t, SUBMIT)).otherwise(dom.like(t, NEXT))
+        parts = lambda s: [s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit")]
+        as_form = lambda s: F.struct(*parts(s), dom.attr(root, "action").alias("action"), F.lower(F.coalesce(F.nullif(dom.attr(root, "method"), F.lit("")), F.lit("get"))).alias("method"))
+        as_wizard = lambda s: F.struct(
+            *parts(s), F.lit(True).alias("is_multi_step"), text.total_steps(dom.raw_text(root)).alias("total_steps"), said(root).alias("step_indicators"), F.lit("").alias("action"), F.lit("post").alias("method")
+        )
+
+        def whole(s: Column) -> Column:
+            good = F.when(is_form, _meaningful(s)).otherwise((F.size(s["fields"]) > 0) | (F.size(s["choices"]) > 0))
+            json = F.when(is_form, F.to_json(as_form(s))).otherwise(F.to_json(as_wizard(s)))
+            return F.when(good, F.struct(r["kind"].alias("kind"), r["ord"].alias("ord"), json.alias("schema_json"), F.substring(dom.text_of(root), 1, 4000).alias("dom_snapshot")))
+
+        return let(_schema(root, says), whole)
+
+    return F.transform(F.concat(*[found[k]() for k in kinds]), row)
 
 
 def _wizard_roots() -> Column:
@@ -211,8 +258,8 @@ def _wizard_roots() -> Column:
     node = lambda i: F.get(F.col("nodes"), i)
     free = lambda n: ~n["hidden"] & ~dom.within(n, lambda a: a["tag"] == "form")
     inputs = lambda i: F.size(_fields(node(i)))
-    nearest = lambda n, most, least: dom.first_of(F.filter(F.slice(n["anc"], 1, most), lambda i: inputs(i) >= least))
-    holder = lambda n: F.coalesce(dom.first_of(F.filter(F.concat(F.array(n["nid"]), n["anc"]), lambda i: dom.cls_has(node(i), *STEP_HOLDERS))), n["nid"])
+    nearest = lambda n, most, least: dom.first_of(F.filter(dom.up(n, most), lambda i: inputs(i) >= least))
+    holder = lambda n: F.coalesce(dom.first_of(F.filter(F.concat(F.array(n["nid"]), dom.up(n)), lambda i: dom.cls_has(node(i), *STEP_HOLDERS))), n["nid"])
 
     steps = dom.select_nodes(lambda n: (dom.cls_has(n, *STEPS) | dom.has_attr(n, "data-step")) & free(n))
     by_step = F.filter(F.array_distinct(F.transform(steps, holder)), lambda i: inputs(i) >= 1)
@@ -222,29 +269,6 @@ def _wizard_roots() -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda i: i.isNotNull())))
 
 
-def _wizard_rows() -> Column:
-    """Wizards with a field or a choice: its schema with the number of steps and up to ten texts of step indicators."""
-
-    def said(root: Column) -> Column:
-        parts = F.filter(dom.below(root), lambda m: dom.cls_has(m, "step", "progress") | dom.has_attr(m, "data-step"))
-        texts = F.filter(F.transform(parts, lambda m: trim_ws(dom.raw_text(m))), lambda t: F.length(t).between(2, 79))
-        return F.slice(F.array_distinct(texts), 1, 10)
-
-    def row(i: Column) -> Column:
-        root = F.get(F.col("nodes"), i)
-
-        def made(s: Column) -> Column:
-            json = F.to_json(F.struct(
-                s["fields"].alias("fields"), s["choices"].alias("choices"), s["submit"].alias("submit"), F.lit(True).alias("is_multi_step"), text.total_steps(dom.raw_text(root)).alias("total_steps"),
-                said(root).alias("step_indicators"), F.lit("").alias("action"), F.lit("post").alias("method"),
-            ))
-            return F.when((F.size(s["fields"]) > 0) | (F.size(s["choices"]) > 0), F.struct(i.alias("ord"), json.alias("schema_json"), F.substring(dom.text_of(root), 1, 4000).alias("dom_snapshot")))
-
-        return let(_schema(root, NEXT), made)
-
-    return F.transform(_wizard_roots(), row)
-
-
 def _widget_rows() -> Column:
     """Iframes with a source: vendor and whether they look like booking."""
 
@@ -269,7 +293,7 @@ def _availability_rows() -> Column:
 
     frames = F.transform(dom.select_nodes(lambda n: (n["tag"] == "iframe") & (dom.attr(n, "src") != "") & ~n["hidden"] & lexicon.booking_like(said(n))), frame)
     dates = F.slice(dom.select_nodes(lambda n: (n["tag"] == "input") & (F.lower(dom.attr(n, "type")) == "date") & ~n["hidden"]), 1, 10)
-    dated = F.transform(dates, lambda m: F.struct(F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), m["id"]).alias("name"), field_label(m, True).alias("label"), selector_candidates(m).alias("selector_candidates"), _required(m, F.lit("")).alias("required")))
+    dated = F.transform(dates, lambda m: F.struct(F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), m["id"]).alias("name"), _label(m).alias("label"), _selectors(m).alias("selector_candidates"), _required(m, F.lit("")).alias("required")))
     calendars = F.slice(dom.select_nodes(lambda n: (dom.cls_has(n, "calendar", "datepicker") | dom.id_has(n, "calendar", "datepicker")) & ~n["hidden"]), 1, 8)
     boxes = F.transform(calendars, lambda n: F.struct(selector_candidates(n).alias("selector_candidates"), F.substring(trim_ws(dom.raw_text(n)), 1, 120).alias("text_hint")))
     some = lambda a, o, s: F.when(F.size(a) > 0, F.array(as_row(F.lit(o), s))).otherwise(F.array().cast("array<struct<ord:int,schema_json:string,dom_snapshot:string>>"))
@@ -285,7 +309,7 @@ def _bars() -> Column:
     """
     spoken = lambda m: F.concat_ws(" ", dom.raw_text(m), dom.attr(m, "aria-label"), dom.attr(m, "placeholder"), dom.attr(m, "value"), dom.attr(m, "title"))
     calls = dom.select_nodes(lambda n: ((n["tag"] == "button") | ((n["tag"] == "input") & dom.attr(n, "type").isin("submit", "button")) | (dom.attr(n, "role") == "button") | (n["tag"] == "a")) & ~n["hidden"] & dom.like(spoken(n), BAR["action"]) & (F.length(spoken(n)) <= 80))
-    places = F.array_distinct(F.flatten(F.transform(calls, lambda n: F.slice(n["anc"], 1, 8))))
+    places = F.array_distinct(F.flatten(F.transform(calls, lambda n: dom.up(n, 8))))
 
     def scored(i: Column) -> Column:
         root = F.get(F.col("nodes"), i)
@@ -321,33 +345,38 @@ def _bar_rows() -> Column:
     return F.transform(_bars(), lambda b: F.struct((b["ord"] + 2_000_000).alias("ord"), schema(b).alias("schema_json"), F.lit(None).cast("string").alias("dom_snapshot")))
 
 
-def _capabilities(pages_dom: DataFrame, **rows: Column) -> DataFrame:
+def _of_kind(kind: str, rows: Column) -> Column:
+    return F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x["ord"].alias("ord"), x["schema_json"].alias("schema_json"), x["dom_snapshot"].alias("dom_snapshot")))
+
+
+def _capabilities(pages_dom: DataFrame, *rows: Column) -> DataFrame:
     """(page_id, site, url, kind, ord, schema_json, dom_snapshot): the arrays of all kinds are made in one pass over the page."""
-    typed = lambda kind, a: F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), x["ord"].cast("int").alias("ord"), x["schema_json"].alias("schema_json"), x["dom_snapshot"].alias("dom_snapshot")))
-    every = F.concat(*[typed(kind, a) for kind, a in rows.items()])
-    return pages_dom.select("page_id", "site", "url", F.explode(every).alias("c")).select("page_id", "site", "url", "c.*")
+    typed = [F.transform(F.filter(a, lambda x: x.isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["ord"].cast("int").alias("ord"), x["schema_json"].alias("schema_json"), x["dom_snapshot"].alias("dom_snapshot"))) for a in rows]
+    found = with_controls(pages_dom).select("page_id", "site", "url", F.explode(F.concat(*typed)).alias("c"))
+    return found.select("page_id", "site", "url", "c.*")
 
 
 def cap_forms(pages_dom: DataFrame) -> DataFrame:
     """Capabilities of kind form."""
-    return _capabilities(pages_dom, form=_form_rows())
+    return _capabilities(pages_dom, _schema_rows("form"))
 
 
 def cap_wizards(pages_dom: DataFrame) -> DataFrame:
     """Capabilities of kind wizard."""
-    return _capabilities(pages_dom, wizard=_wizard_rows())
+    return _capabilities(pages_dom, _schema_rows("wizard"))
 
 
 def cap_widgets(pages_dom: DataFrame) -> DataFrame:
     """Capabilities of kind booking_widget."""
-    return _capabilities(pages_dom, booking_widget=_widget_rows())
+    return _capabilities(pages_dom, _of_kind("booking_widget", _widget_rows()))
 
 
 def cap_availability(pages_dom: DataFrame) -> DataFrame:
     """Capabilities of kind availability: booking frames, date inputs, calendars, booking bars."""
-    return _capabilities(pages_dom, availability=F.concat(_availability_rows(), _bar_rows()))
+    return _capabilities(pages_dom, _of_kind("availability", F.concat(_availability_rows(), _bar_rows())))
 
 
 def page_capabilities(pages_dom: DataFrame) -> DataFrame:
     """All capabilities of each page."""
-    return _capabilities(pages_dom, form=_form_rows(), wizard=_wizard_rows(), booking_widget=_widget_rows(), availability=F.concat(_availability_rows(), _bar_rows()))
+    availability = _of_kind("availability", F.concat(_availability_rows(), _bar_rows()))
+    return _capabilities(pages_dom, _schema_rows("form", "wizard"), _of_kind("booking_widget", _widget_rows()), availability)

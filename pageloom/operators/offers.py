@@ -81,7 +81,7 @@ def _card_root(n: Column) -> Column:
         lists = F.size(F.filter(dom.below(a), lambda m: m["tag"] == "li")) >= 3
         return let(dom.text_of(a), lambda t: (looks | money.has_money(t)) & ((pick_title(a) != "") | lists | money.has_money(t)) & (F.length(t) >= 20))
 
-    return dom.first_of(F.filter(F.slice(F.concat(F.array(n), dom.ancestors(n)), 1, 8), good))
+    return dom.first_of(F.filter(F.concat(F.array(n), dom.ancestors(n, 7)), good))
 
 
 def pricing_cards(pages_dom: DataFrame) -> DataFrame:

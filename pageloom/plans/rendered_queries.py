@@ -71,8 +71,7 @@ def rendered_buttons(spark, sf_dir):
 def rendered_choices(spark, sf_dir):
     """Choices of every customer form: option values by group."""
     parsed = dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))
-    rows = parsed.select("page_id", F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c"))
-    return rows.select("page_id", "c.name", "c.type", F.array_join(F.transform("c.options", lambda o: o["value"]), ",").alias("options"))
+    return forms.extract_choices(parsed).select("page_id", "name", "type", F.array_join(F.transform("options", lambda o: o["value"]), ",").alias("options"))
 
 
 def rendered_capabilities(spark, sf_dir):
@@ -131,8 +130,7 @@ def rendered_price_map(spark, sf_dir):
 def rendered_button_groups(spark, sf_dir):
     """Button groups of every form: pressed ones and sibling options."""
     parsed = dom.parse_pages(rendered.option_pages(spread(read_table(spark, sf_dir, "customer"))))
-    rows = parsed.select("page_id", F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c"))
-    return rows.select("page_id", "c.name", "c.type", "c.required", F.array_join(F.transform("c.options", lambda o: o["value"]), ",").alias("options"))
+    return forms.extract_choices(parsed).select("page_id", "name", "type", "required", F.array_join(F.transform("options", lambda o: o["value"]), ",").alias("options"))
 
 
 def rendered_schemas(spark, sf_dir):
@@ -156,7 +154,7 @@ def rendered_parts(spark, sf_dir):
     """Details, marked features, overlays and what main holds besides its sections, of every page."""
     parsed = content.section_parts(dom.parse_pages(rendered.part_pages(spread(read_table(spark, sf_dir, "part")))))
     joined = lambda a: F.array_join(a, "|")
-    return parsed.select("page_id", joined(content.details_texts()).alias("details"), joined(content.icon_feature_texts()).alias("features"), joined(content.overlay_texts()).alias("overlays"), joined(content.main_texts(F.col("parts"))).alias("main"))
+    return parsed.select("page_id", joined(content.details_texts()).alias("details"), joined(content.icon_feature_texts()).alias("features"), joined(content.overlay_texts()).alias("overlays"), joined(content.main_texts(F.col("free"))).alias("main"))
 
 
 def rendered_boilerplate(spark, sf_dir):

@@ -77,7 +77,7 @@ def test_home_links_come_from_navigation(spark):
 
 def test_button_groups(spark):
     html = '<form><div><button aria-pressed="true">One</button><button aria-pressed="false">Two</button></div><div><b>Kind *</b><div><button>A</button><button>B</button><button>Next</button></div></div><div><button>Send</button><button>Cancel</button></div></form>'
-    got = parsed(spark, html).select(F.explode(F.flatten(F.transform(dom.select_nodes(lambda n: n["tag"] == "form"), forms.choices_of))).alias("c")).select("c.*").collect()
+    got = forms.extract_choices(parsed(spark, html)).collect()
     assert [(r.name, r.required, [o.value for o in r.options]) for r in got] == [("button_group", False, ["One", "Two"]), ("Kind", True, ["A", "B"])]
 
 
