@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.binding import let
 from pageloom.functions.regexes import WS, norm_ws, trim_ws
 
-__all__ = ["clean", "dedupe_lines", "is_challenge_page", "norm_ws", "strip_footer_dedup", "total_steps", "word_count"]
+__all__ = ["clean", "cut_at_marker", "dedupe_lines", "is_challenge_page", "norm_ws", "strip_footer_dedup", "total_steps", "word_count"]
 
 #: Phrases of pages shown in place of the real one. Fixed values.
 CHALLENGES = ("just a moment", "checking your browser", "performing security", "please wait", "enable javascript and cookies", "ray id")
@@ -26,19 +26,26 @@ def word_count(t: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(t, F.lit("")), f"{WS}+"), lambda x: x != ""))
 
 
-def strip_footer_dedup(t: Column, marker: str = "TOP_CONTROLS") -> Column:
-    """Cut at the marker unless it comes first; of equal lines of 40 or more characters keep the first."""
+def cut_at_marker(t: Column, marker: str = "TOP_CONTROLS") -> Column:
+    """The text before the marker; the whole text if the marker is absent or comes first."""
     at = F.instr(t, marker)
-    main = F.when(at > 1, F.substring(t, F.lit(1), at - 1)).otherwise(t)
-    lines = F.split(main, "\n")
-    keys = F.transform(lines, trim_ws)
+    return F.when(at > 1, F.substring(t, F.lit(1), at - 1)).otherwise(t)
+
+
+def strip_footer_dedup(t: Column, marker: str = "TOP_CONTROLS") -> Column:
+    """Cut at the marker unless it comes first; of equal lines of 40 or more characters keep the first.
+
+    Equal lines stand together once they are sorted, so no line is looked up among the others.
+    """
+    lines = F.split(cut_at_marker(t, marker), "\n")
+    keyed = F.sort_array(F.transform(lines, lambda x, i: F.struct(trim_ws(x).alias("key"), i.alias("at"))))
 
-    def body(keys: Column) -> Column:
-        # of lines with one key, the map keeps the number of the first
-        firsts = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.array_position(keys, k))))
-        return let(firsts, lambda m: F.filter(lines, lambda x, i: let(trim_ws(x), lambda k: (F.length(k) < LONG_LINE) | (F.try_element_at(m, k) == i + 1))))
+    def body(rows: Column) -> Column:
+        new = lambda x, i: (F.length(x["key"]) < LONG_LINE) | F.coalesce(F.get(rows, i - 1)["key"] != x["key"], F.lit(True))
+        kept = F.sort_array(F.transform(F.filter(rows, new), lambda x: x["at"]))
+        return let(lines, lambda every: F.transform(kept, lambda i: F.get(every, i)))
 
-    return F.array_join(let(F.transform(lines, trim_ws), body), "\n")
+    return F.array_join(let(keyed, body), "\n")
 
 
 def dedupe_lines(t: Column) -> Column:

@@ -273,6 +273,20 @@ def page_docs(pages_dom: DataFrame, specs_text: DataFrame | None = None, payload
     return rows.select(F.explode(F.filter(F.array(row), keep)).alias("r")).select("r.*")
 
 
+def strip_long_documents(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, text): ``text.strip_footer_dedup`` over rows of lines, for documents of so many lines that one is not a row's work.
+
+    Each line is a row; the first of equal long lines is found with map-side aggregation by (document, MD5 of the line),
+    so a document with most of the lines is dealt over many tasks until its kept lines are put in order again. ``key``
+    must be unique; a null text stays null, and the empty text stays empty.
+    """
+    lines = docs.select(F.col(key), F.posexplode_outer(F.split(text.cut_at_marker(F.col(column)), "\n")).alias("at", "line"))
+    same = F.when(F.length(trim_ws(F.col("line"))) >= text.LONG_LINE, F.md5(trim_ws(F.col("line")))).otherwise(F.col("at").cast("string"))
+    first = lines.groupBy(F.col(key), same.alias("same")).agg(F.min(F.struct("at", "line")).alias("f"))
+    kept = F.transform(F.sort_array(F.collect_list("f")), lambda x: x["line"])
+    return first.groupBy(key).agg(kept.alias("lines")).select(key, F.when(F.get("lines", F.lit(0)).isNotNull(), F.array_join("lines", "\n")).alias(column))
+
+
 def boilerplate_text(pages_dom: DataFrame) -> DataFrame:
     """(page_id, site, part, text): texts over five characters of headers, footers, navs and elements with a navigation role on home pages."""
     home = pages_dom.filter(urls.path(F.col("url")) == "/")

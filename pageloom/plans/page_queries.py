@@ -38,6 +38,12 @@ def url_first_seen(spark, sf_dir):
     return first_seen(pages, ["url_key"], ["page_id"])
 
 
+def text_long_documents(spark, sf_dir):
+    """Documents without repeated long lines, by rows of lines."""
+    docs = content.strip_long_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5("text").alias("strip_md5"))
+
+
 def text_columns(spark, sf_dir):
     """Cleaned text, word counts and line-deduplicated text of every document."""
     t = F.col("text")
@@ -173,7 +179,7 @@ def price_or_request(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        site_page_types, url_columns, url_first_seen, text_columns, text_contacts, button_words, page_link_table, page_nav_links, page_all_links, listing_pages, page_titles, page_sections, page_docs,
+        site_page_types, url_columns, url_first_seen, text_long_documents, text_columns, text_contacts, button_words, page_link_table, page_nav_links, page_all_links, listing_pages, page_titles, page_sections, page_docs,
         page_contacts, site_stats, json_fingerprints, payload_budget, request_lines, latest_orders, price_texts, price_or_request,
     )
 }
@@ -226,6 +232,9 @@ ORACLE = {
                regexp_matches(url, '(?i){_SKIP}') AS skippable, regexp_matches(url, '(?i){urls.PRIORITY}') AS priority, CASE WHEN page_id % 4 = 0 THEN 'textless' WHEN page_id % 3 = 0 THEN 'third_party' WHEN page_id % 4 = 1 THEN 'own_document' ELSE 'kept' END AS resource_class
         FROM pages""",
     "url_first_seen": f"SELECT min(page_id) AS page_id, arg_min(url, page_id) AS url, {_KEY} AS url_key FROM pages GROUP BY 3",
+    "text_long_documents": f"""
+        WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents), k AS (SELECT *, list_transform(lines, lambda x: {_trim_sql('x')}) AS keys FROM l)
+        SELECT doc_id, md5(array_to_string(list_filter(lines, lambda x, i: len(keys[i]) < 40 OR list_position(keys, keys[i]) = i), chr(10))) AS strip_md5 FROM k""",
     "text_columns": f"""
         WITH l AS (SELECT doc_id, text, {_LINES} AS lines, list_filter(string_split_regex(text, '\\n+'), lambda x: x <> '') AS filled FROM documents),
         k AS (SELECT *, list_transform(lines, lambda x: {_trim_sql('x')}) AS keys FROM l)

@@ -141,6 +141,28 @@ def form_pages(customer: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def control_pages(customer: DataFrame) -> DataFrame:
+    """One form a customer whose controls are told by a lone id, a lone class or their place, and labelled in three ways or not at all."""
+    k = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<html><body><form id="f'), k, F.lit('"><label for="u'), k, F.lit('">Name '), "c_mktsegment", F.lit('</label><input id="u'), k,
+        F.lit('" name="who"><label>Mail <input class="mail wide" name="mail"></label><span><label>Phone</label><input class="wide" name="phone"></span><input aria-label="Extra" name="extra" id="dup">'
+              '<input id="dup" name="last"><button class="go" type="submit">Send it</button></form></body></html>'),
+    )
+    return customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://k"), F.col("c_nationkey").cast("string"), F.lit(".example/x/"), k).alias("url"), html.alias("html"))
+
+
+def booking_pages(customer: DataFrame) -> DataFrame:
+    """One page a customer with a booking bar, a dated form, a calendar and a booking frame."""
+    k = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<html><body><div class="bar"><input name="checkin" placeholder="Check-in"><input placeholder="Check-out"><input placeholder="Guests"><button>Book now</button></div><form><label for="d">Day '), k,
+        F.lit('</label><input id="d" type="date" name="day_'), k, F.lit('"></form><div class="calendar-box">May '), "c_mktsegment",
+        F.lit('</div><iframe title="Booking" src="https://app.cloudbeds.com/w/'), (F.col("c_nationkey") % 3).cast("string"), F.lit('"></iframe></body></html>'),
+    )
+    return customer.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://b"), F.col("c_nationkey").cast("string"), F.lit(".example/x/"), k).alias("url"), html.alias("html"))
+
+
 def portfolio_pages(orders: DataFrame) -> DataFrame:
     """Page rows under /portfolio/, one an order, site by customer; areas in the text."""
     k = F.col("o_orderkey").cast("string")

@@ -208,6 +208,53 @@ def tree_next_urls(spark, sf_dir):
     return frontier.next_urls(frontier.crawl_frontier(home, links), have).select("site", "url_key", "depth")
 
 
+def rendered_selectors(spark, sf_dir):
+    """Selectors and labels of every form, its button and its fields."""
+    rows = forms.extract_forms(dom.parse_pages(rendered.control_pages(spread(read_table(spark, sf_dir, "customer")))))
+    rows = rows.select("page_id", F.col("selector").alias("form"), "submit_button", F.posexplode("fields").alias("pos", "f"))
+    return rows.select("page_id", "form", "submit_button", "pos", "f.name", "f.selector", "f.label")
+
+
+def rendered_availability(spark, sf_dir):
+    """What the schemas of frames, date inputs, calendars and booking bars say."""
+    parsed = dom.parse_pages(rendered.booking_pages(spread(read_table(spark, sf_dir, "customer"))))
+    caps = forms.page_capabilities(parsed).filter("kind <> 'form'")
+    said = lambda *paths: F.coalesce(*[F.get_json_object("schema_json", p) for p in paths])
+    return caps.select(
+        "page_id", "kind", said("$.ui_type").alias("ui_type"), said("$.vendor", "$.booking_vendor").alias("vendor"), said("$.src", "$.iframe_src").alias("src"), said("$.date_inputs[0].name").alias("date_name"),
+        said("$.date_inputs[0].label").alias("date_label"), said("$.calendar_containers[0].text_hint").alias("calendar"), said("$.score").alias("score"), said("$.execution_grade").alias("ready"),
+    )
+
+
+def rendered_templates(spark, sf_dir):
+    """The first form of each template of a site: forms differ in the numbers of a field's name, which templates leave out, and in an option."""
+    caps = sites.site_capabilities(forms.cap_forms(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))))
+    return caps.select("site", "kind", "rank", "url", F.get_json_object("schema_json", "$.fields[0].name").alias("first_name"))
+
+
+def rendered_site_forms(spark, sf_dir):
+    """The first fifteen forms of each site by their field names."""
+    rows = sites.site_forms(forms.enrich_forms(forms.extract_forms(dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer")))))))
+    return rows.select("site", "page_id", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("names"), F.array_join(F.transform("fields", lambda f: f["type"]), ",").alias("types"))
+
+
+def rendered_salvage(spark, sf_dir):
+    """Rows of pages that could not be read: kept on request, marked as partial."""
+    rows = content.page_docs(_extraction(spark, sf_dir), keep_all=True).filter("partial")
+    return rows.select("page_id", "site", "page_type", "content", "word_count", "status", "partial")
+
+
+def tree_visited(spark, sf_dir):
+    """The first forty customer pages of each site in the order of their visit; a fifth was reached by a redirect."""
+    home, links_ = _tree(spark, sf_dir)
+    customer = read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    site = F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit(".example"))
+    page = lambda folder: F.concat(F.lit("https://"), site, F.lit(folder), F.col("c_custkey").cast("string"))
+    moved = F.col("c_custkey") % 5 == 0
+    kept = customer.select(F.col("c_custkey").alias("page_id"), site.alias("site"), F.when(moved, page("/old/")).otherwise(page("/c/")).alias("url"), F.when(moved, page("/c/")).alias("final_url"))
+    return frontier.visited_pages(frontier.crawl_frontier(home, links_), kept).select("site", "page_id", "url_key", "seq")
+
+
 def event_recrawls(spark, sf_dir):
     """Events as requests: crawled or answered from the last crawl."""
     rows = jobs.suppress_recrawls(jobs.requests_of_events(read_table(spark, sf_dir, "events")), ties=("event_id",))
@@ -218,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
-        rendered_site_map, rendered_portfolio, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
+        rendered_site_map, rendered_portfolio, rendered_selectors, rendered_availability, rendered_templates, rendered_site_forms, rendered_salvage, tree_visited, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
 
@@ -338,6 +385,31 @@ ORACLE = {
         WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT 'region' || n_regionkey || '.example' AS site, {_REGION} || 'c/' || c_custkey AS url_key, 2 AS depth FROM c
         UNION ALL SELECT 'region' || n_regionkey || '.example', {_REGION} || 'o/' || o_orderkey, 3 FROM orders JOIN c ON o_custkey = c_custkey""",
+    "rendered_selectors": """
+        SELECT c_custkey AS page_id, '#f' || c_custkey AS form, '.go' AS submit_button, f.pos, f.name, CASE f.pos WHEN 0 THEN '#u' || c_custkey ELSE f.selector END AS selector,
+               CASE f.pos WHEN 0 THEN 'Name ' || c_mktsegment ELSE f.label END AS label
+        FROM customer, (VALUES (0, 'who', '', ''), (1, 'mail', '.mail', 'Mail'), (2, 'phone', 'input:nth-of-type(1)', 'Phone'), (3, 'extra', 'input:nth-of-type(2)', ''), (4, 'last', 'input:nth-of-type(3)', '')) AS f(pos, name, selector, label)""",
+    "rendered_availability": """
+        WITH c AS (SELECT *, 'https://app.cloudbeds.com/w/' || (c_nationkey % 3) AS frame FROM customer)
+        SELECT c_custkey AS page_id, 'booking_widget' AS kind, NULL AS ui_type, 'cloudbeds' AS vendor, frame AS src, NULL AS date_name, NULL AS date_label, NULL AS calendar, NULL AS score, NULL AS ready FROM c
+        UNION ALL SELECT c_custkey, 'availability', 'iframe_booking_widget', 'cloudbeds', frame, NULL, NULL, NULL, NULL, 'false' FROM c
+        UNION ALL SELECT c_custkey, 'availability', NULL, NULL, NULL, 'day_' || c_custkey, 'Day ' || c_custkey, NULL, NULL, NULL FROM c
+        UNION ALL SELECT c_custkey, 'availability', NULL, NULL, NULL, NULL, NULL, 'May ' || c_mktsegment, NULL, NULL FROM c
+        UNION ALL SELECT c_custkey, 'availability', 'booking_bar', NULL, NULL, NULL, NULL, NULL, '11', 'true' FROM c, range(3)""",
+    "rendered_templates": f"""
+        WITH t AS (SELECT {_FORM_SITE} AS site, c_nationkey, c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY ALL)
+        SELECT site, 'form' AS kind, CAST(rank AS INTEGER) AS rank, 'https://' || site || '/rooms/' || k AS url, 'field_' || k AS first_name
+        FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k) AS rank FROM t) WHERE rank <= 8""",
+    "rendered_site_forms": f"""
+        SELECT {_FORM_SITE} AS site, c_custkey AS page_id, 'field_' || c_custkey || ',email,arrival,segment,kind,kind' AS names, 'text,text,date,select,text,text' AS types
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) WHERE r <= 15""",
+    "rendered_salvage": """
+        SELECT p_partkey AS page_id, 'g' || (p_partkey % 7) || '.example' AS site, 'general' AS page_type, '' AS content, 0 AS word_count, 'ok' AS status, true AS partial FROM part WHERE p_partkey % 11 = 0""",
+    "tree_visited": f"""
+        WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), many AS (SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1),
+        p AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY {_REGION} || 'n/' || n_nationkey, c_custkey) AS r FROM c)
+        SELECT 'region' || n_regionkey || '.example' AS site, c_custkey AS page_id, {_REGION} || 'c/' || c_custkey AS url_key, CAST(1 + nations + r AS INTEGER) AS seq
+        FROM p JOIN many USING (n_regionkey) WHERE r <= 40""",
     "event_recrawls": """
         WITH RECURSIVE e AS (SELECT event_id, lower(event_type) AS url_key, epoch(ts) AS t, row_number() OVER (PARTITION BY lower(event_type) ORDER BY ts, event_id) AS r FROM events),
         run AS (
