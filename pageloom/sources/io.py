@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.sources.tables import spread
 
+#: Folders of a saved site map.
+SITE_BUCKETS = 64
+
 
 def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """page_id, url, html[, final_url]; dealt out by page_id if ``partitions`` are named, else only where the scan leaves cores idle."""
@@ -54,3 +60,35 @@ def upsert_site_map(old: DataFrame, new: DataFrame, key: str = "site_id", at: st
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     latest = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*old.columns), F.struct(at, "_new")).alias("_row"))
     return latest.select("_row.*")
+
+
+def read_site_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved site map; None where there is none yet."""
+    try:
+        return spark.read.parquet(path).drop("bucket")
+    except AnalysisException as found:
+        if found.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def save_site_map(new: DataFrame, path: str, key: str = "site_id", at: str = "updated_at", buckets: int = SITE_BUCKETS) -> None:
+    """Upsert ``new`` into the site map at ``path``, a Parquet table partitioned by bucket of ``key``.
+
+    Only the buckets of the sites in ``new`` are read and overwritten, so a few sites cost their buckets and not the
+    table; files of other buckets stay. The merged rows are written to the shared folder first, as a table can't be
+    overwritten while it is read. Run again with the same rows, or after a failure, it gives the same table. ``buckets`` must stay
+    the same for a table; rows of equal key and time are those of ``new``; an empty ``new`` changes nothing.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = [r[0] for r in new.select(bucket).distinct().collect()]  # ``buckets`` at most
+    if not touched:
+        return
+    old = read_site_map(spark, path)
+    before = new.limit(0) if old is None else spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = upsert_site_map(before.select(*new.columns), new, key, at).withColumn("bucket", bucket)
+    staged = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/site-map-{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    rows = spark.read.schema(merged.schema).parquet(staged)
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pageloom.functions import text
 from pageloom.operators import content, dom, forms, frontier, links, offers, sites
 from pageloom.plans import registry
 from pageloom.sources import io, tables
@@ -239,3 +240,105 @@ def test_small_scans_are_spread_and_full_ones_stay(spark):
     full = spark.range(0, 100, 1, cores)
     assert tables.spread(full) is full
     assert sorted(tables.spread(small).collect()) == sorted(small.collect())
+
+
+def test_unclosed_tags_stay_linear():
+    small, large = (sum(len(str(n)) for n in dom.parse("<b>" * k)[2]) for k in (1000, 4000))
+    assert large < 4.2 * small
+    assert [(n["depth"], n["pid"], n["prev"]) for n in dom.parse("<div><p>a<p>b</div><i>")[2]] == [(0, -1, -1), (1, 0, -1), (1, 0, 1), (0, -1, 0)]
+
+
+def test_climbing(spark):
+    pages = parsed(spark, "<nav><ul><li><a href=x>y</a></ul></nav><p><b>z</b>")
+    row = pages.select(
+        F.transform("nodes", lambda n: dom.up(n)).alias("up"), F.transform("nodes", lambda n: dom.up(n, 2)).alias("two"), F.transform("nodes", lambda n: dom.inside(n, lambda m: m["tag"] == "nav")).alias("inside"),
+        F.transform("nodes", lambda n: dom.within(n, lambda m: m["tag"] == "ul")).alias("within"), F.transform("nodes", lambda n: dom.nearest_ancestor(n, lambda m: m["tag"].isin("ul", "p"))).alias("nearest"),
+    ).first()
+    assert row.up == [[], [0], [1, 0], [2, 1, 0], [], [4]] and row.two == [[], [0], [1, 0], [2, 1], [], [4]]
+    assert row.inside == [False, True, True, True, False, False] and row.within == [False, True, True, True, False, False]
+    assert row.nearest == [-1, -1, 1, 1, -1, 4]
+
+
+def test_index_of_ids_classes_and_labels(spark):
+    html = '<label for="a">A</label><input id="a" class="x y"><input id="b" class="y z"><p id="b"></p><label for="b">B</label><label for="b">C</label>'
+    rows = parsed(spark, html).select(F.explode("nodes").alias("n")).select("n.nid", "n.lone_id", "n.lone_class", "n.label").collect()
+    assert [tuple(r) for r in rows[:4]] == [(0, False, "", -1), (1, True, "x", 0), (2, False, "z", 4), (3, False, "", 4)]
+    plan = parsed(spark, html).select(F.transform("nodes", forms.unique_selector).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(nodes") == 1 and "filter(nodes" not in plan
+
+
+def plain_parts(candidates):
+    """(kept, emitted intervals) by looking through all that was emitted."""
+    out = []
+    for nid, last, words in candidates:
+        if len(words) >= 5 and all(words != w for _, _, w in out) and not any(a <= nid <= b for a, b, _ in out):
+            out.append((nid, last, words))
+    return out
+
+
+def test_parts_against_a_plain_search(spark):
+    rng = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(("alpha", "beta beta", "gamma", "no", "delta delta"))
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choices(("ul", "li", "div", "h2"), k=rng.randint(1, 4)))
+
+    htmls = [f"<main>{tree(5)}</main>" for _ in range(40)] + ["", None, "<p>" + "x" * 9]
+    rows = content.section_parts(parsed(spark, *htmls)).orderBy("page_id").collect()
+    assert sum(len(r.parts) for r in rows) > 60
+    for r in rows:
+        wanted = [(n.nid, n.last, r.text[n.t0 : n.t1].strip()) for n in r.nodes if n.tag in ("h2", "li", "p")]
+        emitted = plain_parts(wanted)
+        assert [(p.nid, p.text) for p in r.parts] == [(a, w) for a, _, w in emitted]
+        assert r.free == [not any(a <= n.last and n.nid <= b for a, b, _ in emitted) for n in r.nodes]
+
+
+def test_long_documents_by_rows_of_lines(spark):
+    rng = random.Random(3)
+    line = lambda: rng.choice(("short", "", " ", "x" * 40, "y" * 39, " " + "x" * 40, "long line number %d of more than forty characters" % rng.randint(0, 30)))
+    rows = [(k, "\n".join(line() for _ in range(200))) for k in range(20)] + [(20, None), (21, ""), (22, "TOP_CONTROLS" + "z" * 50), (23, "a\nTOP_CONTROLS\nb"), (24, "\n".join(f"line {k % 9000:060d}" for k in range(100_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit("clash"))
+    got = {r.doc_id: r.text for r in content.strip_long_documents(docs).collect()}
+    want = {r.doc_id: r.t for r in docs.select("doc_id", text.strip_footer_dedup(F.col("text")).alias("t")).collect()}
+    assert got == want and len(got[24].split("\n")) == 9000 and got[20] is None and got[21] == ""
+    for k, t in rows[:20]:
+        seen, kept = set(), []
+        for x in t.split("\n"):
+            if len(x.strip()) < 40 or x.strip() not in seen:
+                kept.append(x)
+                seen.add(x.strip())
+        assert got[k] == "\n".join(kept)
+    assert content.strip_long_documents(docs.filter("doc_id = 99")).count() == 0
+
+
+def test_links_are_shuffled_once(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        home, links_ = registry.rendered_queries._tree(spark, "/root/testdata/sf0.001")
+        good = frontier.settle_links(links_)
+        rounds = [frontier._bucketed(home.select("site", F.col("url").alias("url_key"), "url", F.lit("").alias("via")), "frontier", "site", "url_key")]
+        step = frontier.next_round(rounds[0], good, rounds, 1)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2  # only what was reached is moved
+        assert step.count() == 25
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_saved_site_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = lambda *r: spark.createDataFrame(list(r), "site_id string, url string, updated_at long")
+    io.save_site_map(rows(*[(f"s{k}", "old", 1) for k in range(40)]), path, buckets=8)
+    files = lambda: {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "map").rglob("*.parquet")}
+    before = files()
+    for _ in range(2):  # safe to run twice
+        io.save_site_map(rows(("s1", "new", 2), ("s2", "late", 0), ("t", "first", 5)), path, buckets=8)
+        got = {r.site_id: (r.url, r.updated_at) for r in io.read_site_map(spark, path).collect()}
+        assert got == {f"s{k}": ("old", 1) for k in range(40)} | {"s1": ("new", 2), "t": ("first", 5)}
+    after = files()
+    kept = {f.parts[0] for f, t in after.items() if before.get(f) == t}
+    assert len(kept) >= 5 and len({f.parts[0] for f in after} - kept) <= 3
+    io.save_site_map(rows(), path, buckets=8)
+    assert files() == after and io.read_site_map(spark, str(tmp_path / "none")) is None
