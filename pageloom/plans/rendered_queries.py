@@ -191,7 +191,8 @@ def rendered_portfolio(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    return rendered.tree_links(*(read_table(spark, sf_dir, t) for t in ("nation", "customer", "orders")))
+    nation, customer, orders = (read_table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    return rendered.tree_links(nation, customer, spread(orders))
 
 
 def tree_frontier(spark, sf_dir):
