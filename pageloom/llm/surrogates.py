@@ -14,9 +14,12 @@ Names are mapped by their parts: a family name has one surrogate beside every gi
 surrogate is drawn from names and syllables by SHA-256 of the key, and drawn again, longer, where another part draws it or has it.
 
 Only DataFrame functions. Defined cases: null and empty texts pass unchanged with no
-entities; detection is leftmost, in the order above; repeated rows get equal
-results; columns named as the results are replaced, others stay. A part of a name whose ``ATTEMPTS``
-draws all collide gets a longer surrogate that carries its own digest. A name without a title is not detected.
+entities, an empty table gives no rows; detection is leftmost, in the order above; repeated rows get equal
+results; texts of any length are searched whole; columns named as the results are replaced, others stay. A secret
+has a letter or digit; a run of signs alone, as a form's blank line, is none. An entity whose images are all real or
+taken in ``MOST_ROUNDS`` permutations, as of a layout with very few strings, gets ``X`` and its own digest, and so
+does a part of a name whose ``ATTEMPTS`` draws all collide. A name without a title is not detected by itself, but a
+given and family name detected in a text is replaced wherever that text repeats them (this is not counted).
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pageloom.functions.binding import let
 from pageloom.llm.common import row_key, write_shared
 
 ATTEMPTS = 6
+MOST_ROUNDS = 8
 DEFAULT_KEY = "change-this-key"
 
 #: Given names by script and gender. Fixed values.
@@ -54,7 +58,7 @@ _TITLED = rf"(?<!\p{{L}})(?:{_TITLE})\.? "
 #: (type, what stays in front, entity). Earlier ones win at the same place.
 PATTERNS = (
     ("email", "", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
-    ("secret", _ASSIGNED, r"[A-Za-z0-9_\-/+]{12,128}"),
+    ("secret", _ASSIGNED, r"(?=[_\-/+]{0,127}[A-Za-z0-9])[A-Za-z0-9_\-/+]{12,128}"),
     ("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", "", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{13})(?![0-9])"),
     ("ip", "", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
@@ -193,6 +197,11 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("key", "place", "kind", "front", "entity", _gender(F.col("front")).alias("gender"))
 
 
+def own_digest(kind: Column, entity: Column, key: str = DEFAULT_KEY) -> Column:
+    """A surrogate of no layout, for entities that no permutation gives a free image."""
+    return F.concat(F.lit("X"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("own"), kind, entity), 256), 1, 24))
+
+
 def _named(found: DataFrame, key: str, attempts: int) -> DataFrame:
     """(entity, surrogate) of the names: by given and family name, each with one surrogate, no two parts with the same."""
     spelled = found.filter("kind = 'name'").groupBy("entity").agg(F.max((F.col("gender") == "f").cast("int")).alias("f"), F.max((F.col("gender") == "m").cast("int")).alias("m"))
@@ -228,7 +237,7 @@ def assign(found: DataFrame, key: str = DEFAULT_KEY, attempts: int = ATTEMPTS) -
     # an image that is a real entity, or was taken before, is left to the next permutation: a small part each time
     taken = known.select(F.col("kind").alias("t_kind"), F.col("canon").alias("t_drawn"))
     mapped, waiting = None, known
-    for attempt in range(1, 100):
+    for attempt in range(1, MOST_ROUNDS + 1):
         met = (F.col("kind") == F.col("t_kind")) & (F.col("drawn") == F.col("t_drawn"))
         free = write_shared(waiting.join(taken, met, "left_anti"), "images-free") if mapped is not None else known.join(taken, met, "left_anti")
         waiting = waiting.join(taken, met, "left_semi").select("kind", "canon", image(F.col("kind"), F.col("canon"), f"{key}#{attempt}").alias("drawn"))
@@ -237,25 +246,35 @@ def assign(found: DataFrame, key: str = DEFAULT_KEY, attempts: int = ATTEMPTS) -
         if not waiting.limit(1).count():
             break
         taken = taken.unionAll(free.select("kind", "drawn"))
-    plain = entities.join(mapped, ["kind", "canon"]).select("kind", "entity", poured(F.col("kind"), F.col("entity"), F.col("drawn")).alias("surrogate"))
+    spelled = F.when(F.col("drawn").isNotNull(), poured(F.col("kind"), F.col("entity"), F.col("drawn"))).otherwise(own_digest(F.col("kind"), F.col("canon"), key))
+    plain = entities.join(mapped, ["kind", "canon"], "left").select("kind", "entity", spelled.alias("surrogate"))
     return plain.unionAll(_named(found, key, attempts))
 
 
+def _without_names(piece: Column) -> Column:
+    """What stands between entities, with the given and family names of ``_pii_names`` replaced; names hold letters and a blank only."""
+    whole = lambda name: F.concat(F.lit(r"(?<!\p{L})"), name, F.lit(r"(?!\p{L})"))
+    return F.aggregate("_pii_names", piece, lambda t, n: F.when(t.contains(n["entity"]), F.regexp_replace(t, whole(n["entity"]), n["surrogate"])).otherwise(t))
+
+
 def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with surrogates in place of entities, and n_entities."""
     docs = docs.drop("n_entities")
     names = docs.columns
     found = write_shared(detect(docs, text), "entities")
     table = assign(found, key)
+    # a left join: whatever has no surrogate keeps its place, so that no other replacement moves into it
+    placed = found.join(table, ["kind", "entity"], "left").withColumn("surrogate", F.coalesce("surrogate", own_digest(F.col("kind"), F.col("entity"), key)))
+    full_name = F.when((F.col("kind") == "name") & F.col("entity").contains(" "), F.struct("entity", "surrogate"))
     filled = (
-        found.join(table, ["kind", "entity"])
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("front", "surrogate").alias("new")))).alias("_pii_new"))
+        placed.groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("place", F.concat("front", "surrogate").alias("new")))).alias("_pii_new"), F.array_sort(F.collect_set(full_name)).alias("_pii_names"))
         .withColumnRenamed("key", "_pii_key")
     )
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     plain = docs.filter(~hinted).select(*names, F.lit(0).alias("n_entities"))
     marked = docs.filter(hinted).withColumn("_pii_own", row_key(text)).join(filled, F.col("_pii_own") == F.col("_pii_key"), "left")
-    pieces = F.split(F.col(text), COMBINED, -1)
+    pieces = F.transform(F.split(F.col(text), COMBINED, -1), lambda p: F.when(F.size("_pii_names") > 0, _without_names(p)).otherwise(p))
     rebuilt = F.array_join(F.zip_with(pieces, F.transform("_pii_new", lambda x: x["new"]), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     marked = marked.withColumn(text, F.when(F.col("_pii_new").isNull(), F.col(text)).otherwise(rebuilt)).withColumn("n_entities", F.coalesce(F.size("_pii_new"), F.lit(0)))
     marked = marked.withColumn("n_entities", F.when(F.col("_pii_new").isNull(), 0).otherwise(F.col("n_entities")))
