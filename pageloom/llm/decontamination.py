@@ -88,13 +88,14 @@ def shingle_weights(items: DataFrame, n_items: int) -> tuple[DataFrame, Column]:
 def probe_shingles(items: DataFrame, weights: DataFrame) -> DataFrame:
     """(probe, item, place, words of the item): the first places of a spread-out order whose weights pass the allowance of each item.
 
-    A window with similarity s to the item holds at least s of its weight; the
-    chosen distinct shingles weigh more than (1 - s) of it, so one of them is in every such window.
+    A shingle that an item holds k times counts k times. A window with similarity s to the item shares at least
+    s of its weight; the chosen distinct shingles with all their repeats weigh more than (1 - s) of it, so one of
+    them is in every such window.
     """
     from pyspark.sql import Window
 
-    placed = items.select("item", F.posexplode("shingles").alias("place", "probe")).groupBy("item", "probe").agg(F.min("place").alias("place"))
-    placed = placed.join(weights, F.col("probe") == F.col("shingle")).drop("shingle")
+    placed = items.select("item", F.posexplode("shingles").alias("place", "probe")).groupBy("item", "probe").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
+    placed = placed.join(weights, F.col("probe") == F.col("shingle")).withColumn("w", F.col("w") * F.col("times")).drop("shingle", "times")
     spread = Window.partitionBy("item").orderBy(F.expr(f"place % {SHINGLE}"), "place")
     whole = F.sum("w").over(Window.partitionBy("item"))
     before = F.coalesce(F.sum("w").over(spread.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
