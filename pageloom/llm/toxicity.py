@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts and lexicon are folded alike: lower case, homoglyphs and full-width
-forms to Latin letters, digits and signs that stand in for letters to those
-letters. The automaton holds the lexicon and the exception phrases. An entry is a
+Texts and lexicon are folded alike: lower case, homoglyphs, full-width forms and accented
+letters to plain Latin letters, digits and signs that stand in for letters to those
+letters; marks and code points that show nothing are left out, wherever they stand. The automaton holds the lexicon and the exception phrases. An entry is a
 word, or a stem marked by a final ``*``; a hit counts if it is a whole word of the
 folded text (a stem: begins one) and lies in no exception phrase, the strongest
 entry at each place. The weight of the hits, as it is and per 100 words, gives the
@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,19 +50,42 @@ HOMOGLYPHS = {
 #: Digits and signs written for letters. Fixed values.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
-#: Left out wherever they stand: zero-width space and soft hyphen.
-INVISIBLE = "\u200b\u00ad"
-FOLDING = str.maketrans({**HOMOGLYPHS, **LOOKALIKES, **{chr(0xFF41 + k): chr(97 + k) for k in range(26)}, **dict.fromkeys(INVISIBLE, "")})
+#: Blocks of code points that show nothing, besides those of categories Cf, Mn and Me. Fixed values.
+UNSEEN = ((0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
+#: Planes in which letters, marks and signs of formatting lie.
+PLANES = (range(0x20000), range(0xE0000, 0xE1000))
+
+
+def _folding() -> dict[int, str]:
+    """Code points whose folded form differs: letters by what they decompose to, without marks; unseen ones to nothing."""
+    table = {**HOMOGLYPHS, **LOOKALIKES}
+    found = {ord(c): t for c, t in table.items()}
+    for code in chain(*PLANES):
+        c = chr(code)
+        if unicodedata.category(c) in ("Cf", "Mn", "Me") or any(a <= code <= b for a, b in UNSEEN):
+            found[code] = ""
+        elif code > 0x7F and code not in found:
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            folded = "".join(table.get(x, x) for x in base)
+            if base.isalpha() and folded.isascii() and folded != c:
+                found[code] = folded
+    return found
+
+
+FOLDING = _folding()
+#: Characters that fold to none, as a class of a pattern, and those that fold to none or to several.
+HIDDEN = "".join(re.escape(chr(code)) for code, folded in FOLDING.items() if not folded)
+RESIZED = re.compile("[" + "".join(re.escape(chr(code)) for code, folded in FOLDING.items() if len(folded) != 1) + "]")
 
 
 def fold(text: str) -> str:
-    """Lower case with homoglyphs, full-width letters and stand-in digits as plain letters."""
+    """Lower case with homoglyphs, accented and full-width letters and stand-in digits as plain letters, and nothing unseen."""
     return text.lower().translate(FOLDING)
 
 
 def aligned(text: str) -> tuple[str, str]:
     """The folded text and, for each of its characters, the original one it came from."""
-    if len(text.lower()) == len(text) and not any(c in text for c in INVISIBLE):
+    if text.isascii() or (len(text.lower()) == len(text) and not RESIZED.search(text)):
         return fold(text), text
     parts = [(fold(c), c) for c in text]
     return "".join(f for f, _ in parts), "".join(c * len(f) for f, c in parts)
@@ -132,7 +156,7 @@ class Scorer:
 
 
 #: Runs of letters, digits and the signs that stand in for letters inside a word: a mark at the end of a word is no part of it.
-WORD = re.compile(rf"[^\W_](?:[^\W_]|[@$!](?=[^\W_])|[{INVISIBLE}])*")
+WORD = re.compile(rf"[^\W_](?:[^\W_]|[@$!](?=[^\W_])|[{HIDDEN}])*")
 
 
 def words_in(text: str) -> set[str]:

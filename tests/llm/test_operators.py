@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -519,6 +520,36 @@ def test_leaks_against_every_window(spark):
     assert len(best) >= 0.97 * len(got)
 
 
+def test_leaks_of_items_with_repeated_shingles(spark):
+    """Repeats count as often as they stand: items and texts of few words, by all windows, at their exact similarity."""
+    rng = np.random.default_rng(5)
+    laugh = ["ha"] * 100
+    bench = [(0, [f"w{k}" for k in range(11)] + laugh), (1, [f"v{k % 7}" for k in range(40)]), (2, ["x", "y"] * 15 + [f"u{k}" for k in range(25)])]
+    rows = [(0, [f"o{k}" for k in range(11)] + laugh)]
+    for k in range(1, 90):
+        item = list(bench[k % 3][1])
+        for _ in range(rng.integers(0, 1 + len(item) // 12)):
+            item[rng.integers(0, len(item))] = f"n{rng.integers(10**6)}"
+        rows.append((k, [f"f{j}" for j in rng.integers(0, 900, 8)] + item + [f"f{j}" for j in rng.integers(0, 900, 8)]))
+    parts = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    held = collections.Counter(s for _, w in bench for s in parts(w))
+    held = {s: sum(s in parts(w) for _, w in bench) for s in held}
+    weight = lambda s: 1 + np.log(len(bench) / held.get(s, 1))
+    want = set()
+    for i, text in rows:
+        for j, words in bench:
+            mine = parts(words)
+            for at in range(len(text) - len(words) + 1):
+                yours = parts(text[at : at + len(words)])
+                sums = [sum(f(mine[s], yours[s]) * weight(s) for s in mine | yours) for f in (min, max)]
+                if sums[0] >= 0.8 * sums[1]:
+                    want.add((i, j))
+    frame = lambda x, n: spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{n} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(rows, "doc_id"), frame(bench, "item_id")).collect()}
+    assert (0, 0) in want and (0, 0) in got and len(want) > 15
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_leaks_by_join_equal_leaks_by_literal(spark, monkeypatch):
     docs, bench = documents(spark), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
@@ -559,6 +590,41 @@ def test_surrogates(spark):
     assert iban[:2] == "GB" and iban[4:8].isalpha() and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def replaced(spark, *texts):
+    df = surrogates.replace_entities(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_secrets_of_signs_and_of_few_strings(spark):
+    blank = "password: ____________ and bob@real.org here"
+    few = [f"token={'_' * 12}{k} then jim{k}@real.org" for k in range(10)]  # every image of these layouts is real
+    got = replaced(spark, blank, *few)
+    assert re.fullmatch(r"password: _{12} and \w+@h[0-9a-f]+\.example\.org here", got[0])
+    secrets = []
+    for k in range(10):
+        found = re.fullmatch(r"token=(X[0-9a-f]{24}) then \w+@h[0-9a-f]+\.example\.org", got[k + 1])
+        assert found, got[k + 1]
+        secrets.append(found[1])
+    assert len(set(secrets)) == 10
+
+
+def test_an_entity_without_surrogate_keeps_its_place(spark, monkeypatch):
+    known = surrogates.assign
+
+    def one_less(*args):
+        return known(*args).filter("entity <> '10.1.2.3'")
+
+    monkeypatch.setattr(surrogates, "assign", one_less)
+    got = replaced(spark, "a@b.org 10.1.2.3 c@d.org")[0].split()
+    assert got[0].endswith(".example.org") and got[2].endswith(".example.org") and re.fullmatch("X[0-9a-f]{24}", got[1]) and got[0] != got[2]
+
+
+def test_full_names_are_replaced_wherever_the_text_repeats_them(spark):
+    got = replaced(spark, "Dr. Anna Smith met him. Later Anna Smith left; Anna Smithers and Joanna Smith stayed", "Anna Smith again")
+    new = re.match(r"Dr\. (\p{Lu}\p{L}+(?:-\p{L}+)* \p{Lu}\p{L}+) met him\. Later (.+) left; Anna Smithers and Joanna Smith stayed".replace(r"\p{Lu}", "[A-Z]").replace(r"\p{L}", "[A-Za-z]"), got[0])
+    assert new and new[1] == new[2] != "Anna Smith" and got[1] == "Anna Smith again"
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [("ip", f"10.0.{a}.{b}", "n") for a in range(30) for b in range(30)] + [("name", f"A{k % 40} B{k}", "f") for k in range(300)]
     rows += [("ssn", f"{k:03d}-00-{j:04d}", "n") for k in range(20) for j in range(20)] + [("phone", f"+49 30 {k:03d} {k * 7 % 1000:03d}", "n") for k in range(400)] + [("card", f"41111111{k:08d}", "n") for k in range(300)]
@@ -684,6 +750,17 @@ def test_folding_and_exceptions():
     assert s.hits("stupidly so") == [2.0] and s.hits("a trash can") == [] and s.hits("trash") == [1.0] and s.hits("") == []
 
 
+def test_marks_and_unseen_code_points_do_not_hide_words():
+    s = toxicity.Scorer({"idiot": 3.0, "fix": 1.0}, ["class idiot"], np.zeros(6))
+    for unseen in "\u200b\u00ad\u200c\u200d\u2060\ufeff\u0301\u034f\u180e\ufe0f\U000e0041":
+        assert s.hits(f"you i{unseen}d{unseen}iot!") == [3.0] and s.hits(f"class{unseen} idi{unseen}ot") == []
+    assert s.hits("ídiot ÍDIÖT ｉｄｉｏｔ іdіот") == [3.0] * 4 and s.hits("a ﬁx") == [1.0] and s.hits("xídiot ídiotx") == []
+    assert toxicity.fold("Ёж 日本 한국 ²") == "eж 日本 한국 ²"
+    for text in ("naïve ﬁancé\u0301 x", "İstanbul", "a\u200bb"):
+        folded, raw = toxicity.aligned(text)
+        assert len(folded) == len(raw) and folded == toxicity.fold(text)
+
+
 def test_words_are_cut_before_they_are_folded():
     assert toxicity.words_in("idiot! 1999 1d10t, st$pid; st0p. іd­iot a@b") == {"idiot", "stspid", "stop", "aab"}
 
