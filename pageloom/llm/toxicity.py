@@ -73,9 +73,10 @@ def _folding() -> dict[int, str]:
 
 
 FOLDING = _folding()
-#: Characters that fold to none, as a class of a pattern, and those that fold to none or to several.
-HIDDEN = "".join(re.escape(chr(code)) for code, folded in FOLDING.items() if not folded)
-RESIZED = re.compile("[" + "".join(re.escape(chr(code)) for code, folded in FOLDING.items() if len(folded) != 1) + "]")
+#: Characters that fold to nothing, and those that fold to nothing or to several.
+HIDDEN = frozenset(chr(code) for code, folded in FOLDING.items() if not folded)
+RESIZED = frozenset(chr(code) for code, folded in FOLDING.items() if len(folded) != 1)
+_WITHOUT_HIDDEN = dict.fromkeys(map(ord, HIDDEN))
 
 
 def fold(text: str) -> str:
@@ -85,7 +86,7 @@ def fold(text: str) -> str:
 
 def aligned(text: str) -> tuple[str, str]:
     """The folded text and, for each of its characters, the original one it came from."""
-    if text.isascii() or (len(text.lower()) == len(text) and not RESIZED.search(text)):
+    if text.isascii() or (len(text.lower()) == len(text) and RESIZED.isdisjoint(set(text))):
         return fold(text), text
     parts = [(fold(c), c) for c in text]
     return "".join(f for f, _ in parts), "".join(c * len(f) for f, c in parts)
@@ -156,11 +157,13 @@ class Scorer:
 
 
 #: Runs of letters, digits and the signs that stand in for letters inside a word: a mark at the end of a word is no part of it.
-WORD = re.compile(rf"[^\W_](?:[^\W_]|[@$!](?=[^\W_])|[{HIDDEN}])*")
+WORD = re.compile(r"[^\W_](?:[^\W_]|[@$!](?=[^\W_]))*")
 
 
 def words_in(text: str) -> set[str]:
     """Folded words of a text, cut on its original characters; numbers are no words."""
+    if not text.isascii() and not HIDDEN.isdisjoint(set(text)):
+        text = text.translate(_WITHOUT_HIDDEN)
     return {w for w in (fold(m) for m in WORD.findall(text) if any(c.isalpha() for c in m)) if 3 <= len(w) <= 30}
 
 
