@@ -15,6 +15,8 @@ from pageloom.operators.offers import first_n, first_seen
 CAPS = {"buttons": 50, "forms": 15, "prices": 30, "contacts": 20, "form": 8, "wizard": 5, "booking_widget": 5, "availability": 10}
 PORTFOLIO = r"/(proekt/|project/|zavursheni-proekti/|completed|portfolio/|gallery/)"
 MANY_PORTFOLIO = 5
+LINE_BLOCKS = 64
+MOST_PORTFOLIO_CHARS = 500_000_000
 _CAP_ORDER = {"form": 0, "wizard": 1, "booking_widget": 2, "availability": 3}
 
 
@@ -97,21 +99,36 @@ def crawl_stats(pages_dom: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def condense_portfolio(docs: DataFrame) -> DataFrame:
-    """Page rows; where a site has five or more portfolio pages, one summary row in their place."""
+    """Page rows; where a site has five or more portfolio pages, one summary row in their place.
+
+    Lines are joined in two steps: within each of 64 ranges of page ids of a site, cut at approximate quantiles, and
+    then range by range, so no group holds more than about a 64th of a site's lines but for repeated ids; the result
+    itself is one text a site. A text of over 500,000,000 characters, near what one value can hold, raises an error
+    that names the site.
+    """
     from pageloom.functions.regexes import matches
 
     flagged = docs.withColumn("_portfolio", matches(F.col("url"), PORTFOLIO))
-    many = flagged.filter("_portfolio").groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY_PORTFOLIO)
-    many = many.withColumnRenamed("site", "_p_site")
+    cuts = F.percentile_approx("page_id", F.array(*[F.lit(k / LINE_BLOCKS) for k in range(1, LINE_BLOCKS)])).alias("_cuts")
+    many = flagged.filter("_portfolio").groupBy(F.col("site").alias("_p_site")).agg(F.count(F.lit(1)).alias("n"), cuts).filter(F.col("n") >= MANY_PORTFOLIO)
     joined = flagged.join(many, F.col("site") == F.col("_p_site"), "left").withColumn("_condense", F.col("_portfolio") & F.col("n").isNotNull())
     area = money.area_m2(F.col("content"))
     name = F.when(money.compact_title(F.col("title")) != "", money.compact_title(F.col("title"))).otherwise(money.slug(F.col("url")))
     line = F.concat(name, F.coalesce(F.concat(F.lit(" — "), area.cast("string"), F.lit(" кв.м.")), F.lit("")))
-    rows = joined.filter("_condense").select("site", "page_id", "url", line.alias("line"))
-    lines = rows.groupBy("site").agg(F.max("page_id").alias("page_id"), F.min(urls.origin(F.col("url"))).alias("base"), F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"]).alias("lines"))
-    summary = lines.select(
+    block = F.size(F.filter("_cuts", lambda c: c < F.col("page_id"))).alias("block")
+    rows = joined.filter("_condense").select("site", "page_id", block, urls.origin(F.col("url")).alias("base"), line.alias("line"))
+    blocks = rows.groupBy("site", "block").agg(F.max("page_id").alias("page_id"), F.min("base").alias("base"), F.array_sort(F.collect_list(F.struct("page_id", "line"))).alias("lines"))
+    texts = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    blocks = blocks.select("site", "block", "page_id", "base", F.size("lines").alias("n_lines"), texts.alias("text"))
+    sites_ = blocks.groupBy("site").agg(
+        F.max("page_id").alias("page_id"), F.min("base").alias("base"), F.sum("n_lines").alias("n_lines"), F.sum(F.length("text").cast("long")).alias("size"),
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("texts"),
+    )
+    most = F.raise_error(F.concat(F.lit("portfolio text of over 500,000,000 characters: site "), "site")).cast("string")
+    body = F.when(F.col("size") > MOST_PORTFOLIO_CHARS, most).otherwise(F.array_join("texts", "\n"))
+    summary = sites_.withColumn("body", body).select(
         "page_id", "site", F.concat("base", F.lit("/projects-summary")).alias("url"), F.lit("Проекти и завършени обекти (обобщено)").alias("title"), F.lit("general").alias("page_type"),
-        F.concat(F.lit("ПРОЕКТИ И ЗАВЪРШЕНИ ОБЕКТИ ("), F.size("lines").cast("string"), F.lit(" бр.):\n"), F.array_join("lines", "\n")).alias("content"),
-        text.word_count(F.array_join("lines", " ")).alias("word_count"), F.lit("ok").alias("status"), F.lit(False).alias("partial"),
+        F.concat(F.lit("ПРОЕКТИ И ЗАВЪРШЕНИ ОБЕКТИ ("), F.col("n_lines").cast("string"), F.lit(" бр.):\n"), "body").alias("content"),
+        text.word_count(F.col("body")).alias("word_count"), F.lit("ok").alias("status"), F.lit(False).alias("partial"),
     )
     return joined.filter(~F.col("_condense")).select(*docs.columns).unionByName(summary.select(*docs.columns))

@@ -9,17 +9,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.sources.tables import spread
+from pageloom.sources.tables import deal_by_bytes, spread
 
 #: Folders of a saved site map.
 SITE_BUCKETS = 64
 
 
-def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """page_id, url, html[, final_url]; dealt out by page_id if ``partitions`` are named, else only where the scan leaves cores idle."""
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None, balanced: bool = False) -> DataFrame:
+    """page_id, url, html[, final_url]; dealt out by page_id if ``partitions`` are named, else only where the scan leaves cores idle.
+
+    ``balanced`` deals pages by their bytes, so that a few very long pages do not make one long task (``deal_by_bytes``).
+    """
     pages = spark.read.parquet(path)
     columns = [c for c in ("page_id", "url", "html", "final_url") if c in pages.columns]
     pages = pages.select(*columns)
+    if balanced:
+        return deal_by_bytes(pages, "html", ("page_id", "url"), partitions)
     return pages.repartition(partitions, "page_id") if partitions else spread(pages)
 
 
