@@ -195,3 +195,22 @@ def tree_links(nation: DataFrame, customer: DataFrame, orders: DataFrame) -> tup
     links = links.select("site", urls.url_key(F.col("src")).alias("src_key"), F.col("dst").alias("dst_url"), urls.url_key(F.col("dst")).alias("dst_key"), "ord")
     home = nation.select(site(r).alias("site"), page(r, F.lit("")).alias("url")).distinct()
     return home, links
+
+
+def tagged_links(nation: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(home, links with their source): shops, which come first, and plain pages of nations, a third of them linked outside the home's navigation only; customers beneath."""
+    from pageloom.functions import urls
+
+    site = F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit(".example"))
+    page = lambda *p: F.concat(F.lit("https://"), site, F.lit("/"), *p)
+    n = F.col("n_nationkey")
+    of_nation = page(F.when(n % 2 == 1, "shop/").otherwise("n/"), n.cast("string"))
+    c = customer.join(nation, F.col("c_nationkey") == n)
+    row = lambda df, src, dst, order, source: df.select(site.alias("site"), urls.url_key(src).alias("src_key"), dst.alias("dst_url"), urls.url_key(dst).alias("dst_key"), order.cast("long").alias("ord"), source.alias("source"))
+    links = (
+        row(nation, page(F.lit("")), of_nation, n, F.lit("all"))
+        .unionAll(row(nation.filter(n % 3 == 1), page(F.lit("")), of_nation, n, F.lit("nav")))
+        .unionAll(row(nation.filter(n % 3 == 2), page(F.lit("")), of_nation, n, F.lit("card")))
+        .unionAll(row(c, of_nation, page(F.lit("c/"), F.col("c_custkey").cast("string")), F.col("c_custkey"), F.lit("all")))
+    )
+    return nation.select(site.alias("site"), page(F.lit("")).alias("url")).distinct(), links

@@ -102,6 +102,13 @@ def rendered_mined_links(spark, sf_dir):
     return links.mine_links(_extraction(spark, sf_dir)).select("page_id", "dst_url", "source")
 
 
+def rendered_page_links(spark, sf_dir):
+    """All links of each page: mined ones of general pages only; a third are contact pages."""
+    pages = rendered.extraction_pages(spread(read_table(spark, sf_dir, "part")))
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "/g([0-9]+)$", "/contact-$1")).otherwise(F.col("url"))
+    return links.page_links(dom.parse_pages(pages.withColumn("url", url))).select("page_id", "src_url", "dst_url")
+
+
 def rendered_listings(spark, sf_dir):
     """Listing flag: three cards or more."""
     return links.listing_flags(_extraction(spark, sf_dir)).select("page_id", "is_listing")
@@ -184,6 +191,12 @@ def tree_visit_order(spark, sf_dir):
     return frontier.crawl_frontier(home, links_, most=frontier.MAX_PAGES).select("site", "seq", "url", "depth")
 
 
+def tree_home_order(spark, sf_dir):
+    """The first forty pages of each site where links have a source and some come first."""
+    home, links_ = rendered.tagged_links(read_table(spark, sf_dir, "nation"), spread(read_table(spark, sf_dir, "customer")))
+    return frontier.crawl_frontier(home, links_, most=frontier.MAX_PAGES).select("site", "seq", "url", "depth", "priority")
+
+
 def rendered_portfolio(spark, sf_dir):
     """Page rows with the portfolio pages of large sites condensed."""
     rows = sites.condense_portfolio(rendered.portfolio_pages(read_table(spark, sf_dir, "orders")))
@@ -266,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
-        rendered_site_map, rendered_portfolio, rendered_selectors, rendered_availability, rendered_templates, rendered_site_forms, rendered_salvage, tree_visited, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_frontier, tree_next_urls, event_recrawls,
+        rendered_site_map, rendered_portfolio, rendered_selectors, rendered_availability, rendered_templates, rendered_site_forms, rendered_salvage, tree_visited, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_home_order, rendered_page_links, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
 
@@ -341,6 +354,12 @@ ORACLE = {
             (CASE WHEN p_size % 6 > 0 THEN 'https://g' || (p_partkey % 7) || '.example/thing/' || p_partkey || '?q=1' END, 'anchor'),
             (CASE WHEN p_size % 6 > 0 THEN 'https://g' || (p_partkey % 7) || '.example/thing/' || p_partkey END, CASE WHEN len(CAST(p_partkey AS VARCHAR)) >= 6 THEN 'card,product' ELSE 'card' END)) AS v(dst_url, source)) AS s
         WHERE p_partkey % 11 <> 0 AND s.dst_url IS NOT NULL""",
+    "rendered_page_links": """
+        WITH p AS (SELECT *, 'https://g' || (p_partkey % 7) || '.example/' AS host, CAST(p_partkey AS VARCHAR) AS k FROM part WHERE p_partkey % 11 <> 0),
+        found AS (
+            SELECT *, host || 'n/' || k AS dst_url FROM p UNION ALL SELECT *, host || 'thing/' || k || '?q=1' FROM p WHERE p_size % 6 > 0 UNION ALL SELECT *, host || 'thing/' || k FROM p WHERE p_size % 6 > 0 AND p_partkey % 3 <> 0
+            UNION ALL SELECT *, host || 'data/' || k || 'x' FROM p WHERE p_partkey % 3 <> 0 UNION ALL SELECT *, host || 'click/' || k FROM p WHERE p_partkey % 3 <> 0
+        ) SELECT p_partkey AS page_id, host || CASE WHEN p_partkey % 3 = 0 THEN 'contact-' ELSE 'g' END || k AS src_url, dst_url FROM found""",
     "rendered_listings": "SELECT p_partkey AS page_id, p_partkey % 11 <> 0 AND p_size % 6 >= 3 AS is_listing FROM part",
     "rendered_dialogs": "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'Dialog about the part ' || p_partkey || ' that is long enough' END AS dialog FROM part",
     "rendered_stats": """
@@ -374,6 +393,14 @@ ORACLE = {
             UNION ALL SELECT n_regionkey, 3, {_REGION} || 'o/' || o_orderkey, {_REGION} || 'c/' || c_custkey, o_orderkey FROM o
         ) SELECT 'region' || n_regionkey || '.example' AS site, CAST(seq AS INTEGER) AS seq, url, depth
         FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY depth, via, ord, url) AS seq FROM p) WHERE seq <= 40""",
+    "tree_home_order": f"""
+        WITH n AS (SELECT *, {_REGION} AS home, {_REGION} || CASE WHEN n_nationkey % 2 = 1 THEN 'shop/' ELSE 'n/' END || n_nationkey AS page FROM nation),
+        p AS (
+            SELECT DISTINCT n_regionkey, true AS priority, 0 AS depth, home AS url, '' AS via, 0 AS ord FROM n
+            UNION ALL SELECT n_regionkey, n_nationkey % 2 = 1, 1, page, home, n_nationkey FROM n WHERE n_nationkey % 3 > 0
+            UNION ALL SELECT n_regionkey, false, 2, home || 'c/' || c_custkey, page, c_custkey FROM n JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 3 > 0
+        ) SELECT 'region' || n_regionkey || '.example' AS site, CAST(seq AS INTEGER) AS seq, url, depth, priority
+        FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY priority DESC, depth, via, ord, url) AS seq FROM p) WHERE seq <= 40""",
     "tree_frontier": f"""
         WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT c.*, o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
         p AS (
