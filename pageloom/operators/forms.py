@@ -81,8 +81,8 @@ def _shown(n: Column) -> Column:
     return let(trim_ws(dom.raw_text(n)), lambda t: F.when(t != "", t).otherwise(dom.attr(n, "value")))
 
 
-def extract_buttons(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, ord, text, selector): button-like elements with a text and no foreign or script target, 30 a page."""
+def buttons_of_page() -> Column:
+    """Array of (ord, text, selector): button-like elements with a text and no foreign or script target, 30 a page."""
     like_button = lambda n: (
         (n["tag"] == "button") | ((n["tag"] == "a") & dom.has_attr(n, "href")) | (dom.attr(n, "role") == "button")
         | ((n["tag"] == "input") & dom.attr(n, "type").isin("submit", "button")) | dom.has_class(n, "btn") | dom.has_class(n, "button")
@@ -90,41 +90,58 @@ def extract_buttons(pages_dom: DataFrame) -> DataFrame:
 
     def target_ok(n: Column) -> Column:
         href = dom.attr(n, "href")
-        return (n["tag"] != "a") | (href == "") | (~href.rlike("^(?:javascript|mailto|tel):") & F.coalesce(urls.absolute(href, F.col("url")).contains(urls.hostname(F.col("url"))), F.lit(False)))
+        same_host = F.coalesce(urls.absolute(href, F.col("url")).contains(urls.hostname(F.col("url"))), F.lit(False))
+        return (n["tag"] != "a") | (href == "") | (~href.rlike("^(?:javascript|mailto|tel):") & same_host)
+
+    button = lambda n: F.struct(n["nid"].alias("ord"), F.substring(_shown(n), 1, 100).alias("text"), unique_selector(n).alias("selector"))
+    found = F.transform(dom.select_nodes(lambda n: like_button(n) & ~n["hidden"] & target_ok(n)), button)
+    return F.slice(F.filter(found, lambda x: F.length(x["text"]) >= 2), 1, MOST_BUTTONS)
 
-    rows = F.filter(
-        F.transform(dom.select_nodes(lambda n: like_button(n) & ~n["hidden"] & target_ok(n)), lambda n: F.struct(n["nid"].alias("ord"), F.substring(_shown(n), 1, 100).alias("text"), unique_selector(n).alias("selector"))),
-        lambda x: F.length(x["text"]) >= 2,
-    )
-    return pages_dom.select("page_id", "site", F.explode(F.slice(rows, 1, MOST_BUTTONS)).alias("b")).select("page_id", "site", "b.*")
+
+def extract_buttons(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, ord, text, selector): a row for each of ``buttons_of_page``."""
+    return pages_dom.select("page_id", "site", F.explode(buttons_of_page()).alias("b")).select("page_id", "site", "b.*")
 
 
 def _fields(form: Column) -> Column:
     return F.filter(dom.below(form), lambda m: (((m["tag"] == "input") & ~F.lower(dom.attr(m, "type")).isin("hidden", "submit")) | m["tag"].isin("select", "textarea")) & ~m["hidden"])
 
 
-def extract_forms(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, ord, selector, submit_button, fields): visible forms with a field, 10 a page."""
+def forms_of_page() -> Column:
+    """Array of (ord, selector, submit_button, fields): visible forms with a field, 10 a page."""
 
     def field(m: Column, i: Column) -> Column:
         name = F.coalesce(F.nullif(dom.attr(m, "name"), F.lit("")), F.nullif(m["id"], F.lit("")), F.concat(F.lit("field_"), i.cast("string")))
         kind = F.when(m["tag"] == "select", "select-one").when(m["tag"] == "textarea", "textarea").when(dom.attr(m, "type") == "", "text").otherwise(F.lower(dom.attr(m, "type")))
         return F.struct(name.alias("name"), unique_selector(m).alias("selector"), kind.alias("type"), dom.attr(m, "placeholder").alias("placeholder"), field_label(m).alias("label"))
 
-    submit = lambda f: dom.first_of(F.filter(dom.below(f), lambda m: (m["tag"].isin("button", "input") & (dom.attr(m, "type") == "submit")) | ((m["tag"] == "button") & ~dom.has_attr(m, "type"))))
-    row = lambda f: F.struct(f["nid"].alias("ord"), unique_selector(f).alias("selector"), let(submit(f), lambda b: F.when(b.isNotNull(), unique_selector(b)).otherwise("")).alias("submit_button"), F.transform(_fields(f), field).alias("fields"))
+    sends = lambda m: (m["tag"].isin("button", "input") & (dom.attr(m, "type") == "submit")) | ((m["tag"] == "button") & ~dom.has_attr(m, "type"))
+    submit = lambda f: let(dom.first_of(F.filter(dom.below(f), sends)), lambda b: F.when(b.isNotNull(), unique_selector(b)).otherwise(""))
+    row = lambda f: F.struct(f["nid"].alias("ord"), unique_selector(f).alias("selector"), submit(f).alias("submit_button"), F.transform(_fields(f), field).alias("fields"))
     found = F.filter(F.transform(dom.select_nodes(lambda n: (n["tag"] == "form") & ~n["hidden"]), row), lambda x: F.size(x["fields"]) > 0)
-    return pages_dom.select("page_id", "site", F.explode(F.slice(found, 1, MOST_FORMS)).alias("f")).select("page_id", "site", "f.*")
+    return F.slice(found, 1, MOST_FORMS)
+
+
+def extract_forms(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, ord, selector, submit_button, fields): a row for each of ``forms_of_page``."""
+    return pages_dom.select("page_id", "site", F.explode(forms_of_page()).alias("f")).select("page_id", "site", "f.*")
 
 
 def enrich_buttons(buttons: DataFrame) -> DataFrame:
     return buttons.withColumns({"keywords": lexicon.keywords(F.col("text")), "action_type": lexicon.action_type(F.col("text"))})
 
 
+def rich_field(f: Column) -> Column:
+    """A form field as (name, selector, type, keywords)."""
+    return F.struct(
+        f["name"].alias("name"), f["selector"].alias("selector"), lexicon.field_type(f["name"], f["type"], f["placeholder"], f["label"]).alias("type"),
+        lexicon.field_keywords(f["name"], f["placeholder"], f["label"]).alias("keywords"),
+    )
+
+
 def enrich_forms(forms: DataFrame) -> DataFrame:
     """Fields as (name, selector, type, keywords)."""
-    rich = lambda f: F.struct(f["name"].alias("name"), f["selector"].alias("selector"), lexicon.field_type(f["name"], f["type"], f["placeholder"], f["label"]).alias("type"), lexicon.field_keywords(f["name"], f["placeholder"], f["label"]).alias("keywords"))
-    return forms.withColumn("fields", F.transform("fields", rich))
+    return forms.withColumn("fields", F.transform("fields", rich_field))
 
 
 def _required(m: Column, label: Column) -> Column:

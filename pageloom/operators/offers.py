@@ -24,18 +24,27 @@ SPEC_PRICE = rf"(?:(?:€|\$|£|¥|₹|₽|₺|zł|Kč|kr|лв\.?){WS}*[0-9]|[0-
 MOST_CARDS, MOST_FEATURES, MOST_SPECS, MOST_PRICES = 12, 30, 50, 20
 
 
-def price_mentions(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, ord, text, context): distinct price mentions with the heading of their container, 20 a page."""
+def mentions_of_page() -> Column:
+    """Array of (ord, text, context): distinct price mentions in document order with the heading of their container, 20 a page."""
     container = lambda n: dom.first_of(F.filter(F.concat(F.array(n), dom.ancestors(n)), lambda a: a["tag"].isin("div", "article", "section", "li", "tr")))
     heading = lambda c: dom.first_of(F.filter(dom.below(c), lambda m: m["tag"].isin("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b") | dom.has_class(m, "title")))
+    between = "\x01"  # an amount cannot hold it, so the first one ends the text
 
-    def rows(n: Column) -> Column:
+    def of_node(n: Column) -> Column:
         found = money.price_mentions(F.when(n["hidden"], F.lit("")).otherwise(n["own"]))
         context = let(container(n), lambda c: F.when(c.isNotNull(), let(heading(c), lambda h: F.when(h.isNotNull(), F.substring(trim_ws(dom.raw_text(h)), 1, 50)))))
-        return F.transform(found, lambda t, i: F.struct((n["nid"] * 1000 + i).alias("ord"), t.alias("text"), F.coalesce(context, F.lit("")).alias("context")))
+        return F.transform(found, lambda t: F.concat(t, F.lit(between), F.coalesce(context, F.lit(""))))
+
+    def parted(x: Column, i: Column) -> Column:
+        said = F.substring_index(x, between, 1)
+        return F.struct(i.alias("ord"), said.alias("text"), F.substr(x, F.length(said) + 2).alias("context"))
 
-    found = pages_dom.select("page_id", "site", F.explode(F.flatten(F.transform(F.col("nodes"), rows))).alias("x")).select("page_id", "site", "x.*")
-    return first_n(first_seen(found, ["page_id", "text", "context"], ["ord"]), ["page_id"], ["ord"], MOST_PRICES)
+    return F.transform(F.slice(F.array_distinct(F.flatten(F.transform(F.col("nodes"), of_node))), 1, MOST_PRICES), parted)
+
+
+def price_mentions(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, ord, text, context): a row for each of ``mentions_of_page``."""
+    return pages_dom.select("page_id", "site", F.explode(mentions_of_page()).alias("x")).select("page_id", "site", "x.*")
 
 
 def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -45,10 +54,14 @@ def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, "_first.*").select(*rows.columns)
 
 
-def first_n(rows: DataFrame, scope: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows of each scope."""
+def first_n(rows: DataFrame, scope: list[str], order: list[str], n: int, by_kind: dict[str, int] | None = None) -> DataFrame:
+    """The first n rows of each scope; of a scope whose ``kind`` is in ``by_kind``, as many as that says, n at most."""
     w = Window.partitionBy(*scope).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)  # a plain bound, which Spark applies before the shuffle
+    if by_kind is not None:
+        cap = F.create_map(*[F.lit(x) for pair in by_kind.items() for x in pair])
+        ranked = ranked.filter(F.col("_rank") <= F.coalesce(F.try_element_at(cap, F.col("kind")), F.lit(n)))
+    return ranked.drop("_rank")
 
 
 def pick_title(root: Column) -> Column:
@@ -120,11 +133,15 @@ def pricing_cards(pages_dom: DataFrame) -> DataFrame:
 
         return let(root, lambda r: F.when(r.isNotNull(), built(r)))
 
-    rows = pages_dom.select("page_id", "site", F.explode(F.filter(F.transform(F.concat(by_data, by_class, by_text), card), lambda c: c.isNotNull() & (c["title"] != ""))).alias("c")).select("page_id", "site", "c.*")
-    rows = rows.withColumn("key", F.concat_ws("|", "title", "price_text", F.when(F.col("phase") == 3, F.coalesce("period", F.lit("")))))
-    rows = first_seen(rows, ["page_id", "key"], ["phase", "ord"]).drop("key")
-    offers = jsonld_offers(pages_dom).select("page_id", "site", F.lit(2).alias("phase"), "ord", "title", "price_text", F.lit(None).cast("string").alias("period"), F.lit("").alias("badge"), F.array().cast("array<string>").alias("features"))
-    rows = rows.unionByName(offers)
+    none = F.array().cast("array<string>")
+    offer = lambda o: F.struct(F.lit(2).alias("phase"), o["ord"].alias("ord"), o["title"].alias("title"), o["price_text"].alias("price_text"), F.lit(None).cast("string").alias("period"), F.lit("").alias("badge"), none.alias("features"))
+    found = F.filter(F.transform(F.concat(by_data, by_class, by_text), card), lambda c: c.isNotNull() & (c["title"] != ""))
+    rows = pages_dom.select("page_id", "site", F.explode(F.concat(found, F.transform(offers_of_page(), offer))).alias("c")).select("page_id", "site", "c.*")
+    rows = rows.withColumns({
+        "key": F.concat_ws("|", "title", "price_text", F.when(F.col("phase") == 3, F.coalesce("period", F.lit("")))),
+        "offer": F.when(F.col("phase") == 2, F.col("ord")).otherwise(-1),
+    })
+    rows = first_seen(rows, ["page_id", "offer", "key"], ["phase", "ord"]).drop("key", "offer")
     plan = money.is_installment(F.col("period"), F.col("title"), F.col("price_text"))
     rows = rows.withColumn("card_kind", F.when(plan, "installment").otherwise("pricing")).withColumn("title", F.when(plan, money.installment_title(F.col("title"))).otherwise(F.col("title")))
     w = Window.partitionBy("page_id", "card_kind").orderBy("phase", "ord", "title", "price_text")
@@ -132,18 +149,33 @@ def pricing_cards(pages_dom: DataFrame) -> DataFrame:
     return rows.select("page_id", "site", "card_kind", F.col("rank").alias("ord"), "title", "price_text", "period", "badge", "features")
 
 
-def jsonld_offers(pages_dom: DataFrame) -> DataFrame:
-    """(page_id, site, ord, title, price_text) of the offers in ld+json scripts; bad JSON is skipped."""
+def offers_of_page() -> Column:
+    """Array of (ord, title, price_text) of the offers in ld+json scripts, in their order; bad JSON is skipped."""
     scripts = dom.select_nodes(lambda n: (n["tag"] == "script") & (dom.attr(n, "type") == "application/ld+json"))
-    found = pages_dom.select("page_id", "site", F.explode(F.transform(scripts, lambda n: F.struct(n["nid"].alias("nid"), n["own"].alias("json")))).alias("s"))
-    many = lambda c: F.expr(f"CASE WHEN schema_of_variant({c}) LIKE 'ARRAY%' THEN CAST({c} AS ARRAY<VARIANT>) WHEN {c} IS NOT NULL THEN array({c}) END")
-    docs = found.select("page_id", "site", "s.nid", F.try_parse_json(F.col("s.json")).alias("j")).filter(F.col("j").isNotNull())
-    items = docs.select("page_id", "site", "nid", F.posexplode(many("j")).alias("i", "item"))
-    items = items.withColumn("offers", F.expr("coalesce(try_variant_get(item, '$.offers', 'variant'), try_variant_get(item, '$.hasOfferCatalog.itemListElement', 'variant'))"))
-    each = items.filter(F.col("offers").isNotNull()).select("page_id", "site", "nid", "i", "item", F.posexplode(many("offers")).alias("k", "offer"))
-    price = F.expr("coalesce(try_variant_get(offer, '$.price', 'string'), try_variant_get(offer, '$.offers.price', 'string'))")
-    title = F.expr("coalesce(nullif(try_variant_get(item, '$.name', 'string'), ''), nullif(try_variant_get(offer, '$.name', 'string'), ''), 'Package')")
-    return each.select("page_id", "site", (F.col("nid") * 1_000_000 + F.col("i") * 1000 + F.col("k")).cast("int").alias("ord"), title.alias("title"), price.alias("price_text")).filter(F.coalesce("price_text", F.lit("")).isin("", "0", "false") == F.lit(False))
+    row = "array<struct<title:string,price_text:string>>"
+    some = lambda a: F.coalesce(a, F.array().cast(row))
+    inner = lambda v, *paths: F.coalesce(*[F.try_variant_get(v, p, "variant") for p in paths])
+    words = lambda v, *paths: [F.try_variant_get(v, p, "string") for p in paths]
+
+    def many(v: Column, each) -> Column:
+        listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), v.cast("array<variant>")).when(v.isNotNull(), F.array(v))
+        return F.transform(listed, each)
+
+    def of_item(item: Column) -> Column:
+        def of_offer(o: Column) -> Column:
+            names = [F.nullif(x, F.lit("")) for x in words(item, "$.name") + words(o, "$.name")]
+            return F.struct(F.coalesce(*names, F.lit("Package")).alias("title"), F.coalesce(*words(o, "$.price", "$.offers.price")).alias("price_text"))
+
+        return some(many(inner(item, "$.offers", "$.hasOfferCatalog.itemListElement"), of_offer))
+
+    every = F.flatten(F.transform(scripts, lambda n: some(F.flatten(many(F.try_parse_json(n["own"]), of_item)))))
+    priced = F.filter(every, lambda o: ~F.coalesce(o["price_text"], F.lit("")).isin("", "0", "false"))
+    return F.transform(priced, lambda o, i: F.struct(i.alias("ord"), o["title"].alias("title"), o["price_text"].alias("price_text")))
+
+
+def jsonld_offers(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, ord, title, price_text): a row for each of ``offers_of_page``."""
+    return pages_dom.select("page_id", "site", F.explode(offers_of_page()).alias("o")).select("page_id", "site", "o.*")
 
 
 def product_specs(pages_dom: DataFrame) -> DataFrame:

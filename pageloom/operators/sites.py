@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import fingerprints, lexicon, money, text, urls
+from pageloom.operators import forms as page_forms
+from pageloom.operators import offers
 from pageloom.operators.offers import first_n, first_seen
 
 CAPS = {"buttons": 50, "forms": 15, "prices": 30, "contacts": 20, "form": 8, "wizard": 5, "booking_widget": 5, "availability": 10}
@@ -20,11 +22,6 @@ MOST_PORTFOLIO_CHARS = 500_000_000
 _CAP_ORDER = {"form": 0, "wizard": 1, "booking_widget": 2, "availability": 3}
 
 
-def _in_order(order: list[str], *columns: str):
-    kept = F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("_row"))))
-    return F.transform(kept, lambda x: x["_row"])
-
-
 def site_buttons(buttons: DataFrame) -> DataFrame:
     """Buttons of a site, one per lower-case text, 50 at most: (site, page_id, ord, key, text, selector, keywords, action_type)."""
     rows = first_seen(buttons.withColumn("key", F.lower("text")), ["site", "key"], ["page_id", "ord"])
@@ -44,19 +41,39 @@ def site_prices(prices: DataFrame) -> DataFrame:
     return first_n(rows, ["site"], ["page_id", "ord"], CAPS["prices"])
 
 
-def site_map(buttons: DataFrame, forms: DataFrame, prices: DataFrame, sites: DataFrame) -> DataFrame:
+def page_maps(pages_dom: DataFrame) -> DataFrame:
+    """(page_id, site, buttons, forms, prices): what a page adds to its site's map, made in one pass over the page.
+
+    Prices count only on pages with a button or a form; a page without either has three empty arrays.
+    """
+    made = pages_dom.select("page_id", "site", page_forms.buttons_of_page().alias("buttons"), page_forms.forms_of_page().alias("forms"), offers.mentions_of_page().alias("prices"))
+    mapped = (F.size("buttons") > 0) | (F.size("forms") > 0)
+    return made.withColumn("prices", F.when(mapped, F.col("prices")).otherwise(F.slice("prices", 1, 0)))
+
+
+def site_map(maps: DataFrame, sites: DataFrame) -> DataFrame:
     """(site_id, url, buttons, forms, prices), one row a site of ``sites`` (site, site_id, url) with a page map.
 
-    Pages count if they have a button or a form; prices of other pages do not.
+    The rows of all three kinds go through one deduplication, one rank and one gathering. Keywords and types are
+    looked up for the rows that the caps left only.
     """
-    mapped = buttons.select("page_id").unionAll(forms.select("page_id")).distinct()
-    prices = prices.join(mapped, "page_id", "left_semi")
-    b = site_buttons(buttons).groupBy("site").agg(_in_order(["page_id", "ord"], "text", "selector", "keywords", "action_type").alias("buttons"))
-    f = site_forms(forms).groupBy("site").agg(_in_order(["page_id", "ord"], "selector", "submit_button", "fields").alias("forms"))
-    p = site_prices(prices).groupBy("site").agg(_in_order(["page_id", "ord"], "text", "context").alias("prices"))
-    joined = b.join(f, "site", "full").join(p, "site", "full").join(sites, "site")
-    empty = lambda side, name: F.coalesce(F.col(name), F.array().cast(side.schema[name].dataType))
-    return joined.select("site_id", "url", empty(b, "buttons").alias("buttons"), empty(f, "forms").alias("forms"), empty(p, "prices").alias("prices"))
+    entry = {
+        "buttons": lambda x: F.lower(x["text"]),
+        "forms": lambda x: F.array_join(F.sort_array(F.transform(x["fields"], lambda f: f["name"])), ","),
+        "prices": lambda x: F.concat_ws("|", x["text"], x["context"]),
+    }
+    nothing = lambda k: F.lit(None).cast(maps.schema[k].dataType.elementType)
+    tagged = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), entry[k](x).alias("key"), x["ord"].alias("ord"), *[(x if o == k else nothing(o)).alias(o) for o in entry]))
+    rows = maps.select("page_id", "site", F.explode(F.concat(*map(tagged, entry))).alias("e")).select("page_id", "site", "e.*")
+    rows = first_n(first_seen(rows, ["site", "kind", "key"], ["page_id", "ord"]), ["site", "kind"], ["page_id", "ord"], max(CAPS[k] for k in entry), {k: CAPS[k] for k in entry})
+    shown = {
+        "buttons": lambda b: F.struct(b["text"].alias("text"), b["selector"].alias("selector"), lexicon.keywords(b["text"]).alias("keywords"), lexicon.action_type(b["text"]).alias("action_type")),
+        "forms": lambda f: F.struct(f["selector"].alias("selector"), f["submit_button"].alias("submit_button"), F.transform(f["fields"], page_forms.rich_field).alias("fields")),
+        "prices": lambda p: F.struct(p["text"].alias("text"), p["context"].alias("context")),
+    }
+    of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.struct("page_id", "ord", shown[k](F.col(k)).alias("row"))))
+    gathered = rows.groupBy("site").agg(*[F.transform(F.array_sort(of_kind(k)), lambda x: x["row"]).alias(k) for k in entry])
+    return gathered.join(sites, "site").select("site_id", "url", *entry)
 
 
 def site_capabilities(caps: DataFrame) -> DataFrame:
@@ -76,14 +93,13 @@ def site_capabilities(caps: DataFrame) -> DataFrame:
 
 def site_contacts(page_contacts: DataFrame) -> DataFrame:
     """(site, emails, phones): union over pages in order, 20 of each."""
-    out = None
-    for kind in ("emails", "phones"):
-        rows = page_contacts.select("page_id", "site", F.posexplode(kind).alias("ord", "value")).withColumn("value", F.trim("value")).filter("value <> ''")
-        rows = first_n(first_seen(rows, ["site", "value"], ["page_id", "ord"]), ["site"], ["page_id", "ord"], CAPS["contacts"])
-        side = rows.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "ord", "value"))), lambda x: x["value"]).alias(kind))
-        out = side if out is None else out.join(side, "site", "full")
-    none = F.array().cast("array<string>")
-    return out.select("site", F.coalesce("emails", none).alias("emails"), F.coalesce("phones", none).alias("phones"))
+    kinds = ("emails", "phones")
+    said = lambda k: F.transform(k, lambda v, i: F.struct(F.lit(k).alias("kind"), i.alias("ord"), F.trim(v).alias("value")))
+    rows = page_contacts.select("page_id", "site", F.explode(F.concat(*[F.coalesce(said(k), F.array().cast("array<struct<kind:string,ord:int,value:string>>")) for k in kinds])).alias("c"))
+    rows = rows.select("page_id", "site", "c.*").filter("value <> ''")
+    rows = first_n(first_seen(rows, ["site", "kind", "value"], ["page_id", "ord"]), ["site", "kind"], ["page_id", "ord"], CAPS["contacts"])
+    of_kind = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("page_id", "ord", "value"))))
+    return rows.groupBy("site").agg(*[F.transform(of_kind(k), lambda x: x["value"]).alias(k) for k in kinds])
 
 
 def crawl_stats(pages_dom: DataFrame, kept: DataFrame) -> DataFrame:

@@ -33,6 +33,20 @@ def card_pages(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def card_source_pages(part: DataFrame) -> DataFrame:
+    """One page a part with cards of all sources: price attributes, a price class, JSON-LD offers, an amount in a text, "on request", and repeats of them."""
+    k = F.col("p_partkey").cast("string")
+    price = money_text(F.col("p_retailprice"))
+    attribute = F.concat(F.lit('<article><h3>Alpha '), k, F.lit('</h3><b data-price="'), price, F.lit('"></b><p>Made by '), "p_brand", F.lit(" each year</p></article>"))
+    by_class = F.concat(F.lit('<div class="tier-card"><h3>Beta '), k, F.lit(' plan</h3><span class="cost">€'), price, F.lit("</span><ul><li>Type "), "p_type", F.lit("</li></ul></div>"))
+    in_text = F.concat(F.lit('<section><h3>Gamma '), k, F.lit("</h3><p>only €"), F.col("p_size").cast("string"), F.lit(" per month</p></section>"))
+    asked = F.concat(F.lit('<div class="offer-box"><h3>Delta '), k, F.lit("</h3><p>Price on request</p><em>Best value</em></div>"))
+    offers = F.concat(F.lit('<script type="application/ld+json">{"name":"Epsilon '), k, F.lit('","offers":[{"price":"'), price, F.lit('"},{"price":"'), price, F.lit('"},{"price":"0"}]}</script>'))
+    html = F.concat(F.lit("<html><body>"), offers, asked, in_text, F.repeat(by_class, 2), F.repeat(attribute, 2), F.lit("</body></html>"))
+    url = F.concat(F.lit("https://shop"), (F.col("p_partkey") % 7).cast("string"), F.lit(".example/pricing/"), k)
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
 def jsonld_pages(part: DataFrame) -> DataFrame:
     """Offers as object (even keys) or array (odd), broken JSON on every fiftieth."""
     price = money_text(F.col("p_retailprice"))

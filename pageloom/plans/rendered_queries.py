@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.functions import urls
 from pageloom.operators import content, dom, forms, frontier, links, offers, sites
 from pageloom.plans import rendered
 from pageloom.sources.tables import read_table, spread
@@ -31,6 +32,12 @@ def rendered_cards(spark, sf_dir):
     return cards.select("page_id", "card_kind", "title", "price_text", "period", "badge", F.array_join("features", "|").alias("features"))
 
 
+def rendered_card_sources(spark, sf_dir):
+    """Every card of pages with cards of all sources, in their order, repeats told apart by the keys of each source."""
+    cards = offers.pricing_cards(dom.parse_pages(rendered.card_source_pages(spread(read_table(spark, sf_dir, "part")))))
+    return cards.select("page_id", "site", "card_kind", "ord", "title", "price_text", "period", "badge", F.array_join("features", "|").alias("features"))
+
+
 def rendered_prices(spark, sf_dir):
     """Price mentions with their context."""
     parsed = dom.parse_pages(rendered.card_pages(spread(read_table(spark, sf_dir, "part"))))
@@ -80,11 +87,18 @@ def rendered_capabilities(spark, sf_dir):
     return sites.site_capabilities(caps).groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sites_of(pages):
+    """The sites that pages belong to, from their urls alone."""
+    found = pages.select(urls.normalize_domain(F.col("url")).alias("site")).distinct()
+    return found.select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
+
+
 def rendered_site_map(spark, sf_dir):
     """Site maps: how many buttons, forms and prices each site has."""
-    parsed = dom.parse_pages(rendered.form_pages(spread(read_table(spark, sf_dir, "customer"))))
-    listed = parsed.select("site").distinct().select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
-    rows = sites.site_map(forms.enrich_buttons(forms.extract_buttons(parsed)), forms.enrich_forms(forms.extract_forms(parsed)), offers.price_mentions(parsed), listed)
+    pages = rendered.form_pages(spread(read_table(spark, sf_dir, "customer")))
+    parsed = dom.parse_pages(pages)
+    listed = _sites_of(pages)
+    rows = sites.site_map(sites.page_maps(parsed), listed)
     return rows.select("site_id", F.size("buttons").alias("n_buttons"), F.size("forms").alias("n_forms"), F.size("prices").alias("n_prices"))
 
 
@@ -128,9 +142,10 @@ def rendered_stats(spark, sf_dir):
 
 def rendered_price_map(spark, sf_dir):
     """Prices of each site map: first seen, thirty at most, of pages with a button or form."""
-    parsed = dom.parse_pages(rendered.mapped_pages(spread(read_table(spark, sf_dir, "part"))))
-    listed = parsed.select("site").distinct().select("site", F.col("site").alias("site_id"), F.concat(F.lit("https://"), "site").alias("url"))
-    rows = sites.site_map(forms.enrich_buttons(forms.extract_buttons(parsed)), forms.enrich_forms(forms.extract_forms(parsed)), offers.price_mentions(parsed), listed)
+    pages = rendered.mapped_pages(spread(read_table(spark, sf_dir, "part")))
+    parsed = dom.parse_pages(pages)
+    listed = _sites_of(pages)
+    rows = sites.site_map(sites.page_maps(parsed), listed)
     return rows.select("site_id", F.posexplode("prices").alias("pos", "p")).select("site_id", "pos", "p.text", "p.context")
 
 
@@ -278,7 +293,7 @@ def event_recrawls(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rendered_specs, rendered_specs_text, rendered_cards, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
+        rendered_specs, rendered_specs_text, rendered_cards, rendered_card_sources, rendered_prices, rendered_offers, rendered_contacts, rendered_site_contacts, rendered_forms, rendered_buttons, rendered_choices, rendered_capabilities,
         rendered_site_map, rendered_portfolio, rendered_selectors, rendered_availability, rendered_templates, rendered_site_forms, rendered_salvage, tree_visited, rendered_sections, rendered_mined_links, rendered_listings, rendered_dialogs, rendered_stats, rendered_price_map, rendered_button_groups, rendered_schemas, rendered_wizards, rendered_page_docs, rendered_parts, rendered_boilerplate, rendered_icons, rendered_full_text, tree_visit_order, tree_home_order, rendered_page_links, tree_frontier, tree_next_urls, event_recrawls,
     )
 }
@@ -301,6 +316,12 @@ ORACLE = {
                '€' || {_PRICE} || CASE WHEN p_partkey % 2 = 1 THEN ' /month' ELSE ' one-time' END AS price_text, CASE WHEN p_partkey % 2 = 1 THEN 'monthly' ELSE 'one_time' END AS period,
                'Best value' AS badge, '✓ ' || '✓ ' || p_brand || '|' || '✗ ' || '✗ ' || p_type || '|Size ' || p_size AS features
         FROM part""",
+    "rendered_card_sources": f"""
+        SELECT p_partkey AS page_id, 'shop' || (p_partkey % 7) || '.example' AS site, v.card_kind, CAST(v.ord AS INTEGER) AS ord, v.title, v.price_text, v.period, v.badge, v.features
+        FROM part, LATERAL (VALUES ('pricing', 1, 'Alpha ' || p_partkey, {_PRICE}, NULL, '', ''), ('pricing', 2, 'Beta ' || p_partkey || ' plan', '€' || {_PRICE}, NULL, '', 'Type ' || p_type),
+            ('pricing', 3, 'Epsilon ' || p_partkey, {_PRICE}, NULL, '', ''), ('pricing', 4, 'Epsilon ' || p_partkey, {_PRICE}, NULL, '', ''), ('pricing', 5, 'Delta ' || p_partkey, 'On request', NULL, 'Best value', ''),
+            ('pricing', 6, 'Beta ' || p_partkey || ' plan', '€' || {_PRICE}, NULL, '', 'Type ' || p_type), ('installment', 1, 'Gamma ' || p_partkey, '€' || p_size, 'monthly', '', '')
+        ) AS v(card_kind, ord, title, price_text, period, badge, features)""",
     "rendered_prices": f"SELECT p_partkey AS page_id, regexp_extract('€' || {_PRICE} || ' ', '€[0-9]+[.][0-9]*') AS text, 'Plan ' || p_partkey AS context FROM part",
     "rendered_offers": f"SELECT p_partkey AS page_id, p_name AS title, {_PRICE} AS price_text FROM part WHERE p_partkey % 50 <> 0",
     "rendered_contacts": f"SELECT s_suppkey AS page_id, 'nation' || s_nationkey || '.example' AS site, 'supplier' || s_suppkey || '@mail.example' AS emails, {_PHONE} AS phones FROM supplier",

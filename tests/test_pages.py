@@ -58,11 +58,38 @@ def test_links(spark):
 
 
 def test_pages_are_parsed_once(spark):
-    for name in ("page_all_links", "rendered_capabilities", "rendered_mined_links"):
+    for name in ("page_all_links", "rendered_capabilities", "rendered_mined_links", "rendered_site_map", "rendered_price_map", "rendered_cards", "rendered_site_contacts"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.split("Initial Plan")[0].count("MapInArrow") == 1, name
 
 
+def test_site_map_by_hand(spark):
+    shop = '<button>Buy</button><button>BUY</button><form><input name="b"><input name="a"></form><form><input name="a"><input name="b"></form><p>€5</p><p>€5</p><p>€7</p>'
+    pages = parsed(spark, shop, "<p>€9 alone</p>", shop.replace("Buy", "Go on").replace("€7", "€8"), None, "")
+    listed = spark.createDataFrame([("a.com", 7, "https://a.com", 1), ("other", 8, "https://other", 2)], "site string, site_id int, url string, page_id int")
+    site = sorted({r.site for r in pages.select("site").collect()})[0]
+    rows = sites.site_map(sites.page_maps(pages), listed.withColumn("site", F.when(F.col("site") == "a.com", site).otherwise(F.col("site"))).drop("page_id")).collect()
+    assert [(r.site_id, [b.text for b in r.buttons], [[f.name for f in x.fields] for x in r.forms], [p.text for p in r.prices]) for r in rows] == [(7, ["Buy", "Go on"], [["b", "a"]], ["€5", "€7", "€8"])]
+    none = sites.site_map(sites.page_maps(pages.limit(0)), listed)
+    assert none.count() == 0 and none.columns == ["site_id", "url", "buttons", "forms", "prices"]
+
+
+def test_caps_by_kind(spark):
+    rows = spark.createDataFrame([("s", kind, n) for kind in "abc" for n in range(6)], "site string, kind string, n int")
+    got = offers.first_n(rows, ["site", "kind"], ["n"], 4, {"a": 2, "b": 9}).groupBy("kind").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    assert {r.kind: (r.n, r["rows"]) for r in got.collect()} == {"a": (1, 2), "b": (3, 4), "c": (3, 4)}
+
+
+def test_offers_and_mentions_far_down_a_page(spark):
+    script = '<script type="application/ld+json">[{"name":"A","offers":{"price":1}},{"offers":[{"name":"B","price":"2"},{"price":0}]},{"hasOfferCatalog":{"itemListElement":[{"offers":{"price":3}}]}},4,null]</script>'
+    pages = parsed(spark, "<i></i>" * 3000 + script + '<script type="application/ld+json">{bad</script>', '<script type="application/ld+json">[]</script>', None)
+    got = offers.jsonld_offers(pages).orderBy("page_id", "ord").collect()
+    assert [(r.page_id, r.ord, r.title, r.price_text) for r in got] == [(0, 0, "A", "1"), (0, 1, "B", "2"), (0, 2, "Package", "3")]
+    many = parsed(spark, "<div><b>Head</b>" + "".join(f"<p>€{k % 25}</p>" for k in range(60)) + "</div><div><p>€0</p></div>")
+    rows = offers.price_mentions(many).orderBy("ord").collect()
+    assert [(r.ord, r.text, r.context) for r in rows] == [(k, f"€{k}", "Head") for k in range(20)]
+
+
 def test_listing_by_class(spark):
     pages = parsed(spark, '<div class="tile-card"></div>' * 3, '<div class="tile-card"></div>' * 2, "<p>" * 9, '<a href="/a/long-long-long-slug-of-a-page">x</a>' * 5)
     assert [r.is_listing for r in links.listing_flags(pages).orderBy("page_id").collect()] == [True, False, False, True]
