@@ -276,6 +276,46 @@ def test_a_hot_passage_is_aggregated_before_it_is_dealt(spark, keep, monkeypatch
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, keep) and sorted_rows == [0]
 
 
+def around_passages(n):
+    """Texts around one passage, with shared ends of a few bytes, copies, a second place in the text, cut passages and periodic texts."""
+    rng = np.random.default_rng(14)
+    word = lambda n: "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+    passage, tails = word(290), [word(9) for _ in range(3)]
+    rows = [(k if k else None, word(220) + tails[k % 3] + passage[k % 5 * 7 :] + tails[k % 2] + word(220)) for k in range(n)]
+    rows += [(n + k, rows[k][1]) for k in range(3)]
+    periods = ["ab" * 300 + word(50), word(50) + "ab" * 250 + "a", "x" * 450 + "y", "z" + "x" * 300, word(30) + "abc" * 150]
+    return [*rows, *enumerate([passage + "-" + passage + word(30), passage, *periods], n + 3)]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("hot", [1, 4, 16])
+def test_blocks_of_a_hot_passage_against_brute_force(spark, keep, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = around_passages(24)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, with_bytes=False).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, keep)
+
+
+def test_rows_of_a_hot_passage_grow_with_its_texts_and_few_are_single_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    real, counted = suffix_dedup.write_shared, collections.Counter()
+
+    def write(df, name):
+        out = real(df, name)
+        counted[name] += out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "write_shared", write)
+    seen = []
+    for n in (30, 60):
+        counted.clear()
+        suffix_dedup.remove_repeats(spark.createDataFrame(around_passages(n), "doc_id long, text string"), with_bytes=False).collect()
+        seen.append((counted["hot-strings"], counted["verdicts"]))
+    (strings, verdicts), (more_strings, more_verdicts) = seen
+    assert 0 < more_strings < 2.5 * strings and more_verdicts < 2.5 * verdicts
+    assert strings < 100 * 30 and verdicts < 60 * 30  # each text has about 480 strings that touch the passage
+
+
 def test_repeats_within_a_text_and_hard_rows(spark):
     unit = "".join(chr(97 + k) for k in np.random.default_rng(9).integers(0, 26, 250))
     rows = [(1, "é" + unit + "-" + unit), (2, "ab" * 300), (3, "x" * 199), (4, None), (5, "y" * 200)]
