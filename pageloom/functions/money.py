@@ -19,6 +19,8 @@ CURRENCY = (
 PERIOD = "(?:месец|month|mo|jahr|año|mese|monat|rok|ay|luna|месяц)"
 NUMBER = rf"[0-9]{{1,6}}(?:(?:{WS}|[,.])[0-9]{{1,3}})*(?:[.,][0-9]{{1,2}})?"
 MONEY = rf"(?:{CURRENCY}{WS}*{NUMBER}|(?:(?:from|от|ab|desde|da){WS}*)?{NUMBER}{WS}*{CURRENCY})(?:{WS}*/?{WS}*{PERIOD})?"
+#: What every place where ``MONEY`` matches has ahead of it: at most five characters and white space, then a digit. Most places fail it at once.
+_NEAR_NUMBER = rf"(?=[^0-9]{{0,5}}+(?:{WS}{{2}}|{WS}?[0-9]))"
 ON_REQUEST = "по договаряне|on request|auf anfrage|sur demande|a consultar|price on request|call for price"
 ON_REQUEST_NODE = ON_REQUEST + "|su richiesta|contact for price"
 PERIODS = (
@@ -58,11 +60,11 @@ def price_mentions(t: Column) -> Column:
 
 def money_match(t: Column) -> Column:
     """The first amount of the wide currency list, with "from" and period; empty if none."""
-    return norm_ws(F.regexp_extract(F.coalesce(t, F.lit("")), ci(MONEY), 0))
+    return norm_ws(F.regexp_extract(F.coalesce(t, F.lit("")), ci(_NEAR_NUMBER + MONEY), 0))
 
 
 def has_money(t: Column) -> Column:
-    return matches(t, MONEY)
+    return matches(t, _NEAR_NUMBER + MONEY)
 
 
 def price_text_or_on_request(t: Column) -> Column:

@@ -35,4 +35,4 @@ def trim_ws(c: Column) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return trim_ws(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"(?![!-~]){WS}+", " "))  # most characters are told from white space by one range

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.functions.binding import let
-from pageloom.functions.regexes import WS, ci
+from pageloom.functions.regexes import ci, norm_ws
 
 NODE = "struct<nid:int,pid:int,last:int,depth:int,prev:int,tag:string,nth:int,cls:string,id:string,attrs:map<string,string>,t0:int,t1:int,own:string,hidden:boolean,lone_id:boolean,lone_class:string,label:int>"
 SCHEMA = f"page_id long, url string, title string, text string, nodes array<{NODE}>, parse_error boolean"
@@ -37,132 +37,197 @@ WALLS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 UNSEEN = frozenset(("script", "style", "template", "noscript", "head", "title"))
 
 
+#: What the start of an element closes, and where the search for it ends; elements that close nothing are not named.
+_CLOSES = {tag: (ended, WALLS.get(tag, {"td", "th", "li", "div", "section", "article"} | ({"button"} if tag != "p" else set()))) for tag, ended in ENDS.items()}
+#: Tags without attributes, and the elements for which nothing else is to be looked at in them.
+_PLAIN_START, _PLAIN_END = re.compile("<([a-zA-Z][a-zA-Z0-9]*)>"), re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+_PLAIN = BLOCK | frozenset("a b body br button em head html i label s small span strong sub sup u".split())
+#: The fields of an element that the parser collects, each in a list of its own, and those that follow from them.
+COLLECTED = ("pid", "last", "depth", "prev", "tag", "nth", "cls", "id", "attrs", "t0", "t1", "own", "hidden")
+INDEXED = ("lone_id", "lone_class", "label")
+
+
 class _Builder(HTMLParser):
-    """Collects elements and text; a tree is never built."""
+    """Collects elements, field by field, and text; a tree is never built."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
+        self.fields: dict[str, list] = {f: [] for f in COLLECTED}
+        self.pid, self.last, self.depth, self.prev, self.tag, self.nth, self.cls, self.id, self.attrs, self.t0, self.t1, self.own, self.hidden = self.fields.values()
         self.open: list[int] = []
+        self.unseen = self.titles = 0  # open elements of these kinds
         self.parts: list[str] = []
         self.size = 0
         self.title: list[str] = []
         self.kinds: dict[tuple[int, str], int] = {}
         self.youngest: dict[int, int] = {}
 
-    def _put(self, text: str) -> None:
-        if text:
-            self.parts.append(text)
-            self.size += len(text)
+    def updatepos(self, i, j):
+        """Lines and columns are not asked for, so they are not counted."""
+        return j
+
+    def parse_starttag(self, i):
+        """A plain tag needs no search for attributes; any other is left to the base class."""
+        found = _PLAIN_START.match(self.rawdata, i)
+        if found and (tag := found[1].lower()) in _PLAIN:
+            self.handle_starttag(tag, ())
+            return found.end()
+        return super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        found = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if found:
+            self.handle_endtag(found[1].lower())
+            return found.end()
+        return super().parse_endtag(i)
 
     def _line(self) -> None:
         if self.parts and not self.parts[-1].endswith("\n"):
-            self._put("\n")
+            self.parts.append("\n")
+            self.size += 1
 
     def _close(self, depth: int) -> None:
         while len(self.open) > depth:
-            node = self.nodes[self.open.pop()]
-            node["last"], node["t1"] = len(self.nodes) - 1, self.size
-            if node["tag"] in BLOCK:
+            nid = self.open.pop()
+            tag = self.tag[nid]
+            self.last[nid], self.t1[nid] = len(self.tag) - 1, self.size
+            if tag in BLOCK:
                 self._line()
+            elif tag in UNSEEN:
+                self.unseen -= 1
+                self.titles -= tag == "title"
 
     def handle_starttag(self, tag, attrs) -> None:
-        ended, wall = ENDS.get(tag, ()), WALLS.get(tag, {"td", "th", "li", "div", "section", "article", "button"} if tag != "p" else {"td", "th", "li", "div", "section", "article"})
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[depth]]["tag"]
-            if name in ended:
-                self._close(depth)
-                if tag not in ("tr", "td", "th"):
+        if tag in _CLOSES:
+            ended, wall = _CLOSES[tag]
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.tag[self.open[depth]]
+                if name in ended:
+                    self._close(depth)
+                    if tag not in ("tr", "td", "th"):
+                        break
+                elif name in wall:
                     break
-            elif name in wall:
-                break
         if tag in BLOCK or tag == "br":
             self._line()
         pid = self.open[-1] if self.open else -1
         self.kinds[pid, tag] = nth = self.kinds.get((pid, tag), 0) + 1
-        named = {k: v if v is not None else "" for k, v in reversed(attrs)}
-        style = named.get("style", "").replace(" ", "").lower()
-        above = self.nodes[pid]["hidden"] if pid >= 0 else False
-        nid = len(self.nodes)
-        node = {
-            "nid": nid, "pid": pid, "last": nid, "depth": len(self.open), "prev": self.youngest.get(pid, -1), "tag": tag, "nth": nth, "cls": named.get("class", ""), "id": named.get("id", ""), "attrs": list(named.items()), "t0": self.size, "t1": self.size,
-            "own": "", "hidden": above or "hidden" in named or "display:none" in style or "visibility:hidden" in style or tag in UNSEEN,
-        }
-        self.nodes.append(node)
+        named = {k: v if v is not None else "" for k, v in reversed(attrs)} if attrs else {}
+        style = named["style"].replace(" ", "").lower() if "style" in named else ""
+        nid = len(self.tag)
+        self.pid.append(pid)
+        self.last.append(nid)
+        self.depth.append(len(self.open))
+        self.prev.append(self.youngest.get(pid, -1))
+        self.tag.append(tag)
+        self.nth.append(nth)
+        self.cls.append(named.get("class", ""))
+        self.id.append(named.get("id", ""))
+        self.attrs.append(named)
+        self.t0.append(self.size)
+        self.t1.append(self.size)
+        self.own.append("")
+        self.hidden.append((pid >= 0 and self.hidden[pid]) or "hidden" in named or "display:none" in style or "visibility:hidden" in style or tag in UNSEEN)
         self.youngest[pid] = nid
         if tag not in VOID:
             self.open.append(nid)
+            if tag in UNSEEN:
+                self.unseen += 1
+                self.titles += tag == "title"
 
     def handle_endtag(self, tag) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
+            if self.tag[self.open[depth]] == tag:
                 self._close(depth)
                 return
 
     def handle_data(self, data) -> None:
-        inside = [self.nodes[k]["tag"] for k in self.open]
-        if "title" in inside:
+        if self.titles:
             self.title.append(data)
-        if any(t in UNSEEN for t in inside):
-            if self.open:
-                self.nodes[self.open[-1]]["own"] += data
-            return
         if self.open:
-            self.nodes[self.open[-1]]["own"] += data
-        self._put(data)
+            self.own[self.open[-1]] += data
+        if not self.unseen and data:
+            self.parts.append(data)
+            self.size += len(data)
 
 
-def _index(nodes: list[dict]) -> None:
+def _index(fields: dict[str, list]) -> None:
     """Ids, classes and labels of the page are counted once; each element takes from the counts what concerns it."""
-    classes = [[c for c in re.split(r"[ \t\n\x0b\f\r]+", n["cls"]) if c] for n in nodes]
-    ids, held, labels = Counter(n["id"] for n in nodes), Counter(), {}
-    for n, own in zip(nodes, classes, strict=True):
-        held.update(set(own))
-        if n["tag"] == "label":
-            labels.setdefault(dict(n["attrs"]).get("for", ""), n["nid"])
-    for n, own in zip(nodes, classes, strict=True):
-        n["lone_id"] = n["id"] != "" and ids[n["id"]] == 1
-        n["lone_class"] = next((c for c in own if held[c] == 1), "")
-        n["label"] = labels.get(n["id"], -1) if n["id"] else -1
-
-
-def parse(html: str | None) -> tuple[str, str, list[dict], bool]:
-    """(title, text, nodes, failed) of a page."""
+    classes = [[c for c in re.split(r"[ \t\n\x0b\f\r]+", cls) if c] if cls else () for cls in fields["cls"]]
+    ids, held, labels = Counter(i for i in fields["id"] if i), Counter(), {}
+    for own in classes:
+        if own:
+            held.update(set(own))
+    for nid, tag in enumerate(fields["tag"]):
+        if tag == "label":
+            labels.setdefault(fields["attrs"][nid].get("for", ""), nid)
+    fields["lone_id"] = [i != "" and ids[i] == 1 for i in fields["id"]]
+    fields["lone_class"] = [next((c for c in own if held[c] == 1), "") for own in classes]
+    fields["label"] = [labels.get(i, -1) if i else -1 for i in fields["id"]]
+
+
+def _parse(html: str | None) -> tuple[str, str, dict[str, list], bool]:
+    """(title, text, fields of the elements, failed) of a page."""
     builder = _Builder()
     try:
         builder.feed(html or "")
         builder.close()
         builder._close(0)
-        _index(builder.nodes)
+        _index(builder.fields)
     except Exception:  # a page that no parser can read is reported, not fatal
-        return "", "", [], True
-    return " ".join("".join(builder.title).split()), "".join(builder.parts), builder.nodes, html is None
+        return "", "", {f: [] for f in COLLECTED + INDEXED}, True
+    return " ".join("".join(builder.title).split()), "".join(builder.parts), builder.fields, html is None
+
+
+def parse(html: str | None) -> tuple[str, str, list[dict], bool]:
+    """(title, text, nodes, failed) of a page."""
+    title, text, fields, failed = _parse(html)
+    nodes = [{"nid": nid, **dict(zip(fields, values, strict=True))} for nid, values in enumerate(zip(*fields.values(), strict=True))]
+    return title, text, [n | {"attrs": list(n["attrs"].items())} for n in nodes], failed
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, elements: bool = True) -> DataFrame:
     """page_id, site, url, base_origin, title, text, nodes, parse_error of every page.
 
-    Null html is a parse error with no nodes; rows are independent, so repeated rows repeat.
+    Null html is a parse error with no nodes; rows are independent, so repeated rows repeat. Without ``elements`` the
+    column ``nodes`` is left out, for jobs that ask for titles and texts only.
     """
 
     def work(batches):
         import pyarrow as pa
 
-        struct = pa.struct(
-            [("nid", pa.int32()), ("pid", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("prev", pa.int32()), ("tag", pa.string()), ("nth", pa.int32()), ("cls", pa.string()), ("id", pa.string()),
-             ("attrs", pa.map_(pa.string(), pa.string())), ("t0", pa.int32()), ("t1", pa.int32()), ("own", pa.string()), ("hidden", pa.bool_()), ("lone_id", pa.bool_()), ("lone_class", pa.string()), ("label", pa.int32())]
-        )
+        kinds = {"tag": pa.string(), "cls": pa.string(), "id": pa.string(), "own": pa.string(), "lone_class": pa.string(), "hidden": pa.bool_(), "lone_id": pa.bool_()}
+
+        def upto(counts):
+            at = [0]
+            for n in counts:
+                at.append(at[-1] + n)
+            return pa.array(at, pa.int32())
+
+        def lists(pages_fields):
+            # the fields of all elements of some pages, one flat array each
+            arrays = {"nid": pa.array([k for f in pages_fields for k in range(len(f["tag"]))], pa.int32())}
+            for name in COLLECTED + INDEXED:
+                if name != "attrs":
+                    arrays[name] = pa.array([v for f in pages_fields for v in f[name]], kinds.get(name, pa.int32()))
+                    continue
+                named = [v for f in pages_fields for v in f[name]]
+                arrays[name] = pa.MapArray.from_arrays(upto(map(len, named)), pa.array([k for v in named for k in v], pa.string()), pa.array([x for v in named for x in v.values()], pa.string()))
+            return pa.ListArray.from_arrays(upto(len(f["tag"]) for f in pages_fields), pa.StructArray.from_arrays(list(arrays.values()), names=list(arrays)))
+
         for batch in batches:
             for first in range(0, batch.num_rows, 64):  # long pages: few at a time
                 part = batch.slice(first, 64)
-                rows = [parse(h) for h in part.column(2).to_pylist()]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.list_(struct)), (3, pa.bool_()))]
-                yield pa.record_batch([part.column(0), part.column(1), *columns], names=["page_id", "url", "title", "text", "nodes", "parse_error"])
+                titles, texts, fields, failed = zip(*[_parse(h) for h in part.column(2).to_pylist()], strict=True)
+                columns = {"page_id": part.column(0), "url": part.column(1), "title": pa.array(titles, pa.string()), "text": pa.array(texts, pa.string())}
+                if elements:
+                    columns["nodes"] = lists(fields)
+                yield pa.record_batch(columns | {"parse_error": pa.array(failed, pa.bool_())})
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    parsed = rows.mapInArrow(work, SCHEMA)
+    parsed = rows.mapInArrow(work, SCHEMA if elements else SCHEMA.replace(f"nodes array<{NODE}>, ", ""))
     return parsed.select(
-        "page_id", urls.normalize_domain(F.col("url")).alias("site"), "url", urls.origin(F.col("url")).alias("base_origin"), "title", "text", "nodes", "parse_error"
+        "page_id", urls.normalize_domain(F.col("url")).alias("site"), "url", urls.origin(F.col("url")).alias("base_origin"), "title", "text", *(["nodes"] if elements else []), "parse_error"
     )
 
 
@@ -176,7 +241,7 @@ def raw_text(n: Column) -> Column:
 
 def text_of(n: Column) -> Column:
     """``raw_text`` with single spaces."""
-    return F.regexp_replace(F.regexp_replace(raw_text(n), f"{WS}+", " "), r"^ | \z", "")
+    return norm_ws(raw_text(n))
 
 
 def attr(n: Column, name: str) -> Column:
@@ -253,7 +318,7 @@ def within(n: Column, test) -> Column:
 
 def below(n: Column) -> Column:
     """Descendant structs in document order."""
-    return F.slice(F.col("nodes"), n["nid"] + 2, F.greatest(n["last"] - n["nid"], F.lit(0)))
+    return F.when(n["last"] > n["nid"], F.transform(F.sequence(n["nid"] + 1, n["last"]), lambda i: node(i))).otherwise(F.array().cast(f"array<{NODE}>"))  # F.slice copies the whole page each time
 
 
 def children(n: Column) -> Column:
