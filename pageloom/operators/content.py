@@ -243,13 +243,18 @@ def mine_payloads(payloads: DataFrame, pages: DataFrame) -> DataFrame:
     return admitted.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), "\n").alias("payload_text"))
 
 
+def is_readable() -> Column:
+    """Is a page no placeholder? ``page_docs`` with ``keep_all`` keeps these pages and no other."""
+    return ~text.is_challenge_page(F.col("title"), F.col("text"))
+
+
 def page_docs(pages_dom: DataFrame, specs_text: DataFrame | None = None, payload_text: DataFrame | None = None, keep_all: bool = False) -> DataFrame:
     """(page_id, site, url, title, page_type, content, word_count, status, partial): one row a kept page.
 
     Kept are service and product pages and those of ``MIN_WORDS`` words; unparsed pages are salvaged by
     their plain text; placeholder pages go. Everything is within the row but the two optional joins on page_id.
     """
-    built = section_parts(pages_dom.filter(~text.is_challenge_page(F.col("title"), F.col("text"))))
+    built = section_parts(pages_dom.filter(is_readable()))
     built = built.withColumn("page_type", urls.page_type(F.col("url"), F.col("title")))
     joined = lambda a, sep: F.array_join(a, sep)
     details = let(details_texts(), lambda d: F.when(F.size(d) > 0, F.concat(F.lit("DETAILS_CONTENT\n"), joined(d, "\n\n"))).otherwise(""))

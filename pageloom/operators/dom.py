@@ -48,10 +48,11 @@ INDEXED = ("lone_id", "lone_class", "label")
 
 
 class _Builder(HTMLParser):
-    """Collects elements, field by field, and text; a tree is never built."""
+    """Collects text and, if asked for, elements, field by field; a tree is never built."""
 
-    def __init__(self) -> None:
+    def __init__(self, elements: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.elements = elements
         self.fields: dict[str, list] = {f: [] for f in COLLECTED}
         self.pid, self.last, self.depth, self.prev, self.tag, self.nth, self.cls, self.id, self.attrs, self.t0, self.t1, self.own, self.hidden = self.fields.values()
         self.open: list[int] = []
@@ -90,7 +91,8 @@ class _Builder(HTMLParser):
         while len(self.open) > depth:
             nid = self.open.pop()
             tag = self.tag[nid]
-            self.last[nid], self.t1[nid] = len(self.tag) - 1, self.size
+            if self.elements:
+                self.last[nid], self.t1[nid] = len(self.tag) - 1, self.size
             if tag in BLOCK:
                 self._line()
             elif tag in UNSEEN:
@@ -110,6 +112,16 @@ class _Builder(HTMLParser):
                     break
         if tag in BLOCK or tag == "br":
             self._line()
+        if self.elements:
+            self._element(tag, attrs)
+        self.tag.append(tag)
+        if tag not in VOID:
+            self.open.append(len(self.tag) - 1)
+            if tag in UNSEEN:
+                self.unseen += 1
+                self.titles += tag == "title"
+
+    def _element(self, tag: str, attrs) -> None:
         pid = self.open[-1] if self.open else -1
         self.kinds[pid, tag] = nth = self.kinds.get((pid, tag), 0) + 1
         named = {k: v if v is not None else "" for k, v in reversed(attrs)} if attrs else {}
@@ -119,7 +131,6 @@ class _Builder(HTMLParser):
         self.last.append(nid)
         self.depth.append(len(self.open))
         self.prev.append(self.youngest.get(pid, -1))
-        self.tag.append(tag)
         self.nth.append(nth)
         self.cls.append(named.get("class", ""))
         self.id.append(named.get("id", ""))
@@ -129,11 +140,6 @@ class _Builder(HTMLParser):
         self.own.append("")
         self.hidden.append((pid >= 0 and self.hidden[pid]) or "hidden" in named or "display:none" in style or "visibility:hidden" in style or tag in UNSEEN)
         self.youngest[pid] = nid
-        if tag not in VOID:
-            self.open.append(nid)
-            if tag in UNSEEN:
-                self.unseen += 1
-                self.titles += tag == "title"
 
     def handle_endtag(self, tag) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -144,7 +150,7 @@ class _Builder(HTMLParser):
     def handle_data(self, data) -> None:
         if self.titles:
             self.title.append(data)
-        if self.open:
+        if self.elements and self.open:
             self.own[self.open[-1]] += data
         if not self.unseen and data:
             self.parts.append(data)
@@ -166,14 +172,15 @@ def _index(fields: dict[str, list]) -> None:
     fields["label"] = [labels.get(i, -1) if i else -1 for i in fields["id"]]
 
 
-def _parse(html: str | None) -> tuple[str, str, dict[str, list], bool]:
+def _parse(html: str | None, elements: bool = True) -> tuple[str, str, dict[str, list], bool]:
     """(title, text, fields of the elements, failed) of a page."""
-    builder = _Builder()
+    builder = _Builder(elements)
     try:
         builder.feed(html or "")
         builder.close()
         builder._close(0)
-        _index(builder.fields)
+        if elements:
+            _index(builder.fields)
     except Exception:  # a page that no parser can read is reported, not fatal
         return "", "", {f: [] for f in COLLECTED + INDEXED}, True
     return " ".join("".join(builder.title).split()), "".join(builder.parts), builder.fields, html is None
@@ -218,7 +225,7 @@ def parse_pages(pages: DataFrame, elements: bool = True) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):  # long pages: few at a time
                 part = batch.slice(first, 64)
-                titles, texts, fields, failed = zip(*[_parse(h) for h in part.column(2).to_pylist()], strict=True)
+                titles, texts, fields, failed = zip(*[_parse(h, elements) for h in part.column(2).to_pylist()], strict=True)
                 columns = {"page_id": part.column(0), "url": part.column(1), "title": pa.array(titles, pa.string()), "text": pa.array(texts, pa.string())}
                 if elements:
                     columns["nodes"] = lists(fields)

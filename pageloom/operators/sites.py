@@ -6,7 +6,7 @@ and capped by a rank per site, so a group of one site holds no more rows than it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import fingerprints, lexicon, money, text, urls
@@ -102,11 +102,16 @@ def site_contacts(page_contacts: DataFrame) -> DataFrame:
     return rows.groupBy("site").agg(*[F.transform(of_kind(k), lambda x: x["value"]).alias(k) for k in kinds])
 
 
-def crawl_stats(pages_dom: DataFrame, kept: DataFrame) -> DataFrame:
-    """(site, visited, saved, errors, by_type): types count before the word rule and after the placeholder rule."""
-    typed = pages_dom.select("site", "page_id", "parse_error", text.is_challenge_page(F.col("title"), F.col("text")).alias("challenge"), urls.page_type(F.col("url"), F.col("title")).alias("page_type"))
-    saved = kept.select("page_id").distinct().withColumn("saved", F.lit(1))
-    typed = typed.join(saved, "page_id", "left")
+def crawl_stats(pages_dom: DataFrame, kept: DataFrame | Column) -> DataFrame:
+    """(site, visited, saved, errors, by_type): types count before the word rule and after the placeholder rule.
+
+    ``kept`` tells which pages were saved: a table with their page_id, which is joined, or a test of the page's own row,
+    as ``content.is_readable()``, which needs no second look at the pages and no shuffle of them.
+    """
+    of_row = isinstance(kept, Column)
+    typed = pages_dom.select("site", "page_id", "parse_error", text.is_challenge_page(F.col("title"), F.col("text")).alias("challenge"), urls.page_type(F.col("url"), F.col("title")).alias("page_type"), *([kept.cast("int").alias("saved")] if of_row else []))
+    if not of_row:
+        typed = typed.join(kept.select("page_id").distinct().withColumn("saved", F.lit(1)), "page_id", "left")
     by = typed.groupBy("site", "page_type").agg(
         F.count_if(~F.col("parse_error")).alias("visited"), F.sum(F.coalesce("saved", F.lit(0))).alias("saved"), F.count_if(F.col("parse_error") | F.col("challenge")).alias("errors"), F.count_if(~F.col("parse_error") & ~F.col("challenge")).alias("n"),
     )

@@ -135,8 +135,8 @@ def rendered_dialogs(spark, sf_dir):
 
 def rendered_stats(spark, sf_dir):
     """Statistics of sites with placeholder pages and pages that do not parse."""
-    parsed = _extraction(spark, sf_dir)
-    stats = sites.crawl_stats(parsed, content.page_docs(parsed, keep_all=True))
+    parsed = dom.parse_pages(rendered.extraction_pages(spread(read_table(spark, sf_dir, "part"))), elements=False)
+    stats = sites.crawl_stats(parsed, content.is_readable())  # what page_docs(keep_all=True) keeps
     return stats.select("site", "visited", "saved", "errors", F.coalesce(F.try_element_at("by_type", F.lit("general")), F.lit(0)).cast("long").alias("general"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import money
 from pageloom.functions.regexes import WS, ci, matches, norm_ws
-from pageloom.operators import dom, offers
+from pageloom.operators import content, dom, offers, sites
 from pageloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +54,22 @@ def test_white_space_and_descendants(spark):
     pages = dom.parse_pages(pages_of(spark, "<div><p>a<b>x</b><p>b</div><i></i>", "", None))
     got = pages.orderBy("page_id").select(F.transform("nodes", lambda n: F.transform(dom.below(n), lambda m: m["nid"])).alias("x")).collect()
     assert [r.x for r in got] == [[[1, 2, 3], [2], [], [], []], [], []]
+
+
+def test_statistics_look_at_a_page_once(spark):
+    plan = plan_of(registry.QUERIES["rendered_stats"](spark, DATA))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Arrow" not in plan.replace("MapInArrow", "") and "hashpartitioning(page_id" not in plan and "nodes" not in plan
+
+
+def test_statistics_by_row_are_those_by_kept_table(spark):
+    htmls = ["<title>Just a moment</title><p>x", "<h1>heading</h1><p>" + "word " * 30, "<p>few words", None, "", "<p>" + "a" * 590 + " ray id", "<p>" + "a" * 601 + " ray id", "<title>a</title><script>please wait</script><style>p</style><textarea>ray id</textarea>"]
+    pages = pages_of(spark, *htmls, *htmls).withColumn("url", F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("/p"), F.lit("/services/p"))).otherwise(F.col("url")))
+    parsed = dom.parse_pages(pages)
+    kept = content.page_docs(parsed, keep_all=True)
+    ids = lambda df: sorted(r.page_id for r in df.select("page_id").collect())
+    assert ids(parsed.filter(content.is_readable())) == ids(kept) and 0 < len(ids(kept)) < 16
+    bare = dom.parse_pages(pages, elements=False)
+    assert bare.columns == [c for c in parsed.columns if c != "nodes"] and sorted(map(tuple, bare.collect()), key=str) == sorted(map(tuple, parsed.drop("nodes").collect()), key=str)
+    stats = lambda df, which: sorted((r.site, r.visited, r.saved, r.errors, sorted(r.by_type.items())) for r in sites.crawl_stats(df, which).collect())
+    by_row = stats(bare, content.is_readable())
+    assert by_row == stats(parsed, kept) and by_row[0][2] == len(ids(kept))
